@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardline import quality
+from wardline.jobs import admission, booking, discharge, ingest, occupancy, patches, removal
+from wardline.jobs import visits as visit_jobs
+from wardline.jobs.result import JobResult
 from wardline.plans import billing, clinical, lists, reports, scheduling, visits, wards
 from wardline.session import configure
 from wardline.sources.sample import AS_OF, REPORT_DAY, REPORT_RANGE, Sample, hospital_tables
@@ -101,6 +105,90 @@ DATASETS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
 }
 
 
+def _state(result: JobResult, table: str) -> DataFrame:
+    return result.updated[table].state
+
+
+def _booking(t: Tables, s: Sample) -> JobResult:
+    return booking.book_slots(t, s.booking_requests(), AS_OF)
+
+
+def _visits(t: Tables, s: Sample) -> JobResult:
+    return visit_jobs.record_visits(t, s.visit_requests(), AS_OF)
+
+
+def _admit(t: Tables, s: Sample) -> JobResult:
+    return admission.admit(t, s.admit_requests(), AS_OF)
+
+
+def _total_bill(t: Tables, s: Sample) -> JobResult:
+    return discharge.discharge_total_bill(t, s.discharge_requests(), AS_OF)
+
+
+def _itemised(t: Tables, s: Sample) -> JobResult:
+    return discharge.discharge_itemised(t, s.discharge_requests(), AS_OF)
+
+
+def _final(t: Tables, s: Sample) -> JobResult:
+    return discharge.discharge_final_amount(t, s.discharge_requests(), AS_OF)
+
+
+def _removal(t: Tables, s: Sample) -> JobResult:
+    return removal.remove_doctors(t, s.removal_requests(), AS_OF)
+
+
+JOBS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
+    "book_slots": lambda t, s: _booking(t, s).decisions,
+    "book_slots_confirmations": lambda t, s: booking.booking_confirmations(t, _booking(t, s).appended["appointments"]),
+    "advance_status": lambda t, s: booking.advance_status(t).decisions.drop("reason"),
+    "record_visits": lambda t, s: _visits(t, s).decisions.select("request_id", "admission_id", "visit_id", "reason"),
+    "record_visits_rows": lambda t, s: _visits(t, s).appended["admitted_patient_visits"].drop("temperature"),
+    "record_visits_admissions": lambda t, s: _state(_visits(t, s), "admissions"),
+    "admit": lambda t, s: _admit(t, s).decisions.select("request_id", "bed_id", "admission_id", "reason"),
+    "admit_actions": lambda t, s: _state(_admit(t, s), "consultation_actions"),
+    "admit_beds": lambda t, s: _state(_admit(t, s), "beds"),
+    "admit_rooms": lambda t, s: _state(_admit(t, s), "rooms"),
+    "discharge_total_bill": lambda t, s: _total_bill(t, s).decisions,
+    "discharge_total_bill_beds": lambda t, s: _state(_total_bill(t, s), "beds"),
+    "discharge_total_bill_rooms": lambda t, s: _state(_total_bill(t, s), "rooms"),
+    "discharge_itemised": lambda t, s: _itemised(t, s).decisions,
+    "discharge_final_amount": lambda t, s: _final(t, s).decisions,
+    "discharge_final_amount_admissions": lambda t, s: _state(_final(t, s), "admissions"),
+    "room_occupancy": lambda t, s: occupancy.recompute_room_occupancy(t),
+    "set_bed_flags_rooms": lambda t, s: _state(occupancy.set_bed_flags(t, s.bed_requests()), "rooms"),
+    "patch_schedules": lambda t, s: _state(
+        patches.apply_patches(t, "doctor_schedules", s.schedule_patches(), AS_OF), "doctor_schedules"
+    ),
+    "patch_schedules_decisions": lambda t, s: patches.apply_patches(
+        t, "doctor_schedules", s.schedule_patches(), AS_OF
+    ).decisions.drop("changes", "requested_at"),
+    "patch_actions": lambda t, s: _state(
+        patches.apply_patches(t, "consultation_actions", s.action_patches(), AS_OF), "consultation_actions"
+    ),
+    "patch_visits": lambda t, s: _state(
+        patches.apply_patches(t, "admitted_patient_visits", s.visit_patches(), AS_OF), "admitted_patient_visits"
+    ),
+    "patch_follow_up": lambda t, s: _state(
+        patches.apply_patches(t, "discharges", s.follow_up_patches(), AS_OF), "discharges"
+    ),
+    "remove_doctors": lambda t, s: _removal(t, s).decisions,
+    "remove_doctors_appointments": lambda t, s: _state(_removal(t, s), "appointments"),
+    "remove_doctors_medicines": lambda t, s: _state(_removal(t, s), "prescribed_medicines"),
+    "delete_schedules": lambda t, s: removal.delete_schedules(t, s.schedule_deletions()).decisions,
+    "ingest_patients": lambda t, s: ingest.ingest(t, "patients", s.new_patients(), AS_OF).decisions,
+    "ingest_patients_signups": lambda t, s: ingest.ingest(t, "patients", s.new_patients(), AS_OF).appended["signup_logs"],
+    "ingest_doctors": lambda t, s: ingest.ingest(t, "doctors", s.new_doctors(), AS_OF).decisions,
+    "ingest_doctors_rows": lambda t, s: ingest.ingest(t, "doctors", s.new_doctors(), AS_OF).appended["doctors"],
+    "ingest_forms": lambda t, s: ingest.ingest(t, "appointment_forms", s.new_forms(), AS_OF).decisions,
+    "quality_visits": lambda t, s: quality.summary(
+        quality.violations(t.replacing(admitted_patient_visits=s.raw_visits), "admitted_patient_visits")
+    ),
+    "quality_core": lambda t, s: quality.violations(
+        t, "appointments", "consultations", "admissions", "discharges", "doctors", "patients"
+    ),
+}
+
+
 def as_query(build: Callable[[Tables, Sample], DataFrame]) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         configure(spark)
@@ -109,4 +197,4 @@ def as_query(build: Callable[[Tables, Sample], DataFrame]) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {name: as_query(build) for name, build in DATASETS.items()}
+QUERIES: dict[str, Query] = {name: as_query(build) for name, build in {**DATASETS, **JOBS}.items()}

@@ -206,3 +206,98 @@ from events
 VIEWS["signup_logs"] = """
 select patient_id signup_log_id, patient_id, first_name, last_name, created_at signup_datetime from patients
 """
+
+# --- request views of the batch jobs ------------------------------------------
+
+VIEWS["visit_requests"] = """
+select event_id request_id, ts requested_at, (event_id % 800) * 20 admission_id,
+  case when event_id % 7 = 0 then a.patient_id + 1 else a.patient_id end patient_id, a.doctor_id,
+  concat(100 + event_id % 40, '/', 60 + event_id % 30) blood_pressure, cast(88 + event_id % 23 as double) temperature,
+  cast(event_id % 103 as int) oxygen_saturation, cast(event_id % 311 as int) pulse_rate,
+  case event_id % 6 when 0 then 'Stable' when 1 then 'Improving' when 2 then 'Critical' when 3 then 'Deteriorating'
+    when 4 then 'Fair' end condition_status, event_id % 3 = 0 ready_for_discharge,
+  case event_id % 5 when 0 then ts when 1 then timestamp '1990-01-01 00:00:00' end discharge_recommended_date
+from events left join admissions a on a.admission_id = (event_id % 800) * 20
+"""
+VIEWS["admit_requests"] = """
+select ca.action_id request_id, ca.created_at requested_at,
+  case when ca.action_id % 28 = 0 then null else c.patient_id end patient_id, c.doctor_id, ca.consultation_id,
+  ca.action_id, cast(ca.action_id % 11 + 1 as int) initial_room_id, cast(ca.action_id % 90 + 1 as int) bed_id,
+  ca.notes admission_notes, 5 + ca.action_id % 27 assigned_by_receptionist_id
+from consultation_actions ca join consultations c on c.consultation_id = ca.consultation_id
+where ca.action_type_id = 1
+"""
+VIEWS["discharge_requests"] = """
+select event_id request_id, ts requested_at,
+  (event_id % 800) * 20 + case when event_id % 9 = 0 then 4 else 0 end admission_id, user_id % 100 + 1 patient_id,
+  user_id % 12 doctor_id, cast(event_id % 81 + 1 as int) bed_id,
+  cast(round(value * 20000) as decimal(12,2)) total_bill, cast(round(value * 10) as decimal(12,2)) final_bill_amount,
+  case when event_id % 5 <> 0 then cast(event_id % 1000 as decimal(12,2)) end room_charges,
+  cast(round(value) as decimal(12,2)) medical_charges, cast(event_id % 40 - 1 as decimal(12,2)) lab_charges,
+  case when event_id % 4 = 0 then timestamp '2001-08-05 10:00:00' end discharge_date,
+  5 + event_id % 26 discharged_by_receptionist_id, 5 + event_id % 26 processed_by_receptionist_id
+from events
+"""
+VIEWS["bed_requests"] = """
+select event_id request_id, ts requested_at, user_id + 1 bed_id, value < 20 is_occupied from events
+"""
+VIEWS["schedule_patches"] = """
+select event_id request_id, ts requested_at, event_id % 4000 schedule_id,
+  event_id % 2 = 0 has_day, cast(event_id % 9 as int) new_day, event_id % 3 = 0 has_slot,
+  cast(event_id % 25 + 1 as int) new_slot, event_id % 5 = 0 has_active, event_id % 10 = 0 new_active
+from events
+"""
+VIEWS["action_patches"] = """
+select event_id request_id, ts requested_at, event_id * 2 action_id, event_id % 2 = 0 has_status,
+  case event_id % 8 when 0 then 'Completed' when 2 then 'Cancelled' when 4 then 'Pending' else 'Open' end new_status,
+  event_id % 3 = 0 has_notes, case when event_id % 6 = 0 then props end new_notes
+from events
+"""
+VIEWS["visit_patches"] = """
+select event_id * 1000000000000 + visit_id % 1000000000 request_id, ts requested_at, visit_id,
+  event_id % 3 = 0 has_temperature, case when event_id % 9 = 0 then 'hot' else '98.60' end new_temperature,
+  event_id % 5 = 0 has_pulse, cast(200 + event_id % 150 as int) new_pulse, event_id % 7 = 0 has_condition,
+  event_id % 8 = 0 has_ready, event_id % 16 = 0 new_ready
+from events join admitted_patient_visits v on v.admission_id = event_id
+"""
+VIEWS["follow_up_patches"] = """
+select event_id request_id, ts requested_at, event_id * 4 discharge_id, event_id % 2 = 0 has_required,
+  event_id % 4 = 0 new_required, event_id % 3 = 0 has_date, event_id % 5 = 0 has_notes, props new_notes
+from events
+"""
+VIEWS["removal_requests"] = """
+select event_id request_id, ts requested_at, event_id % 130 doctor_id,
+  case when event_id % 11 = 0 then '' else event_type end removal_reason,
+  case when event_id % 13 = 0 then 2 else 1 end removed_by_admin_id
+from events
+"""
+VIEWS["schedule_deletions"] = """
+select event_id request_id, ts requested_at, event_id % 6000 schedule_id from events
+"""
+VIEWS["new_patients"] = """
+select c_custkey request_id, timestamp '2001-08-01 00:00:00' requested_at,
+  case when c_custkey % 10 = 0 then '' else c_mktsegment end first_name, c_name last_name,
+  cast(c_custkey % 160 as int) age,
+  case c_custkey % 4 when 0 then 'Male' when 1 then 'female' when 2 then 'Other' else 'None' end gender,
+  case when c_custkey % 2 = 0 then 'A+' else '' end blood_group
+from customer
+"""
+VIEWS["new_doctors"] = """
+select p_partkey request_id, timestamp '2001-08-01 00:00:00' requested_at, p_brand first_name, p_type last_name,
+  p_size + 15 age, cast(p_partkey % 7 as int) specialization_id,
+  cast(p_partkey % 3 * 100 as decimal(10,2)) consultation_fee, cast(p_partkey % 9 as int) experience_years,
+  case when p_partkey % 6 <> 0 then concat('REG-', p_partkey % 300) end registration_number
+from part
+"""
+VIEWS["new_forms"] = """
+select event_id request_id, ts requested_at, event_id % 6000 appointment_id,
+  case when event_id % 8 = 0 then o_custkey + 1 else o_custkey end patient_id, o_orderpriority symptoms
+from events left join orders on o_orderkey = event_id % 6000
+"""
+VIEWS["raw_visits"] = """
+select visit_id % 1000000 visit_id, case when pulse_rate % 10 = 0 then -1 else admission_id end admission_id, patient_id,
+  case when pulse_rate % 9 = 0 then null else doctor_id end doctor_id, visit_datetime, temperature + 5 temperature,
+  oxygen_saturation, pulse_rate * 4 pulse_rate,
+  case when pulse_rate % 8 = 0 then 'Fair' else condition_status end condition_status, ready_for_discharge
+from admitted_patient_visits
+"""

@@ -353,6 +353,196 @@ class Sample:
             "cast(event_id % 26 + 1 as int) slot_id",
         )
 
+    def visit_requests(self) -> DataFrame:
+        asked = self._raw("events").withColumn("stay", F.expr("(event_id % 800) * 20"))
+        stays = self.admissions().selectExpr("admission_id stay", "patient_id", "doctor_id")
+        return asked.join(stays, "stay", "left").selectExpr(
+            "event_id request_id",
+            "ts requested_at",
+            "stay admission_id",
+            "case when event_id % 7 = 0 then patient_id + 1 else patient_id end patient_id",
+            "doctor_id",
+            "concat(100 + event_id % 40, '/', 60 + event_id % 30) blood_pressure",
+            "cast(88 + event_id % 23 as double) temperature",
+            "cast(event_id % 103 as int) oxygen_saturation",
+            "cast(event_id % 311 as int) pulse_rate",
+            "case event_id % 6 when 0 then 'Stable' when 1 then 'Improving' when 2 then 'Critical'"
+            " when 3 then 'Deteriorating' when 4 then 'Fair' end condition_status",
+            "event_id % 3 = 0 ready_for_discharge",
+            "case event_id % 5 when 0 then ts when 1 then timestamp_ntz '1990-01-01 00:00:00' end"
+            " discharge_recommended_date",
+        )
+
+    def admit_requests(self) -> DataFrame:
+        actions = self.consultation_actions().filter("action_type_id = 1")
+        seen = self.consultations().select("consultation_id", "patient_id", "doctor_id")
+        return actions.join(seen, "consultation_id").selectExpr(
+            "action_id request_id",
+            "created_at requested_at",
+            "case when action_id % 28 = 0 then null else patient_id end patient_id",
+            "doctor_id",
+            "consultation_id",
+            "action_id",
+            "cast(action_id % 11 + 1 as int) initial_room_id",
+            "cast(action_id % 90 + 1 as int) bed_id",
+            "notes admission_notes",
+            "5 + action_id % 27 assigned_by_receptionist_id",
+        )
+
+    def discharge_requests(self) -> DataFrame:
+        return self._raw("events").selectExpr(
+            "event_id request_id",
+            "ts requested_at",
+            "(event_id % 800) * 20 + case when event_id % 9 = 0 then 4 else 0 end admission_id",
+            "user_id % 100 + 1 patient_id",
+            "user_id % 12 doctor_id",
+            "cast(event_id % 81 + 1 as int) bed_id",
+            "cast(round(value * 20000) as decimal(12,2)) total_bill",
+            "cast(round(value * 10) as decimal(12,2)) final_bill_amount",
+            "case when event_id % 5 <> 0 then cast(event_id % 1000 as decimal(12,2)) end room_charges",
+            "cast(round(value) as decimal(12,2)) medical_charges",
+            "cast(event_id % 40 - 1 as decimal(12,2)) lab_charges",
+            "case when event_id % 4 = 0 then timestamp_ntz '2001-08-05 10:00:00' end discharge_date",
+            "5 + event_id % 26 discharged_by_receptionist_id",
+            "5 + event_id % 26 processed_by_receptionist_id",
+        )
+
+    def bed_requests(self) -> DataFrame:
+        return self._raw("events").selectExpr(
+            "event_id request_id", "ts requested_at", "user_id + 1 bed_id", "value < 20 is_occupied"
+        )
+
+    def schedule_patches(self) -> DataFrame:
+        return self._raw("events").selectExpr(
+            "event_id request_id",
+            "ts requested_at",
+            "event_id % 4000 schedule_id",
+            _map(
+                day_of_week=("event_id % 2 = 0", "cast(event_id % 9 as string)"),
+                slot_id=("event_id % 3 = 0", "cast(event_id % 25 + 1 as string)"),
+                is_active=("event_id % 5 = 0", "case when event_id % 10 = 0 then 'true' else 'false' end"),
+            ),
+        )
+
+    def action_patches(self) -> DataFrame:
+        return self._raw("events").selectExpr(
+            "event_id request_id",
+            "ts requested_at",
+            "event_id * 2 action_id",
+            _map(
+                status=(
+                    "event_id % 2 = 0",
+                    "case event_id % 8 when 0 then 'Completed' when 2 then 'Cancelled' when 4 then 'Pending'"
+                    " else 'Open' end",
+                ),
+                notes=("event_id % 3 = 0", "case when event_id % 6 = 0 then props end"),
+            ),
+        )
+
+    def visit_patches(self) -> DataFrame:
+        """Patches of the ward visits of the same order number as the event."""
+        visits = self.admitted_patient_visits().select("visit_id", "admission_id")
+        return self._raw("events").join(visits, F.col("event_id") == F.col("admission_id")).selectExpr(
+            "event_id * 1000000000000 + visit_id % 1000000000 request_id",
+            "ts requested_at",
+            "visit_id",
+            _map(
+                temperature=("event_id % 3 = 0", "case when event_id % 9 = 0 then 'hot' else '98.60' end"),
+                pulse_rate=("event_id % 5 = 0", "cast(200 + event_id % 150 as string)"),
+                condition_status=("event_id % 7 = 0", "cast(null as string)"),
+                ready_for_discharge=("event_id % 8 = 0", "case when event_id % 16 = 0 then 'true' end"),
+            ),
+        )
+
+    def follow_up_patches(self) -> DataFrame:
+        return self._raw("events").selectExpr(
+            "event_id request_id",
+            "ts requested_at",
+            "event_id * 4 discharge_id",
+            _map(
+                follow_up_required=("event_id % 2 = 0", "case when event_id % 4 = 0 then 'true' end"),
+                follow_up_date=("event_id % 3 = 0", "'2001-09-01'"),
+                follow_up_notes=("event_id % 5 = 0", "props"),
+            ),
+        )
+
+    def removal_requests(self) -> DataFrame:
+        return self._raw("events").selectExpr(
+            "event_id request_id",
+            "ts requested_at",
+            "event_id % 130 doctor_id",
+            "case when event_id % 11 = 0 then '' else event_type end removal_reason",
+            "case when event_id % 13 = 0 then 2 else 1 end removed_by_admin_id",
+        )
+
+    def schedule_deletions(self) -> DataFrame:
+        return self._raw("events").selectExpr("event_id request_id", "ts requested_at", "event_id % 6000 schedule_id")
+
+    def new_patients(self) -> DataFrame:
+        return self._raw("customer").selectExpr(
+            "c_custkey request_id",
+            "timestamp_ntz '2001-08-01 00:00:00' requested_at",
+            "case when c_custkey % 10 = 0 then '' else c_mktsegment end first_name",
+            "c_name last_name",
+            "cast(c_custkey % 160 as int) age",
+            "case c_custkey % 4 when 0 then 'Male' when 1 then 'female' when 2 then 'Other' else 'None' end gender",
+            "case when c_custkey % 2 = 0 then 'A+' else '' end blood_group",
+        )
+
+    def new_doctors(self) -> DataFrame:
+        return self._raw("part").selectExpr(
+            "p_partkey request_id",
+            "timestamp_ntz '2001-08-01 00:00:00' requested_at",
+            "p_brand first_name",
+            "p_type last_name",
+            "p_size + 15 age",
+            "cast(p_partkey % 7 as int) specialization_id",
+            "cast(p_partkey % 3 * 100 as decimal(10,2)) consultation_fee",
+            "cast(p_partkey % 9 as int) experience_years",
+            "case when p_partkey % 6 <> 0 then concat('REG-', p_partkey % 300) end registration_number",
+        )
+
+    def new_forms(self) -> DataFrame:
+        return self._raw("events").selectExpr(
+            "event_id request_id",
+            "ts requested_at",
+            "event_id % 6000 appointment_id",
+        ).join(
+            self._raw("orders").selectExpr("o_orderkey appointment_id", "o_custkey", "o_orderpriority"),
+            "appointment_id",
+            "left",
+        ).selectExpr(
+            "request_id",
+            "requested_at",
+            "appointment_id",
+            "case when request_id % 8 = 0 then o_custkey + 1 else o_custkey end patient_id",
+            "o_orderpriority symptoms",
+        )
+
+    def raw_visits(self) -> DataFrame:
+        """Unchecked visit rows, with values outside the rules."""
+        return self.admitted_patient_visits().selectExpr(
+            "visit_id % 1000000 visit_id",
+            "case when pulse_rate % 10 = 0 then -1 else admission_id end admission_id",
+            "patient_id",
+            "case when pulse_rate % 9 = 0 then null else doctor_id end doctor_id",
+            "visit_datetime",
+            "temperature + 5 temperature",
+            "oxygen_saturation",
+            "pulse_rate * 4 pulse_rate",
+            "case when pulse_rate % 8 = 0 then 'Fair' else condition_status end condition_status",
+            "ready_for_discharge",
+        )
+
+
+def _map(**fields: tuple[str, str]) -> str:
+    """A ``changes`` map that names a field only where its condition holds."""
+    entries = ", ".join(
+        f"case when {given} then struct('{name}' as key, {value} as value) end"
+        for name, (given, value) in fields.items()
+    )
+    return f"map_from_entries(array_compact(array({entries}))) changes"
+
 
 _LINE_KEY = "l_orderkey * 1000000000 + l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey"
 

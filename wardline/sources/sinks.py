@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.session import stage
 from wardline.sources.model import TABLES
 
 MONTH = "month"
@@ -38,6 +39,15 @@ def write_table(df: DataFrame, table: str, path: str) -> None:
     _write(df, table, path, "overwrite")
 
 
+def rewrite(df: DataFrame, table: str, path: str) -> None:
+    """Write rows over the stored months they belong to, or over a small table.
+
+    The rows are materialised first, because they are computed from the files that
+    are replaced.
+    """
+    _write(stage(df), table, path, "overwrite")
+
+
 def months_touched(changed: DataFrame, table: str) -> DataFrame:
     """The storage months that hold any of the changed rows."""
     return with_month(changed, table).select(MONTH).distinct()
