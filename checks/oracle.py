@@ -542,11 +542,13 @@ def needed_views(sql: str) -> list[str]:
 
 
 def statement(sql: str) -> str:
-    """A complete statement over the sample tables: the needed views, then the query."""
+    """A complete statement over the sample tables: the needed views, then the query.
+
+    A query may bring its own ``with recursive`` list; the views then precede it.
+    """
     ctes = ",\n".join(f"{name} as ({VIEWS[name].strip()})" for name in needed_views(sql))
-    recursive = "recursive " if sql.lstrip().startswith("--recursive") else ""
-    if sql.lstrip().startswith("--with"):
-        head, body = sql.lstrip().split("\n--select\n", 1)
-        own = head.split("\n", 1)[1].strip()
-        return f"with recursive {ctes},\n{own}\n{body.strip()}"
-    return f"with {recursive}{ctes}\n{sql.strip()}"
+    sql = sql.strip()
+    own = "with recursive "
+    if sql.startswith(own):
+        return f"{own}{ctes},\n{sql[len(own):]}"
+    return f"with {ctes}\n{sql}"

@@ -142,7 +142,7 @@ JOBS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
     "book_slots_confirmations": lambda t, s: booking.booking_confirmations(t, _booking(t, s).appended["appointments"]),
     "advance_status": lambda t, s: booking.advance_status(t).decisions.drop("reason"),
     "record_visits": lambda t, s: _visits(t, s).decisions.select("request_id", "admission_id", "visit_id", "reason"),
-    "record_visits_rows": lambda t, s: _visits(t, s).appended["admitted_patient_visits"].drop("temperature"),
+    "record_visits_rows": lambda t, s: _visits(t, s).appended["admitted_patient_visits"],
     "record_visits_admissions": lambda t, s: _state(_visits(t, s), "admissions"),
     "admit": lambda t, s: _admit(t, s).decisions.select("request_id", "bed_id", "admission_id", "reason"),
     "admit_actions": lambda t, s: _state(_admit(t, s), "consultation_actions"),

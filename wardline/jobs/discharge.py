@@ -83,7 +83,10 @@ def discharge_total_bill(t: Tables, requests: DataFrame, as_of: Moment, keep: Ke
     joined = asked.join(stays, "admission_id", "left")
     joined = with_known(joined, t.receptionists, "processed_by_receptionist_id", "desk_known", "receptionist_id")
     joined = _already_billed(t, joined)
-    days = F.greatest(F.lit(1), started_days("admission_date", "discharge_date"))
+    # GREATEST skips NULL, so a request without a stay is kept without days.
+    days = F.when(
+        F.col("admission_date").isNotNull(), F.greatest(F.lit(1), started_days("admission_date", "discharge_date"))
+    )
     daily = or_default("per_day_charges", F.lit(V.DEFAULT_DAILY_CHARGE))
     priced = joined.withColumns({"total_days": days, "room_charges": (daily * days).cast(BILL)}).withColumn(
         "medical_charges", (F.col("total_bill") - F.col("room_charges")).cast(BILL)
