@@ -29,7 +29,7 @@ def plain(value: object) -> object:
     if isinstance(value, decimal.Decimal):
         return f"{value:f}"
     if isinstance(value, float):
-        return f"{value:.4f}"
+        return repr(value)
     if isinstance(value, dt.datetime):
         return value.replace(tzinfo=None).isoformat()
     return "<null>" if value is None else str(value)

@@ -69,7 +69,7 @@ decided as (
 """
 JOB_ORACLE["book_slots"] = _BOOK + f"""
 select r.*, case when r.reason is null then {new_id("appointments", "appointment_id", "booking_requests")} end
-  appointment_id from decided r"""
+  appointment_id, case when r.reason is null then 1 end status_id from decided r"""
 JOB_ORACLE["book_slots_confirmations"] = _BOOK + f"""
 select {new_id("appointments", "appointment_id", "booking_requests")} appointment_id, r.patient_id,
   concat(p.first_name, ' ', p.last_name) patient_name, p.phone_no patient_phone, r.doctor_id, d.doctor_name,

@@ -317,9 +317,9 @@ select doctor_id, count(*) total_visits, count(*) filter (where condition_status
   count(*) filter (where condition_status = 'Critical') critical_count,
   count(*) filter (where condition_status = 'Deteriorating') deteriorating_count,
   count(*) filter (where ready_for_discharge) ready_for_discharge_count,
-  round(avg(cast(temperature as double)), 4) avg_temperature,
-  round(avg(cast(oxygen_saturation as double)), 4) avg_oxygen_saturation,
-  round(avg(cast(pulse_rate as double)), 4) avg_pulse_rate
+  cast(sum(cast(temperature as decimal(18,4))) as double) / count(temperature) avg_temperature,
+  cast(sum(cast(oxygen_saturation as decimal(18,4))) as double) / count(oxygen_saturation) avg_oxygen_saturation,
+  cast(sum(cast(pulse_rate as decimal(18,4))) as double) / count(pulse_rate) avg_pulse_rate
 from admitted_patient_visits where visit_datetime >= {AS_OF} - interval 30 day group by doctor_id"""
 ORACLE["doctor_visits_trend"] = f"""
 select doctor_id, cast(visit_datetime as date) visit_date, count(*) visit_count
@@ -343,8 +343,8 @@ select patient_id, count(*) total_visits, count(*) filter (where condition_statu
   count(*) filter (where condition_status = 'Critical') critical_visits,
   count(*) filter (where condition_status = 'Deteriorating') deteriorating_visits,
   count(*) filter (where ready_for_discharge) ready_for_discharge_count,
-  round(avg(cast(temperature as double)), 4) avg_temperature, round(avg(cast(oxygen_saturation as double)), 4) avg_oxygen,
-  round(avg(cast(pulse_rate as double)), 4) avg_pulse, min(visit_datetime) first_visit_date,
+  cast(sum(cast(temperature as decimal(18,4))) as double) / count(temperature) avg_temperature, cast(sum(cast(oxygen_saturation as decimal(18,4))) as double) / count(oxygen_saturation) avg_oxygen,
+  cast(sum(cast(pulse_rate as decimal(18,4))) as double) / count(pulse_rate) avg_pulse, min(visit_datetime) first_visit_date,
   max(visit_datetime) last_visit_date, count(distinct doctor_id) unique_doctors_count
 from admitted_patient_visits group by patient_id"""
 ORACLE["patient_visit_doctors"] = f"""
@@ -402,8 +402,8 @@ select x.discharge_id, v.*, {VISIT_X}, strftime(v.visit_datetime, '%d %b %Y %H:%
 from discharges x join admitted_patient_visits v on v.admission_id = x.admission_id"""
 _STATS = f"""
 select doctor_id, count(*) total_discharges, count(*) filter (where follow_up_required) follow_up_required,
-  cast(sum(total_amount) as decimal(18,2)) total_revenue, round(avg(cast(total_amount as double)), 4) average_bill,
-  round(avg(cast(total_days as double)), 4) avg_hospital_stay,
+  cast(sum(total_amount) as decimal(18,2)) total_revenue, cast(sum(cast(total_amount as decimal(18,4))) as double) / count(total_amount) average_bill,
+  cast(sum(cast(total_days as decimal(18,4))) as double) / count(total_days) avg_hospital_stay,
   count(*) filter (where payment_status = 'Paid') paid_count,
   count(*) filter (where payment_status = 'Unpaid') unpaid_count,
   count(*) filter (where payment_status = 'Partial') partial_count,
@@ -507,7 +507,7 @@ group by all"""
 ORACLE["doctors_range"] = _DOCTORS_RANGE
 ORACLE["doctors_range_summary"] = f"""
 select count(*) total_doctors, cast(sum(total_appointments) as bigint) total_appointments,
-  cast(sum(total_revenue) as decimal(18,2)) total_revenue, round(avg(completion_rate), 4) average_completion_rate,
+  cast(sum(total_revenue) as decimal(18,2)) total_revenue, cast(sum(cast(completion_rate as decimal(18,4))) as double) / count(*) average_completion_rate,
   '1999-01-01 to 1999-03-31' period from ({_DOCTORS_RANGE})"""
 
 

@@ -13,7 +13,7 @@ from wardline.functions.time import (
     to_last_second,
     weekday,
 )
-from wardline.functions.values import falsy, money, or_default, rate, truthy
+from wardline.functions.values import exact_sum, falsy, mean, money, or_default, rate, truthy
 
 __all__ = [
     "as_day",
@@ -22,10 +22,12 @@ __all__ = [
     "clock",
     "contains_text",
     "days_between",
+    "exact_sum",
     "falsy",
     "first_given",
     "full_name",
     "joined",
+    "mean",
     "money",
     "months_before",
     "on_day",

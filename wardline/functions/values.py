@@ -20,8 +20,21 @@ def money(value: Name) -> Column:
     return _col(value).cast("decimal(18,2)")
 
 
+EXACT = "decimal(18,4)"
+
+
+def exact_sum(value: Name) -> Column:
+    """A sum in exact arithmetic, so that it does not depend on the order of rows."""
+    return F.sum(_col(value).cast(EXACT))
+
+
+def mean(value: Name) -> Column:
+    """The average of the given values as a double, from an exact sum; NULL if there are none."""
+    return F.try_divide(exact_sum(value).cast("double"), F.count(_col(value)))
+
+
 def rate(value: Name) -> Column:
-    """A rate or average as a double rounded to four places."""
+    """A rate as a double rounded to four places."""
     return F.round(_col(value).cast("double"), 4)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline import fixed_values as V
@@ -24,7 +24,8 @@ def book_slots(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep = lazil
     A request needs a date within the next seven days, a known patient and doctor,
     no other open appointment of the patient with that doctor on that day, an active
     slot of the doctor's weekday schedule, and a slot nobody else holds. Every row
-    is checked. The decisions hold ``reason`` and, if accepted, ``appointment_id``.
+    is checked. The decisions hold ``reason`` or, if accepted, ``appointment_id`` and
+    ``status_id``.
     """
     first, last = booking_window(as_of)
     day = F.col("appointment_date")
@@ -68,33 +69,35 @@ def book_slots(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep = lazil
 
     # The slot table is the bound of the matching; it is a fixed, very small table.
     slots_per_day = max(1, t.time_slots.count())
-    accepted = match_slots(checked.filter("own_reason is null"), slots_per_day)
-    patient_turn = accepted.select(
-        "doctor_id", "appointment_date", "patient_id", F.col("turn").alias("patient_turn")
-    )
-    slot_turn = accepted.select("doctor_id", "appointment_date", "slot_id", F.col("turn").alias("slot_turn"))
+    matched = match_slots(checked.filter("own_reason is null"), slots_per_day)
     mine = turn()
-    same_day = F.coalesce(F.col("patient_turn") < mine, F.lit(False))
-    same_slot = F.coalesce(F.col("slot_turn") < mine, F.lit(False))
+
+    def earlier(column: str) -> Column:
+        """An earlier request of the batch holds the same patient or slot on that day."""
+        same = F.exists("matched", lambda item: (item[column] == F.col(column)) & (item["turn"] < mine))
+        return F.coalesce(same, F.lit(False))
+
     # What was accepted earlier in the batch counts like a stored appointment.
     decided = (
-        checked.join(patient_turn, ["doctor_id", "appointment_date", "patient_id"], "left")
-        .join(slot_turn, ["doctor_id", "appointment_date", "slot_id"], "left")
-        .withColumn(
+        checked.join(matched, ["doctor_id", "appointment_date"], "left").withColumn(
             "reason",
             first_reason(
                 *before[:5],
-                (F.col("pair_held") | same_day, V.BOOK_DUPLICATE),
+                (F.col("pair_held") | earlier("patient_id"), V.BOOK_DUPLICATE),
                 (~F.col("scheduled"), V.BOOK_NOT_SCHEDULED),
-                (F.col("slot_held") | same_slot, V.BOOK_TAKEN),
+                (F.col("slot_held") | earlier("slot_id"), V.BOOK_TAKEN),
             ),
         )
     )
     decisions = with_new_key(decided.select(ID, AT, *_FIELDS, "reason"), requests, t, "appointments")
-    decisions = decisions.withColumn("appointment_id", F.when(F.col("reason").isNull(), F.col("appointment_id")))
-    rows = decisions.filter("reason is null").withColumns(
-        {"status_id": F.lit(V.SCHEDULED), "created_at": as_moment(as_of)}
+    booked = F.col("reason").isNull()
+    decisions = decisions.withColumns(
+        {
+            "appointment_id": F.when(booked, F.col("appointment_id")),
+            "status_id": F.when(booked, F.lit(V.SCHEDULED)),
+        }
     )
+    rows = decisions.filter(booked).withColumn("created_at", as_moment(as_of))
     return JobResult(decisions, {"appointments": as_table(rows, "appointments")})
 
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline import fixed_values as V
 from wardline.jobs.result import JobResult, update
-from wardline.operators.ranking import first_per
-from wardline.operators.requests import last_turn
+from wardline.operators.requests import newest_value
 from wardline.sources.tables import Tables
 
 
@@ -40,10 +39,8 @@ def set_bed_flags(t: Tables, requests: DataFrame, release: bool = True) -> JobRe
     decisions = requests.join(known, "bed_id", "left").withColumn(
         "reason", F.when(F.col("room_id").isNull(), F.lit(V.BED_NOT_FOUND))
     )
-    last = first_per(decisions.filter("reason is null"), ["bed_id"], last_turn()).select(
-        "bed_id", F.coalesce("is_occupied", F.lit(False)).alias("flag")
-    )
-    beds = update(t, "beds", last, {"is_occupied": F.col("new.flag")})
+    last = newest_value(decisions.filter("reason is null"), "bed_id", "is_occupied")
+    beds = update(t, "beds", last, {"is_occupied": F.coalesce("new.is_occupied", F.lit(False))})
     touched = beds.changed.select("room_id").distinct()
     rooms = room_occupancy(beds.state).join(touched, "room_id", "left_semi")
     if not release:
@@ -63,9 +60,6 @@ def set_room_flags(t: Tables, requests: DataFrame) -> JobResult:
     decisions = requests.join(known, "room_id", "left").withColumn(
         "reason", F.when(F.col("known").isNull(), F.lit(V.NOT_FOUND))
     )
-    last = first_per(decisions.filter("reason is null"), ["room_id"], last_turn()).select(
-        "room_id", F.coalesce("is_occupied", F.lit(False)).alias("flag")
-    )
-    return JobResult(
-        decisions.drop("known"), updated={"rooms": update(t, "rooms", last, {"is_occupied": F.col("new.flag")})}
-    )
+    last = newest_value(decisions.filter("reason is null"), "room_id", "is_occupied")
+    values = {"is_occupied": F.coalesce("new.is_occupied", F.lit(False))}
+    return JobResult(decisions.drop("known"), updated={"rooms": update(t, "rooms", last, values)})

@@ -9,8 +9,7 @@ from wardline import fixed_values as V
 from wardline.functions import as_moment, falsy
 from wardline.functions.time import Moment
 from wardline.jobs.result import JobResult, Keep, lazily, update
-from wardline.operators.ranking import first_per
-from wardline.operators.requests import AT, ID, as_table, first_reason, last_turn, with_new_key
+from wardline.operators.requests import AT, ID, as_table, first_reason, newest_value, with_new_key
 from wardline.sources.model import TABLES
 from wardline.sources.tables import Tables
 
@@ -78,14 +77,8 @@ def record_visits(t: Tables, rows: DataFrame, as_of: Moment, keep: Keep = lazily
     accepted = decisions.filter("reason is null")
 
     until = F.coalesce("discharge_recommended_date", now)
-    last = first_per(
-        accepted.filter("ready_for_discharge")
-        .withColumn("until", until)
-        .filter("until >= stay_start")
-        .select("admission_id", "until", ID, AT),
-        ["admission_id"],
-        last_turn(),
-    ).select("admission_id", "until")
+    dated = accepted.filter("ready_for_discharge").withColumn("until", until).filter("until >= stay_start")
+    last = newest_value(dated, "admission_id", "until")
     return JobResult(
         decisions.select(ID, AT, "visit_id", *_ALL, "reason"),
         {"admitted_patient_visits": as_table(accepted, "admitted_patient_visits")},

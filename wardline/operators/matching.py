@@ -38,8 +38,9 @@ def _accept(state: Column, item: Column) -> Column:
 
 
 def match_slots(requests: DataFrame, slots_per_day: int) -> DataFrame:
-    """Accepted requests: ``doctor_id, appointment_date, slot_id, patient_id, turn``.
+    """Per (doctor_id, appointment_date) the list ``matched`` of accepted requests.
 
+    Its items hold turn, slot_id and patient_id; there is at most one per slot.
     ``requests`` holds request_id, requested_at, doctor_id, appointment_date, slot_id
     and patient_id; ``slots_per_day`` bounds the distinct slots of a group.
     """
@@ -58,6 +59,4 @@ def match_slots(requests: DataFrame, slots_per_day: int) -> DataFrame:
     )
     folded = queue.select(*group, "queue", F.aggregate("queue", start, _accept)["won"].alias("won"))
     accepted = F.filter("queue", lambda item: F.array_contains(F.col("won"), item["turn"][ID]))
-    return folded.select(*group, F.explode(accepted).alias("item")).select(
-        *group, "item.slot_id", "item.patient_id", "item.turn"
-    )
+    return folded.select(*group, accepted.alias("matched"))

@@ -22,9 +22,9 @@ def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int)
     return ranked.filter(F.col(_RANK) <= n).drop(_RANK)
 
 
-def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of every group."""
-    return top_per(df, keys, order, 1)
+def latest_value(moment: str, key: str, value: str) -> Column:
+    """Aggregate: the value at the greatest (moment, key) of the group."""
+    return F.max(F.struct(F.col(moment), F.col(key), F.col(value)))[value]
 
 
 def latest_with_ties(df: DataFrame, keys: Sequence[str], moment: str) -> DataFrame:

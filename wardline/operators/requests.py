@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.ranking import first_per
 from wardline.sources.model import TABLES
 from wardline.sources.tables import Tables
 
@@ -24,14 +23,6 @@ def turn() -> Column:
     return F.struct(F.col(AT), F.col(ID))
 
 
-def in_turn() -> list[Column]:
-    return [F.asc(AT), F.asc(ID)]
-
-
-def last_turn() -> list[Column]:
-    return [F.desc(AT), F.desc(ID)]
-
-
 def first_reason(*cases: tuple[Column, str]) -> Column:
     """The first reason whose condition is TRUE, else NULL."""
     (condition, reason), *rest = cases
@@ -63,9 +54,19 @@ def with_references(requests: DataFrame, t: Tables, table: str, columns: Sequenc
 
 
 def winners(requests: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The first request of every key: the keys and ``winner_id``, ``winner_turn``."""
-    first = first_per(requests.select(*keys, AT, ID), keys, in_turn())
-    return first.select(*keys, F.col(ID).alias("winner_id"), turn().alias("winner_turn"))
+    """The first request of every key: the keys, ``winner_id`` and ``winner_turn``.
+
+    An aggregate rather than a window: it is partial before any shuffle, however many
+    requests compete for one key.
+    """
+    first = requests.groupBy(*keys).agg(F.min(turn()).alias("winner_turn"))
+    return first.withColumn("winner_id", F.col("winner_turn")[ID])
+
+
+def newest_value(requests: DataFrame, key: str, value: str) -> DataFrame:
+    """The value in the last request of every key."""
+    last = requests.groupBy(key).agg(F.max(F.struct(AT, ID, value)).alias("last"))
+    return last.select(key, F.col("last")[value].alias(value))
 
 
 def with_new_key(rows: DataFrame, requests: DataFrame, t: Tables, table: str, step_from: str = ID) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline import fixed_values as V
-from wardline.functions import as_moment, contains_text, days_between, full_name, money, months_before, rate, same_text
+from wardline.functions import as_moment, contains_text, days_between, full_name, mean, money, months_before, same_text
 from wardline.functions.time import Moment, to_datetime
 from wardline.operators.people import doctor_names, doctor_profiles, patient_names, receptionist_names
 from wardline.operators.ranking import top, top_per
@@ -158,8 +158,8 @@ def doctor_discharge_stats(
         F.count(F.lit(1)).alias("total_discharges"),
         F.count_if("follow_up_required").alias("follow_up_required"),
         money(F.sum("total_amount")).alias("total_revenue"),
-        rate(F.avg("total_amount")).alias("average_bill"),
-        rate(F.avg(F.col("total_days").cast("double"))).alias("avg_hospital_stay"),
+        mean("total_amount").alias("average_bill"),
+        mean("total_days").alias("avg_hospital_stay"),
         *[
             F.count_if(same_text("payment_status", state)).alias(f"{state.lower()}_count")
             for state in ("Paid", "Unpaid", "Partial")

@@ -9,7 +9,7 @@ from wardline import fixed_values as V
 from wardline.functions import as_day, first_given, full_name, joined, or_default, same_text
 from wardline.functions.time import Moment
 from wardline.operators.people import doctor_names, doctor_profiles, patient_names, slot_times
-from wardline.operators.ranking import first_per
+from wardline.operators.ranking import latest_value
 from wardline.sources.tables import Tables
 
 
@@ -208,20 +208,15 @@ def doctor_patients_summary(t: Tables, doctor_id: int | None = None, gender: str
         F.count("consultation_id").alias("total_consultations"),
         F.max("consultation_date").alias("last_consultation_date"),
         F.max("diagnosis").alias("latest_diagnosis"),
+        latest_value("consultation_date", "consultation_id", "diagnosis").alias("latest_diagnosis_exact"),
     )
-    last = first_per(
-        seen.select(*pair, "consultation_date", "consultation_id", "diagnosis"),
-        pair,
-        [F.desc("consultation_date"), F.desc("consultation_id")],
-    ).select(*pair, F.col("diagnosis").alias("latest_diagnosis_exact"))
     people = t.patients.select(
         "patient_id", "patient_login_id", "first_name", "last_name", "gender", "age", "blood_group", "phone_no"
     )
     if gender is not None and gender.lower() in ("male", "female"):
         people = people.filter(same_text("gender", gender))
     return (
-        counts.join(last, pair)
-        .join(people, "patient_id")
+        counts.join(people, "patient_id")
         .select(
             "doctor_id", *people.columns, "total_consultations", "last_consultation_date", "latest_diagnosis",
             "latest_diagnosis_exact",

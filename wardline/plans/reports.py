@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline import fixed_values as V
-from wardline.functions import as_day, as_moment, between_days, money, rate, spaced_name
+from wardline.functions import as_day, as_moment, between_days, mean, money, rate, spaced_name
 from wardline.functions.time import Moment, to_datetime
 from wardline.operators.activity import (
     BY_DAY,
@@ -161,7 +161,7 @@ def doctors_range(t: Tables, start_date: Moment, end_date: Moment) -> DataFrame:
         zero("admissions").alias("admissions_recommended"),
         money(exact * at_least_one("visits") * at_least_one("admissions")).alias("total_revenue"),
         money(exact).alias("total_revenue_exact"),
-        rate(F.lit(100.0) * zero("completed") / at_least_one("appointments")).alias("completion_rate"),
+        rate(zero("completed").cast("double") / at_least_one("appointments") * F.lit(100.0)).alias("completion_rate"),
     )
 
 
@@ -170,7 +170,7 @@ def doctors_range_summary(t: Tables, start_date: Moment, end_date: Moment) -> Da
         _rows().alias("total_doctors"),
         _total("total_appointments").alias("total_appointments"),
         _total_money("total_revenue").alias("total_revenue"),
-        rate(F.coalesce(F.avg("completion_rate"), F.lit(0.0))).alias("average_completion_rate"),
+        F.coalesce(mean("completion_rate"), F.lit(0.0)).alias("average_completion_rate"),
         _period(start_date, end_date),
     )
 

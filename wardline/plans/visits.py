@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline import fixed_values as V
-from wardline.functions import as_moment, days_between, rate, same_text
+from wardline.functions import as_moment, days_between, exact_sum, mean, same_text
 from wardline.functions.time import Moment, to_datetime
 from wardline.operators.people import bed_numbers, doctor_names, doctor_profiles, patient_names, specialization_names
-from wardline.operators.ranking import first_per, latest_with_ties, top, top_per
+from wardline.operators.ranking import latest_value, latest_with_ties, top, top_per
 from wardline.operators.summary import summarise
 from wardline.sources.tables import Tables
 
@@ -31,11 +31,9 @@ def _room_numbers(t: Tables) -> DataFrame:
 def doctor_admitted_patients(t: Tables, as_of: Moment, doctor_id: int | None = None) -> DataFrame:
     """Open admissions with the condition seen at the last visit."""
     rows = _keep(t.admissions, "doctor_id", doctor_id).filter("is_active and discharge_date is null")
-    last = first_per(
-        t.admitted_patient_visits.select("admission_id", "visit_datetime", "visit_id", "condition_status"),
-        ["admission_id"],
-        _newest(),
-    ).select("admission_id", F.col("condition_status").alias("last_condition_status"))
+    last = t.admitted_patient_visits.groupBy("admission_id").agg(
+        latest_value("visit_datetime", "visit_id", "condition_status").alias("last_condition_status")
+    )
     people = t.patients.select(
         "patient_id", "first_name", "last_name", "age", "gender", "blood_group", "phone_no", "patient_login_id"
     )
@@ -122,9 +120,9 @@ def doctor_visits_summary(
         F.count(F.lit(1)).alias("total_visits"),
         *_condition_counts("count"),
         F.count_if("ready_for_discharge").alias("ready_for_discharge_count"),
-        rate(F.avg(F.col("temperature").cast("double"))).alias("avg_temperature"),
-        rate(F.avg(F.col("oxygen_saturation").cast("double"))).alias("avg_oxygen_saturation"),
-        rate(F.avg(F.col("pulse_rate").cast("double"))).alias("avg_pulse_rate"),
+        mean("temperature").alias("avg_temperature"),
+        mean("oxygen_saturation").alias("avg_oxygen_saturation"),
+        mean("pulse_rate").alias("avg_pulse_rate"),
     )
 
 
@@ -187,8 +185,7 @@ def patient_visits_summary(t: Tables, patient_id: int | None = None) -> DataFram
     """
 
     def parts(column: str) -> list[Column]:
-        value = F.col(column).cast("double")
-        return [F.sum(value).alias(f"sum_{column}"), F.count(value).alias(f"n_{column}")]
+        return [exact_sum(column).alias(f"sum_{column}"), F.count(column).alias(f"n_{column}")]
 
     vitals = ("temperature", "oxygen_saturation", "pulse_rate")
     by_doctor = (
@@ -204,8 +201,8 @@ def patient_visits_summary(t: Tables, patient_id: int | None = None) -> DataFram
         )
     )
 
-    def mean(column: str) -> Column:
-        return rate(F.try_divide(F.sum(f"sum_{column}"), F.sum(f"n_{column}")))
+    def average(column: str) -> Column:
+        return F.try_divide(F.sum(f"sum_{column}").cast("double"), F.sum(f"n_{column}"))
 
     return summarise(
         by_doctor,
@@ -214,9 +211,9 @@ def patient_visits_summary(t: Tables, patient_id: int | None = None) -> DataFram
         F.coalesce(F.sum("visits"), F.lit(0)).alias("total_visits"),
         *[F.sum(f"{name.lower()}_visits").alias(f"{name.lower()}_visits") for name in V.CONDITIONS],
         F.sum("ready").alias("ready_for_discharge_count"),
-        mean("temperature").alias("avg_temperature"),
-        mean("oxygen_saturation").alias("avg_oxygen"),
-        mean("pulse_rate").alias("avg_pulse"),
+        average("temperature").alias("avg_temperature"),
+        average("oxygen_saturation").alias("avg_oxygen"),
+        average("pulse_rate").alias("avg_pulse"),
         F.min("first_visit").alias("first_visit_date"),
         F.max("last_visit").alias("last_visit_date"),
         F.count("doctor_id").alias("unique_doctors_count"),
@@ -253,12 +250,9 @@ def ready_for_discharge(t: Tables, as_of: Moment) -> DataFrame:
         "visit_id", "admission_id", "ready_for_discharge", "discharge_recommended_date", "condition_status",
         "visit_datetime", "treatment_given", "notes",
     )
-    # Closed admissions go first, so that only visits of open ones are ranked.
-    newest = latest_with_ties(
-        recommended.join(open_rows.select("admission_id"), "admission_id", "left_semi"),
-        ["admission_id"],
-        "visit_datetime",
-    )
+    # Ranked before the join: every map task keeps only the newest of its rows, so far
+    # fewer visits are shuffled than a join with the open admissions would move.
+    newest = latest_with_ties(recommended, ["admission_id"], "visit_datetime")
     people = t.patients.select(
         "patient_id",
         F.col("first_name").alias("patient_first_name"),

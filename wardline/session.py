@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # A hot doctor, patient or admission is split at the join instead of being one task.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split it even where the next operator then needs a shuffle of its own: after a
+    # partial aggregate that shuffle is small, an unsplit hot key is not.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     # Rewrites of touched months leave the other partitions of a table alone.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",

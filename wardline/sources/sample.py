@@ -323,7 +323,7 @@ class Sample:
             "s_name doctor_name",
             "cast(s_nationkey % 5 + 1 as int) specialization_id",
             "'left' removal_reason",
-            "1 removed_by_admin_id",
+            "cast(s_suppkey % 10 - 8 as int) removed_by_admin_id",
             "date_add(date'2001-01-01', cast(s_suppkey % 200 as int)) removal_date",
         )
 
