@@ -18,6 +18,12 @@ from wardline.sources.tables import Tables
 _FIELDS = ("patient_id", "doctor_id", "appointment_date", "slot_id")
 
 
+def _flagged(requests: DataFrame, keys: DataFrame, columns: list[str], flag: str) -> DataFrame:
+    """Add ``flag``: TRUE where the request's columns are among the distinct ``keys``."""
+    marked = requests.join(keys.withColumn(flag, F.lit(True)), columns, "left")
+    return marked.withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
 def book_slots(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep = lazily) -> JobResult:
     """Book requested slots in batch order.
 
@@ -44,16 +50,13 @@ def book_slots(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep = lazil
     )
 
     checked = requests.select(ID, AT, *_FIELDS).withColumn("day_of_week", weekday("appointment_date"))
-    checked = with_known(checked, t.patients, "patient_id", "patient_known")
+    # The patient keys come last: the rows then lie spread by patient, so a slot that
+    # very many patients ask for is cut to its short list before its rows meet.
     checked = with_known(checked, t.doctors, "doctor_id", "doctor_known")
-    for frame, columns, flag in (
-        (held_pairs, ["patient_id", "doctor_id", "appointment_date"], "pair_held"),
-        (weekly, ["doctor_id", "day_of_week", "slot_id"], "scheduled"),
-        (held_slots, ["doctor_id", "appointment_date", "slot_id"], "slot_held"),
-    ):
-        checked = checked.join(frame.withColumn(flag, F.lit(True)), columns, "left").withColumn(
-            flag, F.coalesce(flag, F.lit(False))
-        )
+    checked = _flagged(checked, weekly, ["doctor_id", "day_of_week", "slot_id"], "scheduled")
+    checked = _flagged(checked, held_slots, ["doctor_id", "appointment_date", "slot_id"], "slot_held")
+    checked = with_known(checked, t.patients, "patient_id", "patient_known")
+    checked = _flagged(checked, held_pairs, ["patient_id", "doctor_id", "appointment_date"], "pair_held")
     incomplete = falsy("patient_id") | falsy("doctor_id") | day.isNull() | falsy("slot_id")
     before = (
         (incomplete, V.BOOK_REQUIRED),

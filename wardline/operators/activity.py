@@ -12,6 +12,7 @@ and rates are unchanged. Patients add an "any side matches" filter, see
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +88,18 @@ def doctor_admissions(t: Tables, first: Moment, last: Moment, within: Within) ->
     )
 
 
-def patient_activity(t: Tables, first: Moment, last: Moment, within: Within) -> DataFrame:
+def touched_patients(t: Tables, first: Moment, last: Moment, within: Within) -> DataFrame:
+    """Patients who registered, had an appointment or were admitted in the range."""
+    inside = F.col("appointment_date").between(as_day(first), as_day(last))
+    parts = (
+        t.patients.filter(within("created_at", first, last)),
+        t.appointments.filter(inside),
+        t.admissions.filter(within("admission_date", first, last)),
+    )
+    return reduce(DataFrame.unionAll, [p.select("patient_id") for p in parts]).distinct()
+
+
+def patient_activity(t: Tables, first: Moment, last: Moment, within: Within, billing: bool = True) -> DataFrame:
     """Per patient touched in the range: counts and fee totals of the surviving rows.
 
     A row of the product of a patient's appointments and admissions survives if the
@@ -100,79 +112,89 @@ def patient_activity(t: Tables, first: Moment, last: Moment, within: Within) ->
 
     So all appointments count if the patient registered in the range or d_in > 0, else
     those in the range; the same holds for admissions with a_in. ``since_all`` counts
-    admissions from ``first`` on without an upper end.
+    admissions from ``first`` on without an upper end. The touched patients are found
+    first, from the range alone, and cut the all-time facts down where they are read.
+    Without ``billing``, consultations, discharges and fees are left out.
     """
-    fee = t.doctors.select("doctor_id", "consultation_fee")
-    inside = F.col("appointment_date").between(as_day(first), as_day(last))
-    paid = F.when(F.col("status_id") == V.COMPLETED, F.coalesce("consultation_fee", F.lit(0))).otherwise(F.lit(0))
-    booked = t.appointments.select("appointment_id", "patient_id", "doctor_id", "appointment_date", "status_id")
-    appointments = (
-        _with_consultation(booked, t.consultations)
-        .join(fee, "doctor_id", "left")
-        .withColumns({"inside": inside, "paid": paid})
-        .groupBy("patient_id")
-        .agg(
-            F.count(F.lit(1)).alias("a_all"),
-            F.count_if("inside").alias("a_in"),
+    touched = touched_patients(t, first, last, within)
+    status = F.col("status_id")
+    booked = t.appointments.join(touched, "patient_id", "left_semi").withColumn(
+        "inside", F.col("appointment_date").between(as_day(first), as_day(last))
+    )
+    stays = t.admissions.join(touched, "patient_id", "left_semi").withColumns(
+        {
+            "inside": within("admission_date", first, last),
+            "since": F.col("admission_date") >= as_moment(to_datetime(first).date()),
+        }
+    )
+    counts = [F.count(F.lit(1)).alias("a_all"), F.count_if("inside").alias("a_in")]
+    stay_counts = [
+        F.count(F.lit(1)).alias("d_all"),
+        F.count_if("inside").alias("d_in"),
+        F.count_if("since").alias("since_all"),
+    ]
+    if billing:
+        fee = t.doctors.select("doctor_id", "consultation_fee")
+        paid = F.when(status == V.COMPLETED, F.coalesce("consultation_fee", F.lit(0))).otherwise(F.lit(0))
+        booked = _with_consultation(booked, t.consultations).join(fee, "doctor_id", "left").withColumn("paid", paid)
+        day = F.col("appointment_date")
+        inside = F.col("inside")
+        counts += [
             F.count("consulted").alias("c_all"),
-            F.count_if(F.col("inside") & F.col("consulted")).alias("c_in"),
+            F.count_if(inside & F.col("consulted")).alias("c_in"),
             F.sum("paid").alias("fee_all"),
-            F.sum(F.when(F.col("inside"), F.col("paid"))).alias("fee_in"),
-            F.min("appointment_date").alias("first_all"),
-            F.max("appointment_date").alias("last_all"),
-            F.min(F.when(F.col("inside"), F.col("appointment_date"))).alias("first_in"),
-            F.max(F.when(F.col("inside"), F.col("appointment_date"))).alias("last_in"),
-        )
-    )
-    released = t.discharges.select("admission_id", F.lit(True).alias("released"))
-    since = F.col("admission_date") >= as_moment(to_datetime(first).date())
-    admissions = (
-        t.admissions.select("admission_id", "patient_id", "admission_date")
-        .join(released, "admission_id", "left")
-        .withColumns({"inside": within("admission_date", first, last), "since": since})
-        .groupBy("patient_id")
-        .agg(
-            F.count(F.lit(1)).alias("d_all"),
-            F.count_if("inside").alias("d_in"),
-            F.count_if("since").alias("since_all"),
+            F.sum(F.when(inside, F.col("paid"))).alias("fee_in"),
+            F.min(day).alias("first_all"),
+            F.max(day).alias("last_all"),
+            F.min(F.when(inside, day)).alias("first_in"),
+            F.max(F.when(inside, day)).alias("last_in"),
+        ]
+        released = t.discharges.select("admission_id", F.lit(True).alias("released"))
+        stays = stays.join(released, "admission_id", "left")
+        stay_counts += [
             F.count("released").alias("r_all"),
-            F.count_if(F.col("inside") & F.col("released")).alias("r_in"),
-        )
-    )
+            F.count_if(inside & F.col("released")).alias("r_in"),
+        ]
     joined = (
-        t.patients.withColumn("registered", F.coalesce(within("created_at", first, last), F.lit(False)))
-        .join(appointments, "patient_id", "left")
-        .join(admissions, "patient_id", "left")
+        t.patients.join(touched, "patient_id", "left_semi")
+        .withColumn("registered", F.coalesce(within("created_at", first, last), F.lit(False)))
+        .join(booked.groupBy("patient_id").agg(*counts), "patient_id", "left")
+        .join(stays.groupBy("patient_id").agg(*stay_counts), "patient_id", "left")
     )
     all_appointments = F.col("registered") | (zero("d_in") > 0)
     all_admissions = F.col("registered") | (zero("a_in") > 0)
 
-    def appointment_part(name: str) -> Column:
+    def of_appointments(name: str) -> Column:
         return F.when(all_appointments, F.col(f"{name}_all")).otherwise(F.col(f"{name}_in"))
 
-    def admission_part(name: str) -> Column:
+    def of_admissions(name: str) -> Column:
         return F.when(all_admissions, F.col(f"{name}_all")).otherwise(F.col(f"{name}_in"))
 
-    repeats = at_least_one("d_all")
-    outside = zero("fee_all") - zero("fee_in")
-    spent = F.when(F.col("registered"), zero("fee_all") * repeats).otherwise(
-        zero("fee_in") * repeats + outside * zero("d_in")
-    )
-    touched = F.col("registered") | (zero("a_in") > 0) | (zero("d_in") > 0)
-    return joined.filter(touched).select(
+    def or_zero(value: Column) -> Column:
+        return F.coalesce(value, F.lit(0))
+
+    columns: list[Column | str] = [
         "patient_id", "patient_login_id", "first_name", "last_name", "age", "gender", "blood_group", "phone_no",
-        "created_at", "registered",
-        F.coalesce(appointment_part("a"), F.lit(0)).alias("appointments"),
+        "created_at",
+        or_zero(of_appointments("a")).alias("appointments"),
         zero("a_in").alias("appointments_in"),
-        F.coalesce(appointment_part("c"), F.lit(0)).alias("consultations"),
-        F.coalesce(admission_part("d"), F.lit(0)).alias("admissions"),
+        or_zero(of_admissions("d")).alias("admissions"),
         zero("d_in").alias("admissions_in"),
-        # From the first day on: an admission of a later day is seen only through
-        # rows that survive for another reason.
+        # An admission of a later day is seen only through rows that survive anyway.
         F.when(all_admissions, zero("since_all")).otherwise(zero("d_in")).alias("admissions_since"),
-        F.coalesce(admission_part("r"), F.lit(0)).alias("discharges"),
-        appointment_part("first").alias("first_appointment_date"),
-        appointment_part("last").alias("last_appointment_date"),
-        money(spent).alias("spent"),
-        money(F.coalesce(appointment_part("fee"), F.lit(0))).alias("spent_exact"),
-    )
+    ]
+    if billing:
+        repeats = at_least_one("d_all")
+        outside = zero("fee_all") - zero("fee_in")
+        spent = F.when(F.col("registered"), zero("fee_all") * repeats).otherwise(
+            zero("fee_in") * repeats + outside * zero("d_in")
+        )
+        columns += [
+            or_zero(of_appointments("c")).alias("consultations"),
+            or_zero(of_admissions("r")).alias("discharges"),
+            of_appointments("first").alias("first_appointment_date"),
+            of_appointments("last").alias("last_appointment_date"),
+            money(spent).alias("spent"),
+            money(or_zero(of_appointments("fee"))).alias("spent_exact"),
+        ]
+    return joined.select(*columns)

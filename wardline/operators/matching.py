@@ -19,22 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.operators.ranking import top_per
-from wardline.operators.requests import ID, turn
+from wardline.operators.requests import turn
 
 
-def _accept(state: Column, item: Column) -> Column:
-    free = ~F.array_contains(state["slots"], item["slot_id"]) & ~F.array_contains(
-        state["patients"], item["patient_id"]
-    )
-
-    def grown(field: str, value: Column) -> Column:
-        return F.when(free, F.array_append(state[field], value)).otherwise(state[field]).alias(field)
-
-    return F.struct(
-        grown("won", item["turn"][ID]),
-        grown("slots", item["slot_id"]),
-        grown("patients", item["patient_id"]),
+def _accept(accepted: Column, item: Column) -> Column:
+    clash = F.exists(
+        accepted, lambda other: (other["slot_id"] == item["slot_id"]) | (other["patient_id"] == item["patient_id"])
     )
+    return F.when(clash, accepted).otherwise(F.array_append(accepted, item))
 
 
 def match_slots(requests: DataFrame, slots_per_day: int) -> DataFrame:
@@ -46,17 +38,10 @@ def match_slots(requests: DataFrame, slots_per_day: int) -> DataFrame:
     """
     group = ["doctor_id", "appointment_date"]
     pair = [*group, "slot_id", "patient_id"]
-    kinds = dict(requests.dtypes)
     pairs = requests.groupBy(*pair).agg(F.min(turn()).alias("turn"))
     shortlist = top_per(pairs, [*group, "slot_id"], [F.col("turn").asc()], slots_per_day)
     queue = shortlist.groupBy(*group).agg(
         F.sort_array(F.collect_list(F.struct("turn", "slot_id", "patient_id"))).alias("queue")
     )
-    start = F.struct(
-        F.array().cast(f"array<{kinds[ID]}>").alias("won"),
-        F.array().cast(f"array<{kinds['slot_id']}>").alias("slots"),
-        F.array().cast(f"array<{kinds['patient_id']}>").alias("patients"),
-    )
-    folded = queue.select(*group, "queue", F.aggregate("queue", start, _accept)["won"].alias("won"))
-    accepted = F.filter("queue", lambda item: F.array_contains(F.col("won"), item["turn"][ID]))
-    return folded.select(*group, accepted.alias("matched"))
+    nobody = F.array().cast(queue.schema["queue"].dataType)
+    return queue.select(*group, F.aggregate("queue", nobody, _accept).alias("matched"))

@@ -47,7 +47,7 @@ def daily_patients(t: Tables, date: Moment) -> DataFrame:
     ``admissions_today`` counts admissions on or after the day, as reported;
     ``admissions_on_day`` counts those of the day itself.
     """
-    return patient_activity(t, date, date, BY_DAY).select(
+    return patient_activity(t, date, date, BY_DAY, billing=False).select(
         "patient_id",
         "patient_login_id",
         spaced_name().alias("patient_name"),
