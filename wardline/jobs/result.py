@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.session import stage
 from wardline.sources import sinks
 from wardline.sources.model import TABLES
 from wardline.sources.tables import Tables
@@ -73,11 +74,16 @@ def store(result: JobResult, root: str) -> None:
     """Write a result into tables stored as ``root/<table>`` folders.
 
     Appended rows are added; of updated tables only the months that hold changed
-    rows are written again. Build the job with ``keep=session.stage`` so that the
-    decisions are not computed again from tables that are being rewritten.
+    rows are written again. All outputs are materialised before the first file is
+    replaced, because each of them may read any of the tables. Build the job with
+    ``keep=session.stage`` so that they share one evaluation of the decisions.
     """
-    for table, rows in result.appended.items():
+    added = {table: stage(rows) for table, rows in result.appended.items()}
+    months = {table: sinks.touched_months(new.changed, table) for table, new in result.updated.items()}
+    changed = {
+        table: stage(sinks.rows_to_rewrite(new.state, table, months[table])) for table, new in result.updated.items()
+    }
+    for table, rows in added.items():
         sinks.append(rows, table, f"{root}/{table}")
-    for table, new in result.updated.items():
-        rows = sinks.rows_to_rewrite(new.state, new.changed, table)
-        sinks.rewrite(rows, table, f"{root}/{table}")
+    for table, rows in changed.items():
+        sinks.write_months(rows, table, f"{root}/{table}", months[table])

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.session import stage
+from wardline.functions import as_day, as_moment
 from wardline.sources.model import TABLES
 
 MONTH = "month"
+NO_MONTH = "none"
 
 
 def with_month(df: DataFrame, table: str) -> DataFrame:
@@ -16,7 +21,7 @@ def with_month(df: DataFrame, table: str) -> DataFrame:
     column = TABLES[table].month_of
     if column is None:
         return df
-    return df.withColumn(MONTH, F.coalesce(F.date_format(column, "yyyy-MM"), F.lit("none")))
+    return df.withColumn(MONTH, F.coalesce(F.date_format(column, "yyyy-MM"), F.lit(NO_MONTH)))
 
 
 def _write(df: DataFrame, table: str, path: str, mode: str) -> None:
@@ -35,35 +40,64 @@ def append(df: DataFrame, table: str, path: str) -> None:
 
 
 def write_table(df: DataFrame, table: str, path: str) -> None:
-    """Store a whole table in a new folder."""
+    """Store a whole table, or write the months the rows belong to again."""
     _write(df, table, path, "overwrite")
 
 
-def rewrite(df: DataFrame, table: str, path: str) -> None:
-    """Write rows over the stored months they belong to, or over a small table.
-
-    The rows are materialised first, because they are computed from the files that
-    are replaced.
+def touched_months(changed: DataFrame, table: str) -> list[str] | None:
+    """The storage months that hold changed rows; None for a table without months."""
+    if TABLES[table].month_of is None:
+        return None
+    return sorted(r[0] for r in with_month(changed, table).select(MONTH).distinct().collect())
+
+
+def in_months(table: str, months: list[str]) -> Column:
+    """Condition on the stored date, as ranges that let a scan skip all other files."""
+    declared = TABLES[table]
+    column = F.col(declared.month_of)
+    literal = as_day if declared.by_name[declared.month_of].type == "date" else as_moment
+    spans: list[list[dt.date]] = []
+    for month in (m for m in months if m != NO_MONTH):
+        start = dt.date.fromisoformat(f"{month}-01")
+        end = (start + dt.timedelta(days=31)).replace(day=1)
+        if spans and spans[-1][1] == start:
+            spans[-1][1] = end
+        else:
+            spans.append([start, end])
+    conditions = [(column >= literal(start)) & (column < literal(end)) for start, end in spans]
+    if NO_MONTH in months:
+        conditions.append(column.isNull())
+    return reduce(or_, conditions, F.lit(False))
+
+
+def rows_to_rewrite(new_state: DataFrame, table: str, months: list[str] | None) -> DataFrame:
+    """The part of a table's new state that lies in the touched months.
+
+    Update in place for a fact: only these months are read and written again. The old
+    and the new row of an update lie in one month, because no job moves the date a
+    table is stored by.
     """
-    _write(stage(df), table, path, "overwrite")
+    return new_state if months is None else new_state.filter(in_months(table, months))
 
 
-def months_touched(changed: DataFrame, table: str) -> DataFrame:
-    """The storage months that hold any of the changed rows."""
-    return with_month(changed, table).select(MONTH).distinct()
+def write_months(rows: DataFrame, table: str, path: str, months: list[str] | None) -> None:
+    """Replace the touched months; a month that has no rows left is removed.
 
+    ``rows`` must not be computed from the files of ``path``: stage them first.
+    """
+    if months == []:
+        return
+    write_table(rows, table, path)
+    if months is not None:
+        left = set(touched_months(rows, table))
+        _remove_months(rows.sparkSession, path, [m for m in months if m not in left])
 
-def rows_to_rewrite(new_state: DataFrame, changed: DataFrame, table: str) -> DataFrame:
-    """The part of ``new_state`` in the months of ``changed``.
 
-    Update in place for a fact: only these months are written again (the dynamic
-    overwrite leaves the others). Both the old and the new row of an update lie in
-    one month because no update job moves the date a table is stored by.
-    """
-    if TABLES[table].month_of is None:
-        return new_state
-    kept = with_month(new_state, table).join(months_touched(changed, table), MONTH, "left_semi")
-    return kept.drop(MONTH)
+def _remove_months(spark: SparkSession, path: str, months: list[str]) -> None:
+    context = spark.sparkContext
+    for month in months:
+        folder = context._jvm.org.apache.hadoop.fs.Path(f"{path}/{MONTH}={month}")
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_json(df: DataFrame, path: str) -> None:
