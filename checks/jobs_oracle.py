@@ -409,6 +409,39 @@ select r.*, cast(null as varchar) medical_history,
   case when reason is null then {new_id("appointment_forms", "form_id", "new_forms")} end form_id
 from decided r"""
 
+JOB_ORACLE["ingest_consultations"] = f"""with recursive checked as (
+  select r.*, case when coalesce(r.appointment_id, 0) = 0 or coalesce(r.doctor_id, 0) = 0 or coalesce(r.patient_id, 0) = 0
+      then 'Required fields missing'
+    when r.appointment_id in (select appointment_id from consultations) then 'Duplicate key'
+    when r.doctor_id not in (select doctor_id from doctors) then 'Referenced row not found' end own_reason
+  from new_consultations r),
+decided as (
+  select r.* exclude (own_reason, blood_pressure, temperature), nullif(blood_pressure, '') blood_pressure,
+    cast(nullif(temperature, 0) as decimal(5,2)) temperature, case when own_reason is null and
+    row_number() over (partition by appointment_id, own_reason is null order by requested_at, request_id) > 1
+    then 'Duplicate key' else own_reason end reason
+  from checked r)
+select r.*, cast(null as int) oxygen_saturation, cast(null as varchar) diagnosis,
+  case when reason is null then {new_id("consultations", "consultation_id", "new_consultations")} end consultation_id
+from decided r"""
+JOB_ORACLE["ingest_schedules"] = f"""with recursive valid as (
+  select r.* from new_schedules r
+  where coalesce(doctor_id, 0) <> 0 and day_of_week between 0 and 6 and coalesce(slot_id, 0) <> 0
+    and doctor_id in (select doctor_id from doctors) and slot_id in (select slot_id from time_slots)
+    and not exists (select 1 from doctor_schedules s where s.doctor_id = r.doctor_id
+      and s.day_of_week = r.day_of_week and s.slot_id = r.slot_id)
+  qualify row_number() over (partition by doctor_id, day_of_week, slot_id order by requested_at, request_id) = 1)
+select {new_id("doctor_schedules", "schedule_id", "new_schedules")} schedule_id, doctor_id, day_of_week,
+  cast(slot_id as bigint) slot_id, coalesce(is_active, true) is_active, {AS_OF} created_at, {AS_OF} updated_at
+from valid r"""
+JOB_ORACLE["ingest_medicines"] = f"""with recursive decided as (
+  select r.*, case when coalesce(consultation_id, 0) = 0 or dosage = '' then 'Required fields missing'
+    when length(frequency) > 50 then 'Value breaks a table rule'
+    when consultation_id not in (select consultation_id from consultations) then 'Referenced row not found' end reason
+  from new_medicines r)
+select r.*, case when reason is null then {new_id("prescribed_medicines", "medicine_id", "new_medicines")} end medicine_id
+from decided r"""
+
 # --- quality ---------------------------------------------------------------
 
 JOB_ORACLE["quality_visits"] = """

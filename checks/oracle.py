@@ -57,6 +57,10 @@ left join specializations s on s.specialization_id = rd.specialization_id"""
 ORACLE["time_slots"] = f"select * from {SLOTS}"
 ORACLE["action_types"] = "select * from action_types"
 ORACLE["receptionists"] = "select *, cast(null as timestamp) created_at from receptionists"
+ORACLE["reference_dims"] = f"""
+select 'time_slots' dimension, cast(slot_id as bigint) id, start_time || '-' || end_time as label from {SLOTS}
+union all select 'action_types', action_type_id, action_name from action_types
+union all select 'receptionists', receptionist_id, first_name || ' ' || last_name from receptionists"""
 ORACLE["recent_signins"] = """
 select user_id, user_type, strftime(signin_datetime, '%Y-%m-%d %H:%M') signin_time
 from signin_logs order by signin_datetime desc nulls last, log_id desc limit 20"""

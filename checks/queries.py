@@ -10,6 +10,7 @@ from wardline import quality
 from wardline.jobs import admission, booking, discharge, ingest, occupancy, patches, removal
 from wardline.jobs import visits as visit_jobs
 from wardline.jobs.result import JobResult
+from wardline.operators.summary import total
 from wardline.plans import billing, clinical, lists, reports, scheduling, visits, wards
 from wardline.session import configure
 from wardline.sources.sample import AS_OF, REPORT_DAY, REPORT_RANGE, Sample, hospital_tables
@@ -25,6 +26,7 @@ DATASETS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
     "time_slots": lambda t, s: lists.time_slots(t),
     "action_types": lambda t, s: lists.action_types(t),
     "receptionists": lambda t, s: lists.receptionists(t),
+    "reference_dims": lambda t, s: lists.reference_dims(t),
     "recent_signins": lambda t, s: lists.recent_signins(t),
     "recent_patients": lambda t, s: lists.recent_patients(t),
     "schedules": lambda t, s: scheduling.schedules(t),
@@ -65,7 +67,7 @@ DATASETS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
     "active_admissions_any_bed": lambda t, s: wards.active_admissions_any_bed(t, AS_OF),
     "active_admissions_detailed": lambda t, s: wards.active_admissions_detailed(t, AS_OF),
     "active_admissions_report": lambda t, s: wards.active_admissions_report(t),
-    "active_admissions_total": lambda t, s: wards.total(wards.active_admissions_report(t)),
+    "active_admissions_total": lambda t, s: total(wards.active_admissions_report(t)),
     "admission_detail": lambda t, s: wards.admission_detail(t, AS_OF),
     "action_admission_status": lambda t, s: wards.action_admission_status(t),
     "bed_availability": lambda t, s: wards.bed_availability(t),
@@ -101,7 +103,7 @@ DATASETS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
     "daily_summary": lambda t, s: reports.daily_summary(t, REPORT_DAY),
     "range_summary": lambda t, s: reports.range_summary(t, AS_OF),
     "today_appointments": lambda t, s: reports.today_appointments(t, REPORT_DAY),
-    "today_appointments_total": lambda t, s: wards.total(reports.today_appointments(t, REPORT_DAY)),
+    "today_appointments_total": lambda t, s: total(reports.today_appointments(t, REPORT_DAY)),
 }
 
 
@@ -180,6 +182,11 @@ JOBS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
     "ingest_doctors": lambda t, s: ingest.ingest(t, "doctors", s.new_doctors(), AS_OF).decisions,
     "ingest_doctors_rows": lambda t, s: ingest.ingest(t, "doctors", s.new_doctors(), AS_OF).appended["doctors"],
     "ingest_forms": lambda t, s: ingest.ingest(t, "appointment_forms", s.new_forms(), AS_OF).decisions,
+    "ingest_consultations": lambda t, s: ingest.ingest(t, "consultations", s.new_consultations(), AS_OF).decisions,
+    "ingest_schedules": lambda t, s: ingest.ingest(t, "doctor_schedules", s.new_schedules(), AS_OF).appended[
+        "doctor_schedules"
+    ],
+    "ingest_medicines": lambda t, s: ingest.ingest(t, "prescribed_medicines", s.new_medicines(), AS_OF).decisions,
     "quality_visits": lambda t, s: quality.summary(
         quality.violations(t.replacing(admitted_patient_visits=s.raw_visits), "admitted_patient_visits")
     ),

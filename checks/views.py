@@ -301,3 +301,22 @@ select visit_id % 1000000 visit_id, case when pulse_rate % 10 = 0 then -1 else a
   case when pulse_rate % 8 = 0 then 'Fair' else condition_status end condition_status, ready_for_discharge
 from admitted_patient_visits
 """
+VIEWS["new_consultations"] = """
+select event_id request_id, ts requested_at, event_id % 7000 appointment_id,
+  case when event_id % 50 = 0 then 999999999 else a.doctor_id end doctor_id, a.patient_id,
+  case when event_id % 4 = 0 then '' else '120/80' end blood_pressure,
+  case when event_id % 3 = 0 then 0.0 else 98.5 end temperature
+from events left join appointments a on a.appointment_id = event_id % 7000
+"""
+VIEWS["new_schedules"] = """
+select event_id request_id, ts requested_at, user_id % 110 doctor_id,
+  case when event_id % 40 <> 0 then cast(event_id % 8 as int) end day_of_week, cast(event_id % 26 as int) slot_id,
+  case when event_id % 3 = 0 then false end is_active
+from events
+"""
+VIEWS["new_medicines"] = """
+select event_id request_id, ts requested_at, event_id consultation_id, event_type medicine_name,
+  case when event_id % 9 = 0 then '' else '5mg' end dosage,
+  case when event_id % 10 = 0 then repeat('x', 51) else 'daily' end frequency, '3 days' duration
+from events
+"""

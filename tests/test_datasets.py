@@ -7,6 +7,7 @@ from conftest import DIMENSIONS, at, dicts, on
 from pyspark.sql import functions as F
 
 from wardline.plans import billing, clinical, lists, scheduling, visits, wards
+from wardline.plans.catalog import DATASETS, dataset, register_views
 from wardline.plans.order import ORDER, in_display_order
 from wardline.sources import seeds
 from wardline.sources.tables import Tables
@@ -255,3 +256,25 @@ def test_display_order_names_real_columns(hospital):
     assert [r["doctor_id"] for r in ordered.collect()] == [20, 10]
     assert in_display_order("bed_availability", wards.bed_availability(t)).count() == 1
     assert all(ORDER.values())
+
+
+def test_catalog_and_views(spark, hospital):
+    t = hospital(**DIMENSIONS, appointments=[booked(1, 1, "2024-03-03", status=2)],
+                 consultations=[{"consultation_id": 1, "appointment_id": 1, "patient_id": 1000, "doctor_id": 10}])
+    assert set(ORDER) <= set(DATASETS)
+    assert dataset("doctor_fees", t, ordered=True).first()["doctor_id"] == 10
+    register_views(t)
+    row = spark.sql("select doctor_name, diagnosis, temperature from medical_report").first()
+    assert tuple(row) == ("Dr. Ann Lee", "Diagnosis pending", "N/A")
+    assert spark.sql("select count(*) n from doctors").first()["n"] == 2
+    for name in DATASETS:
+        spark.catalog.dropTempView(name)
+
+
+def test_a_bed_with_many_occupants_repeats(hospital):
+    t = hospital(**DIMENSIONS, **ROOMS, admissions=[stay(1), stay(2, patient=1001), stay(3, patient=9999), stay(4, bed=2, active=False)])
+    rows = [r for r in dicts(wards.beds(t), "bed_id") if r["bed_id"] <= 2]
+    assert sorted(((r["bed_id"], r["patient_first_name"]) for r in rows), key=str) == [
+        (1, "F0"), (1, "F1"), (1, None), (2, None),
+    ]
+    assert wards.beds(t).count() == 24 + 2

@@ -22,6 +22,7 @@ from wardline.functions import (
     to_last_second,
     weekday,
 )
+from wardline.session import cluster_settings
 
 
 def one(spark, column):
@@ -86,3 +87,9 @@ def test_clock_and_mean(spark):
     df = spark.createDataFrame([(1,), (2,), (None,)], "n int")
     assert df.agg(mean("n")).first()[0] == 1.5
     assert df.filter("n > 9").agg(mean("n")).first()[0] is None
+
+
+def test_shuffle_partitions_follow_the_data():
+    small, large = cluster_settings(10**9, 16), cluster_settings(100 * 10**12, 8000)
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert (small[name], int(large[name]) > 700_000) == ("32", True)

@@ -41,16 +41,15 @@ def with_known(requests: DataFrame, parents: DataFrame, column: str, flag: str,
 def with_references(requests: DataFrame, t: Tables, table: str, columns: Sequence[str], flag: str) -> DataFrame:
     """Add ``flag``: TRUE where every given reference of the row exists (NULL ones count as kept)."""
     parents = {r.column: r.table for r in TABLES[table].references}
+    kept = F.lit(True)
     marks = []
     for column in columns:
-        mark = f"__known_{column}"
         parent = parents[column]
-        requests = with_known(requests, t[parent], column, mark, TABLES[parent].key)
-        marks.append(F.col(mark) | F.col(column).isNull())
-    kept = F.lit(True)
-    for mark in marks:
-        kept = kept & mark
-    return requests.withColumn(flag, kept).drop(*[f"__known_{c}" for c in columns])
+        marks.append(f"__known_{column}")
+        keys = t[parent].select(F.col(TABLES[parent].key).alias(column), F.lit(True).alias(marks[-1]))
+        requests = requests.join(keys, column, "left")
+        kept = kept & (F.col(marks[-1]).isNotNull() | F.col(column).isNull())
+    return requests.select("*", kept.alias(flag)).drop(*marks)
 
 
 def winners(requests: DataFrame, keys: Sequence[str]) -> DataFrame:

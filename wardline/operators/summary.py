@@ -1,4 +1,4 @@
-"""Aggregates of one entity or of every entity."""
+"""Aggregates of one entity or of every entity, and row counts of lists."""
 
 from __future__ import annotations
 
@@ -15,3 +15,8 @@ def summarise(df: DataFrame, key: str, value: int | None, *measures: Column) ->
         return df.groupBy(key).agg(*measures)
     one = df.filter(F.col(key) == value).agg(*measures)
     return one.select(F.lit(value).cast(df.schema[key].dataType).alias(key), "*")
+
+
+def total(df: DataFrame) -> DataFrame:
+    """The row count a list report carries next to its rows."""
+    return df.agg(F.count(F.lit(1)).alias("total"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline import fixed_values as V
@@ -59,6 +61,22 @@ def receptionists(t: Tables) -> DataFrame:
     return t.receptionists
 
 
+def reference_dims(t: Tables) -> DataFrame:
+    """Slots, action types and receptionists as one pick list: dimension, id, label."""
+
+    def picks(dimension: str, rows: DataFrame, key: str, label: Column) -> DataFrame:
+        return rows.select(
+            F.lit(dimension).alias("dimension"), F.col(key).cast("bigint").alias("id"), label.alias("label")
+        )
+
+    parts = (
+        picks("time_slots", slot_times(t), "slot_id", F.concat("start_time", F.lit("-"), "end_time")),
+        picks("action_types", t.action_types, "action_type_id", F.col("action_name")),
+        picks("receptionists", t.receptionists, "receptionist_id", full_name()),
+    )
+    return reduce(DataFrame.unionAll, parts)
+
+
 def recent_signins(t: Tables, limit: int = V.RECENT_SIGNINS) -> DataFrame:
     rows = top(t.signin_logs, [F.desc("signin_datetime"), F.desc("log_id")], limit)
     return rows.select("user_id", "user_type", F.date_format("signin_datetime", V.ISO_MINUTE).alias("signin_time"))

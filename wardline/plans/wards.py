@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wardline import fixed_values as V
 from wardline.functions import as_moment, contains_text, days_between, same_text, spaced_name
 from wardline.functions.time import Moment
+from wardline.operators.children import with_children
 from wardline.operators.people import (
     bed_numbers,
     doctor_names,
@@ -122,10 +123,8 @@ def beds(t: Tables) -> DataFrame:
         F.col("gender").alias("patient_gender"),
     )
     occupants = active(t).select("bed_id", "patient_id").join(people, "patient_id", "left").drop("patient_id")
-    return (
-        _placed_beds(t)
-        .join(occupants, "bed_id", "left")
-        .select(*_BED, "patient_first_name", "patient_last_name", "patient_gender")
+    return with_children(_placed_beds(t), occupants, "bed_id").select(
+        *_BED, "patient_first_name", "patient_last_name", "patient_gender"
     )
 
 
@@ -216,11 +215,6 @@ def active_admissions_report(t: Tables) -> DataFrame:
     )
 
 
-def total(df: DataFrame) -> DataFrame:
-    """The row count a list report carries next to its rows."""
-    return df.agg(F.count(F.lit(1)).alias("total"))
-
-
 def admission_detail(t: Tables, as_of: Moment, admission_id: int | None = None) -> DataFrame:
     """Admissions with the days to discharge, or to now while it is open."""
     rows = t.admissions if admission_id is None else t.admissions.filter(F.col("admission_id") == admission_id)
@@ -265,7 +259,7 @@ def admission_recommended(t: Tables) -> DataFrame:
     )
     return (
         pending.join(admit, "action_type_id")
-        .join(active(t).select("consultation_id"), "consultation_id", "left_anti")
+        .join(active(t).select("consultation_id").distinct(), "consultation_id", "left_anti")
         .join(seen, "consultation_id")
         .join(people, "patient_id")
         .join(doctors, "doctor_id")

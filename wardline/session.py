@@ -17,11 +17,29 @@ SETTINGS = {
     # partial aggregate that shuffle is small, an unsplit hot key is not.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    # Rewrites of touched months leave the other partitions of a table alone.
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
+SHUFFLE_BYTES = 128 * 1024 * 1024
+
+
+def cluster_settings(largest_table_bytes: int, cores: int) -> dict[str, str]:
+    """Settings to start a cluster session with, from the size of the largest table.
+
+    The number of shuffle partitions is an upper bound that keeps a partition of the
+    largest shuffle near 128 MB, so that it fits an executor and spills little; small
+    shuffles are merged again at run time.
+    """
+    partitions = max(2 * cores, -(-largest_table_bytes // SHUFFLE_BYTES))
+    return {
+        **SETTINGS,
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(SHUFFLE_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(2 * SHUFFLE_BYTES),
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
+    }
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings above to an existing session."""
     for name, value in SETTINGS.items():
@@ -39,6 +57,9 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Plans are built from many small expressions; recording the Python line of
+        # each of them costs more than planning. Set it at start-up on a cluster too.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for name, value in SETTINGS.items():
         builder = builder.config(name, value)

@@ -519,6 +519,40 @@ class Sample:
             "o_orderpriority symptoms",
         )
 
+    def new_consultations(self) -> DataFrame:
+        asked = self._raw("events").selectExpr("event_id request_id", "ts requested_at", "event_id % 7000 appointment_id")
+        people = self.appointments().select("appointment_id", "patient_id", "doctor_id")
+        return asked.join(people, "appointment_id", "left").selectExpr(
+            "request_id",
+            "requested_at",
+            "appointment_id",
+            "case when request_id % 50 = 0 then 999999999 else doctor_id end doctor_id",
+            "patient_id",
+            "case when request_id % 4 = 0 then '' else '120/80' end blood_pressure",
+            "case when request_id % 3 = 0 then cast(0 as double) else 98.5d end temperature",
+        )
+
+    def new_schedules(self) -> DataFrame:
+        return self._raw("events").selectExpr(
+            "event_id request_id",
+            "ts requested_at",
+            "user_id % 110 doctor_id",
+            "case when event_id % 40 <> 0 then cast(event_id % 8 as int) end day_of_week",
+            "cast(event_id % 26 as int) slot_id",
+            "case when event_id % 3 = 0 then false end is_active",
+        )
+
+    def new_medicines(self) -> DataFrame:
+        return self._raw("events").selectExpr(
+            "event_id request_id",
+            "ts requested_at",
+            "event_id consultation_id",
+            "event_type medicine_name",
+            "case when event_id % 9 = 0 then '' else '5mg' end dosage",
+            "case when event_id % 10 = 0 then repeat('x', 51) else 'daily' end frequency",
+            "'3 days' duration",
+        )
+
     def raw_visits(self) -> DataFrame:
         """Unchecked visit rows, with values outside the rules."""
         return self.admitted_patient_visits().selectExpr(
