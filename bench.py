@@ -1,7 +1,7 @@
 """Wall time of the headline queries on one machine, as one JSON line.
 
-Each query is materialised in full (``noop`` sink): one warm-up, then the median of
-three runs. ``--product`` adds the activity reports in their plain join form, the
+Each query is materialised in full (``noop`` sink): after a warm-up pass over all of
+them, the median of three runs, the building of the plan included. ``--product`` adds the activity reports in their plain join form, the
 baseline the closed forms are compared with.
 """
 
@@ -62,13 +62,10 @@ def doctors_product(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def measure(spark: SparkSession, folder: str, query) -> float:
-    times = []
-    for _ in range(RUNS + 1):
-        started = time.perf_counter()
-        query(spark, folder).write.format("noop").mode("overwrite").save()
-        times.append(time.perf_counter() - started)
-    return round(statistics.median(times[1:]), 3)
+def run(spark: SparkSession, folder: str, query) -> float:
+    started = time.perf_counter()
+    query(spark, folder).write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - started
 
 
 def main() -> None:
@@ -78,7 +75,12 @@ def main() -> None:
     chosen = {name: QUERIES[name] for name in HEADLINE}
     if "--product" in sys.argv:
         chosen["doctors_range_product"] = doctors_product
-    times = {name: measure(spark, folder, query) for name, query in chosen.items()}
+    for query in chosen.values():
+        run(spark, folder, query)
+    times = {
+        name: round(statistics.median(run(spark, folder, query) for _ in range(RUNS)), 3)
+        for name, query in chosen.items()
+    }
     print(
         json.dumps(
             {

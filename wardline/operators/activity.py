@@ -43,49 +43,52 @@ def _with_consultation(appointments: DataFrame, consultations: DataFrame) -> Dat
     return appointments.join(done, "appointment_id", "left")
 
 
-def doctor_counts(
+def _side_by_side(*parts: DataFrame) -> DataFrame:
+    """Rows of several facts under each other, so that one aggregate counts them all."""
+    return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), parts)
+
+
+def doctor_activity(
     t: Tables,
     first: Moment,
     last: Moment,
     within: Within,
     skip_cancelled: bool = False,
     consulted_in_range: bool = False,
+    admissions: bool = True,
 ) -> DataFrame:
-    """Appointments, consultations and visits per doctor in a range of days."""
-    day = F.col("appointment_date")
-    booked = t.appointments.filter(day.between(as_day(first), as_day(last)))
+    """All doctors with the counts of their facts in a range of days.
+
+    The facts are counted in one aggregate: a single shuffle of partial counts.
+    """
+    booked = t.appointments.filter(F.col("appointment_date").between(as_day(first), as_day(last)))
     if skip_cancelled:
         booked = booked.filter(F.col("status_id") != V.CANCELLED)
     consultations = t.consultations
     if consulted_in_range:
         consultations = consultations.filter(within("consultation_date", first, last))
+    booked = _with_consultation(booked.select("appointment_id", "doctor_id", "status_id"), consultations)
+    facts = [
+        booked.select("doctor_id", "appointment_id", "status_id", "consulted"),
+        t.admitted_patient_visits.filter(within("visit_datetime", first, last)).select("doctor_id", "visit_id"),
+    ]
+    if admissions:
+        stays = t.admissions.filter(within("admission_date", first, last))
+        facts.append(stays.select("doctor_id", "admission_id"))
     status = F.col("status_id")
-    per_doctor = (
-        _with_consultation(booked.select("appointment_id", "doctor_id", "status_id"), consultations)
-        .groupBy("doctor_id")
-        .agg(
-            F.count(F.lit(1)).alias("appointments"),
-            F.count_if(status == V.COMPLETED).alias("completed"),
-            F.count_if(status == V.SCHEDULED).alias("scheduled"),
-            F.count_if(status == V.CANCELLED).alias("cancelled"),
-            F.count("consulted").alias("consultations"),
-        )
-    )
-    visits = (
-        t.admitted_patient_visits.filter(within("visit_datetime", first, last))
-        .groupBy("doctor_id")
-        .agg(F.count("visit_id").alias("visits"))
-    )
-    doctors = t.doctors.join(t.specializations.select("specialization_id", "specialization_name"), "specialization_id")
-    return doctors.join(per_doctor, "doctor_id", "left").join(visits, "doctor_id", "left")
-
-
-def doctor_admissions(t: Tables, first: Moment, last: Moment, within: Within) -> DataFrame:
-    return (
-        t.admissions.filter(within("admission_date", first, last))
-        .groupBy("doctor_id")
-        .agg(F.count("admission_id").alias("admissions"))
-    )
+    counts = [
+        F.count("appointment_id").alias("appointments"),
+        F.count_if(status == V.COMPLETED).alias("completed"),
+        F.count_if(status == V.SCHEDULED).alias("scheduled"),
+        F.count_if(status == V.CANCELLED).alias("cancelled"),
+        F.count("consulted").alias("consultations"),
+        F.count("visit_id").alias("visits"),
+    ]
+    if admissions:
+        counts.append(F.count("admission_id").alias("admissions"))
+    per_doctor = _side_by_side(*facts).groupBy("doctor_id").agg(*counts)
+    names = t.specializations.select("specialization_id", "specialization_name")
+    return t.doctors.join(names, "specialization_id").join(per_doctor, "doctor_id", "left")
 
 
 def touched_patients(t: Tables, first: Moment, last: Moment, within: Within) -> DataFrame:
@@ -123,22 +126,28 @@ def patient_activity(t: Tables, first: Moment, last: Moment, within: Within, bil
     )
     stays = t.admissions.join(touched, "patient_id", "left_semi").withColumns(
         {
-            "inside": within("admission_date", first, last),
+            "stay_inside": within("admission_date", first, last),
             "since": F.col("admission_date") >= as_moment(to_datetime(first).date()),
         }
     )
-    counts = [F.count(F.lit(1)).alias("a_all"), F.count_if("inside").alias("a_in")]
-    stay_counts = [
-        F.count(F.lit(1)).alias("d_all"),
-        F.count_if("inside").alias("d_in"),
+    inside, stay_inside = F.col("inside"), F.col("stay_inside")
+    counts = [
+        F.count("appointment_id").alias("a_all"),
+        F.count_if(inside).alias("a_in"),
+        F.count("admission_id").alias("d_all"),
+        F.count_if(stay_inside).alias("d_in"),
         F.count_if("since").alias("since_all"),
     ]
+    columns_a, columns_d = ["patient_id", "appointment_id", "inside"], ["patient_id", "admission_id", "stay_inside", "since"]
     if billing:
         fee = t.doctors.select("doctor_id", "consultation_fee")
         paid = F.when(status == V.COMPLETED, F.coalesce("consultation_fee", F.lit(0))).otherwise(F.lit(0))
         booked = _with_consultation(booked, t.consultations).join(fee, "doctor_id", "left").withColumn("paid", paid)
         day = F.col("appointment_date")
-        inside = F.col("inside")
+        released = t.discharges.select("admission_id", F.lit(True).alias("released"))
+        stays = stays.join(released, "admission_id", "left")
+        columns_a += ["appointment_date", "consulted", "paid"]
+        columns_d += ["released"]
         counts += [
             F.count("consulted").alias("c_all"),
             F.count_if(inside & F.col("consulted")).alias("c_in"),
@@ -148,18 +157,14 @@ def patient_activity(t: Tables, first: Moment, last: Moment, within: Within, bil
             F.max(day).alias("last_all"),
             F.min(F.when(inside, day)).alias("first_in"),
             F.max(F.when(inside, day)).alias("last_in"),
-        ]
-        released = t.discharges.select("admission_id", F.lit(True).alias("released"))
-        stays = stays.join(released, "admission_id", "left")
-        stay_counts += [
             F.count("released").alias("r_all"),
-            F.count_if(inside & F.col("released")).alias("r_in"),
+            F.count_if(stay_inside & F.col("released")).alias("r_in"),
         ]
+    per_patient = _side_by_side(booked.select(*columns_a), stays.select(*columns_d)).groupBy("patient_id").agg(*counts)
     joined = (
         t.patients.join(touched, "patient_id", "left_semi")
         .withColumn("registered", F.coalesce(within("created_at", first, last), F.lit(False)))
-        .join(booked.groupBy("patient_id").agg(*counts), "patient_id", "left")
-        .join(stays.groupBy("patient_id").agg(*stay_counts), "patient_id", "left")
+        .join(per_patient, "patient_id", "left")
     )
     all_appointments = F.col("registered") | (zero("d_in") > 0)
     all_admissions = F.col("registered") | (zero("a_in") > 0)

@@ -18,8 +18,7 @@ from wardline.operators.activity import (
     BY_DAY,
     BY_SECOND,
     at_least_one,
-    doctor_admissions,
-    doctor_counts,
+    doctor_activity,
     patient_activity,
     zero,
 )
@@ -74,7 +73,9 @@ def daily_patients_summary(t: Tables, date: Moment) -> DataFrame:
 
 def daily_doctors(t: Tables, date: Moment) -> DataFrame:
     """All doctors with their appointments, consultations, visits and revenue of the day."""
-    counts = doctor_counts(t, date, date, BY_DAY, skip_cancelled=True, consulted_in_range=True)
+    counts = doctor_activity(
+        t, date, date, BY_DAY, skip_cancelled=True, consulted_in_range=True, admissions=False
+    )
     exact = F.col("consultation_fee") * zero("completed")
     return counts.select(
         "doctor_id",
@@ -140,9 +141,7 @@ def patients_range_summary(t: Tables, start_date: Moment, end_date: Moment) -> D
 
 def doctors_range(t: Tables, start_date: Moment, end_date: Moment) -> DataFrame:
     """All doctors with their activity, revenue and completion rate in the range."""
-    counts = doctor_counts(t, start_date, end_date, BY_SECOND).join(
-        doctor_admissions(t, start_date, end_date, BY_SECOND), "doctor_id", "left"
-    )
+    counts = doctor_activity(t, start_date, end_date, BY_SECOND)
     exact = F.col("consultation_fee") * zero("completed")
     return counts.select(
         "doctor_id",

@@ -41,14 +41,15 @@ class Sample:
         self.spark = spark
         self.folder = folder
         self._raw = cache(self._read)
+        self._doctors = cache(lambda: self._raw("supplier").agg(F.count(F.lit(1))).scalar())
+        self.admissions = cache(self._admissions)
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.schema(FILES[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def _doctor_of(self, key: str) -> Column:
         """Spread keys over the doctors; the row count is one scalar subquery."""
-        doctors = self._raw("supplier").agg(F.count(F.lit(1))).scalar()
-        return F.col(key) % doctors
+        return F.col(key) % self._doctors()
 
     def specializations(self) -> DataFrame:
         return self._raw("region").selectExpr(
@@ -218,7 +219,7 @@ class Sample:
             " per_day_charges",
         )
 
-    def admissions(self) -> DataFrame:
+    def _admissions(self) -> DataFrame:
         admitted = (
             self._raw("orders")
             .filter("o_orderstatus = 'F' and o_orderkey % 4 = 0")
