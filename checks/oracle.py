@@ -36,6 +36,7 @@ KIND_X = missing("description:varchar")
 SLOTS = """(select slot_id, slot_number,
   printf('%02d:%02d:00', start_min // 60, start_min % 60) start_time,
   printf('%02d:%02d:00', end_min // 60, end_min % 60) end_time from time_slots)"""
+LONG_SLOTS = SLOTS.replace("from time_slots", "from long_time_slots")
 DOCTORS = """(select d.*, concat(d.first_name, ' ', d.last_name) doctor_name, s.specialization_name
   from doctors d join specializations s using (specialization_id))"""
 PATIENTS = "(select *, concat(first_name, ' ', last_name) patient_name from patients)"
@@ -45,7 +46,7 @@ ORACLE: dict[str, str] = {}
 
 # --- lists -----------------------------------------------------------------
 
-ORACLE["specializations"] = f"select *, {SPECIALIZATION_X} from specializations"
+ORACLE["specializations"] = f"select *, {SPECIALIZATION_X} from long_specializations"
 ORACLE["doctor_directory"] = "select d.*, s.specialization_name from doctors d join specializations s using (specialization_id)"
 ORACLE["doctors_list"] = f"""
 select doctor_id, doctor_login_id, doctor_name, specialization_name, consultation_fee from {DOCTORS}"""
@@ -54,13 +55,13 @@ ORACLE["removed_doctors"] = """
 select rd.*, cast(null as varchar) registration_number, a.username removed_by_admin, s.specialization_name
 from removed_doctors rd left join admin a on a.admin_id = rd.removed_by_admin_id
 left join specializations s on s.specialization_id = rd.specialization_id"""
-ORACLE["time_slots"] = f"select * from {SLOTS}"
-ORACLE["action_types"] = "select * from action_types"
-ORACLE["receptionists"] = "select *, cast(null as timestamp) created_at from receptionists"
+ORACLE["time_slots"] = f"select * from {LONG_SLOTS}"
+ORACLE["action_types"] = "select * from long_action_types"
+ORACLE["receptionists"] = "select *, cast(null as timestamp) created_at from long_receptionists"
 ORACLE["reference_dims"] = f"""
-select 'time_slots' dimension, cast(slot_id as bigint) id, start_time || '-' || end_time as label from {SLOTS}
-union all select 'action_types', action_type_id, action_name from action_types
-union all select 'receptionists', receptionist_id, first_name || ' ' || last_name from receptionists"""
+select 'time_slots' dimension, cast(slot_id as bigint) id, start_time || '-' || end_time as label from {LONG_SLOTS}
+union all select 'action_types', action_type_id, action_name from long_action_types
+union all select 'receptionists', receptionist_id, first_name || ' ' || last_name from long_receptionists"""
 ORACLE["recent_signins"] = """
 select user_id, user_type, strftime(signin_datetime, '%Y-%m-%d %H:%M') signin_time
 from signin_logs order by signin_datetime desc nulls last, log_id desc limit 20"""
@@ -167,7 +168,7 @@ select a.appointment_id, a.doctor_id, a.appointment_date, a.slot_id, a.status_id
   p.patient_login_id, s.status_name
 from appointments a join patients p on p.patient_id = a.patient_id left join {SLOTS} ts on ts.slot_id = a.slot_id
 left join appointment_statuses s on s.status_id = a.status_id
-where a.status_id = 1 and a.appointment_date >= date '1999-01-01'"""
+where a.status_id = 1"""
 ORACLE["patient_upcoming_appointments"] = f"""
 select a.appointment_id, a.appointment_date, a.patient_id, a.doctor_id, a.slot_id, ts.start_time, ts.end_time,
   concat(d.first_name, ' ', d.last_name) doctor_name, sp.specialization_name, d.consultation_fee, s.status_name
@@ -249,8 +250,8 @@ select r.room_id, r.room_number, r.room_type_id, k.type_name, {KIND_X}, k.per_da
 from rooms r join room_types k using (room_type_id)"""
 ORACLE["room_types"] = f"""
 select *, {KIND_X}, case right(type_name, 2) when '-M' then 'Male' when '-F' then 'Female' else 'Mixed' end
-  gender_category from room_types"""
-ORACLE["room_charges"] = "select room_type_id, per_day_charges daily_charge from room_types"
+  gender_category from long_room_types"""
+ORACLE["room_charges"] = "select room_type_id, per_day_charges daily_charge from long_room_types"
 ORACLE["rooms_available_by_bed"] = """
 select r.*, k.type_name, k.per_day_charges from rooms r join room_types k using (room_type_id)
 where not r.is_occupied and exists (select 1 from beds b where b.room_id = r.room_id and not b.is_occupied)"""

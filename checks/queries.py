@@ -13,20 +13,20 @@ from wardline.jobs.result import JobResult
 from wardline.operators.summary import total
 from wardline.plans import billing, clinical, lists, reports, scheduling, visits, wards
 from wardline.session import configure
-from wardline.sources.sample import AS_OF, REPORT_DAY, REPORT_RANGE, Sample, hospital_tables
+from wardline.sources.sample import AS_OF, REPORT_DAY, REPORT_RANGE, Sample, hospital_tables, long_lists
 from wardline.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 DATASETS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
-    "specializations": lambda t, s: lists.specializations(t),
+    "specializations": lambda t, s: lists.specializations(long_lists(t, s)),
     "doctor_directory": lambda t, s: lists.doctor_directory(t),
     "doctors_list": lambda t, s: lists.doctors_list(t),
     "doctor_fees": lambda t, s: lists.doctor_fees(t),
     "removed_doctors": lambda t, s: lists.removed_doctors(t),
-    "time_slots": lambda t, s: lists.time_slots(t),
-    "action_types": lambda t, s: lists.action_types(t),
-    "receptionists": lambda t, s: lists.receptionists(t),
-    "reference_dims": lambda t, s: lists.reference_dims(t),
+    "time_slots": lambda t, s: lists.time_slots(long_lists(t, s)),
+    "action_types": lambda t, s: lists.action_types(long_lists(t, s)),
+    "receptionists": lambda t, s: lists.receptionists(long_lists(t, s)),
+    "reference_dims": lambda t, s: lists.reference_dims(long_lists(t, s)),
     "recent_signins": lambda t, s: lists.recent_signins(t),
     "recent_patients": lambda t, s: lists.recent_patients(t),
     "schedules": lambda t, s: scheduling.schedules(t),
@@ -45,7 +45,7 @@ DATASETS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
     "patient_prescriptions": lambda t, s: clinical.patient_prescriptions(t),
     "consultation_actions": lambda t, s: clinical.consultation_actions(t),
     "appointment_patient_card": lambda t, s: clinical.appointment_patient_card(t),
-    "doctor_scheduled_appointments": lambda t, s: clinical.doctor_scheduled_appointments(t, start_date="1999-01-01"),
+    "doctor_scheduled_appointments": lambda t, s: clinical.doctor_scheduled_appointments(t),
     "patient_upcoming_appointments": lambda t, s: clinical.patient_upcoming_appointments(t, "2001-06-01"),
     "doctor_patients_summary": lambda t, s: clinical.doctor_patients_summary(t),
     "doctor_patients_summary_female": lambda t, s: clinical.doctor_patients_summary(t, gender="female"),
@@ -59,8 +59,8 @@ DATASETS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
     ),
     "rooms_occupancy": lambda t, s: wards.rooms_occupancy(t),
     "rooms_department": lambda t, s: wards.rooms_department(t),
-    "room_types": lambda t, s: wards.room_types(t),
-    "room_charges": lambda t, s: wards.room_charges(t),
+    "room_types": lambda t, s: wards.room_types(long_lists(t, s)),
+    "room_charges": lambda t, s: wards.room_charges(long_lists(t, s)),
     "rooms_available_by_bed": lambda t, s: wards.rooms_available_by_bed(t),
     "rooms_available_by_admission": lambda t, s: wards.rooms_available_by_admission(t),
     "active_admissions": lambda t, s: wards.active_admissions(t, AS_OF),

@@ -207,6 +207,28 @@ VIEWS["signup_logs"] = """
 select patient_id signup_log_id, patient_id, first_name, last_name, created_at signup_datetime from patients
 """
 
+# --- reference lists that grow with the sample ----------------------------------
+
+VIEWS["long_specializations"] = """
+select p_partkey + 1 specialization_id, p_name specialization_name from part
+"""
+VIEWS["long_time_slots"] = """
+select p_partkey + 1 slot_id, cast(p_partkey + 1 as int) slot_number, cast(p_partkey * 7 % 1410 as int) start_min,
+  cast(p_partkey * 7 % 1410 + 30 as int) end_min from part
+"""
+VIEWS["long_action_types"] = """
+select p_partkey + 1 action_type_id, p_type action_name from part
+"""
+VIEWS["long_receptionists"] = """
+select c_custkey + 5 receptionist_id, concat('R', c_custkey + 5) receptionist_login_id, c_mktsegment first_name,
+  c_name last_name, concat('0322', c_custkey) contact_no from customer
+"""
+VIEWS["long_room_types"] = """
+select p_partkey + 1 room_type_id, concat(case p_size % 3 when 0 then 'GWARD-' when 1 then 'PRIVATE ' else 'DAY-' end,
+    upper(p_type), case p_partkey % 3 when 0 then '-M' when 1 then '-F' else '' end) type_name,
+  cast(p_retailprice as decimal(10,2)) per_day_charges from part
+"""
+
 # --- request views of the batch jobs ------------------------------------------
 
 VIEWS["visit_requests"] = """

@@ -342,6 +342,39 @@ class Sample:
             "patient_id signup_log_id", "patient_id", "first_name", "last_name", "created_at signup_datetime"
         )
 
+    # --- reference lists that grow with the sample ---------------------------
+
+    def long_specializations(self) -> DataFrame:
+        return self._raw("part").selectExpr("p_partkey + 1 specialization_id", "p_name specialization_name")
+
+    def long_time_slots(self) -> DataFrame:
+        return self._raw("part").selectExpr(
+            "p_partkey + 1 slot_id",
+            "cast(p_partkey + 1 as int) slot_number",
+            "cast(p_partkey * 7 % 1410 as int) start_min",
+            "cast(p_partkey * 7 % 1410 + 30 as int) end_min",
+        )
+
+    def long_action_types(self) -> DataFrame:
+        return self._raw("part").selectExpr("p_partkey + 1 action_type_id", "p_type action_name")
+
+    def long_receptionists(self) -> DataFrame:
+        return self._raw("customer").selectExpr(
+            "c_custkey + 5 receptionist_id",
+            "concat('R', c_custkey + 5) receptionist_login_id",
+            "c_mktsegment first_name",
+            "c_name last_name",
+            "concat('0322', c_custkey) contact_no",
+        )
+
+    def long_room_types(self) -> DataFrame:
+        return self._raw("part").selectExpr(
+            "p_partkey + 1 room_type_id",
+            "concat(case p_size % 3 when 0 then 'GWARD-' when 1 then 'PRIVATE ' else 'DAY-' end, upper(p_type),"
+            " case p_partkey % 3 when 0 then '-M' when 1 then '-F' else '' end) type_name",
+            "cast(p_retailprice as decimal(10,2)) per_day_charges",
+        )
+
     # --- request frames of the batch jobs ----------------------------------
 
     def booking_requests(self) -> DataFrame:
@@ -589,6 +622,17 @@ HOSPITAL = (
 ).split()
 
 
+def long_lists(t: Tables, sample: Sample) -> Tables:
+    """The hospital with reference lists of the size of the sample instead of fixed ones."""
+    return t.replacing(
+        specializations=sample.long_specializations,
+        time_slots=sample.long_time_slots,
+        action_types=sample.long_action_types,
+        receptionists=sample.long_receptionists,
+        room_types=sample.long_room_types,
+    )
+
+
 def hospital_tables(spark: SparkSession, folder: str) -> Tables:
     sample = Sample(spark, folder)
     frames: dict[str, Callable[[], DataFrame]] = {name: getattr(sample, name) for name in HOSPITAL}
