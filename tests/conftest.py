@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wardline.session import local_session
 from wardline.sources.model import TABLES
@@ -28,16 +31,13 @@ def on(text: str) -> dt.date:
 
 def table_frame(spark: SparkSession, name: str, rows: list[dict]) -> DataFrame:
     """A table in its declared schema; columns a row leaves out are NULL."""
-    from decimal import Decimal
-
     schema = TABLES[name].schema
     decimals = {c.name for c in TABLES[name].columns if c.type.startswith("decimal")}
-
-    def value(row: dict, column: str):
-        v = row.get(column)
-        return Decimal(str(v)) if v is not None and column in decimals else v
-
-    return spark.createDataFrame([tuple(value(r, f) for f in schema.fieldNames()) for r in rows], schema)
+    data = [
+        {f: Decimal(str(row[f])) if f in decimals and row.get(f) is not None else row.get(f) for f in schema.fieldNames()}
+        for row in rows
+    ]
+    return spark.createDataFrame(pa.Table.from_pylist(data, schema=to_arrow_schema(schema)), schema)
 
 
 @pytest.fixture()
