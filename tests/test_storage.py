@@ -85,6 +85,23 @@ def test_key_ranges_of_a_database_read():
     assert split_options("visits", "visit_id", 1, 900, 8)["numPartitions"] == "8"
 
 
+def test_bucketed_families_join_without_a_shuffle(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sql("create database wardline_test")
+    try:
+        rows = {"admissions": [stay(i) for i in range(1, 9)], "discharges": [bill(1, "2024-01-31 10:00:00")]}
+        for name in ("admissions", "discharges"):
+            frame = table_frame(spark, name, rows[name])
+            sinks.save_bucketed(frame, name, "wardline_test", str(tmp_path / name), 4)
+        t = Tables.catalog(spark, "wardline_test")
+        joined = t.admissions.select("admission_id").join(t.discharges.select("admission_id"), "admission_id", "left_anti")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 7
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop database wardline_test cascade")
+
+
 def test_a_stay_from_admission_to_discharge_in_storage(spark, hospital, requests, tmp_path):
     root = str(tmp_path)
     given = hospital(

@@ -49,6 +49,7 @@ class Table:
     key_step: int = 1
     login: tuple[str, str] | None = None  # derived login id: (column, prefix)
     month_of: str | None = None  # facts are stored by the month of this column
+    together_by: str | None = None  # a key, unique here, that it shares with the table it is joined to one to one
     by_name: dict[str, Column] = field(default_factory=dict, compare=False)
 
     def __post_init__(self) -> None:
@@ -117,7 +118,7 @@ TABLES: dict[str, Table] = {
             (_ref("patient_id"), *_person("patient_login_id"), _count("age", 0, 150, required=True),
              _text("gender", 10, one_of=V.GENDERS), _text("blood_group", 5, one_of=V.BLOOD_GROUPS),
              _text("phone_no", 20), _moment("created_at", NOW)),
-            first_key=1000, login=("patient_login_id", "P"),
+            first_key=1000, login=("patient_login_id", "P"), together_by="patient_id",
         ),
         Table(
             "receptionists", "receptionist_id",
@@ -187,7 +188,7 @@ TABLES: dict[str, Table] = {
              _moment("created_at", NOW)),
             references=(Reference("patient_id", "patients", "cascade"), Reference("doctor_id", "doctors", "cascade"),
                         Reference("slot_id", "time_slots", "clear"), Reference("status_id", "appointment_statuses")),
-            month_of="appointment_date",
+            month_of="appointment_date", together_by="appointment_id",
         ),
         Table(
             "appointment_cancellations", "cancellation_id",
@@ -211,7 +212,7 @@ TABLES: dict[str, Table] = {
              _text("diagnosis", 500), _moment("consultation_date", NOW)),
             references=(Reference("appointment_id", "appointments", "cascade"), Reference("doctor_id", "doctors"),
                         Reference("patient_id", "patients")),
-            unique=(("appointment_id",),), month_of="consultation_date",
+            unique=(("appointment_id",),), month_of="consultation_date", together_by="appointment_id",
         ),
         Table(
             "prescribed_medicines", "medicine_id",
@@ -242,7 +243,7 @@ TABLES: dict[str, Table] = {
                         Reference("consultation_id", "consultations"), Reference("action_id", "consultation_actions"),
                         Reference("initial_room_id", "rooms"), Reference("bed_id", "beds"),
                         Reference("assigned_by_receptionist_id", "receptionists")),
-            month_of="admission_date",
+            month_of="admission_date", together_by="admission_id",
         ),
         Table(
             "admitted_patient_visits", "visit_id",
@@ -271,7 +272,7 @@ TABLES: dict[str, Table] = {
                         Reference("doctor_id", "doctors"),
                         Reference("processed_by_receptionist_id", "receptionists"),
                         Reference("discharge_approved_by_visit_id", "admitted_patient_visits")),
-            unique=(("admission_id",),), month_of="discharge_date",
+            unique=(("admission_id",),), month_of="discharge_date", together_by="admission_id",
         ),
     )
 }

@@ -44,6 +44,23 @@ def write_table(df: DataFrame, table: str, path: str) -> None:
     _write(df, table, path, "overwrite")
 
 
+def save_bucketed(df: DataFrame, table: str, database: str, path: str, buckets: int) -> None:
+    """Store a table in the catalog, hash-bucketed where it is joined one to one.
+
+    Appointments and consultations, and admissions and discharges, then join without a
+    shuffle, given the same number of buckets. Only keys that are unique in the table
+    are used, so no bucket can be larger than the others; visits, forms and medicines
+    are stored plainly, because one stay may hold very many of them.
+    """
+    key = TABLES[table].together_by
+    writer = df.write.mode("overwrite").option("path", path)
+    if key is not None:
+        # One task per bucket, or each task would write a file into every bucket.
+        writer = df.repartition(buckets, key).write.mode("overwrite").option("path", path)
+        writer = writer.bucketBy(buckets, key).sortBy(key)
+    writer.saveAsTable(f"{database}.{table}")
+
+
 def touched_months(changed: DataFrame, table: str) -> list[str] | None:
     """The storage months that hold changed rows; None for a table without months."""
     if TABLES[table].month_of is None:

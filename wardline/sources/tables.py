@@ -62,6 +62,15 @@ class Tables:
 
         return cls({name: reader(name) for name in TABLES})
 
+    @classmethod
+    def catalog(cls, spark: SparkSession, database: str) -> "Tables":
+        """Tables of a database in the Spark catalog, where their bucketing is known."""
+
+        def reader(name: str) -> Callable[[], DataFrame]:
+            return lambda: spark.table(f"{database}.{name}")
+
+        return cls({name: reader(name) for name in TABLES})
+
     @classmethod
     def jdbc(cls, spark: SparkSession, url: str, properties: Mapping[str, str], partitions: int = 64) -> "Tables":
         """Tables read from a relational database, each split by ranges of its key."""
