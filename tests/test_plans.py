@@ -67,6 +67,7 @@ def test_filters_and_columns_reach_the_scan(stored, no_broadcast):
     text = plan(reports.doctors_range(stored, "2024-03-01", "2024-03-31"))
     (line,) = scans(text, "appointments")
     assert "GreaterThanOrEqual(appointment_date,2024-03-01)" in line
+    assert "(month#" in line and ">= 2024-03)" in line and "<= 2024-03)" in line
     assert "ReadSchema: struct<appointment_id:bigint,doctor_id:bigint,appointment_date:date,status_id:bigint>" in line
     (line,) = scans(text, "admitted_patient_visits")
     assert "GreaterThanOrEqual(visit_datetime,2024-03-01T00:00)" in line
@@ -78,7 +79,7 @@ def test_filters_and_columns_reach_the_scan(stored, no_broadcast):
     (line,) = scans(plan(wards.active_admissions_report(stored)), "admissions")
     assert "EqualTo(is_active,true)" in line
     (line,) = scans(plan(billing.doctor_discharge_stats(stored, "2024-03-31")), "discharges")
-    assert "GreaterThanOrEqual(discharge_date,2024-02-29T00:00)" in line
+    assert "GreaterThanOrEqual(discharge_date,2024-02-29T00:00)" in line and ">= 2024-01)" in line
 
 
 def test_the_daily_patient_report_reads_no_billing_tables(stored, no_broadcast):
@@ -107,3 +108,37 @@ def test_booking_cuts_a_hot_slot_before_its_rows_meet(stored, no_broadcast, requ
 def test_limits_do_not_sort_the_table(stored, no_broadcast):
     text = plan(billing.recent_discharges(stored))
     assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
+
+
+def test_a_hot_key_is_split_at_the_join(spark, no_broadcast, hospital):
+    """A third of all discharges belong to one patient; its join partition is split."""
+    from pyspark.sql import functions as F
+
+    settings = {
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        rows = spark.range(0, 120_000, 1, 8)
+        hot = F.when(F.col("id") % 3 == 0, 1000).otherwise(1000 + F.pmod(F.xxhash64("id"), F.lit(5000)))
+        bills = rows.select(
+            F.col("id").alias("discharge_id"), F.col("id").alias("admission_id"), hot.cast("bigint").alias("patient_id"),
+            F.lit(10).cast("bigint").alias("doctor_id"), F.lit(5).cast("bigint").alias("processed_by_receptionist_id"),
+            F.lit(at("2024-03-01")).alias("discharge_date"),
+        )
+        people = spark.range(1000, 6000, 1, 8).select(
+            F.col("id").alias("patient_id"), F.lit("A").alias("first_name"), F.lit("B").alias("last_name")
+        )
+        t = hospital(**DIMENSIONS).replacing(discharges=bills, patients=people)
+        df = billing.discharge_search(t, "cardio")
+        assert len(df.collect()) == 120_000
+        assert "skew=true" in plan(df)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -35,7 +35,7 @@ def book_slots(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep = lazil
     """
     first, last = booking_window(as_of)
     day = F.col("appointment_date")
-    open_rows = t.appointments.filter(
+    open_rows = t.of_months("appointments", first, last).filter(
         day.between(as_day(first), as_day(last)) & (F.col("status_id") != V.CANCELLED)
     ).select("patient_id", "doctor_id", "appointment_date", "slot_id")
     held_pairs = open_rows.select("patient_id", "doctor_id", "appointment_date").distinct()

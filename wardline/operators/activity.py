@@ -61,19 +61,21 @@ def doctor_activity(
 
     The facts are counted in one aggregate: a single shuffle of partial counts.
     """
-    booked = t.appointments.filter(F.col("appointment_date").between(as_day(first), as_day(last)))
+    booked = t.of_months("appointments", first, last)
+    booked = booked.filter(F.col("appointment_date").between(as_day(first), as_day(last)))
     if skip_cancelled:
         booked = booked.filter(F.col("status_id") != V.CANCELLED)
     consultations = t.consultations
     if consulted_in_range:
-        consultations = consultations.filter(within("consultation_date", first, last))
+        consultations = t.of_months("consultations", first, last).filter(within("consultation_date", first, last))
     booked = _with_consultation(booked.select("appointment_id", "doctor_id", "status_id"), consultations)
+    visits = t.of_months("admitted_patient_visits", first, last).filter(within("visit_datetime", first, last))
     facts = [
         booked.select("doctor_id", "appointment_id", "status_id", "consulted"),
-        t.admitted_patient_visits.filter(within("visit_datetime", first, last)).select("doctor_id", "visit_id"),
+        visits.select("doctor_id", "visit_id"),
     ]
     if admissions:
-        stays = t.admissions.filter(within("admission_date", first, last))
+        stays = t.of_months("admissions", first, last).filter(within("admission_date", first, last))
         facts.append(stays.select("doctor_id", "admission_id"))
     status = F.col("status_id")
     counts = [
@@ -96,8 +98,8 @@ def touched_patients(t: Tables, first: Moment, last: Moment, within: Within) ->
     inside = F.col("appointment_date").between(as_day(first), as_day(last))
     parts = (
         t.patients.filter(within("created_at", first, last)),
-        t.appointments.filter(inside),
-        t.admissions.filter(within("admission_date", first, last)),
+        t.of_months("appointments", first, last).filter(inside),
+        t.of_months("admissions", first, last).filter(within("admission_date", first, last)),
     )
     return reduce(DataFrame.unionAll, [p.select("patient_id") for p in parts]).distinct()
 

@@ -56,7 +56,7 @@ def doctor_discharged_patients(
     ``end_date`` is a moment: a plain date stops at its first instant. The limit
     comes before the joins, whose references are all mandatory.
     """
-    rows = t.discharges.select(
+    rows = t.of_months("discharges", start_date, end_date).select(
         "discharge_id", "admission_id", "patient_id", "doctor_id", "discharge_date", "total_days", "total_amount",
         "payment_status", "amount_paid", "final_diagnosis", "discharge_summary", "follow_up_required",
         "follow_up_date",
@@ -150,7 +150,12 @@ def doctor_discharge_stats(
     t: Tables, as_of: Moment, period: str = "month", doctor_id: int | None = None
 ) -> DataFrame:
     """Discharge counts, revenue, stay and payments per doctor over a period."""
-    recent = _keep(t.discharges, "doctor_id", doctor_id).filter(F.col("discharge_date") >= period_start(as_of, period))
+    # A month that is not later than the start of the period.
+    months = 12 if period == "year" else 1
+    earliest = (to_datetime(as_of).replace(day=1) - dt.timedelta(days=31 * months)).replace(day=1)
+    recent = _keep(t.of_months("discharges", earliest), "doctor_id", doctor_id).filter(
+        F.col("discharge_date") >= period_start(as_of, period)
+    )
     return summarise(
         recent,
         "doctor_id",

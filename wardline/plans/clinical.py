@@ -151,7 +151,8 @@ def doctor_scheduled_appointments(
     t: Tables, doctor_id: int | None = None, start_date: Moment | None = None, end_date: Moment | None = None
 ) -> DataFrame:
     """Appointments still in status Scheduled, optionally of a date range."""
-    rows = _keep(t.appointments, "doctor_id", doctor_id).filter(F.col("status_id") == V.SCHEDULED)
+    rows = _keep(t.of_months("appointments", start_date, end_date), "doctor_id", doctor_id)
+    rows = rows.filter(F.col("status_id") == V.SCHEDULED)
     if start_date is not None:
         rows = rows.filter(F.col("appointment_date") >= as_day(start_date))
     if end_date is not None:
@@ -177,7 +178,7 @@ def doctor_scheduled_appointments(
 
 def patient_upcoming_appointments(t: Tables, as_of: Moment, patient_id: int | None = None) -> DataFrame:
     """Appointments from today on that are not cancelled."""
-    rows = _keep(t.appointments, "patient_id", patient_id).filter(
+    rows = _keep(t.of_months("appointments", as_of), "patient_id", patient_id).filter(
         (F.col("appointment_date") >= as_day(as_of)) & (F.col("status_id") != V.CANCELLED)
     )
     doctors = doctor_names(t, "specialization_id", "consultation_fee").join(

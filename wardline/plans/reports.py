@@ -180,11 +180,12 @@ def _four_counts(t: Tables, first: Moment, last: Moment) -> DataFrame:
     Every table is filtered and tagged, and one aggregate counts the tags, so the
     tables are scanned side by side and only partial counts are shuffled.
     """
+    booked, seen, stays = (t.of_months(n, first, last) for n in ("appointments", "consultations", "admissions"))
     parts = {
         "new_patients": t.patients.filter(between_days("created_at", first, last)),
-        "appointments": t.appointments.filter(F.col("appointment_date").between(as_day(first), as_day(last))),
-        "consultations": t.consultations.filter(between_days("consultation_date", first, last)),
-        "admissions": t.admissions.filter(between_days("admission_date", first, last)),
+        "appointments": booked.filter(F.col("appointment_date").between(as_day(first), as_day(last))),
+        "consultations": seen.filter(between_days("consultation_date", first, last)),
+        "admissions": stays.filter(between_days("admission_date", first, last)),
     }
     tagged = [df.select(F.lit(name).alias("kind")) for name, df in parts.items()]
     return reduce(DataFrame.unionAll, tagged).agg(
@@ -205,7 +206,7 @@ def range_summary(t: Tables, as_of: Moment, start_date: Moment | None = None, en
 
 def today_appointments(t: Tables, as_of: Moment) -> DataFrame:
     """Appointments of the day in any status."""
-    rows = t.appointments.filter(F.col("appointment_date") == as_day(as_of))
+    rows = t.of_months("appointments", as_of, as_of).filter(F.col("appointment_date") == as_day(as_of))
     return (
         rows.join(patient_names(t, "patient_login_id"), "patient_id")
         .join(doctor_names(t, title=V.DOCTOR_TITLE), "doctor_id")

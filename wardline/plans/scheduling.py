@@ -38,7 +38,7 @@ def booking_window(as_of: Moment) -> tuple[dt.date, dt.date]:
 
 def taken_slots(t: Tables, first: dt.date, last: dt.date) -> DataFrame:
     """Distinct (doctor, date, slot) of appointments that are not cancelled."""
-    open_rows = t.appointments.filter(
+    open_rows = t.of_months("appointments", first, last).filter(
         F.col("appointment_date").between(as_day(first), as_day(last))
         & (F.col("status_id") != V.CANCELLED)
         & F.col("slot_id").isNotNull()

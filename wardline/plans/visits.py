@@ -106,7 +106,8 @@ def _condition_counts(suffix: str) -> list[Column]:
 
 def _since(t: Tables, as_of: Moment, days: int, doctor_id: int | None) -> DataFrame:
     start = to_datetime(as_of) - dt.timedelta(days=days)
-    return _keep(t.admitted_patient_visits, "doctor_id", doctor_id).filter(F.col("visit_datetime") >= as_moment(start))
+    visits = _keep(t.of_months("admitted_patient_visits", start), "doctor_id", doctor_id)
+    return visits.filter(F.col("visit_datetime") >= as_moment(start))
 
 
 def doctor_visits_summary(

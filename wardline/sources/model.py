@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from wardline import fixed_values as V
 
 NOW = object()  # default "time of the run"
+MONTH = "month"  # storage partition of the facts: yyyy-MM of their date
 
 
 @dataclass(frozen=True)

@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions import as_day, as_moment
-from wardline.sources.model import TABLES
+from wardline.sources.model import MONTH, TABLES
 
-MONTH = "month"
 NO_MONTH = "none"
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.sources.model import TABLES
+from wardline.functions.time import Moment, to_datetime
+from wardline.sources.model import MONTH, TABLES
 
 Frame = DataFrame | Callable[[], DataFrame]
 
@@ -20,8 +21,9 @@ class Tables:
     already there are kept as they are. ``password`` columns never pass.
     """
 
-    def __init__(self, frames: Mapping[str, Frame]):
+    def __init__(self, frames: Mapping[str, Frame], by_month: bool = False):
         self._sources: dict[str, Frame] = dict(frames)
+        self._by_month = by_month
         self._loaded: dict[str, DataFrame] = {}
 
     def __contains__(self, name: str) -> bool:
@@ -49,18 +51,39 @@ class Tables:
             return self[name]
         raise AttributeError(name)
 
+    def of_months(self, name: str, first: Moment | None = None, last: Moment | None = None) -> DataFrame:
+        """A fact for which only rows dated from ``first`` to ``last`` matter.
+
+        Where the fact is stored by month, other months are not read. The rows of the
+        first and last month are all there: filter them by the date itself.
+        """
+        if not self._by_month or TABLES[name].month_of is None or MONTH not in self.source(name).columns:
+            return self[name]
+        rows = self.source(name)
+        if first is not None:
+            rows = rows.filter(F.col(MONTH) >= f"{to_datetime(first):%Y-%m}")
+        if last is not None:
+            rows = rows.filter(F.col(MONTH) <= f"{to_datetime(last):%Y-%m}")
+        return conform(rows, name)
+
     def replacing(self, **frames: Frame) -> "Tables":
         """A copy in which some tables are exchanged for new states."""
-        return Tables({**self._sources, **frames})
+        return Tables({**self._sources, **frames}, self._by_month)
 
     @classmethod
     def parquet(cls, spark: SparkSession, root: str) -> "Tables":
         """Tables stored as ``root/<table>`` Parquet folders, read with the declared schema."""
 
         def reader(name: str) -> Callable[[], DataFrame]:
-            return lambda: spark.read.schema(TABLES[name].schema).parquet(f"{root}/{name}")
+            def load() -> DataFrame:
+                schema = TABLES[name].schema
+                if TABLES[name].month_of is not None:
+                    schema = schema.add(MONTH, "string")
+                return spark.read.schema(schema).parquet(f"{root}/{name}")
 
-        return cls({name: reader(name) for name in TABLES})
+            return load
+
+        return cls({name: reader(name) for name in TABLES}, by_month=True)
 
     @classmethod
     def catalog(cls, spark: SparkSession, database: str) -> "Tables":
