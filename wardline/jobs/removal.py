@@ -16,10 +16,11 @@ from wardline.sources.model import TABLES
 from wardline.sources.tables import Tables
 
 
-def _doomed_rows(t: Tables, table: str, keys: DataFrame, owner: str) -> dict[str, DataFrame]:
+def _doomed_rows(t: Tables, table: str, keys: DataFrame, owner: str, keep: Keep) -> dict[str, DataFrame]:
     """Rows that fall with removed parents: per table its keys, with the removed owner.
 
-    Follows the cascading references of the model down from ``table``.
+    Follows the cascading references of the model down from ``table``; ``keep`` lets
+    each level be computed once for all levels below it.
     """
     fallen = {table: keys}
     pending = [table]
@@ -32,7 +33,7 @@ def _doomed_rows(t: Tables, table: str, keys: DataFrame, owner: str) -> dict[str
                     continue
                 gone = fallen[parent].select(F.col(parent_key).alias(reference.column), owner)
                 rows = t[child.name].select(child.key, reference.column).join(gone, reference.column)
-                rows = rows.select(child.key, owner)
+                rows = keep(rows.select(child.key, owner))
                 fallen[child.name] = fallen[child.name].union(rows).distinct() if child.name in fallen else rows
                 pending.append(child.name)
     return fallen
@@ -71,7 +72,7 @@ def remove_doctors(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep = l
     )
     known = asked.select("doctor_id").distinct().join(people.select("doctor_id"), "doctor_id")
     owner = "removed_owner"
-    fallen = _doomed_rows(t, "doctors", known.select("doctor_id", F.col("doctor_id").alias(owner)), owner)
+    fallen = _doomed_rows(t, "doctors", known.select("doctor_id", F.col("doctor_id").alias(owner)), owner, keep)
     blocked = _blocked_owners(t, fallen, owner).select(F.col(owner).alias("doctor_id"), F.lit(True).alias("blocked"))
     checked = asked.join(people, "doctor_id", "left").join(blocked, "doctor_id", "left")
     checked = with_known(checked, t.admin, "removed_by_admin_id", "admin_known", "admin_id")

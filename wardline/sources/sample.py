@@ -477,7 +477,7 @@ class Sample:
         """Patches of the ward visits of the same order number as the event."""
         visits = self.admitted_patient_visits().select("visit_id", "admission_id")
         return self._raw("events").join(visits, F.col("event_id") == F.col("admission_id")).selectExpr(
-            "event_id * 1000000000000 + visit_id % 1000000000 request_id",
+            _PATCH_KEY + " request_id",
             "ts requested_at",
             "visit_id",
             _map(
@@ -612,7 +612,21 @@ def _map(**fields: tuple[str, str]) -> str:
     return f"map_from_entries(array_compact(array({entries}))) changes"
 
 
-_LINE_KEY = "l_orderkey * 1000000000 + l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey"
+def _wide_key(formula: str, *parts: str) -> str:
+    """A composite key as one number; a 62-bit hash where the number leaves 64 bits.
+
+    ``formula`` uses try_ arithmetic. Only samples far beyond the given ones get there.
+    """
+    return f"coalesce({formula}, shiftrightunsigned(xxhash64({', '.join(parts)}), 2))"
+
+
+_LINE_KEY = _wide_key(
+    "try_add(try_multiply(l_orderkey, 1000000000L), l_linenumber * 100000000L + l_partkey * 1000L + l_suppkey)",
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+)
+_PATCH_KEY = _wide_key(
+    "try_add(try_multiply(event_id, 1000000000000L), visit_id % 1000000000L)", "event_id", "visit_id"
+)
 
 HOSPITAL = (
     "specializations doctors patients receptionists admin time_slots doctor_schedules appointment_statuses"
