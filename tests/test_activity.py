@@ -132,6 +132,14 @@ def test_summary_ends_registrations_at_midnight(hospital):
     assert summary["period"] == "2024-03-01 to 2024-03-03"
 
 
+def test_summaries_take_a_given_detail(hospital):
+    t = hospital(**random_hospital(9))
+    detail = reports.patients_range(t, FIRST, LAST)
+    given = reports.patients_range_summary(t, FIRST, LAST, detail=detail.limit(0)).first()
+    assert (given["total_patients"], int(given["total_revenue"]), given["period"]) == (0, 0, f"{FIRST} to {LAST}")
+    assert reports.patients_range_summary(t, FIRST, LAST, detail=detail).first()["total_patients"] == detail.count()
+
+
 def test_empty_tables_give_zero_rows_and_counts(hospital):
     t = hospital()
     assert reports.doctors_range(t, FIRST, LAST).count() == 0

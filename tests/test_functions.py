@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from conftest import at, on
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from wardline.functions import (
     to_last_second,
     weekday,
 )
-from wardline.session import cluster_settings
+from wardline.session import checkpoint_folder, cluster_settings, stage
 
 
 def one(spark, column):
@@ -93,3 +94,13 @@ def test_shuffle_partitions_follow_the_data():
     small, large = cluster_settings(10**9, 16), cluster_settings(100 * 10**12, 8000)
     name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     assert (small[name], int(large[name]) > 700_000) == ("32", True)
+
+
+def test_checkpoints_go_where_the_cluster_says(spark):
+    assert checkpoint_folder("hdfs:///shared", "yarn") == "hdfs:///shared"
+    assert "wardline-checkpoint-" in checkpoint_folder(None, "local[4]")
+    with pytest.raises(RuntimeError):
+        checkpoint_folder(None, "yarn")
+    staged = stage(spark.range(3).selectExpr("id * 2 as n"))
+    assert sorted(r["n"] for r in staged.collect()) == [0, 2, 4]
+    assert "Project" not in staged._jdf.queryExecution().optimizedPlan().toString()

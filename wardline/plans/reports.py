@@ -1,6 +1,7 @@
 """Daily and date-range activity reports.
 
-Each report is a detail frame and a one-row summary computed from it.
+Each report is a detail frame and a one-row summary computed from it. A summary takes
+the ``detail`` frame where the caller has it already, for instance staged.
 """
 
 from __future__ import annotations
@@ -60,15 +61,15 @@ def daily_patients(t: Tables, date: Moment) -> DataFrame:
     )
 
 
-def daily_patients_summary(t: Tables, date: Moment) -> DataFrame:
+def daily_patients_summary(t: Tables, date: Moment, detail: DataFrame | None = None) -> DataFrame:
     on_day = between_days("registration_date", date, date)
-    return daily_patients(t, date).agg(
+    detail = daily_patients(t, date) if detail is None else detail
+    return detail.agg(
         _rows().alias("total_patients"),
         F.count_if(on_day).alias("new_patients"),
         _total("appointments_today").alias("appointments_today"),
         _total("admissions_today").alias("admissions_today"),
-        F.first(as_day(date)).alias("date"),
-    )
+    ).withColumn("date", as_day(date))
 
 
 def daily_doctors(t: Tables, date: Moment) -> DataFrame:
@@ -93,13 +94,13 @@ def daily_doctors(t: Tables, date: Moment) -> DataFrame:
     )
 
 
-def daily_doctors_summary(t: Tables, date: Moment) -> DataFrame:
-    return daily_doctors(t, date).agg(
+def daily_doctors_summary(t: Tables, date: Moment, detail: DataFrame | None = None) -> DataFrame:
+    detail = daily_doctors(t, date) if detail is None else detail
+    return detail.agg(
         _rows().alias("total_doctors"),
         _total("total_appointments_today").alias("total_appointments"),
         _total_money("revenue_today").alias("total_revenue"),
-        F.first(as_day(date)).alias("date"),
-    )
+    ).withColumn("date", as_day(date))
 
 
 def patients_range(t: Tables, start_date: Moment, end_date: Moment) -> DataFrame:
@@ -123,20 +124,22 @@ def patients_range(t: Tables, start_date: Moment, end_date: Moment) -> DataFrame
 
 def _period(start_date: Moment, end_date: Moment) -> Column:
     first, last = to_datetime(start_date).date(), to_datetime(end_date).date()
-    return F.first(F.lit(f"{first} to {last}")).alias("period")
+    return F.lit(f"{first} to {last}")
 
 
-def patients_range_summary(t: Tables, start_date: Moment, end_date: Moment) -> DataFrame:
+def patients_range_summary(
+    t: Tables, start_date: Moment, end_date: Moment, detail: DataFrame | None = None
+) -> DataFrame:
     """Totals of the range. New registrations end at midnight at the start of the last day."""
     registered = F.col("registration_date").between(as_moment(start_date), as_moment(end_date))
-    return patients_range(t, start_date, end_date).agg(
+    detail = patients_range(t, start_date, end_date) if detail is None else detail
+    return detail.agg(
         _rows().alias("total_patients"),
         F.count_if(registered).alias("new_registrations"),
         _total("total_appointments").alias("total_appointments"),
         _total("total_admissions").alias("total_admissions"),
         _total_money("total_spent").alias("total_revenue"),
-        _period(start_date, end_date),
-    )
+    ).withColumn("period", _period(start_date, end_date))
 
 
 def doctors_range(t: Tables, start_date: Moment, end_date: Moment) -> DataFrame:
@@ -164,14 +167,16 @@ def doctors_range(t: Tables, start_date: Moment, end_date: Moment) -> DataFrame:
     )
 
 
-def doctors_range_summary(t: Tables, start_date: Moment, end_date: Moment) -> DataFrame:
-    return doctors_range(t, start_date, end_date).agg(
+def doctors_range_summary(
+    t: Tables, start_date: Moment, end_date: Moment, detail: DataFrame | None = None
+) -> DataFrame:
+    detail = doctors_range(t, start_date, end_date) if detail is None else detail
+    return detail.agg(
         _rows().alias("total_doctors"),
         _total("total_appointments").alias("total_appointments"),
         _total_money("total_revenue").alias("total_revenue"),
         F.coalesce(mean("completion_rate"), F.lit(0.0)).alias("average_completion_rate"),
-        _period(start_date, end_date),
-    )
+    ).withColumn("period", _period(start_date, end_date))
 
 
 def _four_counts(t: Tables, first: Moment, last: Moment) -> DataFrame:

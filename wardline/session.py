@@ -68,19 +68,24 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def checkpoint_folder(configured: str | None, master: str) -> str:
+    """The folder the cluster names; a private one only on a single machine."""
+    if configured:
+        return configured
+    if not master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    return tempfile.mkdtemp(prefix="wardline-checkpoint-")
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` so that several outputs share one evaluation.
 
-    The files go to the shared folder the cluster names in
-    ``spark.checkpoint.dir`` and so survive the loss of executors. A private
-    folder is used only where that setting is absent and Spark runs on one
-    machine.
+    The files go to the shared folder the cluster names in ``spark.checkpoint.dir``
+    and so survive the loss of executors.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="wardline-checkpoint-"))
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(checkpoint_folder(configured, context.master))
     return df.checkpoint()
