@@ -145,6 +145,15 @@ select ca.* exclude (status), case when d.action_id is null then ca.status else
   case when d.action_id is not null then {AS_OF} end completed_at
 from consultation_actions ca left join (select distinct action_id from decided where reason is null) d
   on d.action_id = ca.action_id"""
+JOB_ORACLE["admit_confirmations"] = _ADMIT + f"""
+select d.new_id admission_id, d.patient_id, d.doctor_id, d.consultation_id, d.action_id,
+  cast(d.initial_room_id as bigint) initial_room_id, cast(d.bed_id as bigint) bed_id, {AS_OF} admission_date,
+  cast(null as timestamp) discharge_date, true is_active, d.admission_notes, d.assigned_by_receptionist_id,
+  concat(p.first_name, ' ', p.last_name) patient_name, concat(o.first_name, ' ', o.last_name) doctor_name,
+  r.room_number, b.bed_number, b.bed_code, k.type_name room_type
+from decided d join patients p on p.patient_id = d.patient_id join doctors o on o.doctor_id = d.doctor_id
+join rooms r on r.room_id = d.initial_room_id join room_types k on k.room_type_id = r.room_type_id
+join beds b on b.bed_id = d.bed_id where d.reason is null"""
 JOB_ORACLE["admit_beds"] = _ADMIT + "select * from new_beds"
 JOB_ORACLE["admit_rooms"] = _ADMIT + """
 select r.* exclude (is_occupied), r.is_occupied or (r.room_id in (select bed_room from decided where reason is null)
@@ -196,6 +205,21 @@ JOB_ORACLE["discharge_total_bill"] = _TOTAL + """
 select request_id, requested_at, case when reason is null then new_id end discharge_id, admission_id, patient_id,
   doctor_id, total_days, room_charges,
   cast(total_bill - room_charges as decimal(12,2)) medical_charges, total_bill, discharge_date, reason from decided"""
+JOB_ORACLE["discharge_total_bill_rows"] = _TOTAL + """
+select new_id discharge_id, admission_id, patient_id, doctor_id, discharge_date, total_days,
+  cast(room_charges as decimal(10,2)) room_charges, cast(total_bill - room_charges as decimal(10,2)) medical_charges,
+  cast(0 as decimal(10,2)) doctor_visit_charges, cast(0 as decimal(10,2)) lab_charges,
+  cast(0 as decimal(10,2)) other_charges, cast(total_bill as decimal(10,2)) total_amount, 'Paid' payment_status,
+  cast(total_bill as decimal(10,2)) amount_paid, cast(null as timestamp) payment_date,
+  cast(null as varchar) final_diagnosis, cast(null as varchar) discharge_summary,
+  cast(null as varchar) discharge_instructions, false follow_up_required, cast(null as date) follow_up_date,
+  discharged_by_receptionist_id processed_by_receptionist_id, cast(null as bigint) discharge_approved_by_visit_id
+from decided where reason is null"""
+JOB_ORACLE["discharge_total_bill_admissions"] = _TOTAL + f"""
+select a.* exclude (is_active, discharge_date), a.is_active and d.admission_id is null is_active,
+  case when d.admission_id is null then a.discharge_date else {AS_OF} end discharge_date
+from admissions a left join (select admission_id from decided where reason is null) d
+  on d.admission_id = a.admission_id"""
 JOB_ORACLE["discharge_total_bill_beds"] = _TOTAL + "select * from new_beds"
 JOB_ORACLE["discharge_total_bill_rooms"] = _TOTAL + """
 select r.* exclude (is_occupied), case when r.room_id in (select initial_room_id from decided where reason is null)
@@ -259,6 +283,12 @@ full_rooms as (select room_id, bool_and(is_occupied) full_room, bool_or(touched)
 select r.* exclude (is_occupied), case when x.touched then x.full_room else r.is_occupied end is_occupied
 from rooms r left join full_rooms x on x.room_id = r.room_id"""
 
+JOB_ORACLE["set_room_flags_rooms"] = """
+select r.* exclude (is_occupied), coalesce(x.is_occupied, r.is_occupied) is_occupied
+from rooms r left join (select room_id, is_occupied from room_requests
+  qualify row_number() over (partition by room_id order by requested_at desc, request_id desc) = 1) x
+  on x.room_id = r.room_id"""
+
 # --- patches ---------------------------------------------------------------
 
 
@@ -351,6 +381,9 @@ JOB_ORACLE["delete_schedules"] = """
 select request_id, requested_at, schedule_id, case when schedule_id not in (select schedule_id from doctor_schedules)
   or row_number() over (partition by schedule_id order by requested_at, request_id) > 1 then 'Not found' end reason
 from schedule_deletions"""
+JOB_ORACLE["delete_schedules_state"] = """
+select s.*, cast(null as timestamp) created_at, cast(null as timestamp) updated_at from doctor_schedules s
+where schedule_id not in (select schedule_id from schedule_deletions)"""
 
 # --- ingest ----------------------------------------------------------------
 
@@ -442,6 +475,22 @@ JOB_ORACLE["ingest_medicines"] = f"""with recursive decided as (
 select r.*, case when reason is null then {new_id("prescribed_medicines", "medicine_id", "new_medicines")} end medicine_id
 from decided r"""
 
+JOB_ORACLE["ingest_receptionists"] = f"""
+select {new_id("receptionists", "receptionist_id", "new_receptionists")} receptionist_id,
+  concat('R', {new_id("receptionists", "receptionist_id", "new_receptionists")}) receptionist_login_id, first_name,
+  last_name, nullif(contact_no, '') contact_no, {AS_OF} created_at
+from new_receptionists r where last_name is not null"""
+JOB_ORACLE["ingest_actions"] = f"""with recursive decided as (
+  select r.*, case when consultation_id = 0 or action_type_id = 0 then 'Required fields missing'
+    when consultation_id not in (select consultation_id from consultations)
+      or action_type_id not in (select action_type_id from action_types) then 'Referenced row not found' end reason
+  from new_actions r)
+select r.*, case when reason is null then {new_id("consultation_actions", "action_id", "new_actions")} end action_id
+from decided r"""
+JOB_ORACLE["ingest_signins"] = f"""
+select {new_id("signin_logs", "log_id", "new_signins")} log_id, user_id, user_type, {AS_OF} signin_datetime
+from new_signins r where user_type is not null"""
+
 # --- quality ---------------------------------------------------------------
 
 JOB_ORACLE["quality_visits"] = """

@@ -148,9 +148,12 @@ JOBS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
     "record_visits_admissions": lambda t, s: _state(_visits(t, s), "admissions"),
     "admit": lambda t, s: _admit(t, s).decisions.select("request_id", "bed_id", "admission_id", "reason"),
     "admit_actions": lambda t, s: _state(_admit(t, s), "consultation_actions"),
+    "admit_confirmations": lambda t, s: admission.admission_confirmations(t, _admit(t, s).appended["admissions"]),
     "admit_beds": lambda t, s: _state(_admit(t, s), "beds"),
     "admit_rooms": lambda t, s: _state(_admit(t, s), "rooms"),
     "discharge_total_bill": lambda t, s: _total_bill(t, s).decisions,
+    "discharge_total_bill_rows": lambda t, s: _total_bill(t, s).appended["discharges"],
+    "discharge_total_bill_admissions": lambda t, s: _state(_total_bill(t, s), "admissions"),
     "discharge_total_bill_beds": lambda t, s: _state(_total_bill(t, s), "beds"),
     "discharge_total_bill_rooms": lambda t, s: _state(_total_bill(t, s), "rooms"),
     "discharge_itemised": lambda t, s: _itemised(t, s).decisions,
@@ -158,6 +161,7 @@ JOBS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
     "discharge_final_amount_admissions": lambda t, s: _state(_final(t, s), "admissions"),
     "room_occupancy": lambda t, s: occupancy.recompute_room_occupancy(t),
     "set_bed_flags_rooms": lambda t, s: _state(occupancy.set_bed_flags(t, s.bed_requests()), "rooms"),
+    "set_room_flags_rooms": lambda t, s: _state(occupancy.set_room_flags(t, s.room_requests()), "rooms"),
     "patch_schedules": lambda t, s: _state(
         patches.apply_patches(t, "doctor_schedules", s.schedule_patches(), AS_OF), "doctor_schedules"
     ),
@@ -177,6 +181,9 @@ JOBS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
     "remove_doctors_appointments": lambda t, s: _state(_removal(t, s), "appointments"),
     "remove_doctors_medicines": lambda t, s: _state(_removal(t, s), "prescribed_medicines"),
     "delete_schedules": lambda t, s: removal.delete_schedules(t, s.schedule_deletions()).decisions,
+    "delete_schedules_state": lambda t, s: _state(
+        removal.delete_schedules(t, s.schedule_deletions()), "doctor_schedules"
+    ),
     "ingest_patients": lambda t, s: ingest.ingest(t, "patients", s.new_patients(), AS_OF).decisions,
     "ingest_patients_signups": lambda t, s: ingest.ingest(t, "patients", s.new_patients(), AS_OF).appended["signup_logs"],
     "ingest_doctors": lambda t, s: ingest.ingest(t, "doctors", s.new_doctors(), AS_OF).decisions,
@@ -187,6 +194,11 @@ JOBS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
         "doctor_schedules"
     ],
     "ingest_medicines": lambda t, s: ingest.ingest(t, "prescribed_medicines", s.new_medicines(), AS_OF).decisions,
+    "ingest_receptionists": lambda t, s: ingest.ingest(t, "receptionists", s.new_receptionists(), AS_OF).appended[
+        "receptionists"
+    ],
+    "ingest_actions": lambda t, s: ingest.ingest(t, "consultation_actions", s.new_actions(), AS_OF).decisions,
+    "ingest_signins": lambda t, s: ingest.ingest(t, "signin_logs", s.new_signins(), AS_OF).appended["signin_logs"],
     "quality_visits": lambda t, s: quality.summary(
         quality.violations(t.replacing(admitted_patient_visits=s.raw_visits), "admitted_patient_visits")
     ),

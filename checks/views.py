@@ -342,3 +342,21 @@ select event_id request_id, ts requested_at, event_id consultation_id, event_typ
   case when event_id % 10 = 0 then repeat('x', 51) else 'daily' end frequency, '3 days' duration
 from events
 """
+VIEWS["new_receptionists"] = """
+select c_custkey request_id, timestamp '2001-08-01 00:00:00' requested_at, c_mktsegment first_name,
+  case when c_custkey % 6 = 0 then null else c_name end last_name,
+  case when c_custkey % 4 = 0 then '' else concat('0322', c_custkey) end contact_no
+from customer
+"""
+VIEWS["new_actions"] = """
+select event_id request_id, ts requested_at, event_id consultation_id, event_id % 6 action_type_id, props notes
+from events
+"""
+VIEWS["new_signins"] = """
+select event_id request_id, ts requested_at, concat('', user_id) user_id,
+  case when event_type <> 'error' then event_type end user_type
+from events
+"""
+VIEWS["room_requests"] = """
+select event_id request_id, ts requested_at, user_id % 13 + 1 room_id, value < 50 is_occupied from events
+"""

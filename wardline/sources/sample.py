@@ -587,6 +587,35 @@ class Sample:
             "'3 days' duration",
         )
 
+    def new_receptionists(self) -> DataFrame:
+        return self._raw("customer").selectExpr(
+            "c_custkey request_id",
+            "timestamp_ntz '2001-08-01 00:00:00' requested_at",
+            "c_mktsegment first_name",
+            "case when c_custkey % 6 = 0 then null else c_name end last_name",
+            "case when c_custkey % 4 = 0 then '' else concat('0322', c_custkey) end contact_no",
+        )
+
+    def new_actions(self) -> DataFrame:
+        return self._raw("events").selectExpr(
+            "event_id request_id",
+            "ts requested_at",
+            "event_id consultation_id",
+            "event_id % 6 action_type_id",
+            "props notes",
+        )
+
+    def new_signins(self) -> DataFrame:
+        return self._raw("events").selectExpr(
+            "event_id request_id", "ts requested_at", "concat('', user_id) user_id",
+            "case when event_type <> 'error' then event_type end user_type",
+        )
+
+    def room_requests(self) -> DataFrame:
+        return self._raw("events").selectExpr(
+            "event_id request_id", "ts requested_at", "user_id % 13 + 1 room_id", "value < 50 is_occupied"
+        )
+
     def raw_visits(self) -> DataFrame:
         """Unchecked visit rows, with values outside the rules."""
         return self.admitted_patient_visits().selectExpr(
