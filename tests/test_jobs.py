@@ -126,6 +126,15 @@ def test_total_bill_splits_and_frees(hospital, requests):
     assert [r["is_occupied"] for r in dicts(result.updated["rooms"].state, "room_id")] == [True, True, False, False]
 
 
+def test_one_unstorable_amount_does_not_fail_the_batch(hospital, requests):
+    t = hospital(**DIMENSIONS, **ROOMS, admissions=[stay(1), stay(2, bed=2)])
+    schema = TOTAL.replace("total_bill decimal(12,2)", "total_bill decimal(20,2)")
+    rows = [(1, 1, Decimal(10) ** 8, None, 5), (2, 2, Decimal(10) ** 15, None, 5), (2, 2, Decimal("99999999.99"), None, 5)]
+    result = discharge.discharge_total_bill(t, requests(schema, rows), AS_OF)
+    assert [r["reason"] for r in dicts(result.decisions, "request_id")] == [V.INVALID_VALUE, V.INVALID_VALUE, None]
+    assert str(result.appended["discharges"].first()["total_amount"]) == "99999999.99"
+
+
 def test_daily_charge_defaults_when_zero(hospital, requests):
     kinds = [{**ROOMS["room_types"][0], "per_day_charges": 0}]
     t = hospital(**{**DIMENSIONS, **ROOMS, "room_types": kinds}, admissions=[stay(1)])
@@ -309,5 +318,8 @@ def test_ingest_clinical_rows(hospital, requests):
     actions = requests("consultation_id bigint, action_type_id bigint", [(1, 1), (1, 9)])
     result = ingest.ingest(t, "consultation_actions", actions, AS_OF)
     assert result.appended["consultation_actions"].first()["status"] == "Pending"
+    texts = requests("consultation_id string, action_type_id string", [("1", "1"), ("one", "1"), ("1", "")])
+    decided = ingest.ingest(t, "consultation_actions", texts, AS_OF).decisions
+    assert [r["reason"] for r in dicts(decided, "request_id")] == [None, V.INVALID_VALUE, V.INVALID_VALUE]
     logs = requests("user_id string, user_type string", [("1000", "patient")])
     assert ingest.ingest(t, "signin_logs", logs, AS_OF).appended["signin_logs"].first()["signin_datetime"] == at(AS_OF)

@@ -24,6 +24,8 @@ from wardline.operators.requests import (
 from wardline.sources.tables import Tables
 
 BILL = "decimal(12,2)"
+# A stored amount has ten digits; a larger one is rejected instead of failing the batch.
+LARGEST = "99999999.99"
 CHARGES = ("room_charges", "medical_charges", "doctor_visit_charges", "lab_charges", "other_charges")
 _DETAILS = (
     "final_diagnosis", "discharge_summary", "discharge_instructions", "follow_up_required", "follow_up_date",
@@ -31,6 +33,16 @@ _DETAILS = (
 )
 
 
+def _amount(column: Column | str) -> Column:
+    """An amount as given; one too large for the type reads as just above the largest."""
+    value = F.col(column) if isinstance(column, str) else column
+    return F.when(value.isNotNull(), F.coalesce(value.try_cast(BILL), F.lit("100000000").cast(BILL)))
+
+
+def _too_large(column: str) -> Column:
+    return F.col(column) > F.lit(LARGEST).cast(BILL)
+
+
 def _first_of_stay(checked: DataFrame, closed_reason: str) -> DataFrame:
     """Let the first valid request close a stay; later ones find it closed."""
     first = winners(checked.filter("own_reason is null"), ["admission_id"])
@@ -67,7 +79,7 @@ def discharge_total_bill(t: Tables, requests: DataFrame, as_of: Moment, keep: Ke
     ends = F.col("discharge_date") if "discharge_date" in requests.columns else F.lit(None).cast("timestamp_ntz")
     desk = F.col("discharged_by_receptionist_id")
     asked = requests.select(
-        ID, AT, "admission_id", "bed_id", F.col("total_bill").cast(BILL).alias("total_bill"),
+        ID, AT, "admission_id", "bed_id", _amount("total_bill").alias("total_bill"),
         desk.alias("processed_by_receptionist_id"), F.coalesce(ends, now).alias("discharge_date"),
     )
     charges = t.rooms.select(F.col("room_id").alias("initial_room_id"), "room_type_id").join(
@@ -88,8 +100,8 @@ def discharge_total_bill(t: Tables, requests: DataFrame, as_of: Moment, keep: Ke
         F.col("admission_date").isNotNull(), F.greatest(F.lit(1), started_days("admission_date", "discharge_date"))
     )
     daily = or_default("per_day_charges", F.lit(V.DEFAULT_DAILY_CHARGE))
-    priced = joined.withColumns({"total_days": days, "room_charges": (daily * days).cast(BILL)}).withColumn(
-        "medical_charges", (F.col("total_bill") - F.col("room_charges")).cast(BILL)
+    priced = joined.withColumns({"total_days": days, "room_charges": (daily * days).try_cast(BILL)}).withColumn(
+        "medical_charges", (F.col("total_bill") - F.col("room_charges")).try_cast(BILL)
     )
     incomplete = falsy("bed_id") | falsy("total_bill") | falsy("processed_by_receptionist_id")
     unknown = F.col("admission_date").isNull()
@@ -101,6 +113,7 @@ def discharge_total_bill(t: Tables, requests: DataFrame, as_of: Moment, keep: Ke
                     (incomplete, V.FIELDS_REQUIRED),
                     (unknown, V.ADMISSION_NOT_ACTIVE),
                     (F.col("medical_charges") < 0, V.BILL_TOO_SMALL),
+                    (_too_large("total_bill"), V.INVALID_VALUE),
                     (F.col("billed"), V.DUPLICATE_KEY),
                     (~F.col("desk_known"), V.INVALID_REFERENCE),
                 ),
@@ -150,18 +163,18 @@ def discharge_itemised(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep
     asked = requests.select(
         ID, AT, "admission_id", *people,
         *[
-            (F.coalesce(F.col(c).cast(BILL), F.lit(0).cast(BILL)) if c in given else F.lit(0).cast(BILL)).alias(c)
+            (F.coalesce(_amount(c), F.lit(0).cast(BILL)) if c in given else F.lit(0).cast(BILL)).alias(c)
             for c in CHARGES
         ],
         *[c for c in _DETAILS if c in given],
     )
     stays = t.admissions.select("admission_id", "admission_date", "is_active")
     joined = _already_billed(t, with_references(asked.join(stays, "admission_id", "left"), t, "discharges", people, "known"))
-    total = sum((F.col(c) for c in CHARGES[1:]), F.col(CHARGES[0])).cast(BILL)
+    total = _amount(sum((F.col(c) for c in CHARGES[1:]), F.col(CHARGES[0])))
     priced = joined.withColumns({"total_days": started_days("admission_date", now), "total_amount": total})
-    negative = F.col("total_days") < 0
+    broken = (F.col("total_days") < 0) | _too_large("total_amount")
     for charge in CHARGES:
-        negative = negative | (F.col(charge) < 0)
+        broken = broken | (F.col(charge) < 0)
     missing = falsy("admission_id") | falsy("patient_id") | falsy("doctor_id") | falsy(desk)
     not_found = F.col("admission_date").isNull()
     checked = keep(
@@ -172,7 +185,7 @@ def discharge_itemised(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep
                     (missing, V.FIELDS_REQUIRED),
                     (not_found, V.ADMISSION_NOT_FOUND),
                     (~F.coalesce("is_active", F.lit(False)), V.ADMISSION_CLOSED),
-                    (negative, V.INVALID_VALUE),
+                    (broken, V.INVALID_VALUE),
                     (F.col("billed"), V.DUPLICATE_KEY),
                     (~F.col("known"), V.INVALID_REFERENCE),
                 ),
@@ -202,7 +215,7 @@ def discharge_final_amount(t: Tables, requests: DataFrame, as_of: Moment, keep:
     """
     now = as_moment(as_of)
     asked = requests.select(
-        ID, AT, "admission_id", F.col("final_bill_amount").cast(BILL).alias("final_bill_amount"),
+        ID, AT, "admission_id", _amount("final_bill_amount").alias("final_bill_amount"),
         F.col("discharged_by_receptionist_id").alias("processed_by_receptionist_id"),
     )
     stays = (
@@ -214,6 +227,7 @@ def discharge_final_amount(t: Tables, requests: DataFrame, as_of: Moment, keep:
     joined = with_known(joined, t.receptionists, "processed_by_receptionist_id", "desk_known", "receptionist_id")
     joined = _already_billed(t, joined).withColumn("total_days", started_days("admission_date", now))
     missing = falsy("admission_id") | falsy("final_bill_amount")
+    broken = (F.col("total_days") < 0) | (F.col("final_bill_amount") < 0) | _too_large("final_bill_amount")
     unknown = F.col("admission_date").isNull()
     checked = keep(
         joined.withColumns(
@@ -222,7 +236,7 @@ def discharge_final_amount(t: Tables, requests: DataFrame, as_of: Moment, keep:
                 "own_reason": first_reason(
                     (missing, V.FIELDS_REQUIRED),
                     (unknown, V.ADMISSION_NOT_ACTIVE),
-                    ((F.col("total_days") < 0) | (F.col("final_bill_amount") < 0), V.INVALID_VALUE),
+                    (broken, V.INVALID_VALUE),
                     (F.col("billed"), V.DUPLICATE_KEY),
                     (~F.col("desk_known"), V.INVALID_REFERENCE),
                 ),

@@ -93,7 +93,12 @@ def ingest(t: Tables, table: str, rows: DataFrame, as_of: Moment, keep: Keep = l
     spec, declared = INTAKES[table], TABLES[table]
     given = set(rows.columns)
     fields = [*spec.required, *spec.optional]
-    asked = rows.select(ID, AT, *[_value(table, spec, c, given).alias(c) for c in fields])
+    unreadable = F.lit(False)
+    for column in (c for c in fields if c in given):
+        read = F.col(column).try_cast(declared.by_name[column].type)
+        unreadable = unreadable | (F.col(column).isNotNull() & read.isNull())
+    values = [_value(table, spec, c, given).alias(c) for c in fields]
+    asked = rows.select(ID, AT, *values, unreadable.alias("unreadable"))
     references = [r.column for r in declared.references if r.column in fields]
     checked = with_references(asked, t, table, references, "references_known")
 
@@ -103,7 +108,7 @@ def ingest(t: Tables, table: str, rows: DataFrame, as_of: Moment, keep: Keep = l
     incomplete = F.lit(False)
     for column in spec.required:
         incomplete = incomplete | missing(column)
-    cases = [(incomplete, V.FIELDS_REQUIRED)]
+    cases = [(incomplete & ~F.col("unreadable"), V.FIELDS_REQUIRED)]
     if table == "appointment_forms":
         # The appointment must be the patient's own.
         own = t.appointments.select("appointment_id", F.col("patient_id").alias("own_patient"))
@@ -118,7 +123,7 @@ def ingest(t: Tables, table: str, rows: DataFrame, as_of: Moment, keep: Keep = l
         for column in spec.unique:
             match = match & F.col(column).eqNullSafe(F.col(f"held_{column}"))
         checked = checked.join(held, match, "left").drop(*[f"held_{c}" for c in spec.unique])
-    invalid = F.lit(False)
+    invalid = F.col("unreadable")
     for column in fields:
         for rule in value_rules(declared.by_name[column], F.col(column)):
             invalid = invalid | F.coalesce(rule.broken, F.lit(False))
