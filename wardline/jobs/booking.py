@@ -11,19 +11,13 @@ from wardline.functions.time import Moment
 from wardline.jobs.result import JobResult, Keep, lazily, update
 from wardline.operators.matching import match_slots
 from wardline.operators.people import doctor_profiles, slot_times
-from wardline.operators.requests import AT, ID, as_table, first_reason, turn, with_known, with_new_key
+from wardline.operators.requests import AT, ID, as_table, first_reason, turn, with_known, with_mark, with_new_key
 from wardline.plans.scheduling import booking_window
 from wardline.sources.tables import Tables
 
 _FIELDS = ("patient_id", "doctor_id", "appointment_date", "slot_id")
 
 
-def _flagged(requests: DataFrame, keys: DataFrame, columns: list[str], flag: str) -> DataFrame:
-    """Add ``flag``: TRUE where the request's columns are among the distinct ``keys``."""
-    marked = requests.join(keys.withColumn(flag, F.lit(True)), columns, "left")
-    return marked.withColumn(flag, F.coalesce(flag, F.lit(False)))
-
-
 def book_slots(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep = lazily) -> JobResult:
     """Book requested slots in batch order.
 
@@ -53,19 +47,19 @@ def book_slots(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep = lazil
     # The patient keys come last: the rows then lie spread by patient, so a slot that
     # very many patients ask for is cut to its short list before its rows meet.
     checked = with_known(checked, t.doctors, "doctor_id", "doctor_known")
-    checked = _flagged(checked, weekly, ["doctor_id", "day_of_week", "slot_id"], "scheduled")
-    checked = _flagged(checked, held_slots, ["doctor_id", "appointment_date", "slot_id"], "slot_held")
+    checked = with_mark(checked, weekly, ["doctor_id", "day_of_week", "slot_id"], "scheduled")
+    checked = with_mark(checked, held_slots, ["doctor_id", "appointment_date", "slot_id"], "slot_held")
     checked = with_known(checked, t.patients, "patient_id", "patient_known")
-    checked = _flagged(checked, held_pairs, ["patient_id", "doctor_id", "appointment_date"], "pair_held")
+    checked = with_mark(checked, held_pairs, ["patient_id", "doctor_id", "appointment_date"], "pair_held")
     incomplete = falsy("patient_id") | falsy("doctor_id") | day.isNull() | falsy("slot_id")
     before = (
         (incomplete, V.BOOK_REQUIRED),
         (day < as_day(first), V.SLOT_PAST),
         (day > as_day(last), V.SLOT_TOO_FAR),
-        (~F.col("patient_known"), V.BOOK_NO_PATIENT),
-        (~F.col("doctor_known"), V.BOOK_NO_DOCTOR),
+        (F.col("patient_known").isNull(), V.BOOK_NO_PATIENT),
+        (F.col("doctor_known").isNull(), V.BOOK_NO_DOCTOR),
         (F.col("pair_held"), V.BOOK_DUPLICATE),
-        (~F.col("scheduled"), V.BOOK_NOT_SCHEDULED),
+        (F.col("scheduled").isNull(), V.BOOK_NOT_SCHEDULED),
         (F.col("slot_held"), V.BOOK_TAKEN),
     )
     checked = keep(checked.withColumn("own_reason", first_reason(*before)))
@@ -87,7 +81,7 @@ def book_slots(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep = lazil
             first_reason(
                 *before[:5],
                 (F.col("pair_held") | earlier("patient_id"), V.BOOK_DUPLICATE),
-                (~F.col("scheduled"), V.BOOK_NOT_SCHEDULED),
+                (F.col("scheduled").isNull(), V.BOOK_NOT_SCHEDULED),
                 (F.col("slot_held") | earlier("slot_id"), V.BOOK_TAKEN),
             ),
         )

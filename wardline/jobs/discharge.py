@@ -115,7 +115,7 @@ def discharge_total_bill(t: Tables, requests: DataFrame, as_of: Moment, keep: Ke
                     (F.col("medical_charges") < 0, V.BILL_TOO_SMALL),
                     (_too_large("total_bill"), V.INVALID_VALUE),
                     (F.col("billed"), V.DUPLICATE_KEY),
-                    (~F.col("desk_known"), V.INVALID_REFERENCE),
+                    (F.col("desk_known").isNull(), V.INVALID_REFERENCE),
                 ),
             }
         )
@@ -238,7 +238,7 @@ def discharge_final_amount(t: Tables, requests: DataFrame, as_of: Moment, keep:
                     (unknown, V.ADMISSION_NOT_ACTIVE),
                     (broken, V.INVALID_VALUE),
                     (F.col("billed"), V.DUPLICATE_KEY),
-                    (~F.col("desk_known"), V.INVALID_REFERENCE),
+                    (F.col("desk_known").isNull(), V.INVALID_REFERENCE),
                 ),
             }
         )

@@ -86,7 +86,7 @@ def apply_patches(t: Tables, table: str, patches: DataFrame, as_of: Moment, keep
     empty = ~F.arrays_overlap(
         F.coalesce(F.map_keys("changes"), F.array().cast("array<string>")), F.array(*map(F.lit, spec.fields))
     )
-    cases = [(empty, V.NOTHING_TO_UPDATE), (~F.col("row_known"), V.NOT_FOUND), (_invalid(table, spec), V.INVALID_VALUE)]
+    cases = [(empty, V.NOTHING_TO_UPDATE), (F.col("row_known").isNull(), V.NOT_FOUND), (_invalid(table, spec), V.INVALID_VALUE)]
     if "slot_id" in spec.fields:
         slot = F.col("changes")["slot_id"].try_cast("bigint")
         slots = t.time_slots.select(F.col("slot_id").cast("bigint").alias("new_slot"), F.lit(True).alias("slot_known"))

@@ -84,7 +84,7 @@ def remove_doctors(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep = l
             first_reason(
                 (required, V.FIELDS_REQUIRED),
                 (unknown, V.BOOK_NO_DOCTOR),
-                (~F.col("admin_known"), V.INVALID_REFERENCE),
+                (F.col("admin_known").isNull(), V.INVALID_REFERENCE),
                 (F.col("blocked"), V.STILL_REFERENCED),
             ),
         )

@@ -32,10 +32,14 @@ def first_reason(*cases: tuple[Column, str]) -> Column:
     return chain
 
 
-def with_known(requests: DataFrame, parents: DataFrame, column: str, flag: str, key: str | None = None) -> DataFrame:
-    """Add ``flag``: TRUE where ``column`` is a key of ``parents``."""
-    keys = parents.select(F.col(key or column).alias(column), F.lit(True).alias(flag))
-    return requests.join(keys, column, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+def with_mark(requests: DataFrame, keys: DataFrame, columns: Sequence[str], mark: str) -> DataFrame:
+    """Add ``mark``: TRUE where the columns are among the distinct ``keys``, else NULL."""
+    return requests.join(keys.withColumn(mark, F.lit(True)), list(columns), "left")
+
+
+def with_known(requests: DataFrame, parents: DataFrame, column: str, mark: str, key: str | None = None) -> DataFrame:
+    """Add ``mark``: TRUE where ``column`` is a key of ``parents``, else NULL."""
+    return with_mark(requests, parents.select(F.col(key or column).alias(column)), [column], mark)
 
 
 def with_references(requests: DataFrame, t: Tables, table: str, columns: Sequence[str], flag: str) -> DataFrame:
