@@ -90,7 +90,6 @@ def test_the_daily_patient_report_reads_no_billing_tables(stored, no_broadcast):
 def test_groups_are_cut_before_the_shuffle(stored, no_broadcast):
     for df in (
         visits.doctor_recent_visits(stored),
-        visits.ready_for_discharge(stored, "2024-03-03"),
         billing.doctor_discharged_patients(stored),
     ):
         text = plan(df)
@@ -98,6 +97,12 @@ def test_groups_are_cut_before_the_shuffle(stored, no_broadcast):
         assert partial, text
 
 
+def test_latest_moments_are_partial_before_the_shuffle(stored, no_broadcast):
+    text = plan(visits.ready_for_discharge(stored, "2024-03-03"))
+    assert re.search(r"Exchange hashpartitioning\(admission_id[^\n]*\n[^\n]*partial_max\(visit_datetime", text), text
+    assert "Window" not in text
+
+
 def test_booking_cuts_a_hot_slot_before_its_rows_meet(stored, no_broadcast, requests):
     asked = requests("patient_id bigint, doctor_id bigint, appointment_date date, slot_id bigint",
                      [(1000, 10, on("2024-03-04"), 1)])

@@ -1,8 +1,9 @@
 """Latest rows, ties and top-n, per group or overall.
 
-Each per-group form is a rank filter. Spark evaluates it with a group limit
-before the shuffle, so a group that holds much of the table is cut to a few
-rows in every map task and never travels whole to one place.
+Top-n per group is a rank filter. Spark evaluates it with a group limit before the
+shuffle, so a group that holds much of the table is cut to a few rows in every map
+task. Latest values are aggregates, partial before the shuffle. No group travels
+whole to one place.
 """
 
 from __future__ import annotations
@@ -27,10 +28,17 @@ def latest_value(moment: str, key: str, value: str) -> Column:
     return F.max(F.struct(F.col(moment), F.col(key), F.col(value)))[value]
 
 
-def latest_with_ties(df: DataFrame, keys: Sequence[str], moment: str) -> DataFrame:
-    """All rows that carry the greatest ``moment`` of their group."""
-    ranked = df.withColumn(_RANK, F.rank().over(W.partitionBy(*keys).orderBy(F.desc(moment))))
-    return ranked.filter(F.col(_RANK) <= 1).drop(_RANK)
+def latest_with_ties(df: DataFrame, keys: Sequence[str], moment: str, wanted: DataFrame | None = None) -> DataFrame:
+    """All rows that carry the greatest ``moment`` of their group.
+
+    The greatest moments come from a partial aggregate, are cut to the ``wanted`` keys,
+    and are joined back on key and moment: very many rows of one group, even with one
+    and the same moment, never have to meet in one task.
+    """
+    latest = df.groupBy(*keys).agg(F.max(moment).alias(moment))
+    if wanted is not None:
+        latest = latest.join(wanted, list(keys), "left_semi")
+    return df.join(latest, [*keys, moment])
 
 
 def top(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

@@ -251,9 +251,7 @@ def ready_for_discharge(t: Tables, as_of: Moment) -> DataFrame:
         "visit_id", "admission_id", "ready_for_discharge", "discharge_recommended_date", "condition_status",
         "visit_datetime", "treatment_given", "notes",
     )
-    # Ranked before the join: every map task keeps only the newest of its rows, so far
-    # fewer visits are shuffled than a join with the open admissions would move.
-    newest = latest_with_ties(recommended, ["admission_id"], "visit_datetime")
+    newest = latest_with_ties(recommended, ["admission_id"], "visit_datetime", open_rows.select("admission_id"))
     people = t.patients.select(
         "patient_id",
         F.col("first_name").alias("patient_first_name"),
