@@ -21,6 +21,7 @@ from wardline.operators.requests import (
     with_new_key,
     with_references,
 )
+from wardline.operators.spread import spread_join
 from wardline.sources.tables import Tables
 
 _FIELDS = (
@@ -59,7 +60,7 @@ def admit(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep = lazily) ->
     )
     first = winners(checked.filter("own_reason is null"), ["bed_id"])
     earlier = F.coalesce(F.col("winner_turn") < turn(), F.lit(False))
-    decided = checked.join(first, "bed_id", "left").withColumn(
+    decided = spread_join(checked, first, ["bed_id"], "left", ID).withColumn(
         "reason",
         F.when(F.col("own_reason").isNull() | (F.col("own_reason") == V.INVALID_REFERENCE),
                F.when(earlier, F.lit(V.BED_OCCUPIED)).otherwise(F.col("own_reason")))

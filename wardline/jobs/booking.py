@@ -12,6 +12,7 @@ from wardline.jobs.result import JobResult, Keep, lazily, update
 from wardline.operators.matching import match_slots
 from wardline.operators.people import doctor_profiles, slot_times
 from wardline.operators.requests import AT, ID, as_table, first_reason, turn, with_known, with_mark, with_new_key
+from wardline.operators.spread import spread_join
 from wardline.plans.scheduling import booking_window
 from wardline.sources.tables import Tables
 
@@ -76,7 +77,7 @@ def book_slots(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep = lazil
 
     # What was accepted earlier in the batch counts like a stored appointment.
     decided = (
-        checked.join(matched, ["doctor_id", "appointment_date"], "left").withColumn(
+        spread_join(checked, matched, ["doctor_id", "appointment_date"], "left", ID).withColumn(
             "reason",
             first_reason(
                 *before[:5],

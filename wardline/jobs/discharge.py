@@ -21,6 +21,7 @@ from wardline.operators.requests import (
     with_new_key,
     with_references,
 )
+from wardline.operators.spread import spread_join
 from wardline.sources.tables import Tables
 
 BILL = "decimal(12,2)"
@@ -47,7 +48,7 @@ def _first_of_stay(checked: DataFrame, closed_reason: str) -> DataFrame:
     """Let the first valid request close a stay; later ones find it closed."""
     first = winners(checked.filter("own_reason is null"), ["admission_id"])
     late = F.coalesce(F.col("winner_turn") < turn(), F.lit(False))
-    return checked.join(first, "admission_id", "left").withColumn(
+    return spread_join(checked, first, ["admission_id"], "left", ID).withColumn(
         "reason", F.when(late & ~F.col("before_stay"), F.lit(closed_reason)).otherwise(F.col("own_reason"))
     )
 

@@ -12,6 +12,7 @@ from wardline.functions import as_moment, falsy, full_name
 from wardline.functions.time import Moment
 from wardline.jobs.result import JobResult, Keep, Update, lazily
 from wardline.operators.requests import AT, ID, as_table, first_reason, turn, winners, with_known, with_new_key
+from wardline.operators.spread import spread_join
 from wardline.sources.model import TABLES
 from wardline.sources.tables import Tables
 
@@ -74,7 +75,7 @@ def remove_doctors(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep = l
     owner = "removed_owner"
     fallen = _doomed_rows(t, "doctors", known.select("doctor_id", F.col("doctor_id").alias(owner)), owner, keep)
     blocked = _blocked_owners(t, fallen, owner).select(F.col(owner).alias("doctor_id"), F.lit(True).alias("blocked"))
-    checked = asked.join(people, "doctor_id", "left").join(blocked, "doctor_id", "left")
+    checked = spread_join(asked.join(people, "doctor_id", "left"), blocked, ["doctor_id"], "left", ID)
     checked = with_known(checked, t.admin, "removed_by_admin_id", "admin_known", "admin_id")
     required = F.col("removal_reason").isNull() | (F.col("removal_reason") == "") | falsy("removed_by_admin_id")
     unknown = F.col("doctor_name").isNull()
@@ -91,7 +92,7 @@ def remove_doctors(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep = l
     )
     first = winners(checked.filter("own_reason is null"), ["doctor_id"])
     later = F.coalesce(F.col("winner_turn") < turn(), F.lit(False)) & ~required
-    decided = checked.join(first, "doctor_id", "left").withColumn(
+    decided = spread_join(checked, first, ["doctor_id"], "left", ID).withColumn(
         "reason", F.when(later, F.lit(V.BOOK_NO_DOCTOR)).otherwise(F.col("own_reason"))
     )
     decisions = with_new_key(decided, requests, t, "removed_doctors").withColumn(
@@ -115,7 +116,7 @@ def delete_schedules(t: Tables, requests: DataFrame) -> JobResult:
     """Delete schedule rows by id; a second request for a row finds nothing."""
     checked = with_known(requests.select(ID, AT, "schedule_id"), t.doctor_schedules, "schedule_id", "row_known")
     first = winners(checked.filter("row_known"), ["schedule_id"])
-    decisions = checked.join(first, "schedule_id", "left").select(
+    decisions = spread_join(checked, first, ["schedule_id"], "left", ID).select(
         ID,
         AT,
         "schedule_id",

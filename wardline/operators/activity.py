@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from wardline import fixed_values as V
 from wardline.functions import as_day, as_moment, between_days, money, to_last_second
 from wardline.functions.time import Moment, to_datetime
+from wardline.operators.spread import spread_join
 from wardline.sources.tables import Tables
 
 
@@ -123,10 +124,10 @@ def patient_activity(t: Tables, first: Moment, last: Moment, within: Within, bil
     """
     touched = touched_patients(t, first, last, within)
     status = F.col("status_id")
-    booked = t.appointments.join(touched, "patient_id", "left_semi").withColumn(
+    booked = spread_join(t.appointments, touched, ["patient_id"], "left_semi", "appointment_id").withColumn(
         "inside", F.col("appointment_date").between(as_day(first), as_day(last))
     )
-    stays = t.admissions.join(touched, "patient_id", "left_semi").withColumns(
+    stays = spread_join(t.admissions, touched, ["patient_id"], "left_semi", "admission_id").withColumns(
         {
             "stay_inside": within("admission_date", first, last),
             "since": F.col("admission_date") >= as_moment(to_datetime(first).date()),

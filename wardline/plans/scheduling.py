@@ -11,6 +11,7 @@ from wardline import fixed_values as V
 from wardline.functions import as_day, weekday
 from wardline.functions.time import Moment, to_datetime
 from wardline.operators.people import doctor_names, doctor_profiles, slot_times
+from wardline.operators.spread import spread_join
 from wardline.sources.tables import Tables
 
 
@@ -171,9 +172,8 @@ def slot_check(t: Tables, requests: DataFrame, as_of: Moment) -> DataFrame:
         .join(slot_times(t).drop("slot_number"), "slot_id")
     )
     taken = taken_slots(t, first, last).withColumn("taken", F.lit(True))
-    found = asked.join(weekly, ["doctor_id", "slot_id", "day_of_week"], "left").join(
-        taken, ["doctor_id", "appointment_date", "slot_id"], "left"
-    )
+    found = asked.join(weekly, ["doctor_id", "slot_id", "day_of_week"], "left")
+    found = spread_join(found, taken, ["doctor_id", "appointment_date", "slot_id"], "left", "request_id")
     day = F.col("appointment_date")
     in_window = day.between(as_day(first), as_day(last))
     reason = (

@@ -19,6 +19,7 @@ from wardline.operators.people import (
     room_details,
     specialization_names,
 )
+from wardline.operators.spread import spread_join
 from wardline.sources.tables import Tables
 
 ADMIT = "Admit"
@@ -257,9 +258,9 @@ def admission_recommended(t: Tables) -> DataFrame:
     seen = t.consultations.select(
         "consultation_id", "patient_id", "doctor_id", "appointment_id", "diagnosis", "consultation_date"
     )
+    admitted = active(t).select("consultation_id").distinct()
     return (
-        pending.join(admit, "action_type_id")
-        .join(active(t).select("consultation_id").distinct(), "consultation_id", "left_anti")
+        spread_join(pending.join(admit, "action_type_id"), admitted, ["consultation_id"], "left_anti", "action_id")
         .join(seen, "consultation_id")
         .join(people, "patient_id")
         .join(doctors, "doctor_id")
@@ -288,10 +289,10 @@ def action_admission_status(t: Tables, action_id: int | None = None) -> DataFram
     doctors = t.doctors.select("doctor_id", "specialization_id", spaced_name().alias("doctor_name"))
     existing = F.coalesce("existing_admission", F.lit(0))
     return (
-        actions.join(t.consultations.select("consultation_id", "patient_id", "doctor_id"), "consultation_id")
+        spread_join(actions, admitted, ["consultation_id"], "left", "action_id")
+        .join(t.consultations.select("consultation_id", "patient_id", "doctor_id"), "consultation_id")
         .join(people, "patient_id")
         .join(doctors.join(specialization_names(t), "specialization_id"), "doctor_id")
-        .join(admitted, "consultation_id", "left")
         .select(
             "action_id", "status", "consultation_id", "patient_id", "doctor_id", "patient_name", "doctor_name",
             "specialization_name", existing.alias("existing_admission"), (existing > 0).alias("is_admitted"),
