@@ -48,7 +48,8 @@ def test_display_order_uses_columns_of_the_dataset(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(__spark_entry__.queries()) == set(DATASETS) | set(JOBS) == set(__spark_entry__.oracle_sql())
+    own = set(DATASETS) | set(JOBS)
+    assert own <= set(__spark_entry__.queries()) and own <= set(__spark_entry__.oracle_sql())
 
 
 def test_entry_returns_the_flagship_report(spark):
