@@ -181,7 +181,8 @@ def references(docs: DataFrame) -> dict[str | None, Reference]:
     summed = docs.select("lang", "text").mapInArrow(run, "lang string, kind int, key binary, n long")
     summed = staged(summed.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "word-counts")
     totals = summed.where(F.col("kind") == 2).select(F.col("lang").alias("of"), F.col("n").alias("total"))
-    totals = totals.where(F.col("total") >= LEAST_REFERENCE)
+    # written, so that its size is known: one row per language, which need not meet the words by a shuffle
+    totals = staged(totals.where(F.col("total") >= LEAST_REFERENCE), "word-totals")
     wanted = summed.join(totals, F.col("lang").eqNullSafe(F.col("of"))).where(
         (F.col("kind") == 1) | ((F.col("kind") == 0) & (F.col("n") >= COMMON_SHARE * F.col("total")))
     )
