@@ -69,7 +69,8 @@ def without_repeated_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
     covered = staged(later.groupBy("doc_id", "__llm_hash").agg(F.collect_set("at").alias("__llm_starts")), "covered")
     covered = covered.select(F.col("doc_id").alias("__llm_id"), F.col("__llm_hash").alias("__llm_own"), "__llm_starts")
     same = marked.doc_id.eqNullSafe(F.col("__llm_id")) & (marked["__llm_hash"] == F.col("__llm_own"))
-    joined = marked.join(covered, same, "left").drop("__llm_hash", "__llm_id", "__llm_own")
+    # one plan at every size: the covered lines grow with the documents
+    joined = marked.join(covered.hint("merge"), same, "left").drop("__llm_hash", "__llm_id", "__llm_own")
     return _cut(joined, docs, lines)
 
 
