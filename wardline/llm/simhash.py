@@ -148,10 +148,13 @@ def simhash_survivors(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> D
     Rows that repeat the smallest id count as copies too; one of them stays, the one
     whose text comes first by its hash. If no row of a group has an id, one row stays.
     """
-    marked = staged(with_fingerprints(docs, shingle), "marked-texts")
+    keys = {"__llm_row": F.xxhash64("doc_id", "text"), "__llm_hash": text_hash(F.col("text"))}
+    rows = docs.withColumns(keys)
+    marked = with_fingerprints(rows.select("doc_id", "text", *keys), shingle).drop("text")
+    marked = staged(marked, "marked")
     groups = fingerprint_components(marked.select("doc_id", "__llm_fp"), max_bits)
-    groups = groups.select("__llm_fp", F.col("component_id").alias("__llm_id"), F.col("root").alias("__llm_root"))
-    first = marked.join(groups, "__llm_fp").where(F.col("doc_id").eqNullSafe(F.col("__llm_id")))
-    row = F.struct(text_hash(F.col("text")).alias("hash"), F.struct(*docs.columns).alias("row"))
-    kept = first.groupBy("__llm_root").agg(F.min_by(row, row["hash"]).alias("kept"))
-    return kept.select("kept.row.*")
+    first = marked.join(groups, "__llm_fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = first.groupBy("root").agg(F.min(F.struct("__llm_hash", "__llm_row")).alias("key")).select("key.*")
+    # one plan at every size: the kept rows grow with the documents
+    chosen = rows.join(staged(kept, "kept").hint("merge"), list(keys), "left_semi")
+    return chosen.dropDuplicates(list(keys)).select(*docs.columns)
