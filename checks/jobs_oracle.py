@@ -547,3 +547,5 @@ JOB_ORACLE["quality_core"] = " union all ".join(
            cast(discharge_date as varchar) from admissions where discharge_date < admission_date""",
     ]
 )
+
+JOB_ORACLE["stored_update"] = JOB_ORACLE["patch_follow_up"]

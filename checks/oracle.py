@@ -533,6 +533,35 @@ join appointment_statuses s on s.status_id = a.status_id where a.appointment_dat
 ORACLE["today_appointments_total"] = f"select count(*) total from appointments where appointment_date = {DAY}"
 
 
+#: A dataset called with a filter gives the rows of the whole one that meet a condition.
+FILTERED = {
+    "schedules_of_doctor_day": ("schedules", "doctor_id = 3 and day_of_week = 2"),
+    "weekly_availability_of_doctor": ("weekly_availability", "doctor_id = 3"),
+    "patient_forms_of_patient": ("patient_forms", "patient_id = 7"),
+    "patient_consultations_of_patient": ("patient_consultations", "patient_id = 7"),
+    "doctor_consultations_of_doctor": ("doctor_consultations", "doctor_id = 3"),
+    "doctor_scheduled_appointments_of_doctor": ("doctor_scheduled_appointments", "doctor_id = 3"),
+    "doctor_patients_summary_of_doctor": ("doctor_patients_summary", "doctor_id = 3"),
+    "doctor_admitted_patients_of_doctor": ("doctor_admitted_patients", "doctor_id = 0"),
+    "doctor_recent_visits_of_doctor": ("doctor_recent_visits", "doctor_id = 4"),
+    "patient_admitted_visits_of_patient": ("patient_admitted_visits", "patient_id = 4"),
+    "admission_visits_of_admission": ("admission_visits", "admission_id = 4"),
+    "discharge_list_of_patient": ("discharge_list", "patient_id = 4"),
+    "doctor_discharged_patients_of_doctor": ("doctor_discharged_patients", "doctor_id = 4"),
+}
+ORACLE.update({name: f"select * from ({ORACLE[base]}) where {condition}" for name, (base, condition) in FILTERED.items()})
+for _list, _key, _base in (
+    ("doctor_recent_visits", "visit", ORACLE["doctor_recent_visits"]),
+    ("doctor_discharged_patients", "discharge", ORACLE["doctor_discharged_patients"]),
+):
+    _date = f"{_key}_datetime" if _key == "visit" else f"{_key}_date"
+    ORACLE[f"{_list}_in_order"] = f"""
+    select *, cast(row_number() over (partition by doctor_id order by {_date} desc nulls last, {_key}_id desc nulls last) as int) place
+    from ({_base})"""
+ORACLE["stored_append"] = "select * from signin_logs"
+ORACLE["stored_json"] = ORACLE["doctor_directory"]
+
+
 def needed_views(sql: str) -> list[str]:
     """The views a statement uses, in an order in which each may use earlier ones."""
     wanted: set[str] = set()

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from wardline import quality
 from wardline.jobs import admission, booking, discharge, ingest, occupancy, patches, removal
 from wardline.jobs import visits as visit_jobs
-from wardline.jobs.result import JobResult
+from wardline.jobs.result import JobResult, store
 from wardline.operators.summary import total
 from wardline.plans import billing, clinical, lists, reports, scheduling, visits, wards
-from wardline.session import configure
+from wardline.plans.order import sort_columns
+from wardline.session import checkpoint_folder, configure, stage
+from wardline.sources import sinks
 from wardline.sources.sample import AS_OF, REPORT_DAY, REPORT_RANGE, Sample, hospital_tables, long_lists
+from wardline.sources.model import TABLES
 from wardline.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +112,76 @@ DATASETS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
 }
 
 
+#: Datasets with the filters they are usually called with.
+DATASETS.update(
+    {
+        "schedules_of_doctor_day": lambda t, s: scheduling.schedules(t, 3, 2),
+        "weekly_availability_of_doctor": lambda t, s: scheduling.weekly_availability(t, AS_OF, 3),
+        "patient_forms_of_patient": lambda t, s: clinical.patient_forms(t, 7),
+        "patient_consultations_of_patient": lambda t, s: clinical.patient_consultations(t, 7),
+        "doctor_consultations_of_doctor": lambda t, s: clinical.doctor_consultations(t, 3),
+        "doctor_scheduled_appointments_of_doctor": lambda t, s: clinical.doctor_scheduled_appointments(t, 3),
+        "doctor_patients_summary_of_doctor": lambda t, s: clinical.doctor_patients_summary(t, 3),
+        "doctor_admitted_patients_of_doctor": lambda t, s: visits.doctor_admitted_patients(t, AS_OF, 0),
+        "doctor_recent_visits_of_doctor": lambda t, s: visits.doctor_recent_visits(t, 4),
+        "patient_admitted_visits_of_patient": lambda t, s: visits.patient_admitted_visits(t, 4),
+        "admission_visits_of_admission": lambda t, s: visits.admission_visits(t, 4),
+        "discharge_list_of_patient": lambda t, s: billing.discharge_list(t, patient_id=4),
+        "doctor_discharged_patients_of_doctor": lambda t, s: billing.doctor_discharged_patients(t, 4, start_date="1997-01-01", end_date="2000-12-31"),
+    }
+)
+
+
+def _in_order(name: str, rows: DataFrame) -> DataFrame:
+    """The limited list of every doctor with its place in display order."""
+    place = F.row_number().over(Window.partitionBy("doctor_id").orderBy(*sort_columns(name)))
+    return rows.withColumn("place", place)
+
+
+DATASETS["doctor_recent_visits_in_order"] = lambda t, s: _in_order("doctor_recent_visits", visits.doctor_recent_visits(t))
+DATASETS["doctor_discharged_patients_in_order"] = lambda t, s: _in_order(
+    "doctor_discharged_patients",
+    billing.doctor_discharged_patients(t, start_date="1997-01-01", end_date="2000-12-31"),
+)
+
+
+def _folder(t: Tables) -> tuple[SparkSession, str]:
+    spark = t.patients.sparkSession
+    return spark, f"{checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}"
+
+
+def _stored_append(t: Tables, s: Sample) -> DataFrame:
+    """Sign-ins appended in two parts and read back."""
+    spark, root = _folder(t)
+    late = F.col("user_type") == "patient"
+    for part in (t.signin_logs.filter(~late), t.signin_logs.filter(late)):
+        sinks.append(part, "signin_logs", f"{root}/signin_logs")
+    return Tables.parquet(spark, root).signin_logs.select(*t.signin_logs.columns)
+
+
+def _stored_update(t: Tables, s: Sample) -> DataFrame:
+    """Discharges stored by month, patched in place and read back."""
+    spark, root = _folder(t)
+    declared = [F.col(f.name).cast(f.dataType) for f in TABLES["discharges"].schema]
+    sinks.write_table(t.discharges.select(*declared), "discharges", f"{root}/discharges")
+    stored = Tables.parquet(spark, root)
+    kept = t.replacing(discharges=lambda: stored.discharges)
+    store(patches.apply_patches(kept, "discharges", s.follow_up_patches(), AS_OF, keep=stage), root)
+    as_before = [F.col(f.name).cast(f.dataType) for f in t.discharges.schema]
+    return Tables.parquet(spark, root).discharges.select(*as_before)
+
+
+def _stored_json(t: Tables, s: Sample) -> DataFrame:
+    """A dataset written as JSON lines and read back."""
+    spark, root = _folder(t)
+    rows = lists.doctor_directory(t)
+    sinks.write_json(rows, root)
+    return spark.read.schema(rows.schema).json(root)
+
+
+STORED = {"stored_append": _stored_append, "stored_update": _stored_update, "stored_json": _stored_json}
+
+
 def _state(result: JobResult, table: str) -> DataFrame:
     return result.updated[table].state
 
@@ -216,4 +291,5 @@ def as_query(build: Callable[[Tables, Sample], DataFrame]) -> Query:
     return run
 
 
+JOBS.update(STORED)
 QUERIES: dict[str, Query] = {name: as_query(build) for name, build in {**DATASETS, **JOBS}.items()}

@@ -317,7 +317,8 @@ select event_id request_id, ts requested_at, event_id % 6000 appointment_id,
 from events left join orders on o_orderkey = event_id % 6000
 """
 VIEWS["raw_visits"] = """
-select visit_id % 1000000 visit_id, case when pulse_rate % 10 = 0 then -1 else admission_id end admission_id, patient_id,
+select case when pulse_rate % 7 = 0 then admission_id else visit_id end visit_id,
+  case when pulse_rate % 10 = 0 then -1 else admission_id end admission_id, patient_id,
   case when pulse_rate % 9 = 0 then null else doctor_id end doctor_id, visit_datetime, temperature + 5 temperature,
   oxygen_saturation, pulse_rate * 4 pulse_rate,
   case when pulse_rate % 8 = 0 then 'Fair' else condition_status end condition_status, ready_for_discharge

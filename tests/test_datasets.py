@@ -278,3 +278,18 @@ def test_a_bed_with_many_occupants_repeats(hospital):
         (1, "F0"), (1, "F1"), (1, None), (2, None),
     ]
     assert wards.beds(t).count() == 24 + 2
+
+
+def test_limits_count_rows_with_their_references(hospital):
+    """The newest visits of an unknown patient do not use up the limit."""
+    from wardline.plans.visits import doctor_recent_visits
+
+    people = [{"patient_id": 1, "first_name": "A", "last_name": "B"}]
+    stays = [{"admission_id": 5, "patient_id": 1, "doctor_id": 9}]
+    seen = [
+        {"visit_id": i, "admission_id": 5, "doctor_id": 9, "patient_id": 1 if i <= 5 else 99, "visit_datetime": at(f"2024-01-{i:02d}")}
+        for i in range(1, 16)
+    ]
+    t = hospital(patients=people, admissions=stays, admitted_patient_visits=seen)
+    assert sorted(r.visit_id for r in doctor_recent_visits(t, limit=3).collect()) == [3, 4, 5]
+    assert doctor_recent_visits(t, 9, limit=None).count() == 5

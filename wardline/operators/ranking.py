@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 _RANK = "__rank"
 
 
-def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of every group in the given order."""
+def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None) -> DataFrame:
+    """The first ``n`` rows of every group in the given order; all of them for None."""
+    if n is None:
+        return df
     ranked = df.withColumn(_RANK, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col(_RANK) <= n).drop(_RANK)
 
@@ -28,19 +30,28 @@ def latest_value(moment: str, key: str, value: str) -> Column:
     return F.max(F.struct(F.col(moment), F.col(key), F.col(value)))[value]
 
 
-def latest_with_ties(df: DataFrame, keys: Sequence[str], moment: str, wanted: DataFrame | None = None) -> DataFrame:
+def latest_with_ties(df: DataFrame, keys: Sequence[str], moment: str) -> DataFrame:
     """All rows that carry the greatest ``moment`` of their group.
 
-    The greatest moments come from a partial aggregate, are cut to the ``wanted`` keys,
-    and are joined back on key and moment: very many rows of one group, even with one
-    and the same moment, never have to meet in one task.
+    The greatest moments come from a partial aggregate and are joined back on key and
+    moment: very many rows of one group, even with one and the same moment, never have
+    to meet in one task. Cut ``df`` to the wanted keys first.
     """
     latest = df.groupBy(*keys).agg(F.max(moment).alias(moment))
-    if wanted is not None:
-        latest = latest.join(wanted, list(keys), "left_semi")
     return df.join(latest, [*keys, moment])
 
 
-def top(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows overall."""
-    return df.orderBy(*order).limit(n)
+def top(df: DataFrame, order: Sequence[Column], n: int | None) -> DataFrame:
+    """The first ``n`` rows overall; all of them for None."""
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
+def referring(df: DataFrame, *parents: DataFrame) -> DataFrame:
+    """Rows whose mandatory references exist: each parent frame holds one key column.
+
+    A limit that comes after this and before the joins with the parents keeps as many
+    rows as one after the joins.
+    """
+    for parent in parents:
+        df = df.join(parent, parent.columns[0], "left_semi")
+    return df

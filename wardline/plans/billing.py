@@ -13,7 +13,7 @@ from wardline import fixed_values as V
 from wardline.functions import as_moment, contains_text, days_between, full_name, mean, money, months_before, same_text
 from wardline.functions.time import Moment, to_datetime
 from wardline.operators.people import doctor_names, doctor_profiles, patient_names, receptionist_names
-from wardline.operators.ranking import top, top_per
+from wardline.operators.ranking import referring, top, top_per
 from wardline.operators.summary import summarise
 from wardline.sources.tables import Tables
 
@@ -49,12 +49,12 @@ def doctor_discharged_patients(
     doctor_id: int | None = None,
     start_date: Moment | None = None,
     end_date: Moment | None = None,
-    limit: int = V.DISCHARGED_PATIENTS,
+    limit: int | None = V.DISCHARGED_PATIENTS,
 ) -> DataFrame:
-    """The newest discharges of one doctor, or of every doctor.
+    """The newest discharges of one doctor, or of every doctor; all for a limit of None.
 
-    ``end_date`` is a moment: a plain date stops at its first instant. The limit
-    comes before the joins, whose references are all mandatory.
+    ``end_date`` is a moment: a plain date stops at its first instant. Discharges with
+    a broken reference are left out before the limit.
     """
     rows = t.of_months("discharges", start_date, end_date).select(
         "discharge_id", "admission_id", "patient_id", "doctor_id", "discharge_date", "total_days", "total_amount",
@@ -65,6 +65,8 @@ def doctor_discharged_patients(
         rows = rows.filter(F.col("discharge_date") >= as_moment(start_date))
     if end_date is not None:
         rows = rows.filter(F.col("discharge_date") <= as_moment(end_date))
+    parents = (t.patients.select("patient_id"), doctor_profiles(t).select("doctor_id"), t.admissions.select("admission_id"))
+    rows = referring(rows, *parents)
     if doctor_id is None:
         newest = top_per(rows, ["doctor_id"], _newest(), limit)
     else:
@@ -211,12 +213,18 @@ def discharge_search(t: Tables, query: str, doctor_id: int | None = None) -> Dat
     )
 
 
-def recent_discharges(t: Tables, limit: int = V.RECENT_DISCHARGES) -> DataFrame:
-    """The newest discharges with their charges and the balance due.
+def recent_discharges(t: Tables, limit: int | None = V.RECENT_DISCHARGES) -> DataFrame:
+    """The newest discharges with their charges and the balance due; all for a limit of None.
 
-    The limit comes before the joins, whose references are all mandatory.
+    Discharges with a broken reference are left out before the limit.
     """
-    rows = top(t.discharges, _newest(), limit)
+    parents = (
+        t.patients.select("patient_id"),
+        doctor_profiles(t).select("doctor_id"),
+        t.admissions.select("admission_id"),
+        t.receptionists.select(F.col("receptionist_id").alias("processed_by_receptionist_id")),
+    )
+    rows = top(referring(t.discharges, *parents), _newest(), limit)
     stays = t.admissions.select("admission_id", "admission_date")
     desk = t.receptionists.select(
         F.col("receptionist_id").alias("processed_by_receptionist_id"),

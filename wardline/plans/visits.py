@@ -11,7 +11,7 @@ from wardline import fixed_values as V
 from wardline.functions import as_moment, days_between, exact_sum, mean, same_text
 from wardline.functions.time import Moment, to_datetime
 from wardline.operators.people import bed_numbers, doctor_names, doctor_profiles, patient_names, specialization_names
-from wardline.operators.ranking import latest_value, latest_with_ties, top, top_per
+from wardline.operators.ranking import latest_value, latest_with_ties, referring, top, top_per
 from wardline.operators.summary import summarise
 from wardline.sources.tables import Tables
 
@@ -31,7 +31,9 @@ def _room_numbers(t: Tables) -> DataFrame:
 def doctor_admitted_patients(t: Tables, as_of: Moment, doctor_id: int | None = None) -> DataFrame:
     """Open admissions with the condition seen at the last visit."""
     rows = _keep(t.admissions, "doctor_id", doctor_id).filter("is_active and discharge_date is null")
-    last = t.admitted_patient_visits.groupBy("admission_id").agg(
+    # only visits of open stays are aggregated
+    seen = t.admitted_patient_visits.select("admission_id", "visit_datetime", "visit_id", "condition_status")
+    last = seen.join(rows.select("admission_id"), "admission_id", "left_semi").groupBy("admission_id").agg(
         latest_value("visit_datetime", "visit_id", "condition_status").alias("last_condition_status")
     )
     people = t.patients.select(
@@ -72,16 +74,17 @@ def admission_visits(t: Tables, admission_id: int | None = None) -> DataFrame:
     )
 
 
-def doctor_recent_visits(t: Tables, doctor_id: int | None = None, limit: int = V.RECENT_VISITS) -> DataFrame:
-    """The newest visits of one doctor, or of every doctor.
+def doctor_recent_visits(t: Tables, doctor_id: int | None = None, limit: int | None = V.RECENT_VISITS) -> DataFrame:
+    """The newest visits of one doctor, or of every doctor; all for a limit of None.
 
-    The limit comes before the joins: patient and admission are mandatory
-    references, so the joins drop no row, and only the kept rows are looked up.
+    Visits without their patient or admission are left out before the limit, so it
+    keeps as many rows as one after the joins, and only the kept rows are looked up.
     """
     visits = t.admitted_patient_visits.select(
         "visit_id", "admission_id", "patient_id", "doctor_id", "blood_pressure", "temperature", "oxygen_saturation",
         "pulse_rate", "condition_status", "ready_for_discharge", "visit_datetime",
     )
+    visits = referring(visits, t.patients.select("patient_id"), t.admissions.select("admission_id"))
     if doctor_id is None:
         newest = top_per(visits, ["doctor_id"], _newest(), limit)
     else:
@@ -251,7 +254,9 @@ def ready_for_discharge(t: Tables, as_of: Moment) -> DataFrame:
         "visit_id", "admission_id", "ready_for_discharge", "discharge_recommended_date", "condition_status",
         "visit_datetime", "treatment_given", "notes",
     )
-    newest = latest_with_ties(recommended, ["admission_id"], "visit_datetime", open_rows.select("admission_id"))
+    # visits of closed stays, nearly all, are dropped before they are aggregated
+    recommended = recommended.join(open_rows.select("admission_id"), "admission_id", "left_semi")
+    newest = latest_with_ties(recommended, ["admission_id"], "visit_datetime")
     people = t.patients.select(
         "patient_id",
         F.col("first_name").alias("patient_first_name"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -68,13 +66,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     return spark
 
 
-def checkpoint_folder(configured: str | None, master: str) -> str:
-    """The folder the cluster names; a private one only on a single machine."""
-    if configured:
-        return configured
-    if not master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="wardline-checkpoint-")
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``, else one in the warehouse.
+
+    Executors share either of them; a machine-local folder is never used.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -86,6 +84,5 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(checkpoint_folder(configured, context.master))
+        context.setCheckpointDir(checkpoint_folder(spark))
     return df.checkpoint()

@@ -619,7 +619,7 @@ class Sample:
     def raw_visits(self) -> DataFrame:
         """Unchecked visit rows, with values outside the rules."""
         return self.admitted_patient_visits().selectExpr(
-            "visit_id % 1000000 visit_id",
+            "case when pulse_rate % 7 = 0 then admission_id else visit_id end visit_id",
             "case when pulse_rate % 10 = 0 then -1 else admission_id end admission_id",
             "patient_id",
             "case when pulse_rate % 9 = 0 then null else doctor_id end doctor_id",
