@@ -12,6 +12,7 @@ from wardline.functions import as_moment, days_between, exact_sum, mean, same_te
 from wardline.functions.time import Moment, to_datetime
 from wardline.operators.people import bed_numbers, doctor_names, doctor_profiles, patient_names, specialization_names
 from wardline.operators.ranking import latest_value, latest_with_ties, referring, top, top_per
+from wardline.operators.spread import spread_join
 from wardline.operators.summary import summarise
 from wardline.sources.tables import Tables
 
@@ -31,9 +32,9 @@ def _room_numbers(t: Tables) -> DataFrame:
 def doctor_admitted_patients(t: Tables, as_of: Moment, doctor_id: int | None = None) -> DataFrame:
     """Open admissions with the condition seen at the last visit."""
     rows = _keep(t.admissions, "doctor_id", doctor_id).filter("is_active and discharge_date is null")
-    # only visits of open stays are aggregated
+    # only visits of open stays are aggregated; those of a long stay are spread
     seen = t.admitted_patient_visits.select("admission_id", "visit_datetime", "visit_id", "condition_status")
-    last = seen.join(rows.select("admission_id"), "admission_id", "left_semi").groupBy("admission_id").agg(
+    last = spread_join(seen, rows.select("admission_id"), ["admission_id"], "left_semi", "visit_id").groupBy("admission_id").agg(
         latest_value("visit_datetime", "visit_id", "condition_status").alias("last_condition_status")
     )
     people = t.patients.select(
@@ -255,7 +256,7 @@ def ready_for_discharge(t: Tables, as_of: Moment) -> DataFrame:
         "visit_datetime", "treatment_given", "notes",
     )
     # visits of closed stays, nearly all, are dropped before they are aggregated
-    recommended = recommended.join(open_rows.select("admission_id"), "admission_id", "left_semi")
+    recommended = spread_join(recommended, open_rows.select("admission_id"), ["admission_id"], "left_semi", "visit_id")
     newest = latest_with_ties(recommended, ["admission_id"], "visit_datetime")
     people = t.patients.select(
         "patient_id",
