@@ -103,7 +103,8 @@ from orders where o_orderstatus = 'F'
 """
 
 VIEWS["prescribed_medicines"] = """
-select l_orderkey * 1000000000 + l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey medicine_id,
+select row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)
+    * (select max(o_orderkey) + 1 from orders) + l_orderkey medicine_id,
   l_orderkey consultation_id, p_name medicine_name, concat(cast(l_quantity as int), 'mg') dosage,
   p_type frequency, concat(l_linenumber, ' days') duration, l_shipdate created_at
 from lineitem join part on l_partkey = p_partkey join consultations c on c.consultation_id = l_orderkey
@@ -130,35 +131,42 @@ from nation where n_nationkey < 11
 VIEWS["admissions"] = """
 select o_orderkey admission_id, o_custkey patient_id,
   o_orderkey % (select count(*) from supplier) doctor_id, o_orderkey consultation_id,
-  o_orderkey action_id, cast(floor((o_orderkey % 81) / 8.0) as int) + 1 initial_room_id,
-  cast(o_orderkey % 81 + 1 as int) bed_id, o_orderdate admission_date,
+  o_orderkey action_id, cast(place // 81 * 11 + place % 81 // 8 + 1 as int) initial_room_id,
+  cast(place + 1 as int) bed_id, o_orderdate admission_date,
   case when o_orderkey % 20 = 0 then null
     else o_orderdate + cast(3 + o_orderkey % 5 as int) * interval '1' day end discharge_date,
   o_orderkey % 20 = 0 is_active, o_orderpriority admission_notes,
   5 + o_orderkey % 25 assigned_by_receptionist_id
-from orders where o_orderstatus = 'F' and o_orderkey % 4 = 0
+from (select *, o_orderkey % (81 * (select (count(*) + 9) // 10 from supplier)) place from orders)
+where o_orderstatus = 'F' and o_orderkey % 4 = 0
+"""
+
+# Ward blocks: eleven rooms and 81 beds for every ten doctors begun.
+VIEWS["places"] = """
+select cast(k * 81 + r.n_nationkey * 8 + b.n_nationkey + 1 as int) bed_id,
+  cast(k * 11 + r.n_nationkey + 1 as int) room_id, r.n_nationkey + 1 room_type_id,
+  cast(r.n_nationkey as int) % 6 + 1 floor_number, b.n_nationkey + 1 bed_number
+from (select distinct s_suppkey // 10 k from supplier) cross join nation r cross join nation b
+where r.n_nationkey < 11 and b.n_nationkey < 8 and (r.n_nationkey < 10 or b.n_nationkey = 0)
 """
 
 VIEWS["beds"] = """
-select r.n_nationkey * 8 + b.n_nationkey + 1 bed_id, r.n_nationkey + 1 room_id,
-  b.n_nationkey + 1 bed_number, concat('R', r.n_nationkey + 1, '-B', b.n_nationkey + 1) bed_code,
+select p.bed_id, p.room_id, p.bed_number, concat('R', p.room_id, '-B', p.bed_number) bed_code,
   a.bed_id is not null is_occupied
-from nation r cross join nation b
-left join (select distinct bed_id from admissions where is_active and bed_id % 3 = 0) a
-  on a.bed_id = r.n_nationkey * 8 + b.n_nationkey + 1
-where r.n_nationkey < 11 and b.n_nationkey < 8 and (r.n_nationkey < 10 or b.n_nationkey = 0)
+from places p left join (select distinct bed_id from admissions where is_active and bed_id % 3 = 0) a
+  on a.bed_id = p.bed_id
 """
 
 VIEWS["rooms"] = """
-select n_nationkey + 1 room_id, concat('ROOM-', n_nationkey + 1) room_number, n_nationkey + 1 room_type_id,
-  cast(n_nationkey as int) % 6 + 1 floor_number, x.full_room is_occupied
-from nation join (select room_id, min(case when is_occupied then 1 else 0 end) = 1 full_room
-  from beds group by room_id) x on x.room_id = n_nationkey + 1
-where n_nationkey < 11
+select p.room_id, concat('ROOM-', p.room_id) room_number, p.room_type_id, p.floor_number, x.full_room is_occupied
+from places p join (select room_id, min(case when is_occupied then 1 else 0 end) = 1 full_room
+  from beds group by room_id) x on x.room_id = p.room_id
+where p.bed_number = 1
 """
 
 VIEWS["admitted_patient_visits"] = """
-select l_orderkey * 1000000000 + l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey visit_id,
+select row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)
+    * (select max(o_orderkey) + 1 from orders) + l_orderkey visit_id,
   a.admission_id, a.patient_id, a.doctor_id, l_shipdate visit_datetime,
   concat(100 + l_linenumber, '/', 70 + l_linenumber) blood_pressure,
   cast(90 + l_quantity * 0.4 as double) temperature, cast(round(100 - l_discount * 100) as int) oxygen_saturation,
@@ -198,7 +206,8 @@ from events
 """
 
 VIEWS["booking_requests"] = """
-select event_id request_id, ts requested_at, event_id % 200 patient_id, user_id % 12 doctor_id,
+select event_id request_id, ts requested_at, event_id % (select greatest(1, count(*) * 2 // 15) from customer) patient_id,
+  user_id % (select greatest(1, count(*) * 3 // 25) from supplier) doctor_id,
   date '2001-08-01' + cast(event_id % 11 - 1 as int) appointment_date, cast(event_id % 26 + 1 as int) slot_id
 from events
 """
@@ -232,27 +241,30 @@ select p_partkey + 1 room_type_id, concat(case p_size % 3 when 0 then 'GWARD-' w
 # --- request views of the batch jobs ------------------------------------------
 
 VIEWS["visit_requests"] = """
-select event_id request_id, ts requested_at, (event_id % 800) * 20 admission_id,
+select event_id request_id, ts requested_at, event_id % (select greatest(1, count(*) * 4 // 75) from orders) * 20 admission_id,
   case when event_id % 7 = 0 then a.patient_id + 1 else a.patient_id end patient_id, a.doctor_id,
   concat(100 + event_id % 40, '/', 60 + event_id % 30) blood_pressure, cast(88 + event_id % 23 as double) temperature,
   cast(event_id % 103 as int) oxygen_saturation, cast(event_id % 311 as int) pulse_rate,
   case event_id % 6 when 0 then 'Stable' when 1 then 'Improving' when 2 then 'Critical' when 3 then 'Deteriorating'
     when 4 then 'Fair' end condition_status, event_id % 3 = 0 ready_for_discharge,
   case event_id % 5 when 0 then ts when 1 then timestamp '1990-01-01 00:00:00' end discharge_recommended_date
-from events left join admissions a on a.admission_id = (event_id % 800) * 20
+from events left join admissions a on a.admission_id = event_id % (select greatest(1, count(*) * 4 // 75) from orders) * 20
 """
 VIEWS["admit_requests"] = """
 select ca.action_id request_id, ca.created_at requested_at,
   case when ca.action_id % 28 = 0 then null else c.patient_id end patient_id, c.doctor_id, ca.consultation_id,
-  ca.action_id, cast(ca.action_id % 11 + 1 as int) initial_room_id, cast(ca.action_id % 90 + 1 as int) bed_id,
+  ca.action_id, cast(ca.action_id % (11 * (select (count(*) + 9) // 10 from supplier)) + 1 as int) initial_room_id,
+  cast(ca.action_id % (90 * (select (count(*) + 9) // 10 from supplier)) + 1 as int) bed_id,
   ca.notes admission_notes, 5 + ca.action_id % 27 assigned_by_receptionist_id
 from consultation_actions ca join consultations c on c.consultation_id = ca.consultation_id
 where ca.action_type_id = 1
 """
 VIEWS["discharge_requests"] = """
 select event_id request_id, ts requested_at,
-  (event_id % 800) * 20 + case when event_id % 9 = 0 then 4 else 0 end admission_id, user_id % 100 + 1 patient_id,
-  user_id % 12 doctor_id, cast(event_id % 81 + 1 as int) bed_id,
+  event_id % (select greatest(1, count(*) * 4 // 75) from orders) * 20 + case when event_id % 9 = 0 then 4 else 0 end admission_id,
+  user_id % (select greatest(1, count(*) * 1 // 15) from customer) + 1 patient_id,
+  user_id % (select greatest(1, count(*) * 3 // 25) from supplier) doctor_id,
+  cast(event_id % (81 * (select (count(*) + 9) // 10 from supplier)) + 1 as int) bed_id,
   cast(round(value * 20000) as decimal(12,2)) total_bill, cast(round(value * 10) as decimal(12,2)) final_bill_amount,
   case when event_id % 5 <> 0 then cast(event_id % 1000 as decimal(12,2)) end room_charges,
   cast(round(value) as decimal(12,2)) medical_charges, cast(event_id % 40 - 1 as decimal(12,2)) lab_charges,
@@ -264,7 +276,7 @@ VIEWS["bed_requests"] = """
 select event_id request_id, ts requested_at, user_id + 1 bed_id, value < 20 is_occupied from events
 """
 VIEWS["schedule_patches"] = """
-select event_id request_id, ts requested_at, event_id % 4000 schedule_id,
+select event_id request_id, ts requested_at, event_id % (select greatest(1, count(*) * 40 // 1) from supplier) schedule_id,
   event_id % 2 = 0 has_day, cast(event_id % 9 as int) new_day, event_id % 3 = 0 has_slot,
   cast(event_id % 25 + 1 as int) new_slot, event_id % 5 = 0 has_active, event_id % 10 = 0 new_active
 from events
@@ -276,7 +288,7 @@ select event_id request_id, ts requested_at, event_id * 2 action_id, event_id %
 from events
 """
 VIEWS["visit_patches"] = """
-select event_id * 1000000000000 + visit_id % 1000000000 request_id, ts requested_at, visit_id,
+select visit_id request_id, ts requested_at, visit_id,
   event_id % 3 = 0 has_temperature, case when event_id % 9 = 0 then 'hot' else '98.60' end new_temperature,
   event_id % 5 = 0 has_pulse, cast(200 + event_id % 150 as int) new_pulse, event_id % 7 = 0 has_condition,
   event_id % 8 = 0 has_ready, event_id % 16 = 0 new_ready
@@ -288,13 +300,13 @@ select event_id request_id, ts requested_at, event_id * 4 discharge_id, event_id
 from events
 """
 VIEWS["removal_requests"] = """
-select event_id request_id, ts requested_at, event_id % 130 doctor_id,
+select event_id request_id, ts requested_at, event_id % (select greatest(1, count(*) * 13 // 10) from supplier) doctor_id,
   case when event_id % 11 = 0 then '' else event_type end removal_reason,
   case when event_id % 13 = 0 then 2 else 1 end removed_by_admin_id
 from events
 """
 VIEWS["schedule_deletions"] = """
-select event_id request_id, ts requested_at, event_id % 6000 schedule_id from events
+select event_id request_id, ts requested_at, event_id % (select greatest(1, count(*) * 60 // 1) from supplier) schedule_id from events
 """
 VIEWS["new_patients"] = """
 select c_custkey request_id, timestamp '2001-08-01 00:00:00' requested_at,
@@ -308,13 +320,13 @@ VIEWS["new_doctors"] = """
 select p_partkey request_id, timestamp '2001-08-01 00:00:00' requested_at, p_brand first_name, p_type last_name,
   p_size + 15 age, cast(p_partkey % 7 as int) specialization_id,
   cast(p_partkey % 3 * 100 as decimal(10,2)) consultation_fee, cast(p_partkey % 9 as int) experience_years,
-  case when p_partkey % 6 <> 0 then concat('REG-', p_partkey % 300) end registration_number
+  case when p_partkey % 6 <> 0 then concat('REG-', p_partkey % (select greatest(1, count(*) * 3 // 1) from supplier)) end registration_number
 from part
 """
 VIEWS["new_forms"] = """
-select event_id request_id, ts requested_at, event_id % 6000 appointment_id,
+select event_id request_id, ts requested_at, event_id % (select greatest(1, count(*) * 2 // 5) from orders) appointment_id,
   case when event_id % 8 = 0 then o_custkey + 1 else o_custkey end patient_id, o_orderpriority symptoms
-from events left join orders on o_orderkey = event_id % 6000
+from events left join orders on o_orderkey = event_id % (select greatest(1, count(*) * 2 // 5) from orders)
 """
 VIEWS["raw_visits"] = """
 select case when pulse_rate % 7 = 0 then admission_id else visit_id end visit_id,
@@ -325,14 +337,14 @@ select case when pulse_rate % 7 = 0 then admission_id else visit_id end visit_id
 from admitted_patient_visits
 """
 VIEWS["new_consultations"] = """
-select event_id request_id, ts requested_at, event_id % 7000 appointment_id,
+select event_id request_id, ts requested_at, event_id % (select greatest(1, count(*) * 7 // 15) from orders) appointment_id,
   case when event_id % 50 = 0 then 999999999 else a.doctor_id end doctor_id, a.patient_id,
   case when event_id % 4 = 0 then '' else '120/80' end blood_pressure,
   case when event_id % 3 = 0 then 0.0 else 98.5 end temperature
-from events left join appointments a on a.appointment_id = event_id % 7000
+from events left join appointments a on a.appointment_id = event_id % (select greatest(1, count(*) * 7 // 15) from orders)
 """
 VIEWS["new_schedules"] = """
-select event_id request_id, ts requested_at, user_id % 110 doctor_id,
+select event_id request_id, ts requested_at, user_id % (select greatest(1, count(*) * 11 // 10) from supplier) doctor_id,
   case when event_id % 40 <> 0 then cast(event_id % 8 as int) end day_of_week, cast(event_id % 26 as int) slot_id,
   case when event_id % 3 = 0 then false end is_active
 from events
@@ -359,5 +371,5 @@ select event_id request_id, ts requested_at, concat('', user_id) user_id,
 from events
 """
 VIEWS["room_requests"] = """
-select event_id request_id, ts requested_at, user_id % 13 + 1 room_id, value < 50 is_occupied from events
+select event_id request_id, ts requested_at, user_id % (13 * (select (count(*) + 9) // 10 from supplier)) + 1 room_id, value < 50 is_occupied from events
 """

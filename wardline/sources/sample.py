@@ -13,6 +13,7 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wardline.sources.tables import Tables
 
@@ -41,7 +42,7 @@ class Sample:
         self.spark = spark
         self.folder = folder
         self._raw = cache(self._read)
-        self._doctors = cache(lambda: self._raw("supplier").agg(F.count(F.lit(1))).scalar())
+        self._rows = cache(lambda name: self._raw(name).agg(F.count(F.lit(1))).scalar())
         self.admissions = cache(self._admissions)
 
     def _read(self, name: str) -> DataFrame:
@@ -49,7 +50,30 @@ class Sample:
 
     def _doctor_of(self, key: str) -> Column:
         """Spread keys over the doctors; the row count is one scalar subquery."""
-        return F.col(key) % self._doctors()
+        return F.col(key) % self._rows("supplier")
+
+    def _share(self, name: str, numerator: int, denominator: int = 1) -> Column:
+        """A whole number in proportion to the rows of a file, at least 1."""
+        return F.greatest(F.lit(1), F.floor(self._rows(name) * numerator / denominator)).cast("bigint")
+
+    def _blocks(self) -> Column:
+        """Ward blocks: one per ten doctors, each with eleven rooms and 81 beds."""
+        return F.ceil(self._rows("supplier") / 10).cast("bigint")
+
+    def _events(self, **scales: Column) -> DataFrame:
+        """The events with numbers that follow from the table sizes."""
+        return self._raw("events").withColumns(scales)
+
+    def _numbered(self, lines: DataFrame, name: str) -> DataFrame:
+        """Give line items a key: the place in their order, then the order.
+
+        The file has no key. The number of orders is the base of the place, so keys are
+        distinct at every size; one too large for its type would raise an error.
+        ``lines`` holds all lines of an order or none.
+        """
+        place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+        base = self._raw("orders").agg(F.max("o_orderkey") + 1).scalar()
+        return lines.withColumn(name, place * base + F.col("l_orderkey"))
 
     def specializations(self) -> DataFrame:
         return self._raw("region").selectExpr(
@@ -187,8 +211,8 @@ class Sample:
             .join(self._raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type"), "l_partkey")
             .join(self.consultations().select(F.col("consultation_id").alias("l_orderkey")), "l_orderkey", "left_semi")
         )
-        return ordered.selectExpr(
-            _LINE_KEY + " medicine_id",
+        return self._numbered(ordered, "medicine_id").selectExpr(
+            "medicine_id",
             "l_orderkey consultation_id",
             "p_name medicine_name",
             "concat(cast(l_quantity as int), 'mg') dosage",
@@ -224,6 +248,7 @@ class Sample:
             self._raw("orders")
             .filter("o_orderstatus = 'F' and o_orderkey % 4 = 0")
             .withColumn("doctor", self._doctor_of("o_orderkey"))
+            .withColumn("place", F.col("o_orderkey") % (self._blocks() * 81))
         )
         return admitted.selectExpr(
             "o_orderkey admission_id",
@@ -231,8 +256,8 @@ class Sample:
             "doctor doctor_id",
             "o_orderkey consultation_id",
             "o_orderkey action_id",
-            "cast(floor((o_orderkey % 81) / 8.0) as int) + 1 initial_room_id",
-            "cast(o_orderkey % 81 + 1 as int) bed_id",
+            "cast(place div 81 * 11 + place % 81 div 8 + 1 as int) initial_room_id",
+            "cast(place + 1 as int) bed_id",
             "o_orderdate admission_date",
             "case when o_orderkey % 20 = 0 then null"
             " else o_orderdate + cast(3 + o_orderkey % 5 as int) * interval '1' day end discharge_date",
@@ -249,36 +274,38 @@ class Sample:
             .distinct()
             .withColumn("taken", F.lit(True))
         )
-        places = (
-            self._raw("nation")
-            .filter("n_nationkey < 11")
-            .selectExpr("n_nationkey room", "explode(sequence(0, case when n_nationkey < 10 then 7 else 0 end)) place")
-            .selectExpr(
-                "room * 8 + place + 1 bed_id",
-                "room + 1 room_id",
-                "place + 1 bed_number",
-                "concat('R', room + 1, '-B', place + 1) bed_code",
-            )
+        places = self._rooms().selectExpr(
+            "room", "block", "explode(sequence(0, case when room < 10 then 7 else 0 end)) place"
+        ).selectExpr(
+            "cast(block * 81 + room * 8 + place + 1 as int) bed_id",
+            "cast(block * 11 + room + 1 as int) room_id",
+            "place + 1 bed_number",
+            "concat('R', block * 11 + room + 1, '-B', place + 1) bed_code",
         )
         return places.join(taken, "bed_id", "left").selectExpr(
             "bed_id", "room_id", "bed_number", "bed_code", "taken is not null is_occupied"
         )
 
+    def _rooms(self) -> DataFrame:
+        """Every room with its block and its place in it; doctors are numbered without gaps."""
+        blocks = self._raw("supplier").selectExpr("s_suppkey div 10 block").distinct()
+        return blocks.selectExpr("block", "explode(sequence(0, 10)) room")
+
     def rooms(self) -> DataFrame:
         full = self.beds().groupBy("room_id").agg(F.bool_and("is_occupied").alias("is_occupied"))
-        plain = self._raw("nation").filter("n_nationkey < 11").selectExpr(
-            "n_nationkey + 1 room_id",
-            "concat('ROOM-', n_nationkey + 1) room_number",
-            "n_nationkey + 1 room_type_id",
-            "cast(n_nationkey as int) % 6 + 1 floor_number",
+        plain = self._rooms().selectExpr(
+            "cast(block * 11 + room + 1 as int) room_id",
+            "concat('ROOM-', block * 11 + room + 1) room_number",
+            "room + 1 room_type_id",
+            "room % 6 + 1 floor_number",
         )
         return plain.join(full, "room_id")
 
     def admitted_patient_visits(self) -> DataFrame:
         stays = self.admissions().select(F.col("admission_id"), "patient_id", "doctor_id")
         visits = self._raw("lineitem").join(stays, F.col("l_orderkey") == F.col("admission_id"))
-        return visits.selectExpr(
-            _LINE_KEY + " visit_id",
+        return self._numbered(visits, "visit_id").selectExpr(
+            "visit_id",
             "admission_id",
             "patient_id",
             "doctor_id",
@@ -378,17 +405,23 @@ class Sample:
     # --- request frames of the batch jobs ----------------------------------
 
     def booking_requests(self) -> DataFrame:
-        return self._raw("events").selectExpr(
+        return self._events(
+            people=self._share("customer", 2, 15), staff=self._share("supplier", 3, 25)
+        ).selectExpr(
             "event_id request_id",
             "ts requested_at",
-            "event_id % 200 patient_id",
-            "user_id % 12 doctor_id",
+            "event_id % people patient_id",
+            "user_id % staff doctor_id",
             "date_add(date'2001-08-01', cast(event_id % 11 - 1 as int)) appointment_date",
             "cast(event_id % 26 + 1 as int) slot_id",
         )
 
+    def _open_places(self) -> Column:
+        """Somewhat more numbers than there are open stays, which are every 20th order."""
+        return self._share("orders", 4, 75)
+
     def visit_requests(self) -> DataFrame:
-        asked = self._raw("events").withColumn("stay", F.expr("(event_id % 800) * 20"))
+        asked = self._events(places=self._open_places()).withColumn("stay", F.expr("(event_id % places) * 20"))
         stays = self.admissions().selectExpr("admission_id stay", "patient_id", "doctor_id")
         return asked.join(stays, "stay", "left").selectExpr(
             "event_id request_id",
@@ -410,27 +443,33 @@ class Sample:
     def admit_requests(self) -> DataFrame:
         actions = self.consultation_actions().filter("action_type_id = 1")
         seen = self.consultations().select("consultation_id", "patient_id", "doctor_id")
-        return actions.join(seen, "consultation_id").selectExpr(
+        asked = actions.join(seen, "consultation_id").withColumn("blocks", self._blocks())
+        return asked.selectExpr(
             "action_id request_id",
             "created_at requested_at",
             "case when action_id % 28 = 0 then null else patient_id end patient_id",
             "doctor_id",
             "consultation_id",
             "action_id",
-            "cast(action_id % 11 + 1 as int) initial_room_id",
-            "cast(action_id % 90 + 1 as int) bed_id",
+            "cast(action_id % (blocks * 11) + 1 as int) initial_room_id",
+            "cast(action_id % (blocks * 90) + 1 as int) bed_id",
             "notes admission_notes",
             "5 + action_id % 27 assigned_by_receptionist_id",
         )
 
     def discharge_requests(self) -> DataFrame:
-        return self._raw("events").selectExpr(
+        return self._events(
+            places=self._open_places(),
+            people=self._share("customer", 1, 15),
+            staff=self._share("supplier", 3, 25),
+            blocks=self._blocks(),
+        ).selectExpr(
             "event_id request_id",
             "ts requested_at",
-            "(event_id % 800) * 20 + case when event_id % 9 = 0 then 4 else 0 end admission_id",
-            "user_id % 100 + 1 patient_id",
-            "user_id % 12 doctor_id",
-            "cast(event_id % 81 + 1 as int) bed_id",
+            "(event_id % places) * 20 + case when event_id % 9 = 0 then 4 else 0 end admission_id",
+            "user_id % people + 1 patient_id",
+            "user_id % staff doctor_id",
+            "cast(event_id % (blocks * 81) + 1 as int) bed_id",
             "cast(round(value * 20000) as decimal(12,2)) total_bill",
             "cast(round(value * 10) as decimal(12,2)) final_bill_amount",
             "case when event_id % 5 <> 0 then cast(event_id % 1000 as decimal(12,2)) end room_charges",
@@ -447,10 +486,10 @@ class Sample:
         )
 
     def schedule_patches(self) -> DataFrame:
-        return self._raw("events").selectExpr(
+        return self._events(rows=self._share("supplier", 40)).selectExpr(
             "event_id request_id",
             "ts requested_at",
-            "event_id % 4000 schedule_id",
+            "event_id % rows schedule_id",
             _map(
                 day_of_week=("event_id % 2 = 0", "cast(event_id % 9 as string)"),
                 slot_id=("event_id % 3 = 0", "cast(event_id % 25 + 1 as string)"),
@@ -477,7 +516,7 @@ class Sample:
         """Patches of the ward visits of the same order number as the event."""
         visits = self.admitted_patient_visits().select("visit_id", "admission_id")
         return self._raw("events").join(visits, F.col("event_id") == F.col("admission_id")).selectExpr(
-            _PATCH_KEY + " request_id",
+            "visit_id request_id",
             "ts requested_at",
             "visit_id",
             _map(
@@ -501,16 +540,18 @@ class Sample:
         )
 
     def removal_requests(self) -> DataFrame:
-        return self._raw("events").selectExpr(
+        return self._events(staff=self._share("supplier", 13, 10)).selectExpr(
             "event_id request_id",
             "ts requested_at",
-            "event_id % 130 doctor_id",
+            "event_id % staff doctor_id",
             "case when event_id % 11 = 0 then '' else event_type end removal_reason",
             "case when event_id % 13 = 0 then 2 else 1 end removed_by_admin_id",
         )
 
     def schedule_deletions(self) -> DataFrame:
-        return self._raw("events").selectExpr("event_id request_id", "ts requested_at", "event_id % 6000 schedule_id")
+        return self._events(rows=self._share("supplier", 60)).selectExpr(
+            "event_id request_id", "ts requested_at", "event_id % rows schedule_id"
+        )
 
     def new_patients(self) -> DataFrame:
         return self._raw("customer").selectExpr(
@@ -524,7 +565,7 @@ class Sample:
         )
 
     def new_doctors(self) -> DataFrame:
-        return self._raw("part").selectExpr(
+        return self._raw("part").withColumn("numbers", self._share("supplier", 3)).selectExpr(
             "p_partkey request_id",
             "timestamp_ntz '2001-08-01 00:00:00' requested_at",
             "p_brand first_name",
@@ -533,14 +574,14 @@ class Sample:
             "cast(p_partkey % 7 as int) specialization_id",
             "cast(p_partkey % 3 * 100 as decimal(10,2)) consultation_fee",
             "cast(p_partkey % 9 as int) experience_years",
-            "case when p_partkey % 6 <> 0 then concat('REG-', p_partkey % 300) end registration_number",
+            "case when p_partkey % 6 <> 0 then concat('REG-', p_partkey % numbers) end registration_number",
         )
 
     def new_forms(self) -> DataFrame:
-        return self._raw("events").selectExpr(
+        return self._events(rows=self._share("orders", 2, 5)).selectExpr(
             "event_id request_id",
             "ts requested_at",
-            "event_id % 6000 appointment_id",
+            "event_id % rows appointment_id",
         ).join(
             self._raw("orders").selectExpr("o_orderkey appointment_id", "o_custkey", "o_orderpriority"),
             "appointment_id",
@@ -554,7 +595,9 @@ class Sample:
         )
 
     def new_consultations(self) -> DataFrame:
-        asked = self._raw("events").selectExpr("event_id request_id", "ts requested_at", "event_id % 7000 appointment_id")
+        asked = self._events(rows=self._share("orders", 7, 15)).selectExpr(
+            "event_id request_id", "ts requested_at", "event_id % rows appointment_id"
+        )
         people = self.appointments().select("appointment_id", "patient_id", "doctor_id")
         return asked.join(people, "appointment_id", "left").selectExpr(
             "request_id",
@@ -567,10 +610,10 @@ class Sample:
         )
 
     def new_schedules(self) -> DataFrame:
-        return self._raw("events").selectExpr(
+        return self._events(staff=self._share("supplier", 11, 10)).selectExpr(
             "event_id request_id",
             "ts requested_at",
-            "user_id % 110 doctor_id",
+            "user_id % staff doctor_id",
             "case when event_id % 40 <> 0 then cast(event_id % 8 as int) end day_of_week",
             "cast(event_id % 26 as int) slot_id",
             "case when event_id % 3 = 0 then false end is_active",
@@ -612,8 +655,8 @@ class Sample:
         )
 
     def room_requests(self) -> DataFrame:
-        return self._raw("events").selectExpr(
-            "event_id request_id", "ts requested_at", "user_id % 13 + 1 room_id", "value < 50 is_occupied"
+        return self._events(blocks=self._blocks()).selectExpr(
+            "event_id request_id", "ts requested_at", "user_id % (blocks * 13) + 1 room_id", "value < 50 is_occupied"
         )
 
     def raw_visits(self) -> DataFrame:
@@ -641,22 +684,6 @@ def _map(**fields: tuple[str, str]) -> str:
     return f"map_from_entries(array_compact(array({entries}))) changes"
 
 
-def _wide_key(formula: str, *parts: str) -> str:
-    """A composite key as one number; a 62-bit hash where the number leaves 64 bits.
-
-    ``formula`` uses try_ arithmetic. Only samples far beyond the given ones get there.
-    """
-    return f"coalesce({formula}, shiftrightunsigned(xxhash64({', '.join(parts)}), 2))"
-
-
-_LINE_KEY = _wide_key(
-    "try_add(try_multiply(l_orderkey, 1000000000L), l_linenumber * 100000000L + l_partkey * 1000L + l_suppkey)",
-    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-)
-_PATCH_KEY = _wide_key(
-    "try_add(try_multiply(event_id, 1000000000000L), visit_id % 1000000000L)", "event_id", "visit_id"
-)
-
 HOSPITAL = (
     "specializations doctors patients receptionists admin time_slots doctor_schedules appointment_statuses"
     " action_types appointments appointment_forms appointment_cancellations consultations prescribed_medicines"
