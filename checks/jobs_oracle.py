@@ -296,11 +296,31 @@ def newest(value: str, given: str) -> str:
     return f"(max({{'at': requested_at, 'id': request_id, 'v': {value}}}) filter (where {given}))['v']"
 
 
-_SCHEDULE_PATCH = """with recursive decided as (
-  select p.*, case when not (has_day or has_slot or has_active) then 'No fields to update'
+# Patches of a doctor one by one over all rows of the doctor: each step carries every row on.
+_SCHEDULE_PATCH = """with recursive checked as (
+  select p.*, s.doctor_id, case when not (has_day or has_slot or has_active) then 'No fields to update'
     when s.schedule_id is null then 'Not found' when has_day and new_day > 6 then 'Value breaks a table rule'
-    when has_slot and new_slot not in (select slot_id from time_slots) then 'Referenced row not found' end reason
-  from schedule_patches p left join doctor_schedules s on s.schedule_id = p.schedule_id)
+    when has_slot and new_slot not in (select slot_id from time_slots) then 'Referenced row not found' end early
+  from schedule_patches p left join doctor_schedules s on s.schedule_id = p.schedule_id),
+steps as (
+  select *, row_number() over (partition by doctor_id order by requested_at, request_id) n
+  from checked where early is null and (has_day or has_slot)),
+walk as (
+  select schedule_id, doctor_id, cast(day_of_week as int) d, cast(slot_id as int) s, cast(0 as bigint) n,
+    cast(null as bigint) refused
+  from doctor_schedules where doctor_id in (select doctor_id from steps)
+  union all
+  select schedule_id, doctor_id, case when here and not taken then to_d else d end,
+    case when here and not taken then to_s else s end, n, case when here and taken then request_id end
+  from (select *, bool_or(not here and d = to_d and s = to_s) over (partition by doctor_id) taken
+    from (select *, max(case when here then case when has_day then new_day else d end end) over (partition by doctor_id) to_d,
+        max(case when here then case when has_slot then new_slot else s end end) over (partition by doctor_id) to_s
+      from (select w.schedule_id, w.doctor_id, w.d, w.s, p.n, p.request_id, p.has_day, p.new_day, p.has_slot, p.new_slot,
+          w.schedule_id = p.schedule_id here
+        from walk w join steps p on p.doctor_id = w.doctor_id and p.n = w.n + 1)))),
+decided as (
+  select c.*, case when r.refused is not null then 'Duplicate key' else early end reason
+  from checked c left join (select refused from walk where refused is not null) r on r.refused = c.request_id)
 """
 JOB_ORACLE["patch_schedules_decisions"] = _SCHEDULE_PATCH + "select request_id, schedule_id, reason from decided"
 JOB_ORACLE["patch_schedules"] = _SCHEDULE_PATCH + f"""

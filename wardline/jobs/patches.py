@@ -17,6 +17,7 @@ from wardline.functions import as_moment
 from wardline.functions.time import Moment
 from wardline.jobs.result import JobResult, Keep, lazily, update
 from wardline.operators.requests import AT, ID, first_reason, turn, with_known
+from wardline.operators.unique_keys import refused_moves
 from wardline.quality import value_rules
 from wardline.sources.model import TABLES
 from wardline.sources.tables import Tables
@@ -30,6 +31,7 @@ class Patchable:
     flags: tuple[str, ...] = ()
     stamp: str | None = None  # set to the time of the run
     completes: bool = False  # status Completed sets completed_at
+    unique: tuple[str, ...] = ()  # a unique key: a column that no patch sets, then those patches set
 
 
 def _same(*names: str) -> dict[str, str]:
@@ -37,7 +39,9 @@ def _same(*names: str) -> dict[str, str]:
 
 
 PATCHES = {
-    "doctor_schedules": Patchable(_same("day_of_week", "slot_id", "is_active"), stamp="updated_at"),
+    "doctor_schedules": Patchable(
+        _same("day_of_week", "slot_id", "is_active"), stamp="updated_at", unique=("doctor_id", "day_of_week", "slot_id")
+    ),
     "consultation_actions": Patchable(_same("status", "notes"), completes=True),
     "admitted_patient_visits": Patchable(
         _same(
@@ -73,12 +77,25 @@ def _invalid(table: str, spec: Patchable) -> Column:
     return bad
 
 
+def _without_repeats(t: Tables, table: str, decisions: DataFrame) -> DataFrame:
+    """Reject patches that would repeat the table's unique key, in batch order."""
+    spec, key = PATCHES[table], TABLES[table].key
+    group, *columns = spec.unique
+    stored = t[table].select(key, group, *columns)
+    given = {c: F.col("changes")[c].try_cast(stored.schema[c].dataType).alias(c) for c in columns}
+    asked = decisions.filter("reason is null").select(ID, AT, key, *given.values())
+    moves = asked.filter(" or ".join(f"{c} is not null" for c in columns)).join(stored.select(key, group), key)
+    refused = refused_moves(stored, moves, group, key, columns).withColumn("repeats", F.lit(True))
+    reason = F.when(F.col("repeats"), F.lit(V.DUPLICATE_KEY)).otherwise(F.col("reason"))
+    return decisions.join(refused, ID, "left").withColumn("reason", reason).drop("repeats")
+
+
 def apply_patches(t: Tables, table: str, patches: DataFrame, as_of: Moment, keep: Keep = lazily) -> JobResult:
     """Apply partial updates to a table.
 
     A patch without a known field, for an unknown row, or with a value that breaks a
-    rule of its column is rejected as a whole. The unique key of schedules is a rule
-    on the new state: see ``quality.violations``.
+    rule of its column is rejected as a whole. So is one that would repeat a unique key
+    of the table, given the patches accepted before it.
     """
     spec, key = PATCHES[table], TABLES[table].key
     asked = patches.select(ID, AT, key, "changes")
@@ -92,7 +109,10 @@ def apply_patches(t: Tables, table: str, patches: DataFrame, as_of: Moment, keep
         slots = t.time_slots.select(F.col("slot_id").cast("bigint").alias("new_slot"), F.lit(True).alias("slot_known"))
         checked = checked.withColumn("new_slot", slot).join(slots, "new_slot", "left")
         cases.append((F.col("new_slot").isNotNull() & F.col("slot_known").isNull(), V.INVALID_REFERENCE))
-    decisions = keep(checked.withColumn("reason", first_reason(*cases)).select(ID, AT, key, "changes", "reason"))
+    decisions = checked.withColumn("reason", first_reason(*cases)).select(ID, AT, key, "changes", "reason")
+    if spec.unique:
+        decisions = _without_repeats(t, table, decisions)
+    decisions = keep(decisions)
 
     def last(name: str) -> Column:
         """The newest value given for a field; NULL if no patch names it."""
