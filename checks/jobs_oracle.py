@@ -283,6 +283,21 @@ full_rooms as (select room_id, bool_and(is_occupied) full_room, bool_or(touched)
 select r.* exclude (is_occupied), case when x.touched then x.full_room else r.is_occupied end is_occupied
 from rooms r left join full_rooms x on x.room_id = r.room_id"""
 
+# Request by request, each step carrying all beds of the room on.
+JOB_ORACLE["set_bed_flags_one_way_rooms"] = """with recursive steps as (
+  select b.room_id, q.bed_id, q.is_occupied flag,
+    row_number() over (partition by b.room_id order by q.requested_at, q.request_id) n
+  from bed_requests q join beds b on b.bed_id = q.bed_id),
+walk as (
+  select bed_id, room_id, is_occupied taken, cast(0 as bigint) n, false filled
+  from beds where room_id in (select room_id from steps)
+  union all
+  select bed_id, room_id, taken, n, flag and bool_and(taken) over (partition by room_id)
+  from (select w.bed_id, w.room_id, case when w.bed_id = s.bed_id then s.flag else w.taken end taken, s.n, s.flag
+    from walk w join steps s on s.room_id = w.room_id and s.n = w.n + 1))
+select r.* exclude (is_occupied), r.is_occupied or coalesce(x.filled, false) is_occupied
+from rooms r left join (select room_id, bool_or(filled) filled from walk group by room_id) x on x.room_id = r.room_id"""
+
 JOB_ORACLE["set_room_flags_rooms"] = """
 select r.* exclude (is_occupied), coalesce(x.is_occupied, r.is_occupied) is_occupied
 from rooms r left join (select room_id, is_occupied from room_requests

@@ -236,6 +236,9 @@ JOBS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
     "discharge_final_amount_admissions": lambda t, s: _state(_final(t, s), "admissions"),
     "room_occupancy": lambda t, s: occupancy.recompute_room_occupancy(t),
     "set_bed_flags_rooms": lambda t, s: _state(occupancy.set_bed_flags(t, s.bed_requests()), "rooms"),
+    "set_bed_flags_one_way_rooms": lambda t, s: _state(
+        occupancy.set_bed_flags(t, s.bed_requests(), release=False), "rooms"
+    ),
     "set_room_flags_rooms": lambda t, s: _state(occupancy.set_room_flags(t, s.room_requests()), "rooms"),
     "patch_schedules": lambda t, s: _state(
         patches.apply_patches(t, "doctor_schedules", s.schedule_patches(), AS_OF), "doctor_schedules"

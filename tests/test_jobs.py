@@ -186,6 +186,11 @@ def test_occupancy(hospital, requests):
     assert both.rejected.first()["reason"] == V.BED_NOT_FOUND
     fill = occupancy.set_bed_flags(t, asked, release=False)
     assert [r["is_occupied"] for r in dicts(fill.updated["rooms"].state, "room_id")] == [True, True, False, False]
+    turns = requests("bed_id bigint, is_occupied boolean", [(16, True), (16, False), (1, False), (16, False)])
+    kept = occupancy.set_bed_flags(t, turns, release=False)  # room 2 was full after the first request
+    assert [r["is_occupied"] for r in dicts(kept.updated["rooms"].state, "room_id")] == [True, True, False, False]
+    freed = occupancy.set_bed_flags(t, turns)
+    assert [r["is_occupied"] for r in dicts(freed.updated["rooms"].state, "room_id")] == [False] * 4
     flags = occupancy.set_room_flags(t, requests("room_id bigint, is_occupied boolean", [(3, True), (1, None), (9, True)]))
     assert [r["is_occupied"] for r in dicts(flags.updated["rooms"].state, "room_id")] == [False, False, True, False]
 
@@ -228,6 +233,22 @@ def test_patch_types_and_flags(hospital, requests):
     assert (row["day_of_week"], row["is_active"], row["updated_at"]) == (1, False, at(AS_OF))
 
 
+def test_a_row_of_another_removed_doctor_still_blocks(hospital, requests):
+    appointment = {"appointment_id": 1, "patient_id": 1000, "doctor_id": 20, "appointment_date": on("2024-03-04"),
+                   "slot_id": 1, "status_id": 1}
+    t = hospital(
+        **DIMENSIONS,
+        appointments=[appointment],
+        consultations=[{"consultation_id": 1, "appointment_id": 1, "doctor_id": 10}],
+    )
+    asked = requests("doctor_id bigint, removal_reason string, removed_by_admin_id bigint", [(20, "left", 1), (10, "left", 1)])
+    result = removal.remove_doctors(t, asked, AS_OF)
+    assert [r["reason"] for r in dicts(result.decisions, "request_id")] == [None, V.STILL_REFERENCED]
+    after = t.replacing(**{name: lambda new=new: new.state for name, new in result.updated.items()})
+    again = removal.remove_doctors(after, asked, AS_OF)
+    assert [r["reason"] for r in dicts(again.decisions, "request_id")] == [V.BOOK_NO_DOCTOR, None]
+
+
 def test_removal_cascades_and_blocks(hospital, requests):
     def appointment(i, doctor):
         return {"appointment_id": i, "patient_id": 1000, "doctor_id": doctor, "appointment_date": on("2024-03-04"),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wardline import fixed_values as V
 from wardline.jobs.result import JobResult, update
-from wardline.operators.requests import newest_value
+from wardline.operators.requests import AT, ID, newest_value
 from wardline.sources.tables import Tables
 
 
@@ -28,12 +29,30 @@ def recompute_room_occupancy(t: Tables) -> DataFrame:
     )
 
 
+def filled_rooms(beds: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Rooms all of whose beds were occupied right after some request that occupied one.
+
+    A request changes the number of occupied beds of its room by its flag less the one
+    before it on that bed; running sums of these changes give the number at any turn.
+    """
+    flag = F.coalesce("is_occupied", F.lit(False)).cast("int")
+    stored = beds.select("bed_id", flag.alias("stored"))
+    counts = beds.groupBy("room_id").agg(F.sum(flag).alias("taken"), F.count(F.lit(1)).alias("beds"))
+    by_bed = Window.partitionBy("bed_id").orderBy(AT, ID)
+    by_room = Window.partitionBy("room_id").orderBy(AT, ID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turns = accepted.select("room_id", "bed_id", AT, ID, flag.alias("flag")).join(stored, "bed_id")
+    turns = turns.withColumn("change", F.col("flag") - F.coalesce(F.lag("flag").over(by_bed), "stored"))
+    turns = turns.withColumn("more", F.sum("change").over(by_room)).filter("flag = 1")
+    return turns.join(counts, "room_id").filter("taken + more = beds").select("room_id").distinct()
+
+
 def set_bed_flags(t: Tables, requests: DataFrame, release: bool = True) -> JobResult:
     """Set the occupied flag of beds and recompute their rooms.
 
     ``requests`` holds request_id, requested_at, bed_id and is_occupied; the last
     request of a bed counts. A room becomes occupied when all its beds are. With
-    ``release`` it also becomes free when one is not; without, it stays as it was.
+    ``release`` it also becomes free when one is not. Without, it stays occupied, so a
+    room that was full at any turn of the batch is occupied after it.
     """
     known = t.beds.select("bed_id", "room_id")
     decisions = requests.join(known, "bed_id", "left").withColumn(
@@ -41,15 +60,16 @@ def set_bed_flags(t: Tables, requests: DataFrame, release: bool = True) -> JobRe
     )
     last = newest_value(decisions.filter("reason is null"), "bed_id", "is_occupied")
     beds = update(t, "beds", last, {"is_occupied": F.coalesce("new.is_occupied", F.lit(False))})
-    touched = beds.changed.select("room_id").distinct()
-    rooms = room_occupancy(beds.state).join(touched, "room_id", "left_semi")
-    if not release:
-        rooms = rooms.filter("room_full")
+    if release:
+        touched = beds.changed.select("room_id").distinct()
+        rooms = room_occupancy(beds.state).join(touched, "room_id", "left_semi").select("room_id", "room_full")
+    else:
+        rooms = filled_rooms(t.beds, decisions.filter("reason is null")).withColumn("room_full", F.lit(True))
     return JobResult(
         decisions.drop("room_id"),
         updated={
             "beds": beds,
-            "rooms": update(t, "rooms", rooms.select("room_id", "room_full"), {"is_occupied": F.col("new.room_full")}),
+            "rooms": update(t, "rooms", rooms, {"is_occupied": F.col("new.room_full")}),
         },
     )
 

@@ -65,7 +65,9 @@ def remove_doctors(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep = l
 
     Requests hold doctor_id, removal_reason and removed_by_admin_id. Rows that
     cascade (schedules, appointments and what hangs on them) fall with the doctor; a
-    doctor that other rows still refer to is kept and the request rejected.
+    doctor that other rows still refer to is kept and the request rejected. References
+    are judged on the stored tables: a row that falls with another doctor of the same
+    batch still holds a doctor back until the next batch.
     """
     asked = requests.select(ID, AT, "doctor_id", "removal_reason", "removed_by_admin_id")
     people = t.doctors.select(
