@@ -164,10 +164,11 @@ def patient_activity(t: Tables, first: Moment, last: Moment, within: Within, bil
             F.count_if(stay_inside & F.col("released")).alias("r_in"),
         ]
     per_patient = _side_by_side(booked.select(*columns_a), stays.select(*columns_d)).groupBy("patient_id").agg(*counts)
+    # The counts tell who was touched, so the touched patients need no further join here.
     joined = (
-        t.patients.join(touched, "patient_id", "left_semi")
-        .withColumn("registered", F.coalesce(within("created_at", first, last), F.lit(False)))
+        t.patients.withColumn("registered", F.coalesce(within("created_at", first, last), F.lit(False)))
         .join(per_patient, "patient_id", "left")
+        .filter(F.col("registered") | (zero("a_in") > 0) | (zero("d_in") > 0))
     )
     all_appointments = F.col("registered") | (zero("d_in") > 0)
     all_admissions = F.col("registered") | (zero("a_in") > 0)
