@@ -225,7 +225,7 @@ JOB_ORACLE["discharge_total_bill_rooms"] = _TOTAL + """
 select r.* exclude (is_occupied), case when r.room_id in (select initial_room_id from decided where reason is null)
   then exists (select 1 from new_beds b where b.room_id = r.room_id and b.is_occupied) else r.is_occupied end
   is_occupied from rooms r"""
-JOB_ORACLE["discharge_itemised"] = f"""with recursive checked as (
+_ITEMISED = f"""with recursive checked as (
   select r.request_id, r.requested_at, r.admission_id, r.patient_id, r.doctor_id, r.processed_by_receptionist_id,
     {days(AS_OF)} total_days, cast(coalesce(r.room_charges, 0) as decimal(12,2)) room_charges, r.medical_charges,
     cast(0 as decimal(12,2)) doctor_visit_charges, r.lab_charges, cast(0 as decimal(12,2)) other_charges,
@@ -242,6 +242,8 @@ JOB_ORACLE["discharge_itemised"] = f"""with recursive checked as (
       and r.own_reason is distinct from 'Required fields missing' then 'Admission already discharged'
       else r.own_reason end reason
   from checked r left join firsts f on f.admission_id = r.admission_id)
+"""
+JOB_ORACLE["discharge_itemised"] = _ITEMISED + f"""
 select r.*, case when reason is null then {new_id("discharges", "discharge_id", "discharge_requests")} end discharge_id
 from decided r"""
 _FINAL = f"""with recursive checked as (
@@ -262,12 +264,45 @@ _FINAL = f"""with recursive checked as (
 JOB_ORACLE["discharge_final_amount"] = _FINAL + f"""
 select r.*, case when reason is null then {new_id("discharges", "discharge_id", "discharge_requests")} end discharge_id
 from decided r"""
-JOB_ORACLE["discharge_final_amount_admissions"] = _FINAL + f"""
+_CLOSED = f"""
 select a.* exclude (is_active, discharge_date), a.is_active and d.admission_id is null is_active,
   case when d.admission_id is null then a.discharge_date else {AS_OF} end discharge_date
 from admissions a left join (select admission_id from decided where reason is null) d
   on d.admission_id = a.admission_id"""
 
+
+def bill_rows(room: str, medical: str, lab: str, total: str, desk: str) -> str:
+    """New unpaid discharges of the accepted requests."""
+    amounts = {
+        "room_charges": room, "medical_charges": medical, "doctor_visit_charges": "0", "lab_charges": lab,
+        "other_charges": "0", "total_amount": total, "amount_paid": "0",
+    }
+    listed = ", ".join(f"cast({value} as decimal(10,2)) {name}" for name, value in amounts.items())
+    return f"""
+    select {new_id("discharges", "discharge_id", "discharge_requests")} discharge_id, admission_id, patient_id, doctor_id,
+      {AS_OF} discharge_date, cast(total_days as int) total_days, {listed}, 'Unpaid' payment_status,
+      cast(null as timestamp) payment_date, cast(null as varchar) final_diagnosis, cast(null as varchar) discharge_summary,
+      cast(null as varchar) discharge_instructions, false follow_up_required, cast(null as date) follow_up_date,
+      {desk} processed_by_receptionist_id, cast(null as bigint) discharge_approved_by_visit_id
+    from (select * from decided where reason is null) r"""
+
+
+JOB_ORACLE["discharge_itemised_rows"] = _ITEMISED + bill_rows(
+    "room_charges", "medical_charges", "lab_charges", "total_amount", "processed_by_receptionist_id"
+)
+JOB_ORACLE["discharge_itemised_admissions"] = _ITEMISED + _CLOSED
+JOB_ORACLE["discharge_final_amount_rows"] = _FINAL + bill_rows(
+    "0", "final_bill_amount", "0", "final_bill_amount",
+    "(select q.discharged_by_receptionist_id from discharge_requests q where q.request_id = r.request_id)",
+)
+JOB_ORACLE["discharge_final_amount_admissions"] = _FINAL + _CLOSED
+JOB_ORACLE["discharge_final_amount_beds"] = _FINAL + """
+select b.* exclude (is_occupied), b.is_occupied and b.bed_id not in (select a.bed_id from admissions a
+  join decided d on d.admission_id = a.admission_id where d.reason is null) is_occupied from beds b"""
+JOB_ORACLE["discharge_final_amount_rooms"] = _FINAL + """
+select r.* exclude (is_occupied), r.is_occupied and r.room_id not in (select a.initial_room_id from admissions a
+  join decided d on d.admission_id = a.admission_id where d.reason is null) is_occupied from rooms r"""
+
 # --- occupancy -------------------------------------------------------------
 
 JOB_ORACLE["room_occupancy"] = """

@@ -232,6 +232,11 @@ JOBS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
     "discharge_total_bill_beds": lambda t, s: _state(_total_bill(t, s), "beds"),
     "discharge_total_bill_rooms": lambda t, s: _state(_total_bill(t, s), "rooms"),
     "discharge_itemised": lambda t, s: _itemised(t, s).decisions,
+    "discharge_itemised_rows": lambda t, s: _itemised(t, s).appended["discharges"],
+    "discharge_itemised_admissions": lambda t, s: _state(_itemised(t, s), "admissions"),
+    "discharge_final_amount_rows": lambda t, s: _final(t, s).appended["discharges"],
+    "discharge_final_amount_beds": lambda t, s: _state(_final(t, s), "beds"),
+    "discharge_final_amount_rooms": lambda t, s: _state(_final(t, s), "rooms"),
     "discharge_final_amount": lambda t, s: _final(t, s).decisions,
     "discharge_final_amount_admissions": lambda t, s: _state(_final(t, s), "admissions"),
     "room_occupancy": lambda t, s: occupancy.recompute_room_occupancy(t),
