@@ -447,6 +447,24 @@ where doctor_id not in (select doctor_id from gone)"""
 JOB_ORACLE["remove_doctors_medicines"] = _REMOVAL + """
 select m.* from prescribed_medicines m join consultations c on c.consultation_id = m.consultation_id
 join appointments a on a.appointment_id = c.appointment_id where a.doctor_id not in (select doctor_id from gone)"""
+JOB_ORACLE["remove_doctors_rows"] = _REMOVAL + f"""
+select {new_id("removed_doctors", "removed_doctor_id", "removal_requests")} removed_doctor_id, doctor_id,
+  concat(d.first_name, ' ', d.last_name) doctor_name, cast(d.specialization_id as bigint) specialization_id,
+  d.registration_number, r.removal_reason,
+  cast(r.removed_by_admin_id as bigint) removed_by_admin_id, {AS_OF} removal_date
+from (select * from decided where reason is null) r join doctors d using (doctor_id)"""
+_STAYING = "(select appointment_id from appointments where doctor_id not in (select doctor_id from gone))"
+JOB_ORACLE["remove_doctors_doctors"] = _REMOVAL + "select * from doctors where doctor_id not in (select doctor_id from gone)"
+JOB_ORACLE["remove_doctors_schedules"] = _REMOVAL + """
+select *, cast(null as timestamp) created_at, cast(null as timestamp) updated_at from doctor_schedules
+where doctor_id not in (select doctor_id from gone)"""
+for _name, _table in (
+    ("forms", "appointment_forms"), ("cancellations", "appointment_cancellations"), ("consultations", "consultations"),
+):
+    JOB_ORACLE[f"remove_doctors_{_name}"] = _REMOVAL + f"select * from {_table} where appointment_id in {_STAYING}"
+JOB_ORACLE["remove_doctors_actions"] = _REMOVAL + f"""
+select x.*, cast(null as timestamp) completed_at from consultation_actions x
+join consultations c on c.consultation_id = x.consultation_id where c.appointment_id in {_STAYING}"""
 JOB_ORACLE["delete_schedules"] = """
 select request_id, requested_at, schedule_id, case when schedule_id not in (select schedule_id from doctor_schedules)
   or row_number() over (partition by schedule_id order by requested_at, request_id) > 1 then 'Not found' end reason

@@ -263,6 +263,13 @@ JOBS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
     "remove_doctors": lambda t, s: _removal(t, s).decisions,
     "remove_doctors_appointments": lambda t, s: _state(_removal(t, s), "appointments"),
     "remove_doctors_medicines": lambda t, s: _state(_removal(t, s), "prescribed_medicines"),
+    "remove_doctors_rows": lambda t, s: _removal(t, s).appended["removed_doctors"],
+    "remove_doctors_doctors": lambda t, s: _state(_removal(t, s), "doctors"),
+    "remove_doctors_schedules": lambda t, s: _state(_removal(t, s), "doctor_schedules"),
+    "remove_doctors_forms": lambda t, s: _state(_removal(t, s), "appointment_forms"),
+    "remove_doctors_cancellations": lambda t, s: _state(_removal(t, s), "appointment_cancellations"),
+    "remove_doctors_consultations": lambda t, s: _state(_removal(t, s), "consultations"),
+    "remove_doctors_actions": lambda t, s: _state(_removal(t, s), "consultation_actions"),
     "delete_schedules": lambda t, s: removal.delete_schedules(t, s.schedule_deletions()).decisions,
     "delete_schedules_state": lambda t, s: _state(
         removal.delete_schedules(t, s.schedule_deletions()), "doctor_schedules"
