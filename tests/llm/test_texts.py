@@ -94,6 +94,14 @@ def test_verdicts_follow_the_labels(spark):
     assert kept[1] > 0.99 and kept[0] < 0.1
 
 
+def test_documents_of_unnamed_language_pass_as_their_own(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    known = divergence.references(docs)
+    unnamed = docs.withColumn("lang", F.lit(None).cast("string"))
+    own, free = ({r.doc_id for r in divergence.judged(d, known).where("kept").collect()} for d in (docs, unnamed))
+    assert len(known) == 4 and own <= free and len(free - own) < 0.01 * len(own)
+
+
 def test_distance_is_a_metric_value():
     import numpy as np
 
