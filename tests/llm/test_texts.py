@@ -102,6 +102,15 @@ def test_documents_of_unnamed_language_pass_as_their_own(spark):
     assert len(known) == 4 and own <= free and len(free - own) < 0.01 * len(own)
 
 
+def test_base_rules_decide_for_small_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    rare = docs.where("lang = 'es' and length(text) between 300 and 900").orderBy("doc_id").limit(8).withColumn("lang", F.lit("rare"))
+    got = divergence.judged(docs.where("lang = 'en'").unionByName(rare)).where("lang = 'rare'").collect()
+    assert 0 < sum(r.n_words for r in got if not r.base_failed) < divergence.LEAST_REFERENCE
+    assert any(r.n_words >= 60 and r.kept for r in got)
+    assert all(r.kept == (not r.base_failed) and r.char_distance is None and r.word_distance is None for r in got)
+
+
 def test_distance_is_a_metric_value():
     import numpy as np
 

@@ -10,9 +10,9 @@ class is the median of its documents' shares, so that a minority of odd document
 move it. A common word has at least 1/256 of its language's words, so there are at most 256.
 
 Cases: a null text is empty and fails the base rules; a document whose language is null
-or too small for a reference is compared with every reference, and kept if it passes both
-tests with any one; where there is none at all, the base rules decide. Other columns pass
-through.
+is compared with every reference, and kept if it passes both tests with any one; where its
+language is too small for a reference, or there is none at all, the base rules decide.
+Other columns pass through.
 """
 
 from __future__ import annotations
@@ -209,9 +209,9 @@ def _reference(rows: list[tuple[int, bytes, int, int]]) -> Reference:
 
 
 def distances(words: list[bytes], folds: list[bytes], lang: str | None, known: dict[str | None, Reference]) -> tuple[float, float]:
-    """Both distances to the document's language, or to a reference it passes, or to that with the nearest words."""
+    """Both distances to the document's language; without one, to a reference it passes, or else that with the nearest words."""
     chars = char_classes(words)
-    chosen = [known[lang]] if lang is not None and lang in known else known.values()
+    chosen = known.values() if lang is None else [known[lang]]
     found = [(js_distance(chars, r.chars), js_distance(histogram(folds, r.common), r.words)) for r in chosen]
     n_chars, n_tested = int(chars.sum()), len(folds) - folds.count(b"")
     return min(found, key=lambda d: (not verdict(n_chars, n_tested, *d), d[1], d[0]))
@@ -244,7 +244,7 @@ def judged(docs: DataFrame, known: dict[str | None, Reference] | None = None) ->
         found = base(text, words)
         by_chars = by_words = None
         kept = not found.failed
-        if kept and known:
+        if kept and known and (lang is None or lang in known):
             folds = [folded(w) for w in text.decode("utf-8", "replace").lower().encode().split()]
             by_chars, by_words = distances(words, folds, lang, known)
             kept = verdict(found.word_chars, len(folds) - folds.count(b""), by_chars, by_words)
