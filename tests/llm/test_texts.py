@@ -203,6 +203,20 @@ def test_added_spans(spark, docs):
     assert found == [True] * len(personal) + [False] * len(plain), got
 
 
+def test_strict_spans_do_not_move_the_thresholds():
+    from wardline.llm.boosting import Pattern, boosted
+
+    def loose(cue: int, negative: float, positive: float) -> Pattern:
+        return Pattern((6, 0, 3, 2, 3, cue, 0, 0, 0), negative, positive)
+
+    strict = [Pattern((3, 1, d, 2, g, 1, 0, 0, 0), 0.0, 9.0) for d in range(8) for g in range(1, 9)]
+    trees = boosted([*strict, loose(1, 0.0, 9.0), loose(0, 3.0, 6.0)])
+    apart = [loose(1, 0.0, 3.0), loose(0, 2.0, 1.0)]
+    good, bad = (pii_boosting.margin(trees, p.features) for p in apart)
+    assert good > bad > 0
+    assert pii_boosting._thresholds(trees, apart)["phone"] == pii_boosting._thresholds(trees, apart + strict)["phone"] == good
+
+
 def test_pii_odd_rows(odd, nothing):
     got = pii_boosting.pii(odd).collect()
     assert len(got) == 12 and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)

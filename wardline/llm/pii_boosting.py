@@ -9,7 +9,7 @@ from a threshold per kind, if nothing better overlaps them.
 The trees learn from all strict spans of the corpus, good ones against those that fail
 their check, and from a short list of examples. Spark sums the rows per distinct feature
 vector, and only these sums reach the driver. One fifth of the documents, and every
-second example, are kept apart to calibrate the thresholds.
+second example, are kept apart; the loose spans among them calibrate the thresholds.
 
 Cases: a null text is empty; rows that share id and text have the same spans; an empty
 table gives an empty result, and the trees then know the examples alone.
@@ -202,15 +202,15 @@ def learned(strict: DataFrame) -> tuple[list[Node | Leaf], dict[str, float]]:
     columns = [*FEATURES, "apart", "y"]
     counts = corpus.toDF(*columns).unionByName(spans.toDF(*columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).collect()
     trees = boosted(_patterns(counts, False))
-    kind_of = {0: "email", 1: "ip", 2: "card", 3: "phone", 4: "email", 5: "ip"}
-    thresholds = {}
-    for kind in KINDS:
-        own = [
-            (margin(trees, p.features), p) for p in _patterns(counts, True)
-            if kind_of.get(p.features[0], "card" if p.features[1] else "phone") == kind
-        ]
-        thresholds[kind] = _threshold(own)
-    return trees, thresholds
+    return trees, _thresholds(trees, _patterns(counts, True))
+
+
+def _thresholds(trees: list[Node | Leaf], apart: list[Pattern]) -> dict[str, float]:
+    """The threshold of each kind from its loose spans alone; strict ones need none and would outweigh them."""
+    kind_of = {4: "email", 5: "ip"}
+    loose = [(margin(trees, p.features), p) for p in apart if not GENERATORS[p.features[0]][1]]
+    kinds = [kind_of.get(p.features[0], "card" if p.features[1] else "phone") for _, p in loose]
+    return {kind: _threshold([row for row, k in zip(loose, kinds, strict=True) if k == kind]) for kind in KINDS}
 
 
 def _threshold(rows: list[tuple[float, Pattern]]) -> float:
