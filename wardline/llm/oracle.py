@@ -87,3 +87,31 @@ from documents d left join kept using (doc_id)
 left join (select doc_id, count(*) n from full_lines group by doc_id) f on f.doc_id = d.doc_id
 left join (select doc_id, count(*) r from covered group by doc_id) c on c.doc_id = d.doc_id
 """
+
+ORACLE["op13_son_phrases"] = r"""
+with pieces as (
+  select coalesce(lang, 'und') lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece
+  from documents),
+spelt as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') w from pieces),
+starts as (select lang, w, unnest(generate_series(1, len(w))) i from spelt where len(w) > 0),
+grams as (
+  select lang, w[i:i + m - 1] p from starts, (select unnest([1, 2, 3, 4, 5]) m) where i + m - 1 <= len(w)),
+counted as (select lang, p, count(*) f from grams group by lang, p having count(*) >= 100),
+totals as (select lang, count(*) n from starts group by lang),
+cuts as (
+  select lang, p, f a, k, p[1:k] head, p[k + 1:] tail
+  from (select *, unnest(generate_series(1, len(p) - 1)) k from counted where len(p) > 1)),
+scored as (
+  select c.lang, c.p, a, k, h.f l, t.f r, n, (1000::hugeint * a * n) // (h.f::hugeint * t.f) score
+  from cuts c join counted h on h.lang = c.lang and h.p = c.head join counted t on t.lang = c.lang and t.p = c.tail
+  join totals on totals.lang = c.lang
+  qualify row_number() over (partition by c.lang, c.p order by score, k) = 1),
+covered as (
+  select lang, f, unnest([p[1:len(p) - 1], p[2:]]) p from counted where len(p) > 2),
+left_over as (
+  select * from scored s where not exists (select 1 from covered c where c.lang = s.lang and c.p = s.p and c.f >= s.a))
+select lang, rank, phrase, a, l, r, n, cast(score as bigint) score from (
+  select *, array_to_string(p, ' ') phrase, row_number() over (partition by lang order by score desc, a desc, array_to_string(p, ' ')) rank
+  from left_over) where rank <= 2000
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm import (
     byte_cnn,
+    collocations,
     divergence,
     epsilon_grid,
     line_windows,
@@ -78,6 +79,10 @@ def op10_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
     return byte_cnn.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op13_son_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -91,5 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_candidate_boosting,
         op9_text_cnn,
         op10_byte_cnn,
+        op13_son_phrases,
     )
 }
