@@ -14,6 +14,7 @@ from wardline.llm import (
     epsilon_grid,
     line_windows,
     mixing,
+    naive_bayes,
     packing,
     pii_boosting,
     simhash,
@@ -79,6 +80,10 @@ def op10_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
     return byte_cnn.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_naive_bayes(spark: SparkSession, folder: str) -> DataFrame:
+    return naive_bayes.languages(table(spark, folder, "documents"))
+
+
 def op13_son_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_candidate_boosting,
         op9_text_cnn,
         op10_byte_cnn,
+        op12_naive_bayes,
         op13_son_phrases,
     )
 }
