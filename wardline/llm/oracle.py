@@ -88,6 +88,25 @@ left join (select doc_id, count(*) n from full_lines group by doc_id) f on f.doc
 left join (select doc_id, count(*) r from covered group by doc_id) c on c.doc_id = d.doc_id
 """
 
+ORACLE["op11_multi_index"] = """
+with usable as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) q
+  from embeddings
+  where label is not null and list_count(embedding) = len(embedding) and isfinite(list_sum(cast(embedding as double[])))),
+scored as (
+  select a.vec_id anchor_id, b.vec_id, a.label = b.label alike, cast(list_dot_product(a.q, b.q) as bigint) score
+  from usable a join usable b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select anchor_id, vec_id positive_id, score positive_score from scored where alike
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over w as integer) as rank, vec_id negative_id, positive_score, score negative_score
+from positives join scored using (anchor_id)
+where not alike and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+window w as (partition by anchor_id, positive_id order by score desc, vec_id)
+qualify row_number() over w <= 10
+"""
+
 ORACLE["op13_son_phrases"] = r"""
 with pieces as (
   select coalesce(lang, 'und') lang, unnest(string_split_regex(

@@ -14,6 +14,7 @@ from wardline.llm import (
     epsilon_grid,
     line_windows,
     mixing,
+    multi_index,
     naive_bayes,
     packing,
     pii_boosting,
@@ -80,6 +81,12 @@ def op10_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
     return byte_cnn.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    rows = multi_index.whole_rows(table(spark, folder, "embeddings"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return multi_index.hard_negatives(rows.withColumn("label", label), every=100)
+
+
 def op12_naive_bayes(spark: SparkSession, folder: str) -> DataFrame:
     return naive_bayes.languages(table(spark, folder, "documents"))
 
@@ -101,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_candidate_boosting,
         op9_text_cnn,
         op10_byte_cnn,
+        op11_multi_index,
         op12_naive_bayes,
         op13_son_phrases,
     )
