@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardline import fixed_values as V
 from wardline.functions import as_moment, falsy, full_name
 from wardline.functions.time import Moment
-from wardline.jobs.result import JobResult, Keep, Update, lazily
+from wardline.jobs.result import JobResult, Keep, lazily, without
 from wardline.operators.requests import AT, ID, as_table, first_reason, turn, winners, with_known, with_new_key
 from wardline.operators.spread import spread_join
 from wardline.sources.model import TABLES
@@ -106,7 +106,7 @@ def remove_doctors(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep = l
     for name, rows in fallen.items():
         key = TABLES[name].key
         keys = rows.join(gone_owners, owner, "left_semi").select(key).distinct()
-        updated[name] = Update(t[name].join(keys, key, "left_anti"), t[name].join(keys, key, "left_semi"))
+        updated[name] = without(t[name], keys, key)
     return JobResult(
         decisions.select(ID, AT, "doctor_id", "removal_reason", "removed_by_admin_id", "removed_doctor_id", "reason"),
         {"removed_doctors": as_table(accepted, "removed_doctors")},
@@ -125,12 +125,4 @@ def delete_schedules(t: Tables, requests: DataFrame) -> JobResult:
         F.when(F.col("winner_id").isNull() | (F.col("winner_id") != F.col(ID)), F.lit(V.NOT_FOUND)).alias("reason"),
     )
     keys = decisions.filter("reason is null").select("schedule_id")
-    rows = t.doctor_schedules
-    return JobResult(
-        decisions,
-        updated={
-            "doctor_schedules": Update(
-                rows.join(keys, "schedule_id", "left_anti"), rows.join(keys, "schedule_id", "left_semi")
-            )
-        },
-    )
+    return JobResult(decisions, updated={"doctor_schedules": without(t.doctor_schedules, keys, "schedule_id")})

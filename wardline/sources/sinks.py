@@ -6,7 +6,7 @@ import datetime as dt
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions import as_day, as_moment
@@ -23,14 +23,17 @@ def with_month(df: DataFrame, table: str) -> DataFrame:
     return df.withColumn(MONTH, F.coalesce(F.date_format(column, "yyyy-MM"), F.lit(NO_MONTH)))
 
 
-def _write(df: DataFrame, table: str, path: str, mode: str) -> None:
+def by_month(df: DataFrame, table: str) -> DataFrameWriter:
+    """A writer of a table's rows that lays a fact out by month."""
     if TABLES[table].month_of is None:
-        df.write.mode(mode).parquet(path)
-        return
+        return df.write
     # REBALANCE keeps files of one month together, merges small ones and splits a
     # month that holds much of the data over several tasks.
-    staged = with_month(df, table).hint("rebalance", MONTH)
-    staged.write.mode(mode).partitionBy(MONTH).option("partitionOverwriteMode", "dynamic").parquet(path)
+    return with_month(df, table).hint("rebalance", MONTH).write.partitionBy(MONTH)
+
+
+def _write(df: DataFrame, table: str, path: str, mode: str) -> None:
+    by_month(df, table).mode(mode).option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def append(df: DataFrame, table: str, path: str) -> None:
@@ -86,14 +89,14 @@ def in_months(table: str, months: list[str]) -> Column:
     return reduce(or_, conditions, F.lit(False))
 
 
-def rows_to_rewrite(new_state: DataFrame, table: str, months: list[str] | None) -> DataFrame:
-    """The part of a table's new state that lies in the touched months.
+def rows_to_rewrite(state: DataFrame, table: str, months: list[str] | None) -> DataFrame:
+    """The part of a table's state that lies in the touched months.
 
     Update in place for a fact: only these months are read and written again. The old
     and the new row of an update lie in one month, because no job moves the date a
     table is stored by.
     """
-    return new_state if months is None else new_state.filter(in_months(table, months))
+    return state if months is None else state.filter(in_months(table, months))
 
 
 def write_months(rows: DataFrame, table: str, path: str, months: list[str] | None) -> None:
@@ -106,14 +109,13 @@ def write_months(rows: DataFrame, table: str, path: str, months: list[str] | Non
     write_table(rows, table, path)
     if months is not None:
         left = set(touched_months(rows, table))
-        _remove_months(rows.sparkSession, path, [m for m in months if m not in left])
+        _remove_months(rows.sparkSession, table, path, [m for m in months if m not in left])
 
 
-def _remove_months(spark: SparkSession, path: str, months: list[str]) -> None:
-    context = spark.sparkContext
+def _remove_months(spark: SparkSession, table: str, path: str, months: list[str]) -> None:
+    """Overwrite months with no rows."""
     for month in months:
-        folder = context._jvm.org.apache.hadoop.fs.Path(f"{path}/{MONTH}={month}")
-        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        spark.createDataFrame([], TABLES[table].schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/{MONTH}={month}")
 
 
 def write_json(df: DataFrame, path: str) -> None:
