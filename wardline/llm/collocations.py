@@ -170,7 +170,8 @@ def _bitmap(hashes: DataFrame, seed: Column, n: int) -> np.ndarray:
     paged = placed.groupBy(F.floor(F.col("bit") / PAGE_BITS).alias("page"))
     out = np.zeros(bits // 8, dtype=np.uint8)
     for row in paged.agg(F.bitmap_construct_agg(F.col("bit") % PAGE_BITS).alias("bitmap")).collect():
-        out[row.page * (PAGE_BITS // 8) :][: PAGE_BITS // 8] = np.frombuffer(row.bitmap, dtype=np.uint8)
+        part = out[row.page * (PAGE_BITS // 8) :][: PAGE_BITS // 8]
+        part[:] = np.frombuffer(row.bitmap, dtype=np.uint8)[: len(part)]
     return out
 
 
