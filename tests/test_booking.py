@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wardline import fixed_values as V
 from wardline.jobs import booking
-from wardline.operators.matching import match_slots
+from wardline.operators.matching import match_first_come
 from wardline.session import stage
 
 AS_OF = "2024-03-03 09:00:00"
@@ -97,25 +97,87 @@ def test_two_requests_for_one_slot_and_a_rejected_first_try(hospital, requests):
     ]
 
 
-def test_a_hot_group_is_exact_and_short(spark):
-    """Many patients ask for the slots of one day; the greedy result is unchanged."""
-    size, slots = 20_000, 4
+def first_come(rows: list[tuple]) -> set[tuple]:
+    """The rule request by request; rows are (turn, doctor, slot, patient)."""
+    taken: set[tuple] = set()
+    out = set()
+    for turn, doctor, slot, patient in sorted(rows):
+        if not taken & {(doctor, "slot", slot), (doctor, "patient", patient)}:
+            taken |= {(doctor, "slot", slot), (doctor, "patient", patient)}
+            out.add((turn, doctor, slot, patient))
+    return out
+
+
+def asked_for(spark, rows: list[tuple]):
+    frame = spark.createDataFrame(rows, "request_id bigint, doctor_id bigint, slot_id bigint, patient_id bigint")
+    return frame.selectExpr("*", "timestamp_ntz'2024-03-01 08:00:00' requested_at", "date'2024-03-04' appointment_date")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rounds_equal_the_rule(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(3), rng.randrange(9), rng.randrange(12)) for i in range(300)]
+    matched = match_first_come(asked_for(spark, rows)).collect()
+    assert {(r["turn"]["request_id"], r["doctor_id"], r["slot_id"], r["patient_id"]) for r in matched} == first_come(rows)
+
+
+def test_a_chain_takes_a_round_for_each_slot(spark):
+    """Every request waits for the one before: patient n asks for slot n after n - 1 asked for it too."""
+    rows = [(2 * n + k, 1, n + k, n) for n in range(7) for k in (0, 1)]
+    staged = []
+
+    def keep(df):
+        staged.append(stage(df))
+        return staged[-1]
+
+    matched = match_first_come(asked_for(spark, rows), keep=keep).collect()
+    assert {(r["turn"]["request_id"], 1, r["slot_id"], r["patient_id"]) for r in matched} == first_come(rows)
+    slots = len({slot for _, _, slot, _ in rows})
+    assert 5 <= (len(staged) - 1) / 2 <= slots
+
+
+def test_no_requests(spark):
+    assert match_first_come(asked_for(spark, [])).count() == 0
+
+
+def test_a_hot_slot_is_exact(spark):
+    """A third of all requests wants one slot of one day; the result is that of the rule."""
+    size = 30_000
     asked = spark.range(size).select(
         F.col("id").alias("request_id"),
         F.timestamp_seconds(F.col("id") % 997).cast("timestamp_ntz").alias("requested_at"),
-        F.lit(1).cast("bigint").alias("doctor_id"),
+        (F.col("id") % 50).alias("doctor_id"),
         F.lit(on("2024-03-04")).alias("appointment_date"),
-        (F.pmod(F.xxhash64("id"), F.lit(slots)) + 1).cast("bigint").alias("slot_id"),
-        (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(50))).cast("bigint").alias("patient_id"),
-    )
-    rows = sorted(asked.collect(), key=lambda r: (r["requested_at"], r["request_id"]))
-    expected: dict[int, int] = {}
-    for r in rows:
-        if r["slot_id"] not in expected and r["patient_id"] not in expected.values():
-            expected[r["slot_id"]] = r["patient_id"]
-    groups = match_slots(asked, slots).collect()
-    assert len(groups) == 1
-    assert {m["slot_id"]: m["patient_id"] for m in groups[0]["matched"]} == expected
+        (F.pmod(F.xxhash64("id"), F.lit(4)) + 1).cast("bigint").alias("slot_id"),
+        (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(500))).cast("bigint").alias("patient_id"),
+    ).withColumns({c: F.when(F.col("request_id") % 3 == 0, F.lit(1)).otherwise(F.col(c)).alias(c) for c in ("doctor_id", "slot_id")})
+    rows = [((r["requested_at"], r["request_id"]), r["doctor_id"], r["slot_id"], r["patient_id"]) for r in asked.collect()]
+    matched = match_first_come(asked).collect()
+    assert {(tuple(r["turn"]), r["doctor_id"], r["slot_id"], r["patient_id"]) for r in matched} == first_come(rows)
+
+
+def test_decisions_take_twelve_hash_shuffles(spark, hospital, requests):
+    """Over all written steps together, without any broadcast; the rounds of the matching come on top."""
+    t = hospital(**DIMENSIONS, doctor_schedules=EVERY_SLOT)
+    asked = requests("patient_id bigint, doctor_id bigint, appointment_date date, slot_id bigint", [(1000, 10, on("2024-03-04"), 1)])
+    plans: list[str] = []
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df)
+
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        result = booking.book_slots(t, asked, AS_OF, keep=keep)
+        last = result.decisions._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    shuffles = [text.count("hashpartitioning") for text in (plans[0], last)]
+    assert sum(shuffles) <= 12 and shuffles[1] <= 4, shuffles
+    assert "Window" not in "".join(plans) and "collect_list" not in "".join(plans)
 
 
 def test_status_moves_only_with_a_consultation(hospital, requests):

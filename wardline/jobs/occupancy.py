@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wardline import fixed_values as V
-from wardline.jobs.result import JobResult, update
+from wardline.jobs.result import JobResult, Keep, update
 from wardline.operators.requests import AT, ID, newest_value
+from wardline.operators.segments import in_ranges, previous, running_sum
+from wardline.session import stage
 from wardline.sources.tables import Tables
 
 
@@ -29,21 +30,23 @@ def recompute_room_occupancy(t: Tables) -> DataFrame:
     )
 
 
-def filled_rooms(beds: DataFrame, accepted: DataFrame) -> DataFrame:
+def filled_rooms(beds: DataFrame, accepted: DataFrame, keep: Keep = stage) -> DataFrame:
     """Rooms all of whose beds were occupied right after some request that occupied one.
 
     A request changes the number of occupied beds of its room by its flag less the one
-    before it on that bed; running sums of these changes give the number at any turn.
+    before it on that bed; running sums of these changes give the number at any turn. It
+    never exceeds the beds, so the largest one tells. A room or a bed may hold a large
+    share of the requests: both steps work inside ranges of the batch.
     """
     flag = F.coalesce("is_occupied", F.lit(False)).cast("int")
     stored = beds.select("bed_id", flag.alias("stored"))
     counts = beds.groupBy("room_id").agg(F.sum(flag).alias("taken"), F.count(F.lit(1)).alias("beds"))
-    by_bed = Window.partitionBy("bed_id").orderBy(AT, ID)
-    by_room = Window.partitionBy("room_id").orderBy(AT, ID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    turns = accepted.select("room_id", "bed_id", AT, ID, flag.alias("flag")).join(stored, "bed_id")
-    turns = turns.withColumn("change", F.col("flag") - F.coalesce(F.lag("flag").over(by_bed), "stored"))
-    turns = turns.withColumn("more", F.sum("change").over(by_room)).filter("flag = 1")
-    return turns.join(counts, "room_id").filter("taken + more = beds").select("room_id").distinct()
+    asked = accepted.select("room_id", "bed_id", AT, ID, flag.alias("flag")).join(stored, "bed_id")
+    turns = previous(in_ranges(asked, (AT, ID), keep=keep), "bed_id", (AT, ID), "flag", "before")
+    turns = turns.withColumn("change", F.col("flag") - F.coalesce("before", "stored"))
+    turns = running_sum(turns, "room_id", (AT, ID), "change", "more").filter("flag = 1")
+    most = turns.groupBy("room_id").agg(F.max("more").alias("most"))
+    return most.join(counts, "room_id").filter("taken + most = beds").select("room_id")
 
 
 def set_bed_flags(t: Tables, requests: DataFrame, release: bool = True) -> JobResult:

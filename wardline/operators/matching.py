@@ -1,47 +1,56 @@
 """First-come matching of requests to slots inside (doctor, day) groups.
 
 Requests of a group are taken in batch order; one is accepted if neither its slot
-nor its patient was matched before in the group. The result of that sequential
-rule is computed without bringing a whole group together:
-
-* A repeated (slot, patient) request can never be accepted after the first one, so
-  each pair is reduced to its earliest request, partially before the shuffle.
-* Let a group have at most ``k`` slots. When a slot's first ``k`` distinct patients
-  have had their turn, the slot is taken: at most ``k - 1`` of them can have been
-  matched elsewhere. Later patients of that slot change nothing, so ``k`` rows per
-  slot are enough, and the cut is exact for any number of requests.
-* At most ``k * k`` rows per group remain; a fold over that short list is the rule.
+nor its patient was matched before in the group. That sequential rule is computed in
+rounds over all groups at once:
+
+* A request that is the first one left for its slot and the first one left for its patient
+  is accepted: nothing that comes before it can take either of them.
+* All other requests for the slots and of the patients accepted so far are dropped; they
+  come after the accepted one, or they would have been first.
+* The rest goes into the next round. The earliest request of a group is always accepted,
+  so there are no more rounds than slots are asked for in a group, and in practice a few.
+
+A round is two minima, partial before the shuffle, and two anti-joins whose hot keys AQE
+splits. No group is brought together anywhere, and a popular slot goes after one round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Sequence
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.ranking import top_per
 from wardline.operators.requests import turn
+from wardline.session import stage
 
 
-def _accept(accepted: Column, item: Column) -> Column:
-    clash = F.exists(
-        accepted, lambda other: (other["slot_id"] == item["slot_id"]) | (other["patient_id"] == item["patient_id"])
-    )
-    return F.when(clash, accepted).otherwise(F.array_append(accepted, item))
-
-
-def match_slots(requests: DataFrame, slots_per_day: int) -> DataFrame:
-    """Per (doctor_id, appointment_date) the list ``matched`` of accepted requests.
+def match_first_come(
+    requests: DataFrame,
+    group: Sequence[str] = ("doctor_id", "appointment_date"),
+    place: str = "slot_id",
+    person: str = "patient_id",
+    keep: Callable[[DataFrame], DataFrame] = stage,
+) -> DataFrame:
+    """The accepted requests: ``group``, ``place``, ``person`` and ``turn``, at most one per place and per person.
 
-    Its items hold turn, slot_id and patient_id; there is at most one per slot.
-    ``requests`` holds request_id, requested_at, doctor_id, appointment_date, slot_id
-    and patient_id; ``slots_per_day`` bounds the distinct slots of a group.
+    ``requests`` holds request_id, requested_at and these columns, none of them NULL. Each round
+    is written by ``keep``, as the next one reads it several times.
     """
-    group = ["doctor_id", "appointment_date"]
-    pair = [*group, "slot_id", "patient_id"]
-    pairs = requests.groupBy(*pair).agg(F.min(turn()).alias("turn"))
-    shortlist = top_per(pairs, [*group, "slot_id"], [F.col("turn").asc()], slots_per_day)
-    queue = shortlist.groupBy(*group).agg(
-        F.sort_array(F.collect_list(F.struct("turn", "slot_id", "patient_id"))).alias("queue")
-    )
-    nobody = F.array().cast(queue.schema["queue"].dataType)
-    return queue.select(*group, F.aggregate("queue", nobody, _accept).alias("matched"))
+    by_place, by_person = [*group, place], [*group, person]
+    # Only the first of equal requests can be accepted.
+    left = keep(requests.groupBy(*group, place, person).agg(F.min(turn()).alias("turn")))
+    rounds = []
+    while True:
+        # min of (turn, person): one row per place that is still asked for
+        first = left.groupBy(*by_place).agg(F.min(F.struct("turn", person)).alias("first"))
+        first = first.select(*by_place, "first.turn", f"first.{person}")
+        own = left.groupBy(*by_person).agg(F.min("turn").alias("own"))
+        accepted = keep(first.join(own, by_person).filter("turn = own").select(*group, place, person, "turn"))
+        rounds.append(accepted)
+        left = left.join(accepted.select(*by_place), by_place, "left_anti").join(accepted.select(*by_person), by_person, "left_anti")
+        left = keep(left)
+        if left.isEmpty():
+            return reduce(DataFrame.unionAll, rounds)

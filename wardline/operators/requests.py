@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.spread import spread_join
 from wardline.sources.model import TABLES
 from wardline.sources.tables import Tables
 
@@ -33,11 +32,6 @@ def first_reason(*cases: tuple[Column, str]) -> Column:
     return chain
 
 
-def with_mark(requests: DataFrame, keys: DataFrame, columns: Sequence[str], mark: str) -> DataFrame:
-    """Add ``mark``: TRUE where the columns are among the distinct ``keys``, else NULL."""
-    return spread_join(requests, keys.withColumn(mark, F.lit(True)), columns, "left", ID)
-
-
 def with_known(requests: DataFrame, parents: DataFrame, column: str, mark: str, key: str | None = None) -> DataFrame:
     """Add ``mark``: TRUE where ``column`` is a key of ``parents``, else NULL."""
     keys = parents.select(F.col(key or column).alias(column), F.lit(True).alias(mark))
