@@ -1,14 +1,15 @@
 """Phrase collocations, mined by partitioning (SON): shards first, exact counts after.
 
 A phrase is a run of words inside a piece of a text. Documents are dealt to shards by a hash
-of their id. With a support of s, a phrase that occurs s times in a language occurs, in at least
+of their id without its last bits. With a support of s, a phrase that occurs s times in a language occurs, in at least
 one shard, s times that shard's part of the language's words. So each shard is mined for all
 phrases that reach this lowered support, and the union of what the shards find holds all
 frequent phrases. One more pass counts the union exactly, by the words themselves.
 
 A shard is mined by many tasks, level by level: a phrase of m words is counted only where
-its first and its last m - 1 words are frequent in the shard. Tasks know these from bitmaps
-over phrase hashes, of a bounded size. A false hit costs a count and changes no result.
+its first and its last m - 1 words are frequent in the shard (the last levels share a pass,
+and there its parts of three words count). Tasks know these from bitmaps over phrase
+hashes, of a bounded size. A false hit costs a count and changes no result.
 The number of shards is fixed, so the lowered support does not fall as the data grow.
 
 Cases: a null text is empty and has no phrases; a null language is ``und``; repeated rows and
@@ -34,6 +35,10 @@ from wardline.llm.common import slices, staged, utf8
 #: Least occurrences of a phrase, most words in it, and phrases reported of a language.
 SUPPORT, LONGEST, TOP = 100, 5, 2000
 SHARDS = 8
+#: Phrases of up to so many words are mined level by level, longer ones in one pass.
+SINGLY = 3
+#: Ids that differ in the last so many bits only are in one shard.
+NEAR = 10
 #: Words that a task holds at once; a longer text makes a longer chunk.
 CHUNK = 1_000_000
 #: Bits of a bitmap, as powers of two: at least, at most, and per frequent phrase.
@@ -47,7 +52,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 def piece_words(text: bytes) -> list[bytes]:
     """The words of a text in order, with ``b"."`` wherever a piece ends."""
-    return [w for w in text.translate(_FOLD).replace(b".", b" . ").split(b" ") if w]
+    return text.translate(_FOLD).replace(b".", b" . ").split()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -117,22 +122,24 @@ def _chunks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield words, parts
 
 
-def _hash_counts(docs: DataFrame, level: int, bitmaps: list[np.ndarray]) -> DataFrame:
-    """``lang, shard, hash, n`` of the phrases of ``level`` words, by the frequent parts of their shard."""
+def _hash_counts(docs: DataFrame, levels: list[int], bitmaps: list[np.ndarray]) -> DataFrame:
+    """``lang, shard, m, hash, n`` of the phrases of ``levels`` words whose parts are frequent in their shard."""
     known = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, parts in _chunks(batches, ["lang", "shard", "seed"]):
             hashes = words.hashes()
             for (lang, shard, seed), ids in parts.items():
-                *_, (_, at, key) = phrase_hits(np.concatenate(ids), hashes, seed, known.value, level)
-                found, n = np.unique(key[at], return_counts=True)
-                same = [pa.array([lang] * len(found), pa.string()), pa.array(np.full(len(found), shard, np.int32))]
-                columns = [*same, pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "shard", "hash", "n"])
+                for m, at, key in phrase_hits(np.concatenate(ids), hashes, seed, known.value, max(levels)):
+                    if m not in levels:
+                        continue
+                    found, n = np.unique(key[at], return_counts=True)
+                    same = [pa.repeat(lang, len(found)), *(pa.array(np.full(len(found), x, np.int32)) for x in (shard, m))]
+                    columns = [*same, pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "shard", "m", "hash", "n"])
 
-    counted = docs.mapInArrow(run, "lang string, shard int, hash long, n long")
-    return counted.groupBy("lang", "shard", "hash").agg(F.sum("n").alias("n"))
+    counted = docs.mapInArrow(run, "lang string, shard int, m int, hash long, n long")
+    return counted.groupBy("lang", "shard", "m", "hash").agg(F.sum("n").alias("n"))
 
 
 def _phrase_counts(docs: DataFrame, bitmaps: list[np.ndarray]) -> DataFrame:
@@ -144,17 +151,19 @@ def _phrase_counts(docs: DataFrame, bitmaps: list[np.ndarray]) -> DataFrame:
             hashes, spelt = words.hashes(), list(words.ids)
             for (lang, seed), lists in parts.items():
                 ids = np.concatenate(lists)
-                for m, at, _ in phrase_hits(ids, hashes, seed, known.value, len(known.value)):
-                    rows = np.stack([ids[at + k] for k in range(m)], axis=1)
-                    order = np.lexsort(rows.T[::-1])
-                    rows = rows[order]
-                    first = np.ones(len(rows), dtype=bool)
-                    first[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+                for m, at, key in phrase_hits(ids, hashes, seed, known.value, len(known.value)):
+                    at = at[np.argsort(key[at], kind="stable")]
+                    # Equal phrases follow each other; a run ends where the words differ, so that
+                    # phrases of the same hash are never counted as one.
+                    first = np.zeros(len(at), dtype=bool)
+                    first[:1] = True
+                    for k in range(m):
+                        first[1:] |= ids[at[1:] + k] != ids[at[:-1] + k]
                     starts = np.flatnonzero(first)
-                    n = np.diff(np.append(starts, len(rows)))
-                    texts = [b" ".join([spelt[i] for i in row]).decode("utf-8", "replace") for row in rows[starts].tolist()]
+                    n, rows = np.diff(np.append(starts, len(at))), at[starts].tolist()
+                    texts = [b" ".join([spelt[i] for i in ids[i : i + m].tolist()]).decode("utf-8", "replace") for i in rows]
                     columns = [
-                        pa.array([lang] * len(texts), pa.string()), pa.array(np.full(len(texts), m, np.int32)),
+                        pa.repeat(lang, len(texts)), pa.array(np.full(len(texts), m, np.int32)),
                         pa.array(texts, pa.string()), pa.array(n.astype(np.int64)),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=["lang", "n_words", "phrase", "f"])
@@ -178,22 +187,29 @@ def _bitmap(hashes: DataFrame, seed: Column, n: int) -> np.ndarray:
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """Two tables: ``lang, n_words, phrase, f`` of all phrases with f >= ``support``, and ``lang, n`` (its words)."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
-    dealt = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(shards)).cast("int").alias("shard")
+    # Neighbouring ids share a shard: they often lie in one file, whose task then combines more.
+    near = F.shiftright(F.coalesce(F.col("doc_id"), F.xxhash64("text")).cast("long"), NEAR)
+    dealt = F.pmod(F.xxhash64(near), F.lit(shards)).cast("int").alias("shard")
     own = docs.select(lang, dealt, "text")
     sharded = own.withColumn("seed", F.xxhash64("lang", "shard"))
-    limits, local, bitmaps, shared = None, None, [], []
-    for level in range(1, longest + 1):
-        counts = _hash_counts(sharded, level, bitmaps)
+    limits, bitmaps, shared = None, [], []
+    singly = min(SINGLY, longest)
+    for levels in [*([m] for m in range(1, singly + 1)), list(range(singly + 1, longest + 1))]:
+        if not levels:
+            continue
+        counts = _hash_counts(sharded, levels, bitmaps)
         if limits is None:
             counts = staged(counts, "phrase-words")
             sizes = counts.groupBy("lang", "shard").agg(F.sum("n").alias("words"))
             totals = staged(sizes.groupBy("lang").agg(F.sum("words").alias("n")), "phrase-totals")
             part = F.expr(f"({support} * words) div n")  # rounded down, so that no phrase is missed
             limits = staged(sizes.join(totals, "lang").select("lang", "shard", F.greatest(part, F.lit(1)).alias("least")), "phrase-limits")
-        local = staged(counts.join(limits, ["lang", "shard"]).where("n >= least").drop("least"), f"phrases-{level}")
-        bitmaps.append(_bitmap(local, F.xxhash64("lang", "shard"), local.count()))
-        union = staged(local.select("lang", "hash").distinct(), f"phrase-union-{level}")
-        shared.append(_bitmap(union, F.xxhash64("lang"), union.count()))
+        local = staged(counts.join(limits, ["lang", "shard"]).where("n >= least").drop("least"), f"phrases-{levels[0]}")
+        if levels[-1] < longest:
+            bitmaps.append(_bitmap(local, F.xxhash64("lang", "shard"), local.count()))
+        union = staged(local.select("lang", "m", "hash").distinct(), f"phrase-union-{levels[0]}")
+        found = {r.m: r["count"] for r in union.groupBy("m").count().collect()}
+        shared += [_bitmap(union.where(F.col("m") == m), F.xxhash64("lang"), found.get(m, 0)) for m in levels]
     exact = _phrase_counts(own.select("lang", "text", F.xxhash64("lang").alias("seed")), shared)
     return staged(exact.where(F.col("f") >= support), "phrases"), totals
 
