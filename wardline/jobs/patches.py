@@ -19,6 +19,7 @@ from wardline.jobs.result import JobResult, Keep, lazily, update
 from wardline.operators.requests import AT, ID, first_reason, turn, with_known
 from wardline.operators.unique_keys import refused_moves
 from wardline.quality import value_rules
+from wardline.session import stage
 from wardline.sources.model import TABLES
 from wardline.sources.tables import Tables
 
@@ -84,7 +85,7 @@ def _without_repeats(t: Tables, table: str, decisions: DataFrame) -> DataFrame:
     stored = t[table].select(key, group, *columns)
     given = {c: F.col("changes")[c].try_cast(stored.schema[c].dataType).alias(c) for c in columns}
     asked = decisions.filter("reason is null").select(ID, AT, key, *given.values())
-    moves = asked.filter(" or ".join(f"{c} is not null" for c in columns)).join(stored.select(key, group), key)
+    moves = stage(asked.filter(" or ".join(f"{c} is not null" for c in columns)).join(stored.select(key, group), key))
     refused = refused_moves(stored, moves, group, key, columns).withColumn("repeats", F.lit(True))
     reason = F.when(F.col("repeats"), F.lit(V.DUPLICATE_KEY)).otherwise(F.col("reason"))
     return decisions.join(refused, ID, "left").withColumn("reason", reason).drop("repeats")
