@@ -154,12 +154,26 @@ select d.new_id admission_id, d.patient_id, d.doctor_id, d.consultation_id, d.ac
 from decided d join patients p on p.patient_id = d.patient_id join doctors o on o.doctor_id = d.doctor_id
 join rooms r on r.room_id = d.initial_room_id join room_types k on k.room_type_id = r.room_type_id
 join beds b on b.bed_id = d.bed_id where d.reason is null"""
+JOB_ORACLE["admit_rows"] = _ADMIT + f"""
+select cast(new_id as bigint) admission_id, patient_id, doctor_id, consultation_id, action_id,
+  cast(initial_room_id as bigint) initial_room_id, cast(bed_id as bigint) bed_id, {AS_OF} admission_date,
+  cast(null as timestamp) discharge_date, true is_active, admission_notes, assigned_by_receptionist_id
+from decided where reason is null"""
 JOB_ORACLE["admit_beds"] = _ADMIT + "select * from new_beds"
 JOB_ORACLE["admit_rooms"] = _ADMIT + """
 select r.* exclude (is_occupied), r.is_occupied or (r.room_id in (select bed_room from decided where reason is null)
   and not exists (select 1 from new_beds b where b.room_id = r.room_id and not b.is_occupied)) is_occupied
 from rooms r"""
 
+JOB_ORACLE["stored_commit"] = _ADMIT + f"""
+select 'admissions' table_name, admission_id id, cast(is_active as varchar) state from admissions
+union all select 'admissions', cast(new_id as bigint), 'true' from decided where reason is null
+union all select 'beds', cast(bed_id as bigint), cast(is_occupied as varchar) from new_beds
+union all select 'rooms', cast(room_id as bigint), cast(is_occupied as varchar) from ({JOB_ORACLE["admit_rooms"][len(_ADMIT):]})
+union all select 'consultation_actions', action_id,
+  case when action_id in (select action_id from decided where reason is null) then 'Completed' else status end
+from consultation_actions"""
+
 # --- discharge -------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,12 +12,13 @@ from pyspark.sql import functions as F
 from wardline import quality
 from wardline.jobs import admission, booking, discharge, ingest, occupancy, patches, removal
 from wardline.jobs import visits as visit_jobs
-from wardline.jobs.result import JobResult, store
+from wardline.jobs.result import JobResult, commit, store
 from wardline.operators.summary import total
 from wardline.plans import billing, clinical, lists, reports, scheduling, visits, wards
 from wardline.plans.order import sort_columns
 from wardline.session import checkpoint_folder, configure, stage
 from wardline.sources import sinks
+from wardline.sources.commits import Store
 from wardline.sources.sample import AS_OF, REPORT_DAY, REPORT_RANGE, Sample, hospital_tables, long_lists
 from wardline.sources.model import TABLES
 from wardline.sources.tables import Tables
@@ -171,6 +173,23 @@ def _stored_update(t: Tables, s: Sample) -> DataFrame:
     return Tables.parquet(spark, root).discharges.select(*as_before)
 
 
+def _stored_commit(t: Tables, s: Sample) -> DataFrame:
+    """Admissions that change four tables in one commit, read back from the newest state."""
+    spark, root = _folder(t)
+    versioned, names = Store(spark, root), ("admissions", "beds", "rooms", "consultation_actions")
+    versioned.commit({name: t[name] for name in names})
+    before = versioned.tables()
+    kept = t.replacing(**{name: before[name] for name in names})
+    commit(admission.admit(kept, s.admit_requests(), AS_OF, keep=stage), versioned)
+    now = versioned.tables()
+    states = {"admissions": "is_active", "beds": "is_occupied", "rooms": "is_occupied", "consultation_actions": "status"}
+    parts = [
+        now[name].select(F.lit(name).alias("table_name"), F.col(TABLES[name].key).alias("id"), F.col(state).cast("string").alias("state"))
+        for name, state in states.items()
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
 def _stored_json(t: Tables, s: Sample) -> DataFrame:
     """A dataset written as JSON lines and read back."""
     spark, root = _folder(t)
@@ -179,7 +198,9 @@ def _stored_json(t: Tables, s: Sample) -> DataFrame:
     return spark.read.schema(rows.schema).json(root)
 
 
-STORED = {"stored_append": _stored_append, "stored_update": _stored_update, "stored_json": _stored_json}
+STORED = {
+    "stored_append": _stored_append, "stored_update": _stored_update, "stored_commit": _stored_commit, "stored_json": _stored_json,
+}
 
 
 def _state(result: JobResult, table: str) -> DataFrame:
@@ -222,6 +243,7 @@ JOBS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
     "record_visits_rows": lambda t, s: _visits(t, s).appended["admitted_patient_visits"],
     "record_visits_admissions": lambda t, s: _state(_visits(t, s), "admissions"),
     "admit": lambda t, s: _admit(t, s).decisions.select("request_id", "bed_id", "admission_id", "reason"),
+    "admit_rows": lambda t, s: _admit(t, s).appended["admissions"],
     "admit_actions": lambda t, s: _state(_admit(t, s), "consultation_actions"),
     "admit_confirmations": lambda t, s: admission.admission_confirmations(t, _admit(t, s).appended["admissions"]),
     "admit_beds": lambda t, s: _state(_admit(t, s), "beds"),
