@@ -6,7 +6,7 @@ request by request in a recursive statement.
 
 from __future__ import annotations
 
-from checks.oracle import AS_OF, DOCTORS, SLOTS, TODAY
+from checks.oracle import AS_OF, DOCTORS, ORACLE, SLOTS, TODAY
 
 JOB_ORACLE: dict[str, str] = {}
 
@@ -651,3 +651,10 @@ JOB_ORACLE["quality_core"] = " union all ".join(
 )
 
 JOB_ORACLE["stored_update"] = JOB_ORACLE["patch_follow_up"]
+
+# Kept-up totals equal the direct query on the tables they end with.
+for _name in ("range_summary", "doctor_visits_summary", "doctor_discharge_stats"):
+    JOB_ORACLE[f"{_name}_from_days"] = ORACLE[_name]
+JOB_ORACLE["doctor_patients_from_days"] = """
+select doctor_id, count(distinct patient_id) patients from appointments
+where appointment_date between date '1999-01-01' and date '1999-03-31' group by doctor_id"""
