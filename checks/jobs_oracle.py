@@ -7,6 +7,7 @@ request by request in a recursive statement.
 from __future__ import annotations
 
 from checks.oracle import AS_OF, DOCTORS, ORACLE, SLOTS, TODAY
+from checks.quality_oracle import QUALITY_ALL
 
 JOB_ORACLE: dict[str, str] = {}
 
@@ -650,6 +651,8 @@ JOB_ORACLE["quality_core"] = " union all ".join(
     ]
 )
 
+JOB_ORACLE["quality_all"] = QUALITY_ALL
+
 JOB_ORACLE["stored_update"] = JOB_ORACLE["patch_follow_up"]
 
 # Kept-up totals equal the direct query on the tables they end with.

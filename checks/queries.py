@@ -348,6 +348,7 @@ JOBS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
     "quality_visits": lambda t, s: quality.summary(
         quality.violations(t.replacing(admitted_patient_visits=s.raw_visits), "admitted_patient_visits")
     ),
+    "quality_all": lambda t, s: quality.summary(quality.audit(t)),
     "quality_core": lambda t, s: quality.violations(
         t, "appointments", "consultations", "admissions", "discharges", "doctors", "patients"
     ),

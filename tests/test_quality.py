@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
 from conftest import DIMENSIONS, at, dicts, on
 
 from wardline import quality
+from wardline.session import stage
+from wardline.sources.model import TABLES
+from wardline.sources.tables import Tables
 
 
 def found(df) -> set[tuple]:
@@ -69,3 +75,60 @@ def test_not_null_rules_follow_the_source_columns(spark, hospital):
     few = Tables({"doctors": spark.createDataFrame([(10, "Ann")], "doctor_id bigint, first_name string")})
     assert found(quality.violations(few, "doctors")) == set()
     assert dicts(few.doctors)[0]["last_name"] is None
+
+
+def spoilt(size: int) -> dict[str, list[dict]]:
+    """Rows that break many rules; a third of the appointments repeat one key and name one lost doctor."""
+    rng = random.Random(size)
+    return {
+        **DIMENSIONS,
+        "doctors": [*DIMENSIONS["doctors"], {**DIMENSIONS["doctors"][0], "doctor_id": -5, "age": 7, "registration_number": None},
+                    {**DIMENSIONS["doctors"][0], "doctor_id": 31, "registration_number": None}],
+        "appointments": [
+            {"appointment_id": 1 if i % 3 == 0 else i, "patient_id": rng.choice([1000, 1001, 77]), "doctor_id": 404 if i % 3 == 0 else 10,
+             "appointment_date": on("2024-01-01") if i % 7 else None, "status_id": rng.choice([1, 2, 9]), "slot_id": rng.choice([1, None, 55])}
+            for i in range(1, size)
+        ],
+        "beds": [{"bed_id": i, "room_id": 1, "bed_number": i % 4, "bed_code": rng.choice(["x", "y", None, "z" * 40])} for i in range(1, 20)],
+        "consultations": [{"consultation_id": i, "appointment_id": i % 5, "doctor_id": 10} for i in range(1, 12)],
+    }
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_audit_gives_the_violations(hospital, monkeypatch, few):
+    monkeypatch.setattr(quality, "FEW", few)
+    t = hospital(**spoilt(200))
+    got = sorted(map(tuple, quality.audit(t).collect()))
+    want = sorted(map(tuple, quality.violations(t).collect()))
+    assert got == want
+    assert {r[1].split(":")[0] for r in got} >= {"unique", "reference", "range", "not_null", "positive_id", "length", "slot_or_datetime"}
+    some = sorted(map(tuple, quality.audit(t, "beds", "appointments").collect()))
+    assert some == [r for r in want if r[0] in ("beds", "appointments")]
+
+
+def test_audit_of_clean_and_empty_tables(hospital):
+    assert quality.audit(hospital()).count() == 0
+    assert quality.audit(hospital(**DIMENSIONS)).count() == quality.violations(hospital(**DIMENSIONS)).count()
+
+
+def test_equal_hashes_are_no_repeated_key(hospital, monkeypatch):
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *columns: quality.F.lit(1).cast("bigint"))
+    t = hospital(**spoilt(40))
+    assert sorted(map(tuple, quality.audit(t).collect())) == sorted(map(tuple, quality.violations(t).collect()))
+
+
+def test_audit_reads_each_table_at_most_twice(spark, hospital, tmp_path):
+    t, plans = hospital(**spoilt(30)), []
+    for name in t:
+        t[name].write.parquet(f"{tmp_path}/{name}")
+    stored = Tables({name: spark.read.parquet(f"{tmp_path}/{name}") for name in TABLES})
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        frame = stage(df)
+        return frame
+
+    quality.audit(stored, keep=keep)
+    reads = [line for plan in plans for line in plan.splitlines() if "Relation [" in line]
+    assert len(plans) == 2 and len(reads) == 2 * len(TABLES)
+    assert not any("Window" in plan or "collect_" in plan for plan in plans)

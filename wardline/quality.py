@@ -3,17 +3,19 @@
 ``violations(t, table)`` lists every broken rule as (table, rule, key, detail).
 Row rules share one scan of the table; unique keys are one aggregate each and
 references one anti join each. Not-null rules cover the columns the source has.
+``audit(t)`` gives the same rows for many tables at once, from two reads of each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.session import stage
 from wardline.sources.model import TABLES
 from wardline.sources.model import Column as Declared
 from wardline.sources.tables import Tables
@@ -149,3 +151,111 @@ def violations(t: Tables, *names: str) -> DataFrame:
 def summary(found: DataFrame) -> DataFrame:
     """Number of violations per table and rule."""
     return found.groupBy("table", "rule").agg(F.count(F.lit(1)).alias("violations"))
+
+
+#: Up to so many suspicious keys, of about 100 bytes each, go to every task; more are shuffled.
+FEW = 100_000
+
+
+def _signals(t: Tables, table: str, names: Iterable[str]) -> list[Column]:
+    """What a row tells about keys: ``(table, rule, sig, parent)`` of unique keys and references.
+
+    ``table`` and ``rule`` name the constraint. The signal of a unique key is a hash of its values,
+    that of a reference the value itself; the parent's rows send the same signals.
+    """
+    names, declared, present = set(names), TABLES[table], set(t.source(table).columns)
+
+    def signal(owner: str, rule: str, sig: Column, parent: bool, given: Column | None = None) -> Column:
+        row = F.struct(F.lit(owner).alias("table"), F.lit(rule).alias("rule"), sig.cast("bigint").alias("sig"), F.lit(parent).alias("parent"))
+        return row if given is None else F.when(given, row)
+
+    found = [
+        signal(table, f"unique:{','.join(columns)}", F.xxhash64(*_spelt(columns)), False)
+        for columns in ((declared.key,), *declared.unique)
+        if present.issuperset(columns) and table in names
+    ]
+    if table in names:
+        found += [
+            signal(table, f"reference:{r.column}", F.col(r.column), False, F.col(r.column).isNotNull())
+            for r in declared.references
+            if r.column in present and r.table in t
+        ]
+    for child in TABLES.values():
+        if child.name in names and child.name in t:
+            held = set(t.source(child.name).columns)
+            found += [
+                signal(child.name, f"reference:{r.column}", F.col(declared.key), True, F.col(declared.key).isNotNull())
+                for r in child.references
+                if r.table == table and r.column in held
+            ]
+    return found
+
+
+def _spelt(columns: Iterable[str]) -> list[Column]:
+    """The values of a unique key as text in which a NULL differs from every value."""
+    return [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in columns]
+
+
+def audit(t: Tables, *names: str, keep: Callable[[DataFrame], DataFrame] = stage) -> DataFrame:
+    """The rows of ``violations``, from at most two reads of every table and one shuffle of all keys.
+
+    First every row sends its keys and references, as numbers, and one aggregate counts them:
+    most keys occur once and most references meet their parent, so few are suspicious. The
+    second read evaluates the row rules and looks only at rows with a suspicious key; there the
+    values themselves are compared. Counts are partial before the shuffle, so a key that a large
+    share of the rows repeats is one row per task.
+    """
+    asked = list(names or [n for n in TABLES if n in t])
+    parents = {r.table for n in asked for r in TABLES[n].references}
+    first = [
+        t[n].select(F.explode(F.array_compact(F.array(*signals))).alias("s")).select("s.*")
+        for n in TABLES
+        if n in t and (n in asked or n in parents) and (signals := _signals(t, n, asked))
+    ]
+    counted = reduce(DataFrame.unionAll, first).groupBy("table", "rule", "sig").agg(
+        F.count_if(~F.col("parent")).alias("rows"), F.bool_or("parent").alias("met")
+    )
+    reference = F.col("rule").startswith("reference:")
+    bad = counted.filter((reference & ~F.col("met") & (F.col("rows") > 0)) | (~reference & (F.col("rows") > 1)))
+    suspicious = keep(bad.select("table", "rule", "sig")).withColumn("seen", F.lit(True))
+    if suspicious.limit(FEW + 1).count() <= FEW:
+        suspicious = F.broadcast(suspicious)
+
+    second = []
+    for name in asked:
+        declared, present = TABLES[name], set(t.source(name).columns)
+        key = F.col(declared.key)
+
+        def hit(rule: str, detail: Column, sig: Column, values: Column, key: Column = key) -> Column:
+            parts = (F.lit(rule).alias("rule"), key.cast("bigint").alias("key"), detail.alias("detail"), sig.alias("sig"), values.alias("values"))
+            return F.struct(*parts)
+
+        nothing, no_text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+        hits = [
+            F.when(r.broken, hit(f"{r.name}:{r.column}", F.coalesce(F.col(r.column).cast("string"), F.lit("null")), nothing, no_text))
+            for r in row_rules(name, present)
+        ]
+        for columns in ((declared.key,), *declared.unique):
+            if present.issuperset(columns):
+                spelt = _spelt(columns)
+                hits.append(hit(f"unique:{','.join(columns)}", no_text, F.xxhash64(*spelt), F.to_json(F.array(*spelt))))
+        for r in declared.references:
+            if r.column in present and r.table in t:
+                value = F.col(r.column)
+                hits.append(F.when(value.isNotNull(), hit(f"reference:{r.column}", value.cast("string"), value.cast("bigint"), no_text)))
+        rows = t[name].select(F.explode(F.array_compact(F.array(*hits))).alias("hit")).select(F.lit(name).alias("table"), "hit.*")
+        second.append(rows)
+    rows = reduce(DataFrame.unionAll, second)
+    # A row rule has no signal and stays; a key or a reference stays if it is suspicious.
+    marked = rows.join(suspicious, ["table", "rule", "sig"], "left")
+    found = keep(marked.filter("sig is null or seen").select("table", "rule", "key", "detail", "values"))
+    unique = F.col("rule").startswith("unique:")
+    repeated = (
+        found.filter(unique)
+        .groupBy("table", "rule", "values")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"))
+        .filter("n > 1")
+        .select("table", "rule", F.col("key").cast("string").alias("key"), F.concat(F.col("n").cast("string"), F.lit(" rows")).alias("detail"))
+    )
+    single = found.filter(~unique).select("table", "rule", F.col("key").cast("string").alias("key"), "detail")
+    return single.unionByName(repeated)
