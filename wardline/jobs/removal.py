@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from wardline import fixed_values as V
 from wardline.functions import as_moment, falsy, full_name
 from wardline.functions.time import Moment
-from wardline.jobs.result import JobResult, Keep, lazily, without
+from wardline.jobs.result import JobResult, Keep, lazily, update, without
+from wardline.operators.referential import OWNER, children, deletable, fallen_rows
 from wardline.operators.requests import AT, ID, as_table, first_reason, turn, winners, with_known, with_new_key
 from wardline.operators.spread import spread_join
+from wardline.session import stage
 from wardline.sources.model import TABLES
 from wardline.sources.tables import Tables
 
@@ -126,3 +128,36 @@ def delete_schedules(t: Tables, requests: DataFrame) -> JobResult:
     )
     keys = decisions.filter("reason is null").select("schedule_id")
     return JobResult(decisions, updated={"doctor_schedules": without(t.doctor_schedules, keys, "schedule_id")})
+
+
+def delete_rows(t: Tables, table: str, requests: DataFrame, keep: Keep = stage) -> JobResult:
+    """Delete rows of a table by its key, with the referential actions of the model, in batch order.
+
+    Rows that cascade fall too, and a column that is cleared becomes NULL in the rows that stay. A row
+    that others still refer to is kept and its request rejected, given what the requests accepted
+    before have deleted. A second request for a row finds nothing.
+    """
+    key = TABLES[table].key
+    checked = with_known(requests.select(ID, AT, key), t[table], key, "row_known")
+    first = keep(winners(checked.filter("row_known"), [key]))
+    fallen = fallen_rows(t, table, first, keep)
+    turns = first.select(F.col(key).alias(OWNER), F.col("winner_turn").alias("turn"))
+    done = keep(deletable(t, fallen, turns, keep))
+    marked = first.join(done.select(F.col(OWNER).alias(key), F.lit(True).alias("free")), key, "left")
+    reason = first_reason(
+        (F.col("winner_id").isNull(), V.NOT_FOUND),
+        (F.col("free").isNull(), V.STILL_REFERENCED),
+        (F.col("winner_id") != F.col(ID), V.NOT_FOUND),
+    )
+    decided = spread_join(checked, marked, [key], "left", ID).withColumn("reason", reason)
+    updated = {}
+    for name, rows in fallen.items():
+        own = TABLES[name].key
+        keys = rows.join(done, OWNER, "left_semi").select(own).distinct()
+        updated[name] = without(t[name], keys, own)
+    for parent, rows in fallen.items():
+        for child, column in children(parent, "clear", t):
+            gone = rows.join(done, OWNER, "left_semi").select(F.col(TABLES[parent].key).alias(column)).distinct()
+            hit = t[child.name].select(child.key, column).join(gone, column, "left_semi").select(child.key)
+            updated[child.name] = update(t, child.name, hit, {column: F.lit(None)})
+    return JobResult(decided.select(ID, AT, key, "reason"), updated=updated)
