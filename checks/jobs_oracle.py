@@ -488,6 +488,17 @@ JOB_ORACLE["delete_schedules_state"] = """
 select s.*, cast(null as timestamp) created_at, cast(null as timestamp) updated_at from doctor_schedules s
 where schedule_id not in (select schedule_id from schedule_deletions)"""
 
+JOB_ORACLE["delete_time_slots"] = """
+select request_id, requested_at, slot_id, case when slot_id not in (select slot_id from time_slots)
+  or row_number() over (partition by slot_id order by requested_at, request_id) > 1 then 'Not found' end reason
+from slot_deletions"""
+JOB_ORACLE["delete_time_slots_schedules"] = """
+select s.*, cast(null as timestamp) created_at, cast(null as timestamp) updated_at from doctor_schedules s
+where slot_id not in (select slot_id from slot_deletions)"""
+JOB_ORACLE["delete_time_slots_appointments"] = """
+select * exclude (slot_id), cast(null as timestamp) appointment_datetime,
+  case when slot_id not in (select slot_id from slot_deletions) then slot_id end slot_id from appointments"""
+
 # --- ingest ----------------------------------------------------------------
 
 _NEW_PATIENTS = f"""with recursive decided as (
@@ -594,6 +605,31 @@ JOB_ORACLE["ingest_signins"] = f"""
 select {new_id("signin_logs", "log_id", "new_signins")} log_id, user_id, user_type, {AS_OF} signin_datetime
 from new_signins r where user_type is not null"""
 
+
+
+def _decided(name: str) -> str:
+    """The statement of an ingest up to its decisions."""
+    return JOB_ORACLE[name].rsplit("\nselect", 1)[0]
+
+
+JOB_ORACLE["ingest_patients_rows"] = _NEW_PATIENTS + f"""
+select new_id patient_id, concat('P', new_id) patient_login_id, first_name, last_name, age, gender,
+  nullif(blood_group, '') blood_group, cast(null as varchar) phone_no, {AS_OF} created_at
+from decided where reason is null"""
+JOB_ORACLE["ingest_forms_rows"] = _decided("ingest_forms") + f"""
+select {new_id("appointment_forms", "form_id", "new_forms")} form_id, appointment_id, patient_id, symptoms,
+  cast(null as varchar) medical_history, {AS_OF} created_at from decided r where reason is null"""
+JOB_ORACLE["ingest_consultations_rows"] = _decided("ingest_consultations") + f"""
+select {new_id("consultations", "consultation_id", "new_consultations")} consultation_id, appointment_id, doctor_id, patient_id,
+  blood_pressure, temperature, cast(null as int) oxygen_saturation, cast(null as varchar) diagnosis, {AS_OF} consultation_date
+from decided r where reason is null"""
+JOB_ORACLE["ingest_medicines_rows"] = _decided("ingest_medicines") + f"""
+select {new_id("prescribed_medicines", "medicine_id", "new_medicines")} medicine_id, consultation_id, medicine_name, dosage,
+  frequency, duration, {AS_OF} created_at from decided r where reason is null"""
+JOB_ORACLE["ingest_actions_rows"] = _decided("ingest_actions") + f"""
+select {new_id("consultation_actions", "action_id", "new_actions")} action_id, consultation_id, action_type_id,
+  'Pending' status, notes, {AS_OF} created_at, cast(null as timestamp) completed_at from decided r where reason is null"""
+
 # --- quality ---------------------------------------------------------------
 
 JOB_ORACLE["quality_visits"] = """

@@ -510,6 +510,16 @@ left join admitted_patient_visits v on v.doctor_id = d.doctor_id and v.visit_dat
 left join admissions h on h.doctor_id = d.doctor_id and h.admission_date between {START} and {END_SECOND}
 group by all"""
 ORACLE["doctors_range"] = _DOCTORS_RANGE
+ORACLE["busiest_doctors"] = f"""
+select doctor_id, doctor_name, experience_years, total_appointments, total_revenue from ({_DOCTORS_RANGE})
+order by total_appointments desc, experience_years desc nulls last, doctor_id limit 10"""
+ORACLE["beds_of_rooms"] = """
+select cast((room_id - 1) * 8 + n as bigint) bed_id, concat(room_number, '-B', n) bed_code, room_id, cast(n as int) bed_number, false is_occupied
+from rooms join room_types using (room_type_id),
+  unnest(generate_series(1, case when type_name like 'GWARD%' then 8 when type_name = 'PRIVATE ROOM' then 1 else 0 end)) u(n)"""
+ORACLE["seeded_slots_in_use"] = """
+select cast(k as bigint) slot_id, cast(360 + 30 * (k - 1) as int) start_min, cast(390 + 30 * (k - 1) as int) end_min, coalesce(n, 0) appointments
+from generate_series(1, 24) u(k) left join (select slot_id, count(*) n from appointments group by slot_id) a on a.slot_id = k"""
 ORACLE["doctors_range_summary"] = f"""
 select count(*) total_doctors, cast(sum(total_appointments) as bigint) total_appointments,
   cast(sum(total_revenue) as decimal(18,2)) total_revenue, cast(sum(cast(completion_rate as decimal(18,4))) as double) / count(*) average_completion_rate,

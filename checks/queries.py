@@ -13,11 +13,12 @@ from wardline import quality
 from wardline.jobs import admission, booking, discharge, ingest, occupancy, patches, removal
 from wardline.jobs import visits as visit_jobs
 from wardline.jobs.result import JobResult, commit, store
+from wardline.operators.beds import expand_beds
 from wardline.operators.summary import total
 from wardline.plans import billing, clinical, lists, reports, rolled, scheduling, visits, wards
 from wardline.plans.order import sort_columns
 from wardline.session import checkpoint_folder, configure, stage
-from wardline.sources import sinks
+from wardline.sources import seeds, sinks
 from wardline.sources.commits import Change, Store
 from wardline.sources.rollups import ROLLUPS, Rollups
 from wardline.sources.sample import AS_OF, REPORT_DAY, REPORT_RANGE, Sample, hospital_tables, long_lists
@@ -141,6 +142,16 @@ def _in_order(name: str, rows: DataFrame) -> DataFrame:
     return rows.withColumn("place", place)
 
 
+def _seeded_slots(t: Tables) -> DataFrame:
+    """Appointments in each of the seeded slots, by the slot's own times."""
+    booked = t.appointments.groupBy("slot_id").agg(F.count(F.lit(1)).alias("appointments"))
+    slots = seeds.time_slots(t.appointments.sparkSession).select("slot_id", "start_min", "end_min")
+    return slots.join(booked, "slot_id", "left").withColumn("appointments", F.coalesce("appointments", F.lit(0)))
+
+
+DATASETS["beds_of_rooms"] = lambda t, s: expand_beds(t.rooms, t.room_types)
+DATASETS["seeded_slots_in_use"] = lambda t, s: _seeded_slots(t)
+DATASETS["busiest_doctors"] = lambda t, s: reports.busiest_doctors(t, *REPORT_RANGE)
 DATASETS["doctor_recent_visits_in_order"] = lambda t, s: _in_order("doctor_recent_visits", visits.doctor_recent_visits(t))
 DATASETS["doctor_discharged_patients_in_order"] = lambda t, s: _in_order(
     "doctor_discharged_patients",
@@ -269,6 +280,14 @@ def _removal(t: Tables, s: Sample) -> JobResult:
     return removal.remove_doctors(t, s.removal_requests(), AS_OF)
 
 
+def _slots(t: Tables, s: Sample) -> JobResult:
+    return removal.delete_rows(t, "time_slots", s.slot_deletions())
+
+
+def _new_rows(table: str, rows: Callable[[Sample], DataFrame]) -> Callable[[Tables, Sample], DataFrame]:
+    return lambda t, s: ingest.ingest(t, table, rows(s), AS_OF).appended[table]
+
+
 JOBS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
     "book_slots": lambda t, s: _booking(t, s).decisions,
     "book_slots_confirmations": lambda t, s: booking.booking_confirmations(t, _booking(t, s).appended["appointments"]),
@@ -330,6 +349,9 @@ JOBS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
     "delete_schedules_state": lambda t, s: _state(
         removal.delete_schedules(t, s.schedule_deletions()), "doctor_schedules"
     ),
+    "delete_time_slots": lambda t, s: _slots(t, s).decisions,
+    "delete_time_slots_schedules": lambda t, s: _state(_slots(t, s), "doctor_schedules"),
+    "delete_time_slots_appointments": lambda t, s: _state(_slots(t, s), "appointments"),
     "ingest_patients": lambda t, s: ingest.ingest(t, "patients", s.new_patients(), AS_OF).decisions,
     "ingest_patients_signups": lambda t, s: ingest.ingest(t, "patients", s.new_patients(), AS_OF).appended["signup_logs"],
     "ingest_doctors": lambda t, s: ingest.ingest(t, "doctors", s.new_doctors(), AS_OF).decisions,
@@ -345,6 +367,11 @@ JOBS: dict[str, Callable[[Tables, Sample], DataFrame]] = {
     ],
     "ingest_actions": lambda t, s: ingest.ingest(t, "consultation_actions", s.new_actions(), AS_OF).decisions,
     "ingest_signins": lambda t, s: ingest.ingest(t, "signin_logs", s.new_signins(), AS_OF).appended["signin_logs"],
+    "ingest_patients_rows": _new_rows("patients", Sample.new_patients),
+    "ingest_forms_rows": _new_rows("appointment_forms", Sample.new_forms),
+    "ingest_consultations_rows": _new_rows("consultations", Sample.new_consultations),
+    "ingest_medicines_rows": _new_rows("prescribed_medicines", Sample.new_medicines),
+    "ingest_actions_rows": _new_rows("consultation_actions", Sample.new_actions),
     "quality_visits": lambda t, s: quality.summary(
         quality.violations(t.replacing(admitted_patient_visits=s.raw_visits), "admitted_patient_visits")
     ),

@@ -308,6 +308,9 @@ from events
 VIEWS["schedule_deletions"] = """
 select event_id request_id, ts requested_at, event_id % (select greatest(1, count(*) * 60 // 1) from supplier) schedule_id from events
 """
+VIEWS["slot_deletions"] = """
+select c_custkey request_id, timestamp '2001-08-01 00:00:00' requested_at, c_custkey % 40 * 2 slot_id from customer
+"""
 VIEWS["new_patients"] = """
 select c_custkey request_id, timestamp '2001-08-01 00:00:00' requested_at,
   case when c_custkey % 10 = 0 then '' else c_mktsegment end first_name, c_name last_name,

@@ -24,6 +24,7 @@ from wardline.operators.activity import (
     zero,
 )
 from wardline.operators.people import doctor_names, patient_names
+from wardline.operators.ranking import top
 from wardline.sources.tables import Tables
 
 _PATIENT = ("age", "gender", "blood_group", "phone_no")
@@ -167,6 +168,14 @@ def doctors_range(t: Tables, start_date: Moment, end_date: Moment) -> DataFrame:
     )
 
 
+def busiest_doctors(t: Tables, start_date: Moment, end_date: Moment, limit: int | None = 10) -> DataFrame:
+    """The doctors with the most appointments in the range, the longest serving first among equals."""
+    rows = doctors_range(t, start_date, end_date).select(
+        "doctor_id", "doctor_name", "experience_years", "total_appointments", "total_revenue"
+    )
+    return top(rows, [F.desc("total_appointments"), F.desc_nulls_last("experience_years"), F.asc("doctor_id")], limit)
+
+
 def doctors_range_summary(
     t: Tables, start_date: Moment, end_date: Moment, detail: DataFrame | None = None
 ) -> DataFrame:

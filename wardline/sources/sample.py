@@ -553,6 +553,12 @@ class Sample:
             "event_id request_id", "ts requested_at", "event_id % rows schedule_id"
         )
 
+    def slot_deletions(self) -> DataFrame:
+        """Every second slot, many times over, and slots that are not there."""
+        return self._raw("customer").selectExpr(
+            "c_custkey request_id", "timestamp_ntz '2001-08-01 00:00:00' requested_at", "cast(c_custkey % 40 * 2 as bigint) slot_id"
+        )
+
     def new_patients(self) -> DataFrame:
         return self._raw("customer").selectExpr(
             "c_custkey request_id",
