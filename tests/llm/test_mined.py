@@ -249,9 +249,26 @@ def some_texts(seed: int) -> list[tuple]:
     return out
 
 
+def test_word_hashes_follow_the_words(monkeypatch):
+    text = "A\tbb  a,bb. . \n é日本\x1cx a;a  bb!" + "w" * 50 + " a"
+    want = text.lower().encode().translate(bytes.maketrans(b",;!\n\t", b".... ")).replace(b".", b" . ").split()
+    whole = collocations.word_hashes(text.encode())
+    assert (whole == 0).tolist() == [w == b"." for w in want]
+    by_word = defaultdict(set)
+    for w, h in zip(want, whole.tolist(), strict=True):
+        by_word[w].add(h)
+    assert all(len(hashes) == 1 for hashes in by_word.values())
+    assert len({min(h) for h in by_word.values()}) == len(by_word)
+    for stretch in (1, 3, 7):
+        monkeypatch.setattr(collocations, "STRETCH", stretch)
+        assert collocations.word_hashes(text.encode()).tolist() == whole.tolist()
+    assert [len(collocations.word_hashes(t)) for t in (b"", b" ", b".", b"a")] == [0, 0, 1, 1]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_phrases_match_plain_counts(spark, monkeypatch, seed):
-    monkeypatch.setattr(collocations, "CHUNK", 60)
+    monkeypatch.setattr(collocations, "CHUNK", 300)
+    monkeypatch.setattr(collocations, "NEAR", 2)
     data = some_texts(seed)
     frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
     got = collocations.collocations(frame, support=4, top=15, shards=3)
@@ -268,10 +285,11 @@ def test_full_bitmaps_change_nothing(spark, monkeypatch):
     assert sorted(collocations.collocations(frame, support=5, shards=4).collect()) == want
 
 
-def test_shards_miss_no_frequent_phrase(spark):
+def test_shards_miss_no_frequent_phrase(spark, monkeypatch):
     """One document in a shard of its own holds few of the occurrences, the others very many."""
     data = [(i, "rare pair here. " * (1 if i else 12) + "other words only " * 40, "en") for i in range(9)]
     frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    monkeypatch.setattr(collocations, "NEAR", 0)
     found, totals = collocations.frequent_phrases(frame, support=20, shards=5)
     assert {r.phrase: r.f for r in found.collect()}["rare pair here"] == 20
     assert totals.first().n == 9 * 120 + 20 * 3

@@ -1,7 +1,7 @@
 """Phrase collocations, mined by partitioning (SON): shards first, exact counts after.
 
-A phrase is a run of words inside a piece of a text. Documents are dealt to shards by a hash
-of their id without its last bits. With a support of s, a phrase that occurs s times in a language occurs, in at least
+A phrase is a run of words inside a piece of a text. Documents are dealt to shards by their id
+without its last bits, so that shards are about equally large. With a support of s, a phrase that occurs s times in a language occurs, in at least
 one shard, s times that shard's part of the language's words. So each shard is mined for all
 phrases that reach this lowered support, and the union of what the shards find holds all
 frequent phrases. One more pass counts the union exactly, by the words themselves.
@@ -22,11 +22,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,22 +37,64 @@ SUPPORT, LONGEST, TOP = 100, 5, 2000
 SHARDS = 8
 #: Phrases of up to so many words are mined level by level, longer ones in one pass.
 SINGLY = 3
-#: Ids that differ in the last so many bits only are in one shard.
-NEAR = 10
-#: Words that a task holds at once; a longer text makes a longer chunk.
-CHUNK = 1_000_000
+#: Ids that differ in the last so many bits only are in one shard; a small table is one shard.
+NEAR = 11
+#: Bytes of texts that a task holds at once, and that it hashes at once; longer texts and words make them longer.
+CHUNK, STRETCH = 6_000_000, 1_000_000
 #: Bits of a bitmap, as powers of two: at least, at most, and per frequent phrase.
 LEAST_BITS, MOST_BITS, BITS_EACH = 16, 28, 16
 #: One page of a bitmap, as Spark's bitmap functions build it.
 PAGE_BITS = 8 * 4096
 #: Separators of pieces become a full stop, white space a space, and A-Z lower case.
 _FOLD = bytes(46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_BASE = 0x100000001B3
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def piece_words(text: bytes) -> list[bytes]:
-    """The words of a text in order, with ``b"."`` wherever a piece ends."""
-    return text.translate(_FOLD).replace(b".", b" . ").split()
+@lru_cache(maxsize=2)
+def _stretch_powers(base: int, n: int) -> np.ndarray:
+    factors = np.full(n, base, dtype=np.uint64)
+    factors[0] = 1
+    return np.multiply.accumulate(factors)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The powers 0 to n - 1; those of a usual stretch are kept."""
+    usual = 2 * STRETCH
+    return _stretch_powers(base, usual)[:n] if n <= usual else _stretch_powers.__wrapped__(base, n)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """The words of a text in order as polynomial hashes, with 0 wherever a piece ends.
+
+    Equal words have equal hashes; different ones may share one. All bytes of a stretch are hashed at
+    once: the sum of byte * base^place over a word, divided by the power of the place it starts at.
+    """
+    folded, parts, start = text.translate(_FOLD), [], 0
+    while start < len(folded):
+        end = start + STRETCH
+        if end < len(folded):  # not inside a word
+            ends = [x for x in (folded.find(b" ", end), folded.find(b".", end)) if x >= 0]
+            end = min(ends, default=len(folded))
+        parts.append(_stretch(np.frombuffer(folded, dtype=np.uint8, count=min(end, len(folded)) - start, offset=start)))
+        start = end
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def _stretch(data: np.ndarray) -> np.ndarray:
+    stop = data == 46
+    word = ~stop & (data != 32)
+    edge = np.diff(word.view(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)), out=sums[1:])
+    own = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(data))[starts]
+    stop[starts] = True
+    at = np.flatnonzero(stop)
+    out = np.zeros(len(at), dtype=np.uint64)
+    out[word[at]] = np.maximum(own, np.uint64(1))
+    return out
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -69,26 +111,24 @@ class _Vocabulary:
         self.ids[b"."]
 
     def numbers(self, text: bytes) -> np.ndarray:
-        words = piece_words(text)
+        words = text.translate(_FOLD).replace(b".", b" . ").split()
         words.append(b".")
         return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
 
     def hashes(self) -> np.ndarray:
-        return np.fromiter((xxhash.xxh64_intdigest(w) for w in self.ids), np.uint64, len(self.ids))
+        return word_hashes(b" ".join(self.ids))
 
 
-def phrase_hits(
-    ids: np.ndarray, hashes: np.ndarray, seed: int, bitmaps: list[np.ndarray], last: int
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def phrase_hits(words: np.ndarray, seed: int, bitmaps: list[np.ndarray], last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Per number of words m up to ``last``: m, places where phrases worth counting start, all phrase hashes.
 
     A phrase is worth counting if both its parts of m - 1 words are in the bitmap of that
     level, and it is itself in the bitmap of its own level, where there is one.
     """
-    n = len(ids)
-    ends = np.where(ids == 0, np.arange(n), n)
+    n = len(words)
+    ends = np.where(words == 0, np.arange(n), n)
     left = np.minimum.accumulate(ends[::-1])[::-1] - np.arange(n)  # words from here to the end of the piece
-    words, own = hashes[ids], np.uint64(seed & 0xFFFFFFFFFFFFFFFF)
+    own = np.uint64(seed & 0xFFFFFFFFFFFFFFFF)
     key, alive = _mixed(words), left >= 1
     for m in range(1, last + 1):
         if m > 1:
@@ -107,19 +147,19 @@ def phrase_hits(
         yield m, at, key
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[_Vocabulary, dict]]:
-    """Word numbers of the texts in parts of about ``CHUNK`` words, by the values of ``keys``."""
-    words, parts, held = _Vocabulary(), defaultdict(list), 0
+def _chunks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[tuple, list[bytes]]]:
+    """Texts in parts of about ``CHUNK`` bytes, by the values of ``keys``."""
+    parts, held = defaultdict(list), 0
     for batch in slices(batches):
         groups = zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys), strict=True)
         for group, text in zip(groups, utf8(batch), strict=True):
-            parts[group].append(words.numbers(text))
-            held += len(parts[group][-1])
+            parts[group].append(text)
+            held += len(text)
             if held >= CHUNK:
-                yield words, parts
-                words, parts, held = _Vocabulary(), defaultdict(list), 0
-    if held:
-        yield words, parts
+                yield parts
+                parts, held = defaultdict(list), 0
+    if parts:
+        yield parts
 
 
 def _hash_counts(docs: DataFrame, levels: list[int], bitmaps: list[np.ndarray]) -> DataFrame:
@@ -127,10 +167,9 @@ def _hash_counts(docs: DataFrame, levels: list[int], bitmaps: list[np.ndarray])
     known = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, parts in _chunks(batches, ["lang", "shard", "seed"]):
-            hashes = words.hashes()
-            for (lang, shard, seed), ids in parts.items():
-                for m, at, key in phrase_hits(np.concatenate(ids), hashes, seed, known.value, max(levels)):
+        for parts in _chunks(batches, ["lang", "shard", "seed"]):
+            for (lang, shard, seed), texts in parts.items():
+                for m, at, key in phrase_hits(word_hashes(b".".join(texts) + b"."), seed, known.value, max(levels)):
                     if m not in levels:
                         continue
                     found, n = np.unique(key[at], return_counts=True)
@@ -147,11 +186,12 @@ def _phrase_counts(docs: DataFrame, bitmaps: list[np.ndarray]) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, parts in _chunks(batches, ["lang", "seed"]):
-            hashes, spelt = words.hashes(), list(words.ids)
-            for (lang, seed), lists in parts.items():
-                ids = np.concatenate(lists)
-                for m, at, key in phrase_hits(ids, hashes, seed, known.value, len(known.value)):
+        for parts in _chunks(batches, ["lang", "seed"]):
+            for (lang, seed), joined in parts.items():
+                words = _Vocabulary()
+                ids = words.numbers(b".".join(joined))
+                hashes, spelt = words.hashes(), list(words.ids)
+                for m, at, key in phrase_hits(hashes[ids], seed, known.value, len(known.value)):
                     at = at[np.argsort(key[at], kind="stable")]
                     # Equal phrases follow each other; a run ends where the words differ, so that
                     # phrases of the same hash are never counted as one.
@@ -189,7 +229,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
     # Neighbouring ids share a shard: they often lie in one file, whose task then combines more.
     near = F.shiftright(F.coalesce(F.col("doc_id"), F.xxhash64("text")).cast("long"), NEAR)
-    dealt = F.pmod(F.xxhash64(near), F.lit(shards)).cast("int").alias("shard")
+    dealt = F.pmod(near, F.lit(shards)).cast("int").alias("shard")
     own = docs.select(lang, dealt, "text")
     sharded = own.withColumn("seed", F.xxhash64("lang", "shard"))
     limits, bitmaps, shared = None, [], []
