@@ -513,6 +513,12 @@ ORACLE["doctors_range"] = _DOCTORS_RANGE
 ORACLE["busiest_doctors"] = f"""
 select doctor_id, doctor_name, experience_years, total_appointments, total_revenue from ({_DOCTORS_RANGE})
 order by total_appointments desc, experience_years desc nulls last, doctor_id limit 10"""
+ORACLE["patient_visits_nested"] = """
+select patient_id, visit_date_only, cast((k - 1) // 2 as int) page, cast(count(*) as int) in_page,
+  string_agg(concat(visit_id, '@', clock), ', ' order by k) visits
+from (select *, row_number() over (partition by patient_id, visit_date_only order by visit_datetime desc, visit_id desc) k
+  from (select *, strftime(visit_datetime, '%Y-%m-%d') visit_date_only, strftime(visit_datetime, '%H:%M') clock from admitted_patient_visits))
+group by all"""
 ORACLE["beds_of_rooms"] = """
 select cast((room_id - 1) * 8 + n as bigint) bed_id, concat(room_number, '-B', n) bed_code, room_id, cast(n as int) bed_number, false is_occupied
 from rooms join room_types using (room_type_id),

@@ -149,6 +149,15 @@ def _seeded_slots(t: Tables) -> DataFrame:
     return slots.join(booked, "slot_id", "left").withColumn("appointments", F.coalesce("appointments", F.lit(0)))
 
 
+def _nested(t: Tables) -> DataFrame:
+    """Pages of at most two visits, their lists spelt out."""
+    spelt = F.transform("visits", lambda v: F.concat(v["visit_id"].cast("string"), F.lit("@"), v["visit_time_only"]))
+    return visits.patient_visits_nested(t, size=2).select(
+        "patient_id", "visit_date_only", "page", "in_page", F.array_join(spelt, ", ").alias("visits")
+    )
+
+
+DATASETS["patient_visits_nested"] = lambda t, s: _nested(t)
 DATASETS["beds_of_rooms"] = lambda t, s: expand_beds(t.rooms, t.room_types)
 DATASETS["seeded_slots_in_use"] = lambda t, s: _seeded_slots(t)
 DATASETS["busiest_doctors"] = lambda t, s: reports.busiest_doctors(t, *REPORT_RANGE)

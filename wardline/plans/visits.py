@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wardline import fixed_values as V
 from wardline.functions import as_moment, days_between, exact_sum, mean, same_text
 from wardline.functions.time import Moment, to_datetime
+from wardline.operators.children import PAGE_ROWS, pages
 from wardline.operators.people import bed_numbers, doctor_names, doctor_profiles, patient_names, specialization_names
 from wardline.operators.ranking import latest_value, latest_with_ties, referring, top, top_per
 from wardline.operators.spread import spread_join
@@ -182,6 +183,26 @@ def patient_visits_by_date(t: Tables, patient_id: int | None = None, admission_i
     )
 
 
+def patient_visits_nested(t: Tables, patient_id: int | None = None, size: int = PAGE_ROWS) -> DataFrame:
+    """The visits of each patient and date as lists, latest first, in pages of at most ``size`` visits.
+
+    Holds the groups of ``patient_visits_by_date`` with their rows nested; a group with more
+    visits than a page has several pages, numbered from 0.
+    """
+    visits = _keep(t.admitted_patient_visits, "patient_id", patient_id)
+    rows = visits.withColumns(
+        {
+            "visit_date_only": F.date_format("visit_datetime", V.ISO_DAY),
+            "visit_time_only": F.date_format("visit_datetime", V.TIME_MINUTE),
+            # ascending in both, so that the latest visit comes first
+            "__moment": -F.unix_micros(F.col("visit_datetime").cast("timestamp")),
+            "__id": -F.col("visit_id"),
+        }
+    )
+    shown = ["visit_id", "admission_id", "doctor_id", "visit_datetime", "visit_time_only", "condition_status", "ready_for_discharge"]
+    return pages(rows, ["patient_id", "visit_date_only"], ["__moment", "__id"], shown, size).withColumnRenamed("children", "visits")
+
+
 def patient_visits_summary(t: Tables, patient_id: int | None = None) -> DataFrame:
     """Visit counts, averages, first and last visit and number of doctors per patient.
 
