@@ -76,7 +76,7 @@ def book_slots(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep = stage
     own = first_reason(*before, (pair_held, V.BOOK_DUPLICATE), (~scheduled, V.BOOK_NOT_SCHEDULED), (slot_held, V.BOOK_TAKEN))
     checked = keep(checked.withColumn("own_reason", own))
 
-    matched = keep(match_first_come(checked.filter("own_reason is null"), keep=keep))
+    matched = match_first_come(checked.filter("own_reason is null"), keep=keep)
     slots = matched.select(*by_slot, F.col("turn").alias("slot_turn"))
     people = matched.select(*by_patient, F.col("turn").alias("patient_turn"))
 
