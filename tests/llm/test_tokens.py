@@ -12,9 +12,9 @@ import pytest
 from llm import brute
 from tokenizers import Tokenizer
 
-from wardline.llm import byte_cnn, packing, token_files, toxic_cnn
+from wardline.llm import byte_cnn, divergence, packing, token_files, toxic_cnn
 from wardline.llm.learning import Adam, best_cut, calibrated
-from wardline.llm.queries import QUERIES
+from wardline.llm.queries import QUERIES, vocabulary
 from wardline.llm.tokens import Encoder
 
 from llm.conftest import SMALL
@@ -204,6 +204,43 @@ def test_pipeline_matches_plain_steps(spark, docs, rows):
     assert sum(r.length for r in packed) == sum(tokens[r.doc_id] for r in mixed)
 
 
+def test_pipeline_keeps_the_columns_of_the_table(spark, docs):
+    """Columns named like those that operators add come out as they went in, and ``n_chars`` may be missing."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from llm.conftest import CLASHES
+
+    names = [c for c in CLASHES if c != "spans"]
+    frame = docs.drop("n_chars").select("*", *(F.concat(F.lit(f"{c}-"), "doc_id").alias(c) for c in names))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        frame = stage(spark, frame, SMALL)
+        assert frame.columns == [*docs.drop("n_chars").columns, *names]
+    got = frame.select("doc_id", *names).collect()
+    assert len(got) > 20
+    assert all(r[c] == f"{c}-{r.doc_id}" for r in got for c in names)
+
+
+def test_bytes_that_are_not_utf8(spark):
+    """They count as replacement characters, in every operator and stage."""
+    import corpus_pipeline
+
+    words = " ".join(f"w{i}" for i in range(30)).encode()
+    rows = [(1, b"\xff\xfe " + words), (2, words + b" \xc3"), (3, words)]
+    frame = spark.createDataFrame(rows, "doc_id long, raw binary").selectExpr(
+        "doc_id", "cast(raw as string) text", "'en' lang", "'a' source", "cast(1 as long) n_chars"
+    )
+    counts = {r.doc_id: r for r in divergence.judged(frame).collect()}
+    assert [counts[i].n_words for i in (1, 2, 3)] == [31, 31, 30]
+    assert [counts[i].word_chars - counts[3].word_chars for i in (1, 2)] == [2, 1]
+    ids = {r.doc_id: r.n_tokens for r in token_files.read_token_files(token_files.write_token_files(frame, vocabulary("word_bpe_49k.json"), 2)).collect()}
+    fixed = spark.createDataFrame([(i, raw.decode("utf-8", "replace")) for i, raw in rows], "doc_id long, text string")
+    assert ids == {r.doc_id: r.n_tokens for r in token_files.read_token_files(token_files.write_token_files(fixed, vocabulary("word_bpe_49k.json"), 2)).collect()}
+    for _, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, SMALL)
+    assert {r.doc_id for r in frame.collect()} <= {1, 2, 3}
+
+
 def test_pipeline_of_odd_tables(spark, odd, nothing):
     import corpus_pipeline
 

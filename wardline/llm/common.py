@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -38,10 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
     """A folder that the driver and all executors reach.
 
     The cluster names it in ``spark.checkpoint.dir``; where that is unset, the
-    warehouse, which they share as well, is used.
+    warehouse, which they share as well, is used. A warehouse in the driver's own files
+    is refused on a cluster, as executors would read less than was written.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/llm-staging"
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    if spark.conf.get("spark.checkpoint.dir", None) is None and re.match(r"file:|/", named) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named.rstrip("/") + "/llm-staging"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +58,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its columns of these names renamed, and what gives a result their names and order back."""
+    held = {c: f"__llm_own_{c}" for c in docs.columns if c in set(names)}
+
+    def back(result: DataFrame) -> DataFrame:
+        return result.select(*(F.col(held.get(c, c)).alias(c) for c in docs.columns))
+
+    return docs.withColumnsRenamed(held), back
+
+
 def text_hash(text: Column) -> Column:
     """Tells rows apart that share an id."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

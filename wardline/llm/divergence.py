@@ -109,7 +109,7 @@ class Base(NamedTuple):
 
 def base(text: bytes, words: list[bytes]) -> Base:
     lines = [line for line in text.split(b"\n") if line.split(None, 1)]
-    chars = len(b"".join(words).decode())
+    chars = len(b" ".join(words).decode("utf-8", "replace")) - max(len(words) - 1, 0)
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     return Base(len(words), chars, symbols, len(lines) - len(set(lines)), n_repeated(words))
 

@@ -58,8 +58,15 @@ def windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
     return docs.select("doc_id", "__llm_hash", "text").mapInArrow(run, schema)
 
 
+#: What :func:`without_repeated_windows` adds.
+COUNTS = ("n_lines", "n_removed", "n_words_left")
+
+
 def without_repeated_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """``docs`` with the cleaned ``text`` and ``n_lines``, ``n_removed``, ``n_words_left``."""
+    """``docs`` with the cleaned ``text`` and ``n_lines``, ``n_removed``, ``n_words_left``.
+
+    Columns of these names that the table has give way; ``common.set_aside`` keeps them.
+    """
     marked = docs.withColumn("__llm_hash", text_hash(F.col("text")))
     found = staged(windows(marked, lines), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__llm_hash", "at")
@@ -87,8 +94,8 @@ def remaining(text: bytes, starts: list[int], lines: int) -> tuple[bytes, int, i
 
 
 def _cut(joined: DataFrame, docs: DataFrame, lines: int) -> DataFrame:
-    counts = ("n_lines", "n_removed", "n_words_left")
-    columns = [c for c in docs.columns if c not in counts]  # counts of the table's own give way
+    counts = COUNTS
+    columns = [c for c in docs.columns if c not in counts]
     schema = joined.select(*columns, *(F.lit(0).cast("long").alias(c) for c in counts)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +108,7 @@ def _cut(joined: DataFrame, docs: DataFrame, lines: int) -> DataFrame:
                 left, n, gone = remaining(text, own or [], lines) if own else (text, len(_lines_with_words(text)[1]), 0)
                 texts.append(None if missing else left)
                 counted.append((n, gone, len(left.split())))
-            cleaned = pa.array(texts, type=pa.binary()).cast(part.column(at).type)
+            cleaned = pa.array(texts, type=pa.binary()).cast(part.column(at).type, safe=False)  # bytes that are not UTF-8 stay
             out = [cleaned if c == "text" else part.column(part.schema.get_field_index(c)) for c in columns]
             out += [pa.array([row[k] for row in counted], type=pa.int64()) for k in range(len(counts))]
             yield pa.RecordBatch.from_arrays(out, names=schema.fieldNames())

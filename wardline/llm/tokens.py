@@ -2,7 +2,7 @@
 
 The vocabularies are byte-pair encodings that never merge across the start of a run of
 white space. So a text's ids are those of its pieces in a row, and a piece's ids come
-from a dictionary. Encoding itself is always the tokenizers library's.
+from a dictionary. Bytes that are not UTF-8 count as replacement characters. Encoding itself is always the tokenizers library's.
 """
 
 from __future__ import annotations
@@ -37,13 +37,13 @@ class Encoder:
         self.known: dict = {}
 
     def _pieces(self, text: bytes) -> list:
-        return _PIECE.findall(text.decode()) if self.spaced else text.split()
+        return _PIECE.findall(text.decode("utf-8", "replace")) if self.spaced else text.split()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian integers."""
         pieces = [self._pieces(t) for t in texts]
         new = list(set().union(*pieces).difference(self.known))
-        strings = new if self.spaced else [p.decode() for p in new]
+        strings = new if self.spaced else [p.decode("utf-8", "replace") for p in new]
         found = {}
         for start in range(0, len(new), 4096):
             encoded = self.tokenizer.encode_batch_fast(strings[start : start + 4096], add_special_tokens=False)
