@@ -9,6 +9,7 @@ from conftest import DIMENSIONS, at, on
 from test_datasets import ROOMS, stay, visit
 
 from checks.queries import QUERIES
+from wardline.session import cluster_settings
 from wardline.jobs import booking
 from wardline.plans import billing, reports, visits, wards
 from wardline.sources import sinks
@@ -147,3 +148,8 @@ def test_a_hot_key_is_split_at_the_join(spark, no_broadcast, hospital):
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_partitions_follow_the_bytes():
+    numbers = [int(cluster_settings(size, 100)["spark.sql.shuffle.partitions"]) for size in (1 << 40, 10 << 40)]
+    assert numbers[1] == 10 * numbers[0] > 1000

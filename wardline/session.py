@@ -31,6 +31,8 @@ def cluster_settings(largest_table_bytes: int, cores: int) -> dict[str, str]:
     partitions = max(2 * cores, -(-largest_table_bytes // SHUFFLE_BYTES))
     return {
         **SETTINGS,
+        # also the number of ranges of a sort, which is not adapted at run time
+        "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(SHUFFLE_BYTES),
         "spark.sql.files.maxPartitionBytes": str(2 * SHUFFLE_BYTES),
@@ -69,10 +71,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``, else one in the warehouse.
 
-    Executors share either of them; a machine-local folder is never used.
+    Executors share either of them. A warehouse in the driver's own files is refused on a cluster.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return warehouse.rstrip("/") + "/checkpoints"
 
 
 def stage(df: DataFrame) -> DataFrame:
