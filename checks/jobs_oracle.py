@@ -692,6 +692,7 @@ JOB_ORACLE["quality_all"] = QUALITY_ALL
 JOB_ORACLE["stored_update"] = JOB_ORACLE["patch_follow_up"]
 
 # Kept-up totals equal the direct query on the tables they end with.
+JOB_ORACLE["patients_range_indexed"] = ORACLE["patients_range"]
 for _name in ("range_summary", "doctor_visits_summary", "doctor_discharge_stats"):
     JOB_ORACLE[f"{_name}_from_days"] = ORACLE[_name]
 JOB_ORACLE["doctor_patients_from_days"] = """

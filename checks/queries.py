@@ -246,12 +246,23 @@ def _kept_up(t: Tables, *names: str) -> Rollups:
     return rollups
 
 
+def _indexed(t: Tables) -> Rollups:
+    """All tables that the patient report reads, with the index of patients per month."""
+    spark, root = _folder(t)
+    versioned = Store(spark, root)
+    versioned.commit({name: t[name] for name in ("patients", "appointments", "admissions", "consultations", "discharges", "doctors")})
+    rollups = Rollups(versioned)
+    rollups.refresh("appointment_patients", "admission_patients")
+    return rollups
+
+
 STORED = {
     "range_summary_from_days": lambda t, s: rolled.range_summary(
         _kept_up(t, "new_patients", "appointments", "consultations", "admissions"), AS_OF
     ),
     "doctor_visits_summary_from_days": lambda t, s: rolled.doctor_visits_summary(_kept_up(t, "doctor_visits"), AS_OF),
     "doctor_discharge_stats_from_days": lambda t, s: rolled.doctor_discharge_stats(_kept_up(t, "doctor_discharges"), AS_OF, "year"),
+    "patients_range_indexed": lambda t, s: rolled.patients_range(_indexed(t), *REPORT_RANGE),
     "doctor_patients_from_days": lambda t, s: rolled.doctor_patients(_kept_up(t, "doctor_patients"), *REPORT_RANGE),
     "stored_append": _stored_append, "stored_update": _stored_update, "stored_commit": _stored_commit, "stored_json": _stored_json,
 }

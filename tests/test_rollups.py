@@ -83,7 +83,7 @@ def test_totals_follow_appends_updates_and_removals(spark, tmp_path):
     store.commit({"appointments": later})
     compare(store, rollups)  # the folder that is not totalled yet is read as it is
     assert {name: [f.month for f in found] for name, found in rollups.refresh().items() if found} == {
-        "appointments": ["2024-02"], "doctor_patients": ["2024-02"],
+        "appointments": ["2024-02"], "doctor_patients": ["2024-02"], "appointment_patients": ["2024-02"],
     }
     changed = table_frame(spark, "discharges", [{**r, "doctor_id": 20, "total_amount": 7} for r in rows["discharges"] if r["discharge_date"].month == 3][:9])
     gone = table_frame(spark, "admitted_patient_visits", rows["admitted_patient_visits"][::4])
@@ -127,3 +127,34 @@ def test_bitmaps_count_like_distinct(spark, tmp_path, name):
     want = sorted(tuple(r) for r in rows.groupBy(*rollup.keys).count().collect())
     assert sorted(tuple(r) for r in rollups.range(name, "2024-01-01", "2025-01-01").collect()) == want
     assert DIMENSIONS
+
+
+def test_patient_reports_read_the_months_of_touched_patients(spark, tmp_path):
+    """Every patient comes in two neighbouring months of a year, but for one who comes in all."""
+    rng = random.Random(3)
+    people = [{"patient_id": i, "first_name": "a", "last_name": "b", "age": 3, "created_at": at("2023-01-01")} for i in [*range(1, 61), BIG]]
+
+    def day(i: int) -> dt.date:
+        return dt.date(2023, 1 + (i % 6) * 2 + rng.randrange(2), 1 + rng.randrange(28))
+
+    booked = [{"appointment_id": 10 * i + k, "patient_id": i, "doctor_id": 10, "appointment_date": day(i), "status_id": 1 + k % 3} for i in range(1, 61) for k in range(3)]
+    booked += [{"appointment_id": 5000 + m, "patient_id": BIG, "doctor_id": 10, "appointment_date": dt.date(2023, m, 15), "status_id": 2} for m in range(1, 13) if m > 6]
+    stays = [{"admission_id": i, "patient_id": i, "admission_date": dt.datetime.combine(day(i), dt.time(5))} for i in range(1, 61)]
+    frames = {"patients": people, "appointments": booked, "admissions": stays, "doctors": DIMENSIONS["doctors"]}
+    store = Store(spark, str(tmp_path))
+    store.commit({name: table_frame(spark, name, rows) for name, rows in frames.items()})
+    rollups = Rollups(store)
+    rollups.refresh("appointment_patients", "admission_patients")
+    t = store.tables()
+    for first, last in (("2023-01-05", "2023-02-20"), ("2023-09-02", "2023-09-04"), ("2022-01-01", "2022-02-01")):
+        same(rolled.patients_range(rollups, first, last), reports.patients_range(t, first, last))
+        same(rolled.daily_patients(rollups, last), reports.daily_patients(t, last))
+
+    def months(df) -> set[str]:
+        return {f.split("month=")[1][:7] for f in df.inputFiles() if "/appointments/" in f}
+
+    assert months(rolled.patients_range(rollups, "2023-01-05", "2023-02-20")) == {"2023-01", "2023-02"}
+    assert len(months(reports.patients_range(t, "2023-01-05", "2023-02-20"))) == 12
+    # who came in all months from July on is read in all of these
+    assert months(rolled.patients_range(rollups, "2023-09-15", "2023-09-15")) >= {f"2023-{m:02d}" for m in range(7, 13)}
+    assert not months(rolled.patients_range(rollups, "2022-01-01", "2022-02-01"))

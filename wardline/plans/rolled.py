@@ -1,7 +1,7 @@
 """Datasets computed from stored daily totals instead of the facts.
 
-They equal ``reports.daily_summary``, ``reports.range_summary``, ``visits.doctor_visits_summary`` and
-``billing.doctor_discharge_stats`` on the same state, and read a row per day and key.
+They equal the datasets of the same names in ``reports``, ``visits`` and ``billing`` on the same state.
+Totals read a row per day and key; the patient reports use the index of patients per month.
 """
 
 from __future__ import annotations
@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from wardline import fixed_values as V
 from wardline.functions import as_day, money
 from wardline.functions.time import Moment, to_datetime
+from wardline.operators.activity import BY_DAY, BY_SECOND, Within, touched_patients
+from wardline.plans import reports
 from wardline.plans.billing import period_start
 from wardline.sources.rollups import Rollups
+from wardline.sources.tables import Tables
 
 _KINDS = ("new_patients", "appointments", "consultations", "admissions")
 
@@ -75,3 +78,26 @@ def doctor_discharge_stats(rollups: Rollups, as_of: Moment, period: str = "month
 def doctor_patients(rollups: Rollups, first: Moment, last: Moment) -> DataFrame:
     """Distinct patients with an appointment in the range, per doctor."""
     return rollups.range("doctor_patients", first, last).select("doctor_id", F.col("n").alias("patients"))
+
+
+def _of_touched(rollups: Rollups, first: Moment, last: Moment, within: Within) -> Tables:
+    """The tables of the newest state, with the appointments and admissions of those months only
+    in which a patient touched in the range has any. Rows of other patients do not matter to the reports."""
+    store = rollups.store
+    t = store.tables()
+    touched = touched_patients(t, first, last, within)
+    frames = {
+        table: store._rows(table, rollups.folders_with(index, touched))
+        for table, index in (("appointments", "appointment_patients"), ("admissions", "admission_patients"))
+    }
+    return t.replacing(**frames)
+
+
+def patients_range(rollups: Rollups, start_date: Moment, end_date: Moment) -> DataFrame:
+    """``reports.patients_range``, reading only the months that hold a touched patient."""
+    return reports.patients_range(_of_touched(rollups, start_date, end_date, BY_SECOND), start_date, end_date)
+
+
+def daily_patients(rollups: Rollups, date: Moment) -> DataFrame:
+    """``reports.daily_patients``, reading only the months that hold a touched patient."""
+    return reports.daily_patients(_of_touched(rollups, date, date, BY_DAY), date)

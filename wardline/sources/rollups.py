@@ -40,11 +40,20 @@ def _sum(name: str) -> Column:
     return F.sum(name).alias(name)
 
 
+def _page(column: str) -> Column:
+    return F.shiftright(F.col(column).cast("bigint"), PAGE_POWER).alias(PAGE)
+
+
+def _ids(column: str) -> Column:
+    return F.bitmap_construct_agg(F.pmod(F.col(column).cast("bigint"), F.lit(1 << PAGE_POWER))).alias("ids")
+
+
 @dataclass(frozen=True)
 class Rollup:
     """Totals of a fact per day and key; ``measures`` are aggregates whose sums are totals again.
 
-    With ``distinct`` the only total is the set of the ids of that column.
+    With ``distinct`` the only total is the set of the ids of that column. Without ``daily``
+    the totals are those of whole folders.
     """
 
     table: str
@@ -52,15 +61,15 @@ class Rollup:
     keys: tuple[str, ...] = ()
     measures: dict[str, Callable[[], Column]] = field(default_factory=dict)
     distinct: str | None = None
+    daily: bool = True
 
     def group(self) -> list[Column]:
-        page = [] if self.distinct is None else [F.shiftright(F.col(self.distinct).cast("bigint"), PAGE_POWER).alias(PAGE)]
-        return [*map(F.col, self.keys), *page]
+        return [*map(F.col, self.keys), *([] if self.distinct is None else [_page(self.distinct)])]
 
     def totals(self) -> list[Column]:
         if self.distinct is None:
             return [build().alias(name) for name, build in self.measures.items()]
-        return [F.bitmap_construct_agg(F.pmod(F.col(self.distinct).cast("bigint"), F.lit(1 << PAGE_POWER))).alias("ids")]
+        return [_ids(self.distinct)]
 
     def merged(self, rows: DataFrame) -> DataFrame:
         """Rows of any folders and days, one per key."""
@@ -116,6 +125,9 @@ ROLLUPS: dict[str, Rollup] = {
         },
     ),
     "doctor_patients": Rollup("appointments", "appointment_date", ("doctor_id",), distinct="patient_id"),
+    # Which patients a folder holds rows of: an index that prunes facts of all time.
+    "appointment_patients": Rollup("appointments", "appointment_date", distinct="patient_id", daily=False),
+    "admission_patients": Rollup("admissions", "admission_date", distinct="patient_id", daily=False),
     "patients_visited": Rollup("admitted_patient_visits", "visit_datetime", distinct="patient_id"),
 }
 
@@ -144,7 +156,7 @@ class Rollups:
         if rollup.distinct is not None:
             rows = rows.filter(F.col(rollup.distinct).isNotNull())
         month = F.col(MONTH) if TABLES[rollup.table].month_of is not None else F.lit(None).cast("string").alias(MONTH)
-        day = F.to_date(rollup.moment).alias(DAY)
+        day = (F.to_date(rollup.moment) if rollup.daily else F.lit(None).cast("date")).alias(DAY)
         return rows.groupBy("commit", month, day, *rollup.group()).agg(*rollup.totals())
 
     def refresh(self, *names: str) -> dict[str, list[Folder]]:
@@ -193,3 +205,16 @@ class Rollups:
         begun = self._of(name, wanted, start).filter(F.col(DAY) == F.lit(start.date()))
         later = self.days(name, start).filter(F.col(DAY) > F.lit(start.date()))
         return ROLLUPS[name].merged(begun.unionByName(later))
+
+    def folders_with(self, name: str, ids: DataFrame) -> list[Folder]:
+        """The folders that hold rows with one of the ids, a frame of one column.
+
+        Pages of both sides meet by an equality join, and a folder stays if the AND of two pages is not
+        empty. The result is at most one entry per folder.
+        """
+        asked = ids.where(F.col(ids.columns[0]).isNotNull()).groupBy(_page(ids.columns[0])).agg(_ids(ids.columns[0]))
+        held = self.days(name).groupBy("commit", MONTH, PAGE).agg(F.bitmap_or_agg("ids").alias("held"))
+        both = held.join(asked, PAGE).select("commit", MONTH, PAGE, F.explode(F.array("held", "ids")).alias("ids"))
+        shared = both.groupBy("commit", MONTH, PAGE).agg(F.bitmap_count(F.bitmap_and_agg("ids")).alias("n"))
+        hit = {(r["commit"], r[MONTH]) for r in shared.filter("n > 0").select("commit", MONTH).distinct().collect()}
+        return [f for f in self._folders(name) if (f.commit, f.month) in hit]
