@@ -262,7 +262,9 @@ STORED = {
     ),
     "doctor_visits_summary_from_days": lambda t, s: rolled.doctor_visits_summary(_kept_up(t, "doctor_visits"), AS_OF),
     "doctor_discharge_stats_from_days": lambda t, s: rolled.doctor_discharge_stats(_kept_up(t, "doctor_discharges"), AS_OF, "year"),
-    "patients_range_indexed": lambda t, s: rolled.patients_range(_indexed(t), *REPORT_RANGE),
+    "patients_range_indexed": lambda t, s: rolled.patients_range(_indexed(t), *REPORT_RANGE).withColumn(
+        "registration_date", F.col("registration_date").cast(t.patients.schema["created_at"].dataType)
+    ),
     "doctor_patients_from_days": lambda t, s: rolled.doctor_patients(_kept_up(t, "doctor_patients"), *REPORT_RANGE),
     "stored_append": _stored_append, "stored_update": _stored_update, "stored_commit": _stored_commit, "stored_json": _stored_json,
 }
