@@ -11,7 +11,7 @@ from test_datasets import ROOMS, stay, visit
 from checks.queries import QUERIES
 from wardline.jobs import booking
 from wardline.plans import billing, reports, visits, wards
-from wardline.session import cluster_settings
+from wardline.session import cluster_settings, stage
 from wardline.sources import sinks
 from wardline.sources.tables import Tables
 
@@ -104,11 +104,21 @@ def test_latest_moments_are_partial_before_the_shuffle(stored, no_broadcast):
     assert "Window" not in text
 
 
-def test_booking_cuts_a_hot_slot_before_its_rows_meet(stored, no_broadcast, requests):
+def test_booking_reduces_a_hot_slot_before_its_rows_meet(stored, no_broadcast, requests):
     asked = requests("patient_id bigint, doctor_id bigint, appointment_date date, slot_id bigint",
                      [(1000, 10, on("2024-03-04"), 1)])
-    text = plan(booking.book_slots(stored, asked, "2024-03-03").decisions)
-    assert re.search(r"Exchange hashpartitioning\(doctor_id[^\n]*\n[^\n]*WindowGroupLimit[^\n]*Partial", text), text
+    plans: list[str] = []
+
+    def keep(df):
+        plans.append(plan(df))
+        return stage(df)
+
+    booking.book_slots(stored, asked, "2024-03-03", keep=keep)
+    partial = r"Exchange hashpartitioning\(doctor_id[^\n]*\n[^\n]*partial_min"
+    # the first of equal requests, then the first of each slot and of each patient
+    assert re.search(partial, plans[1]), plans[1]
+    assert len(re.findall(partial, plans[2])) == 2, plans[2]
+    assert not any("Window" in text for text in plans)
 
 
 def test_limits_do_not_sort_the_table(stored, no_broadcast):
