@@ -134,6 +134,15 @@ def test_distant_blocks_are_skipped(spark):
     assert pairs == {(a, b) for a in range(64) for b in range(a, 64) if a // 8 == b // 8}
 
 
+def test_pairs_of_blocks_are_not_shuffled(spark):
+    """Blocks are dealt to parts before they meet; a pair of blocks goes straight to its comparison."""
+    rows = spark.range(6).selectExpr("id block", "array(id) reps", "array(1L) counts", "unhex('00') units")
+    pairs = spark.range(6).selectExpr("id a", "explode(sequence(id, 5L)) b")
+    plan = epsilon_grid._join_blocks(pairs, rows, np.eye(1), 0.95, 6)._jdf.queryExecution().sparkPlan().toString()
+    above, met, _ = plan.partition("CartesianProduct")
+    assert met and "Exchange" not in above and "Join" not in above
+
+
 def test_vectors_of_any_length(spark):
     frame = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0]), (3, [0.0, 0.0, 1e-30]), (3, [0.0, 0.0, 1e30])], "vec_id long, embedding array<double>")
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in epsilon_grid.embedding_links(frame).collect())

@@ -28,6 +28,8 @@ from wardline.llm.numbering import numbered
 
 #: Vectors in a block, and intervals that one interval of the level above holds.
 BLOCK, FANOUT = 2048, 4
+#: Blocks in a part; a task of the join holds one part and reads another.
+PART_BLOCKS = 16
 #: Principal axes in the sort key and in the bounding boxes.
 SORT_AXES, BOX_AXES = 6, 24
 
@@ -152,26 +154,41 @@ def near_blocks(boxes: DataFrame, n_blocks: int, eps: float) -> DataFrame:
     return pairs
 
 
-def _join_blocks(pairs: DataFrame, blocks: DataFrame, axes: np.ndarray, threshold: float) -> DataFrame:
+def _join_blocks(pairs: DataFrame, blocks: DataFrame, axes: np.ndarray, threshold: float, n_blocks: int) -> DataFrame:
     """``(rep, links, root)``: for every pair of blocks, what each vector links with in it.
 
     ``links`` counts vectors, and ``root`` connects the vectors that are linked within
     the pair, so the rows stay linear in the block size however many links there are.
+
+    The blocks are dealt to parts twice, and a task reads one part of each side. So what is
+    shuffled is two copies of the blocks, however many pairs there are.
     """
-    width = axes.shape[0]
-    pieces = [F.col(c) for c in ("reps", "counts", "units")]
-    left = blocks.select(F.col("block").alias("a"), *(c.alias(f"{n}_a") for c, n in zip(pieces, ("reps", "counts", "units"), strict=True)))
-    right = blocks.select(F.col("block").alias("b"), *(c.alias(f"{n}_b") for c, n in zip(pieces, ("reps", "counts", "units"), strict=True)))
-    spread = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    both = pairs.join(left, "a").join(right, "b").repartition(spread, "a", "b")
+    width, depth = axes.shape[0], min(BOX_AXES, axes.shape[1])
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-n_blocks // PART_BLOCKS), min(n_blocks, math.isqrt(4 * cores)), 1)
+    names = ("reps", "counts", "units")
+    near = pairs.groupBy("a").agg(F.collect_set("b").alias("near"))
+    left = blocks.select(F.col("block").alias("a"), *(F.col(n).alias(f"{n}_a") for n in names)).join(near, "a").repartition(parts)
+    right = blocks.select(F.col("block").alias("b"), *(F.col(n).alias(f"{n}_b") for n in names)).repartition(parts)
+    both = left.hint("shuffle_replicate_nl").join(right, F.array_contains("near", F.col("b"))).drop("near")
+
+    def ahead(x: np.ndarray) -> np.ndarray:
+        """The leading axes and the length of the rest: products of these are never below the cosine."""
+        turned = x @ axes[:, :depth]
+        rest = np.sqrt(np.maximum(1 - (turned * turned).sum(axis=1, keepdims=True), 0))
+        return np.concatenate([turned, rest], axis=1).astype(np.float32)
 
     def join(a: int, b: int, reps: list, counts: list, units: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, y = (np.frombuffer(u).reshape(-1, width) for u in units)
-        linked = (x @ y.T) >= threshold
+        possible = (ahead(x) @ ahead(y).T) >= threshold - 1e-4  # far above the error of single precision
+        if a == b:
+            np.fill_diagonal(possible, False)
+        rows, columns = np.flatnonzero(possible.any(axis=1)), np.flatnonzero(possible.any(axis=0))
+        linked = (x[rows] @ y[columns].T) >= threshold
         if a == b:
-            np.fill_diagonal(linked, False)
-        rows, columns = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
-        linked = linked[np.ix_(rows, columns)]
+            linked &= rows[:, None] != columns
+        some, others = linked.any(axis=1), linked.any(axis=0)
+        linked, rows, columns = linked[np.ix_(some, others)], rows[some], columns[others]
         ids_x, ids_y = reps[0][rows], reps[1][columns]
         weight_x = linked @ counts[1][columns].astype(np.float64)
         weight_y = counts[0][rows].astype(np.float64) @ linked
@@ -224,7 +241,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, block: int = BL
     blocks = staged(_blocks(sequence, axes), "blocks")
     n_blocks = -(-facts.n // block)
     pairs = near_blocks(blocks.select("block", "low", "high"), n_blocks, eps)
-    found = staged(_join_blocks(pairs, blocks, axes, threshold), "found")
+    found = staged(_join_blocks(pairs, blocks, axes, threshold, n_blocks), "found")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     classes = (
