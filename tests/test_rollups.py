@@ -129,6 +129,17 @@ def test_bitmaps_count_like_distinct(spark, tmp_path, name):
     assert DIMENSIONS
 
 
+def test_a_bitmap_is_no_larger_than_its_ids_need(spark, tmp_path):
+    """A doctor sees few patients a day; their totals are a few numbers, not a page of 4 KB."""
+    store = Store(spark, str(tmp_path))
+    store.commit({"appointments": table_frame(spark, "appointments", facts(5, 400)["appointments"])})
+    rollups = Rollups(store)
+    rollups.refresh("doctor_patients")
+    days = rollups.days("doctor_patients")
+    assert days.schema["ids"].dataType.simpleString() == "bigint"
+    assert 0 < days.count() <= 400
+
+
 def test_patient_reports_read_the_months_of_touched_patients(spark, tmp_path):
     """Every patient comes in two neighbouring months of a year, but for one who comes in all."""
     rng = random.Random(3)

@@ -7,7 +7,8 @@ commit only the folders it wrote are read: an append totals the new rows, an upd
 months it wrote again, and rows that left with their folder need no work at all.
 
 Counts and sums add up; distinct ids do not, so they are kept as exact bitmaps: one bit per
-id, in pages of 32,768 ids, which are merged by OR. The pages hold 64-bit ids of any size.
+id, in words of 64 ids, which are merged by OR. A word is one number, so a key that has few
+ids, like a doctor on a day, takes little room. The ids may be of any size.
 
 Totals are never stale: a folder that is not totalled yet is read as it is.
 """
@@ -31,8 +32,8 @@ from wardline.sources.model import MONTH, TABLES
 from wardline.sources.sinks import NO_MONTH
 
 DAY, PAGE = "day", "page"
-#: A page of a bitmap holds so many ids, as a power of two; that of Spark's bitmap functions.
-PAGE_POWER = 15
+#: A page of a bitmap holds so many ids, as a power of two: the bits of one number.
+PAGE_POWER = 6
 _LOG = "name string, part string, folders array<struct<table string, month string, commit string>>"
 
 
@@ -45,7 +46,13 @@ def _page(column: str) -> Column:
 
 
 def _ids(column: str) -> Column:
-    return F.bitmap_construct_agg(F.pmod(F.col(column).cast("bigint"), F.lit(1 << PAGE_POWER))).alias("ids")
+    bit = F.col(column).cast("bigint").bitwiseAND(F.lit((1 << PAGE_POWER) - 1)).cast("int")
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("ids")
+
+
+def _place(name: str) -> str:
+    """The name that totals are stored under; bitmaps of another layout, under the plain name, are not read."""
+    return name if ROLLUPS[name].distinct is None else f"{name}_words"
 
 
 @dataclass(frozen=True)
@@ -76,8 +83,8 @@ class Rollup:
         if self.distinct is None:
             aggregates = [_sum(name) for name in self.measures]
             return rows.groupBy(*self.keys).agg(*aggregates)
-        pages = rows.groupBy(*self.keys, PAGE).agg(F.bitmap_or_agg("ids").alias("ids"))
-        return pages.groupBy(*self.keys).agg(F.sum(F.bitmap_count("ids")).alias("n"))
+        pages = rows.groupBy(*self.keys, PAGE).agg(F.bit_or("ids").alias("ids"))
+        return pages.groupBy(*self.keys).agg(F.sum(F.bit_count("ids")).alias("n"))
 
 
 def _count() -> Column:
@@ -139,7 +146,7 @@ class Rollups:
         self.store, self.spark = store, store.spark
 
     def _covered(self, name: str) -> dict[Folder, str]:
-        log = self.store._log("rollup_log", _LOG).where(F.col("name") == name).orderBy("part").collect()  # one row per refresh
+        log = self.store._log("rollup_log", _LOG).where(F.col("name") == _place(name)).orderBy("part").collect()  # one row per refresh
         return {Folder(*folder): row.part for row in log for folder in row.folders}
 
     def _folders(self, name: str) -> list[Folder]:
@@ -168,8 +175,8 @@ class Rollups:
             done[name] = missing
             if missing:
                 part = f"p{uuid.uuid4().hex}"
-                self._of(name, missing).write.parquet(f"{self.store.root}/rollups/{name}/part={part}")
-                self.store._append("rollup_log", [(name, part, [tuple(f) for f in missing])], _LOG)
+                self._of(name, missing).write.parquet(f"{self.store.root}/rollups/{_place(name)}/part={part}")
+                self.store._append("rollup_log", [(_place(name), part, [tuple(f) for f in missing])], _LOG)
         return done
 
     def days(self, name: str, first: Moment | None = None, last: Moment | None = None) -> DataFrame:
@@ -183,7 +190,7 @@ class Rollups:
         rows = self._of(name, [f for f in wanted if f not in covered])
         stored = [f for f in wanted if f in covered]
         if stored:
-            base = f"{self.store.root}/rollups/{name}"
+            base = f"{self.store.root}/rollups/{_place(name)}"
             paths = [f"{base}/part={part}" for part in sorted({covered[f] for f in stored})]
             own = F.concat_ws("/", "commit", F.coalesce(MONTH, F.lit("")))
             asked = [f"{f.commit}/{f.month or ''}" for f in stored]
@@ -213,8 +220,7 @@ class Rollups:
         empty. The result is at most one entry per folder.
         """
         asked = ids.where(F.col(ids.columns[0]).isNotNull()).groupBy(_page(ids.columns[0])).agg(_ids(ids.columns[0]))
-        held = self.days(name).groupBy("commit", MONTH, PAGE).agg(F.bitmap_or_agg("ids").alias("held"))
-        both = held.join(asked, PAGE).select("commit", MONTH, PAGE, F.explode(F.array("held", "ids")).alias("ids"))
-        shared = both.groupBy("commit", MONTH, PAGE).agg(F.bitmap_count(F.bitmap_and_agg("ids")).alias("n"))
-        hit = {(r["commit"], r[MONTH]) for r in shared.filter("n > 0").select("commit", MONTH).distinct().collect()}
+        held = self.days(name).groupBy("commit", MONTH, PAGE).agg(F.bit_or("ids").alias("held"))
+        shared = held.join(asked, PAGE).filter(F.col("held").bitwiseAND(F.col("ids")) != 0)
+        hit = {(r["commit"], r[MONTH]) for r in shared.select("commit", MONTH).distinct().collect()}
         return [f for f in self._folders(name) if (f.commit, f.month) in hit]
