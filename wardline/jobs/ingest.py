@@ -122,7 +122,8 @@ def ingest(t: Tables, table: str, rows: DataFrame, as_of: Moment, keep: Keep = l
         match = F.lit(True)
         for column in spec.unique:
             match = match & F.col(column).eqNullSafe(F.col(f"held_{column}"))
-        checked = checked.join(held, match, "left").drop(*[f"held_{c}" for c in spec.unique])
+        # the keys of a table of any size, whose estimate may be far too low, are not broadcast
+        checked = checked.join(held.hint("merge"), match, "left").drop(*[f"held_{c}" for c in spec.unique])
     invalid = F.col("unreadable")
     for column in fields:
         for rule in value_rules(declared.by_name[column], F.col(column)):

@@ -100,7 +100,8 @@ def apply_patches(t: Tables, table: str, patches: DataFrame, as_of: Moment, keep
     """
     spec, key = PATCHES[table], TABLES[table].key
     asked = patches.select(ID, AT, key, "changes")
-    checked = with_known(asked, t[table], key, "row_known")
+    # The table may be any size and its estimate far too low, so it is not broadcast.
+    checked = with_known(asked, t[table].hint("merge"), key, "row_known")
     empty = ~F.arrays_overlap(
         F.coalesce(F.map_keys("changes"), F.array().cast("array<string>")), F.array(*map(F.lit, spec.fields))
     )

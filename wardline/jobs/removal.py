@@ -118,7 +118,7 @@ def remove_doctors(t: Tables, requests: DataFrame, as_of: Moment, keep: Keep = l
 
 def delete_schedules(t: Tables, requests: DataFrame) -> JobResult:
     """Delete schedule rows by id; a second request for a row finds nothing."""
-    checked = with_known(requests.select(ID, AT, "schedule_id"), t.doctor_schedules, "schedule_id", "row_known")
+    checked = with_known(requests.select(ID, AT, "schedule_id"), t.doctor_schedules.hint("merge"), "schedule_id", "row_known")
     first = winners(checked.filter("row_known"), ["schedule_id"])
     decisions = spread_join(checked, first, ["schedule_id"], "left", ID).select(
         ID,
