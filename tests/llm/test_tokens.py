@@ -163,6 +163,14 @@ def test_toxic_filters_stay_in_their_document():
     assert np.allclose(model.outputs(docs), [model.outputs([d])[0] for d in docs], atol=1e-4)
 
 
+def test_toxic_words_are_counted_over_all_rows(spark):
+    """More rows than a sample would hold."""
+    docs = [[1 + i % 7, 9, 9] for i in range(7000)]
+    y = np.array([i % 2 for i in range(7000)])
+    rows = spark.range(7000).selectExpr("cast(id % 2 as int) y", "array(cast(1 + id % 7 as int), 9, 9) slots")
+    assert np.allclose(toxic_cnn._counted_odds(rows, (3500, 3500)), toxic_cnn.log_odds(docs, y))
+
+
 def test_queries_are_registered():
     entry = importlib.import_module("__spark_entry__")
     assert {*QUERIES, "pipeline"} <= set(entry.queries())

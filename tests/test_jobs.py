@@ -344,3 +344,19 @@ def test_ingest_clinical_rows(hospital, requests):
     assert [r["reason"] for r in dicts(decided, "request_id")] == [None, V.INVALID_VALUE, V.INVALID_VALUE]
     logs = requests("user_id string, user_type string", [("1000", "patient")])
     assert ingest.ingest(t, "signin_logs", logs, AS_OF).appended["signin_logs"].first()["signin_datetime"] == at(AS_OF)
+
+
+def test_keys_of_a_table_are_not_broadcast(hospital, requests):
+    """Their estimate may be far too low, as that of the schedules, which are unfolded from few rows."""
+    stored = {
+        "consultation_actions": [{"action_id": 1, "consultation_id": 1, "action_type_id": 1, "status": "Open"}],
+        "doctor_schedules": [{"schedule_id": 1, "doctor_id": 10, "day_of_week": 2, "slot_id": 1, "is_active": True}],
+    }
+    t = hospital(**{**DIMENSIONS, **stored})
+    asked = requests("action_id bigint, changes map<string,string>", [(1, {"status": "Open"})])
+    patched = patches.apply_patches(t, "consultation_actions", asked, "2024-02-01").decisions
+    new = requests("doctor_id bigint, day_of_week int, slot_id int, is_active boolean", [(10, 1, 1, True)])
+    added = ingest.ingest(t, "doctor_schedules", new, "2024-02-01").decisions
+    for frame, key in ((patched, "action_id"), (added, "coalesce(doctor_id")):
+        plan = frame._jdf.queryExecution().sparkPlan().toString()
+        assert f"SortMergeJoin [{key}" in plan and f"BroadcastHashJoin [{key}" not in plan

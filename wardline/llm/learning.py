@@ -45,6 +45,13 @@ def labelled_sample(
     return frame.sort_values("doc_id", ignore_index=True)
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
+    """All labelled rows outside the held-out fold: ``doc_id, y, lang, text``."""
+    known = labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.where(fold(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
+    return docs.select("doc_id", "lang", "text").where(fold(F.col("doc_id"), folds) != held_out).join(known, "doc_id")
+
+
 class Adam:
     def __init__(self, values: list[np.ndarray], rate: float) -> None:
         self.values, self.rate, self.steps = values, rate, 0
@@ -86,6 +93,18 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[best] + z[best + 1]) / 2) if best + 1 < len(z) else float(z[best])
 
 
+def best_cut_of_counts(z: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> float:
+    """``best_cut`` of rows that are counted per distinct output."""
+    if not ones.sum() or not zeros.sum():
+        return 0.0
+    order = np.argsort(-z, kind="stable")
+    z = z[order]
+    index = np.cumsum(ones[order]) / ones.sum() - np.cumsum(zeros[order]) / zeros.sum()
+    top = np.flatnonzero(index == index.max())
+    best = int(top[len(top) // 2])
+    return float((z[best] + z[best + 1]) / 2) if best + 1 < len(z) else float(z[best])
+
+
 def calibrated(z: np.ndarray, y: np.ndarray) -> Calibration:
     middle = best_cut(z, y)
     spread = float(np.abs(z - middle).mean()) if len(z) else 1.0

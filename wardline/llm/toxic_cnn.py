@@ -5,6 +5,10 @@ over the whole text, each keeps its largest answer (max pooling), and a linear l
 makes one number of them. The first embedding column starts at the log odds of a word's
 hash in toxic documents, the others at random; all layers are trained.
 
+All labelled rows train. Spark counts the words; then, in every round, each task descends
+over its part of the rows from the same model, and the next model is the mean of theirs. The
+driver holds models and counts, whose size does not depend on the number of rows.
+
 The cut is set on rows kept apart from training: one cut for the score, which knows no
 language, and a threshold per language, reported beside the score.
 
@@ -24,14 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import slices, utf8
-from wardline.llm.learning import CUT, Adam, Calibration, best_cut, calibrated, fold, labelled_sample, sigmoid
+from wardline.llm.common import slices, staged, utf8
+from wardline.llm.learning import CUT, Adam, Calibration, best_cut_of_counts, fold, labelled_rows, sigmoid
 
 SLOTS, WIDTH, FILTERS, SPANS = 1 << 20, 4, 6, (1, 2, 3)
 EPOCHS, BATCH, RATE = 6, 64, 0.02
 FOLDS, HELD_OUT = 4, 2
 #: Toxic and other validation rows that a language needs for a threshold of its own.
 LEAST_OF_EACH = 10
+#: Rows that a task trains on, about, at least.
+PART_ROWS = 500
+#: Outputs are counted in steps of this part of 1 to set the cuts.
+STEPS = 256
 #: Lower-case letters stay, ASCII punctuation and digits' separators become spaces.
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else 32 if c < 128 and not (48 <= c <= 57 or 97 <= c <= 122) else c for c in range(256)
@@ -84,22 +92,35 @@ def log_odds(docs: list[list[int]], y: np.ndarray) -> np.ndarray:
     return np.where(found[0] + found[1] > 0, odds, 0.0)
 
 
-def train(docs: list[list[int]], y: np.ndarray, seed: int = 7) -> Model:
+def started(odds: np.ndarray, seed: int = 7) -> Model:
+    """The model before training."""
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.05, (SLOTS, WIDTH)).astype(np.float32)
-    table[:, 0] = log_odds(docs, y)
+    table[:, 0] = odds
     table[0] = 0
     filters = [rng.normal(0, 0.2, (s, WIDTH, FILTERS)).astype(np.float32) for s in SPANS]
     for f in filters:
         f[:, 0] = np.abs(f[:, 0])
     n_pooled = FILTERS * len(SPANS)
-    model = Model(table, filters, [np.zeros(FILTERS, np.float32) for _ in SPANS], np.full(n_pooled, 0.1, np.float32), np.full(1, -1.0, np.float32))
-    small = [*model.filters, *model.biases, model.weights, model.bias]
-    adam = Adam(small, RATE)
-    share = np.clip(y.mean(), 0.02, 0.98)
+    return Model(table, filters, [np.zeros(FILTERS, np.float32) for _ in SPANS], np.full(n_pooled, 0.1, np.float32), np.full(1, -1.0, np.float32))
+
+
+def small_parts(model: Model) -> list[np.ndarray]:
+    return [*model.filters, *model.biases, model.weights, model.bias]
+
+
+def weights_of(y: np.ndarray, share: float) -> np.ndarray:
+    share = np.clip(share, 0.02, 0.98)
+    return np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+
+
+def train(docs: list[list[int]], y: np.ndarray, seed: int = 7) -> Model:
+    """A model of rows at hand."""
+    model = started(log_odds(docs, y), seed)
+    adam, rng = Adam(small_parts(model), RATE), np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for at in np.array_split(rng.permutation(len(docs)), -(-len(docs) // BATCH)):
-            _descend(model, [docs[i] for i in at], y[at], np.where(y[at] == 1, 0.5 / share, 0.5 / (1 - share)), adam)
+            _descend(model, [docs[i] for i in at], y[at], weights_of(y[at], y.mean()), adam)
     return model
 
 
@@ -139,30 +160,126 @@ class Classifier(NamedTuple):
         return self.calibration(self.model.outputs([word_slots(t) for t in texts]))
 
 
-def fit(sample: pd.DataFrame) -> Classifier:
-    """Four fifths of the rows train, one fifth sets the cuts."""
-    y = sample["y"].to_numpy(dtype=np.float64)
-    if len(y) < 20 or y.min() == y.max():
-        return Classifier(None, Calibration(1.0, 0.0), {}, float(y.mean()) if len(y) else 0.0)
-    docs = [word_slots(t) for t in sample["data"]]
-    apart = np.arange(len(y)) % 5 == 0
-    if y[apart].min() == y[apart].max() or y[~apart].min() == y[~apart].max():
-        apart[:] = True
-    kept = [docs[i] for i in np.flatnonzero(~apart if not apart.all() else apart)]
-    model = train(kept, y[~apart] if not apart.all() else y)
-    z = np.concatenate([model.outputs(docs[i : i + 256]) for i in range(0, len(docs), 256)])
-    calibration = calibrated(z[apart], y[apart])
-    langs, thresholds = sample["lang"].to_numpy(dtype=object), {}
-    for lang in set(langs):
-        own = apart & (langs == lang)
-        if min((y[own] == label).sum() for label in (0, 1)) >= LEAST_OF_EACH:
-            thresholds[lang] = float(calibration(np.array([best_cut(z[own], y[own])]))[0])
-    return Classifier(model, calibration, thresholds, float(y.mean()))
+def _labelled_words(rows: DataFrame) -> DataFrame:
+    """``doc_id, y, lang, slots, apart``, a row per id; a fifth of the ids is kept apart from training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            words = pa.array([word_slots(t) for t in utf8(part)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), words], names=["doc_id", "y", "lang", "slots"])
+
+    given = rows.select("doc_id", "y", "lang", "text")
+    schema = given.select("doc_id", "y", "lang", F.lit(None).cast("array<int>").alias("slots")).schema
+    found = given.mapInArrow(run, schema).groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct("slots", "lang")).alias("row"))
+    apart = (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("apart")
+    return found.select("doc_id", "y", "row.lang", "row.slots", apart)
+
+
+def _counted_odds(rows: DataFrame, sizes: tuple[int, int]) -> np.ndarray:
+    """``log_odds`` from counts over all rows; at most one row per slot comes to the driver."""
+    counts = (
+        rows.select("y", F.explode(F.array_distinct("slots")).alias("slot"))
+        .groupBy("slot")
+        .agg(F.sum(F.col("y").cast("long")).alias("ones"), F.count(F.lit(1)).alias("n"))
+        .toArrow()
+    )
+    slot, ones, n = (counts.column(c).to_numpy().astype(np.int64) for c in ("slot", "ones", "n"))
+    zeros, odds = n - ones, np.zeros(SLOTS)
+    odds[slot] = np.log((ones + 0.5) / (max(sizes[1], 1) + 1)) - np.log((zeros + 0.5) / (max(sizes[0], 1) + 1))
+    return odds
+
+
+def _round(rows: DataFrame, model: Model, share: float, turn: int) -> Model:
+    """One pass over all rows: the mean of the models to which the tasks descend from ``model``.
+
+    A slot's row is the mean over the tasks that changed it. Tasks return rows of ``WIDTH``
+    numbers: slots that changed, and at negative places what is not the table.
+    """
+    start = rows.sparkSession.sparkContext.broadcast(model)
+    names = [f"v{k}" for k in range(WIDTH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*(v.copy() if isinstance(v, np.ndarray) else [x.copy() for x in v] for v in start.value))
+        adam, n = Adam(small_parts(own), RATE), 0
+        rng = np.random.default_rng(turn)
+        for part in slices(batches, 16 * BATCH):
+            y, docs = part.column(0).to_numpy(zero_copy_only=False).astype(np.float64), part.column(1).to_pylist()
+            for at in np.array_split(rng.permutation(len(y)), -(-len(y) // BATCH)):
+                _descend(own, [docs[i] for i in at], y[at], weights_of(y[at], share), adam)
+            n += len(y)
+        if not n:
+            return
+        slots = np.flatnonzero((own.table != start.value.table).any(axis=1))
+        small = np.concatenate([v.ravel() for v in small_parts(own)])
+        small = np.pad(small, (0, -len(small) % WIDTH)).reshape(-1, WIDTH)
+        place = np.concatenate([slots, -1 - np.arange(len(small))])
+        values = np.concatenate([own.table[slots], small]).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.full(len(place), n)), *map(pa.array, values.T.copy())], names=["place", "n", *names])
+
+    unit = F.lit(1 << 24)  # whole numbers, whose sum does not depend on the order of the tasks
+    parts = rows.select("y", "slots").mapInArrow(run, "place long, n long, " + ", ".join(f"{v} double" for v in names))
+    means = parts.groupBy("place").agg(*((F.sum(F.round(F.col(v) * unit).cast("long") * F.col("n")) / F.sum("n") / unit).alias(v) for v in names)).toArrow()
+    start.destroy()
+    place = means.column("place").to_numpy()
+    values = np.stack([means.column(v).to_numpy() for v in names], axis=1).astype(np.float32)
+    table = model.table.copy()
+    table[place[place >= 0]] = values[place >= 0]
+    small, at, parts_of = values[place < 0][np.argsort(-place[place < 0])].ravel(), 0, []
+    for v in small_parts(model):
+        parts_of.append(small[at : at + v.size].reshape(v.shape).copy())
+        at += v.size
+    k = len(SPANS)
+    return Model(table, parts_of[:k], parts_of[k : 2 * k], parts_of[2 * k], parts_of[2 * k + 1])
+
+
+def _cuts(rows: DataFrame, model: Model) -> tuple[Calibration, dict[str | None, float]]:
+    """The calibration and the thresholds of languages, from counts of all rows per step of the output."""
+    known = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            z = np.clip(known.value.outputs(part.column(2).to_pylist()), -60, 60).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.round(z * STEPS) / STEPS)], names=["lang", "y", "z"])
+
+    def cut(own: pd.DataFrame) -> pd.DataFrame:
+        enough = min(own["ones"].sum(), own["zeros"].sum()) >= LEAST_OF_EACH
+        at = best_cut_of_counts(*(own[c].to_numpy() for c in ("z", "ones", "zeros"))) if enough else None
+        return pd.DataFrame({"lang": [own["lang"].iloc[0]], "cut": [at]})
+
+    z = rows.select("lang", "y", "slots").mapInArrow(run, "lang string, y int, z double")
+    counts = staged(z.groupBy("lang", "z").agg(F.count_if(F.col("y") == 1).alias("ones"), F.count_if(F.col("y") == 0).alias("zeros")), "outputs")
+    every = counts.groupBy("z").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).toArrow()  # 120 * STEPS rows at most
+    z, ones, zeros = (every.column(c).to_numpy() for c in ("z", "ones", "zeros"))
+    middle = best_cut_of_counts(z, ones, zeros)
+    spread = float((np.abs(z - middle) * (ones + zeros)).sum() / max((ones + zeros).sum(), 1))
+    calibration = Calibration(2.0 / max(spread, 1e-3), middle)
+    found = counts.groupBy("lang").applyInPandas(cut, "lang string, cut double").where("cut is not null").collect()  # one row per language
+    return calibration, {r.lang: float(calibration(np.array([r.cut]))[0]) for r in found}
+
+
+def fit(labelled: DataFrame) -> Classifier:
+    """Four fifths of the rows (``doc_id, y, lang, text``) train, one fifth sets the cuts."""
+    rows = staged(_labelled_words(labelled), "labelled-words")
+    found = {r.apart: (r.n - r.ones, r.ones) for r in rows.groupBy("apart").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones")).collect()}
+    zeros, ones = (sum(v[i] for v in found.values()) for i in (0, 1))
+    if zeros + ones < 20 or not zeros or not ones:
+        return Classifier(None, Calibration(1.0, 0.0), {}, ones / (zeros + ones) if zeros + ones else 0.0)
+    split = len(found) == 2 and all(min(v) > 0 for v in found.values())
+    kept, apart = (rows.where("not apart"), rows.where("apart")) if split else (rows, rows)
+    sizes = found[False] if split else (zeros, ones)
+    parts = -(-sum(sizes) // PART_ROWS)
+    mixed = kept.select("y", "slots", F.xxhash64("doc_id", F.lit("toxic")).alias("mixed"), "doc_id").repartition(parts, "doc_id")
+    kept = staged(mixed.sortWithinPartitions("mixed", "doc_id").select("y", "slots"), "training-words")
+    model = started(_counted_odds(kept, sizes))
+    for turn in range(EPOCHS):
+        model = _round(kept, model, sizes[1] / sum(sizes), turn)
+    calibration, thresholds = _cuts(apart, model)
+    return Classifier(model, calibration, thresholds, ones / (zeros + ones))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted, lang_threshold, flagged`` for every document."""
-    classifier = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT)))
+    classifier = docs.sparkSession.sparkContext.broadcast(fit(labelled_rows(docs, labels, "toxic", FOLDS, HELD_OUT)))
     schema = docs.select(
         "doc_id", F.lit(True).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"),
         F.lit(0.0).alias("lang_threshold"), F.lit(True).alias("flagged"),
