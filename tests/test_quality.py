@@ -132,3 +132,21 @@ def test_audit_reads_each_table_at_most_twice(spark, hospital, tmp_path):
     reads = [line for plan in plans for line in plan.splitlines() if "Relation [" in line]
     assert len(plans) == 2 and len(reads) == 2 * len(TABLES)
     assert not any("Window" in plan or "collect_" in plan for plan in plans)
+
+
+def test_second_read_looks_only_for_constraints_with_a_suspicious_key(hospital):
+    """Doctor 99 is unknown, all other keys and references are clean."""
+    rows = {**DIMENSIONS, "doctor_schedules": [
+        {"schedule_id": i, "doctor_id": d, "day_of_week": 1, "slot_id": 1} for i, d in ((1, 10), (2, 20), (3, 99))
+    ]}
+    plans = []
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().analyzed().toString())
+        return stage(df)
+
+    t = hospital(**rows)
+    got = {tuple(r) for r in quality.audit(t, "doctor_schedules", keep=keep).collect()}
+    assert got == {tuple(r) for r in quality.violations(t, "doctor_schedules").collect()}
+    assert ("doctor_schedules", "reference:doctor_id", "3", "99") in got
+    assert "reference:doctor_id" in plans[1] and "unique:schedule_id" not in plans[1] and "reference:slot_id" not in plans[1]

@@ -27,3 +27,12 @@ def test_beds_and_requests_reach_all_rooms(spark):
     stays = {r["bed_id"] for r in sample.admissions().select("bed_id").distinct().collect()}
     assert beds == set(range(1, len(beds) + 1)) and stays <= beds
     assert sample.rooms().count() * 81 == len(beds) * 11
+
+
+def test_schedules_of_one_small_file_are_made_by_all_tasks(spark, tmp_path):
+    spark.range(500).selectExpr("id s_suppkey", "concat('S#', id) s_name", "cast(id % 25 as int) s_nationkey", "0.5D s_acctbal").coalesce(
+        1
+    ).write.parquet(f"{tmp_path}/supplier.parquet")
+    made = Sample(spark, str(tmp_path)).doctor_schedules().groupBy(F.spark_partition_id()).count().collect()
+    assert len(made) == 4 and sum(r["count"] for r in made) == 500 * 7 * 16
+    assert max(r["count"] for r in made) < 2 * min(r["count"] for r in made)

@@ -157,37 +157,44 @@ def summary(found: DataFrame) -> DataFrame:
 FEW = 100_000
 
 
-def _signals(t: Tables, table: str, names: Iterable[str]) -> list[Column]:
-    """What a row tells about keys: ``(table, rule, sig, parent)`` of unique keys and references.
+def _constraints(t: Tables, names: Iterable[str]) -> dict[tuple[str, str], int]:
+    """A number for each (table, rule) of unique keys and references, which travels in place of the names."""
+    found = []
+    for name in names:
+        declared, present = TABLES[name], set(t.source(name).columns)
+        found += [(name, f"unique:{','.join(c)}") for c in ((declared.key,), *declared.unique) if present.issuperset(c)]
+        found += [(name, f"reference:{r.column}") for r in declared.references if r.column in present and r.table in t]
+    return {c: i for i, c in enumerate(dict.fromkeys(found))}
+
 
-    ``table`` and ``rule`` name the constraint. The signal of a unique key is a hash of its values,
+def _signals(t: Tables, table: str, numbers: dict[tuple[str, str], int]) -> list[Column]:
+    """What a row tells about keys: ``(what, sig, parent)`` of unique keys and references.
+
+    ``what`` numbers the constraint. The signal of a unique key is a hash of its values,
     that of a reference the value itself; the parent's rows send the same signals.
     """
-    names, declared, present = set(names), TABLES[table], set(t.source(table).columns)
+    declared = TABLES[table]
 
     def signal(owner: str, rule: str, sig: Column, parent: bool, given: Column | None = None) -> Column:
-        row = F.struct(F.lit(owner).alias("table"), F.lit(rule).alias("rule"), sig.cast("bigint").alias("sig"), F.lit(parent).alias("parent"))
+        row = F.struct(F.lit(numbers[owner, rule]).alias("what"), sig.cast("bigint").alias("sig"), F.lit(parent).alias("parent"))
         return row if given is None else F.when(given, row)
 
     found = [
         signal(table, f"unique:{','.join(columns)}", F.xxhash64(*_spelt(columns)), False)
         for columns in ((declared.key,), *declared.unique)
-        if present.issuperset(columns) and table in names
+        if (table, f"unique:{','.join(columns)}") in numbers
     ]
-    if table in names:
+    found += [
+        signal(table, f"reference:{r.column}", F.col(r.column), False, F.col(r.column).isNotNull())
+        for r in declared.references
+        if (table, f"reference:{r.column}") in numbers
+    ]
+    for child in TABLES.values():
         found += [
-            signal(table, f"reference:{r.column}", F.col(r.column), False, F.col(r.column).isNotNull())
-            for r in declared.references
-            if r.column in present and r.table in t
+            signal(child.name, f"reference:{r.column}", F.col(declared.key), True, F.col(declared.key).isNotNull())
+            for r in child.references
+            if r.table == table and (child.name, f"reference:{r.column}") in numbers
         ]
-    for child in TABLES.values():
-        if child.name in names and child.name in t:
-            held = set(t.source(child.name).columns)
-            found += [
-                signal(child.name, f"reference:{r.column}", F.col(declared.key), True, F.col(declared.key).isNotNull())
-                for r in child.references
-                if r.table == table and r.column in held
-            ]
     return found
 
 
@@ -201,24 +208,26 @@ def audit(t: Tables, *names: str, keep: Callable[[DataFrame], DataFrame] = stage
 
     First every row sends its keys and references, as numbers, and one aggregate counts them:
     most keys occur once and most references meet their parent, so few are suspicious. The
-    second read evaluates the row rules and looks only at rows with a suspicious key; there the
-    values themselves are compared. Counts are partial before the shuffle, so a key that a large
+    second read evaluates the row rules, and of constraints those with a suspicious key; rows with
+    such a key have their values themselves compared. Counts are partial before the shuffle, so a key that a large
     share of the rows repeats is one row per task.
     """
     asked = list(names or [n for n in TABLES if n in t])
     parents = {r.table for n in asked for r in TABLES[n].references}
+    numbers = _constraints(t, asked)
     first = [
         t[n].select(F.explode(F.array_compact(F.array(*signals))).alias("s")).select("s.*")
         for n in TABLES
-        if n in t and (n in asked or n in parents) and (signals := _signals(t, n, asked))
+        if n in t and (n in asked or n in parents) and (signals := _signals(t, n, numbers))
     ]
-    counted = reduce(DataFrame.unionAll, first).groupBy("table", "rule", "sig").agg(
+    counted = reduce(DataFrame.unionAll, first).groupBy("what", "sig").agg(
         F.count_if(~F.col("parent")).alias("rows"), F.bool_or("parent").alias("met")
     )
-    reference = F.col("rule").startswith("reference:")
+    reference = F.col("what").isin([i for (_, rule), i in numbers.items() if rule.startswith("reference:")])
     bad = counted.filter((reference & ~F.col("met") & (F.col("rows") > 0)) | (~reference & (F.col("rows") > 1)))
-    suspicious = keep(bad.select("table", "rule", "sig")).withColumn("seen", F.lit(True))
-    if suspicious.limit(FEW + 1).count() <= FEW:
+    suspicious = keep(bad.select("what", "sig")).withColumn("seen", F.lit(True))
+    broken = {r.what: r.n for r in suspicious.groupBy("what").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per constraint
+    if sum(broken.values()) <= FEW:
         suspicious = F.broadcast(suspicious)
 
     second = []
@@ -226,29 +235,32 @@ def audit(t: Tables, *names: str, keep: Callable[[DataFrame], DataFrame] = stage
         declared, present = TABLES[name], set(t.source(name).columns)
         key = F.col(declared.key)
 
-        def hit(rule: str, detail: Column, sig: Column, values: Column, key: Column = key) -> Column:
-            parts = (F.lit(rule).alias("rule"), key.cast("bigint").alias("key"), detail.alias("detail"), sig.alias("sig"), values.alias("values"))
+        def hit(rule: str, detail: Column, sig: Column, values: Column, name: str = name, key: Column = key) -> Column:
+            parts = (
+                F.lit(rule).alias("rule"), key.cast("bigint").alias("key"), detail.alias("detail"),
+                F.lit(numbers.get((name, rule))).cast("int").alias("what"), sig.alias("sig"), values.alias("values"),
+            )
             return F.struct(*parts)
 
-        nothing, no_text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+        nothing, no_text, no_values = (F.lit(None).cast(kind) for kind in ("bigint", "string", "array<string>"))
         hits = [
-            F.when(r.broken, hit(f"{r.name}:{r.column}", F.coalesce(F.col(r.column).cast("string"), F.lit("null")), nothing, no_text))
+            F.when(r.broken, hit(f"{r.name}:{r.column}", F.coalesce(F.col(r.column).cast("string"), F.lit("null")), nothing, no_values))
             for r in row_rules(name, present)
         ]
         for columns in ((declared.key,), *declared.unique):
-            if present.issuperset(columns):
+            if numbers.get((name, f"unique:{','.join(columns)}")) in broken:
                 spelt = _spelt(columns)
-                hits.append(hit(f"unique:{','.join(columns)}", no_text, F.xxhash64(*spelt), F.to_json(F.array(*spelt))))
+                hits.append(hit(f"unique:{','.join(columns)}", no_text, F.xxhash64(*spelt), F.array(*spelt)))
         for r in declared.references:
-            if r.column in present and r.table in t:
+            if numbers.get((name, f"reference:{r.column}")) in broken:
                 value = F.col(r.column)
-                hits.append(F.when(value.isNotNull(), hit(f"reference:{r.column}", value.cast("string"), value.cast("bigint"), no_text)))
+                hits.append(F.when(value.isNotNull(), hit(f"reference:{r.column}", value.cast("string"), value.cast("bigint"), no_values)))
         rows = t[name].select(F.explode(F.array_compact(F.array(*hits))).alias("hit")).select(F.lit(name).alias("table"), "hit.*")
         second.append(rows)
     rows = reduce(DataFrame.unionAll, second)
     # A row rule has no signal and stays; a key or a reference stays if it is suspicious.
-    marked = rows.join(suspicious, ["table", "rule", "sig"], "left")
-    found = keep(marked.filter("sig is null or seen").select("table", "rule", "key", "detail", "values"))
+    marked = rows.join(suspicious, ["what", "sig"], "left")
+    found = keep(marked.filter("sig is null or seen").select("table", "rule", "key", "detail", F.to_json("values").alias("values")))
     unique = F.col("rule").startswith("unique:")
     repeated = (
         found.filter(unique)

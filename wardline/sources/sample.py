@@ -60,6 +60,13 @@ class Sample:
         """Ward blocks: one per ten doctors, each with eleven rooms and 81 beds."""
         return F.ceil(self._rows("supplier") / 10).cast("bigint")
 
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        """A small file over all tasks, for what makes many rows of each of its rows.
+
+        The file is one split; the number of tasks is given, so that it is not adapted to the few bytes.
+        """
+        return rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
     def _events(self, **scales: Column) -> DataFrame:
         """The events with numbers that follow from the table sizes."""
         return self._raw("events").withColumns(scales)
@@ -133,7 +140,7 @@ class Sample:
 
     def doctor_schedules(self) -> DataFrame:
         weekly = (
-            self._raw("supplier")
+            self._spread(self._raw("supplier").select("s_suppkey"))
             .selectExpr("s_suppkey", "explode(sequence(0, 6)) day")
             .selectExpr("s_suppkey", "day", "explode(sequence(0, 23)) slot")
             .filter("(s_suppkey + day + slot) % 3 <> 0")
