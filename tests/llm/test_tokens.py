@@ -12,8 +12,8 @@ import pytest
 from llm import brute
 from tokenizers import Tokenizer
 
-from wardline.llm import byte_cnn, divergence, packing, token_files, toxic_cnn
-from wardline.llm.learning import Adam, best_cut, calibrated
+from wardline.llm import byte_cnn, divergence, learning, packing, token_files, toxic_cnn
+from wardline.llm.learning import Adam, best_cut, calibrated, maybe_among
 from wardline.llm.queries import QUERIES, vocabulary
 from wardline.llm.tokens import Encoder
 
@@ -171,6 +171,21 @@ def test_toxic_words_are_counted_over_all_rows(spark):
     assert np.allclose(toxic_cnn._counted_odds(rows, (3500, 3500)), toxic_cnn.log_odds(docs, y))
 
 
+def test_words_of_labelled_texts_meet_the_labels_not_texts(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("id doc_id", "'en' lang", "concat('word', id, ' and more') text")
+    known = spark.range(3, 8000, 40).selectExpr("id doc_id", "cast(id % 2 as int) y")
+    want = {r.doc_id for r in known.collect()} & set(range(4000))
+    near = {r.doc_id for r in maybe_among(docs, known).collect()}
+    assert want <= near and len(near) < len(want) + 10
+    monkeypatch.setattr(learning, "BITMAP_POWER", 6)  # too small: more rows stay, and the join drops them
+    assert len(maybe_among(docs, known).collect()) > 1000
+    found = toxic_cnn._labelled_words(docs, known)
+    assert {(r.doc_id, r.y) for r in found.collect()} == {(i, i % 2) for i in want}
+    assert {r.doc_id: r.slots for r in found.collect()}[43] == toxic_cnn.word_slots(b"word43 and more")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("MapInArrow")
+
+
 def test_queries_are_registered():
     entry = importlib.import_module("__spark_entry__")
     assert {*QUERIES, "pipeline"} <= set(entry.queries())

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 CUT = 0.3
 #: Labelled rows that a classifier is fitted on, at most, and their largest size in bytes.
 MAX_ROWS, MAX_BYTES = 6000, 60_000
+#: Bits of the bitmap of labelled ids, as a power of two: at most 2^20 words of 64 go to every task.
+BITMAP_POWER = 26
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -45,11 +47,24 @@ def labelled_sample(
     return frame.sort_values("doc_id", ignore_index=True)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
-    """All labelled rows outside the held-out fold: ``doc_id, y, lang, text``."""
+def labelled_ids(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
+    """The label of every labelled id outside the held-out fold: ``doc_id, y``."""
     known = labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
-    known = known.where(fold(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
-    return docs.select("doc_id", "lang", "text").where(fold(F.col("doc_id"), folds) != held_out).join(known, "doc_id")
+    return known.where(fold(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
+
+
+def maybe_among(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows whose ``doc_id`` is in ``known``, and few others: those whose hash has the same bit in a bitmap.
+
+    The bitmap's size is fixed, so every task gets it, and rows need no shuffle. With more ids than
+    it tells apart more rows stay, so a join must follow.
+    """
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << BITMAP_POWER))
+    word, bit = F.shiftright(place, 6).alias("__llm_word"), place.bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    bitmap = known.groupBy(word).agg(F.bit_or(one).alias("__llm_bits"))
+    found = rows.select("*", word, bit.alias("__llm_bit")).join(F.broadcast(bitmap), "__llm_word")
+    return found.where(F.getbit("__llm_bits", F.col("__llm_bit")) == 1).select(*rows.columns)
 
 
 class Adam:

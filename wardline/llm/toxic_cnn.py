@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import slices, staged, utf8
-from wardline.llm.learning import CUT, Adam, Calibration, best_cut_of_counts, fold, labelled_rows, sigmoid
+from wardline.llm.learning import CUT, Adam, Calibration, best_cut_of_counts, fold, labelled_ids, maybe_among, sigmoid
 
 SLOTS, WIDTH, FILTERS, SPANS = 1 << 20, 4, 6, (1, 2, 3)
 EPOCHS, BATCH, RATE = 6, 64, 0.02
@@ -160,17 +160,20 @@ class Classifier(NamedTuple):
         return self.calibration(self.model.outputs([word_slots(t) for t in texts]))
 
 
-def _labelled_words(rows: DataFrame) -> DataFrame:
-    """``doc_id, y, lang, slots, apart``, a row per id; a fifth of the ids is kept apart from training."""
+def _labelled_words(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``doc_id, y, lang, slots, apart``, a row per id; a fifth of the ids is kept apart from training.
+
+    Only words of texts that seem labelled meet the labels, so no texts are shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words = pa.array([word_slots(t) for t in utf8(part)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), words], names=["doc_id", "y", "lang", "slots"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), words], names=["doc_id", "lang", "slots"])
 
-    given = rows.select("doc_id", "y", "lang", "text")
-    schema = given.select("doc_id", "y", "lang", F.lit(None).cast("array<int>").alias("slots")).schema
-    found = given.mapInArrow(run, schema).groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct("slots", "lang")).alias("row"))
+    given = maybe_among(docs.select("doc_id", "lang", "text"), known)
+    schema = given.select("doc_id", "lang", F.lit(None).cast("array<int>").alias("slots")).schema
+    found = given.mapInArrow(run, schema).groupBy("doc_id").agg(F.min(F.struct("slots", "lang")).alias("row")).join(known, "doc_id")
     apart = (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("apart")
     return found.select("doc_id", "y", "row.lang", "row.slots", apart)
 
@@ -257,9 +260,9 @@ def _cuts(rows: DataFrame, model: Model) -> tuple[Calibration, dict[str | None,
     return calibration, {r.lang: float(calibration(np.array([r.cut]))[0]) for r in found}
 
 
-def fit(labelled: DataFrame) -> Classifier:
-    """Four fifths of the rows (``doc_id, y, lang, text``) train, one fifth sets the cuts."""
-    rows = staged(_labelled_words(labelled), "labelled-words")
+def fit(docs: DataFrame, known: DataFrame) -> Classifier:
+    """Of the documents with a label in ``known`` (``doc_id, y``) four fifths train, one fifth sets the cuts."""
+    rows = staged(_labelled_words(docs, known), "labelled-words")
     found = {r.apart: (r.n - r.ones, r.ones) for r in rows.groupBy("apart").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones")).collect()}
     zeros, ones = (sum(v[i] for v in found.values()) for i in (0, 1))
     if zeros + ones < 20 or not zeros or not ones:
@@ -279,7 +282,8 @@ def fit(labelled: DataFrame) -> Classifier:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted, lang_threshold, flagged`` for every document."""
-    classifier = docs.sparkSession.sparkContext.broadcast(fit(labelled_rows(docs, labels, "toxic", FOLDS, HELD_OUT)))
+    learned = docs.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+    classifier = docs.sparkSession.sparkContext.broadcast(fit(learned, labelled_ids(labels, "toxic", FOLDS, HELD_OUT)))
     schema = docs.select(
         "doc_id", F.lit(True).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"),
         F.lit(0.0).alias("lang_threshold"), F.lit(True).alias("flagged"),
