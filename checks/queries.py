@@ -229,15 +229,17 @@ def _kept_up(t: Tables, *names: str) -> Rollups:
     rollups = Rollups(versioned)
     begun, late, changed, gone = {}, {}, {}, {}
     for table in sorted({ROLLUPS[name].table for name in names}):
-        rows, key = t[table], F.col(TABLES[table].key)
-        wrong = (key % 7 == 1) & (key % 3 != 0)
-        extra = rows.filter(key % 7 == 2).withColumn(TABLES[table].key, -key - 1)
-        first = rows
+        rows, name = t[table], TABLES[table].key
+        key = F.col(name)
+        wrong, extra = (key % 7 == 1) & (key % 3 != 0), F.col("__copy")
+        # One pass: a row that is there at first, its copy that leaves again, both or neither.
+        copies = F.array_compact(F.array(F.when(key % 3 != 0, F.lit(False)), F.when(key % 7 == 2, F.lit(True))))
+        first = rows.select("*", F.explode(copies).alias("__copy"))
         if "doctor_id" in rows.columns:
-            first = rows.withColumn("doctor_id", F.when(wrong, F.lit(None)).otherwise(F.col("doctor_id")).cast("bigint"))
-        begun[table] = first.filter(key % 3 != 0).unionByName(extra)
+            first = first.withColumn("doctor_id", F.when(~extra & wrong, F.lit(None)).otherwise(F.col("doctor_id")).cast("bigint"))
+        begun[table] = first.withColumn(name, F.when(extra, -key - 1).otherwise(key)).drop("__copy")
         late[table], changed[table] = rows.filter(key % 3 == 0), Change(rows.filter(wrong))
-        gone[table] = Change(extra, gone=True)
+        gone[table] = Change(rows.filter(key % 7 == 2).withColumn(name, -key - 1), gone=True)
     versioned.commit(begun)
     rollups.refresh(*names)
     versioned.commit(late, changed)

@@ -6,6 +6,7 @@ import datetime as dt
 import random
 
 import pytest
+from checks import queries
 from conftest import DIMENSIONS, at, dicts, on, table_frame
 
 from wardline.plans import billing, reports, rolled, visits
@@ -169,3 +170,25 @@ def test_patient_reports_read_the_months_of_touched_patients(spark, tmp_path):
     # who came in all months from July on is read in all of these
     assert months(rolled.patients_range(rollups, "2023-09-15", "2023-09-15")) >= {f"2023-{m:02d}" for m in range(7, 13)}
     assert not months(rolled.patients_range(rollups, "2022-01-01", "2022-02-01"))
+
+
+def test_first_state_of_the_kept_up_totals_is_one_pass(hospital, monkeypatch):
+    """Rows that come late are missing, a seventh lacks its doctor, another seventh has a copy under a negative key."""
+    begun = {}
+
+    class Stop(Exception):
+        pass
+
+    def commit(self, appended):
+        begun.update(appended)
+        raise Stop
+
+    monkeypatch.setattr(Store, "commit", commit)
+    ids = range(1, 60)
+    visits_of = [{"visit_id": i, "admission_id": 1, "doctor_id": 10 + i % 3, "visit_datetime": at("2024-01-01")} for i in ids]
+    with pytest.raises(Stop):
+        queries._kept_up(hospital(admitted_patient_visits=visits_of), "doctor_visits")
+    rows = begun["admitted_patient_visits"]
+    first = [(i, None if i % 7 == 1 else 10 + i % 3) for i in ids if i % 3] + [(-i - 1, 10 + i % 3) for i in ids if i % 7 == 2]
+    assert sorted((r.visit_id, r.doctor_id) for r in rows.collect()) == sorted(first, key=lambda r: r[0])
+    assert rows._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
