@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from llm import brute
 from tokenizers import Tokenizer
 
-from wardline.llm import byte_cnn, divergence, learning, packing, token_files, toxic_cnn
+from wardline.llm import byte_cnn, divergence, learning, packing, token_files, tokens, toxic_cnn
 from wardline.llm.learning import Adam, best_cut, calibrated, maybe_among
 from wardline.llm.queries import QUERIES, vocabulary
 from wardline.llm.tokens import Encoder
@@ -186,6 +187,31 @@ def test_words_of_labelled_texts_meet_the_labels_not_texts(spark, monkeypatch):
     assert plan.index("Join Inner") < plan.index("MapInArrow")
 
 
+def test_known_pieces_are_looked_up_without_a_call_each(monkeypatch):
+    """Also where the dictionary is full, a batch has new pieces, and pieces are too long to be kept."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    encoder, calls = Encoder(WORDS, False, "uint16"), []
+    texts = [" ".join(f"word{i % 50}" for i in range(5000)), "x" * 100, "", "word1 other"]
+    want = [np.array(e.ids, dtype="<u2").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts = [t.encode() for t in texts]
+    for _ in range(3):
+        sys.setprofile(lambda _, event, __: calls.append(1) if event == "call" else None)
+        try:
+            got = encoder(texts)
+        finally:
+            sys.setprofile(None)
+        assert got == want and len(encoder.known) == 5
+    assert len(calls) < 3000
+
+
+def test_pieces_with_the_mark_between_pieces_encode_like_whole_texts():
+    encoder = Encoder(WORDS, False, "uint16")
+    mark, one = encoder.mark
+    texts = [f"a{mark}b {mark} {mark}{mark} c", " ".join(f"n{i}" for i in range(300)), mark, "", f"x {mark}"]
+    want = [np.array(e.ids, dtype="<u2").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder([t.encode() for t in texts]) == want and encoder.known[mark.encode()] == np.array([one], "<u2").tobytes()
+
+
 def test_queries_are_registered():
     entry = importlib.import_module("__spark_entry__")
     assert {*QUERIES, "pipeline"} <= set(entry.queries())

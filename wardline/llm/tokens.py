@@ -20,6 +20,8 @@ _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 REMEMBERED = 700_000
 #: Longer pieces are rare and large; they are not remembered.
 LONGEST = 64
+#: New pieces that are encoded as one text, and signs of which the first with an id of its own goes between them.
+TOGETHER, MARKS = 64, "\u00a7\u00b6\u00a4\u00b1\u00ac\u00a6~^`|"
 
 
 class Encoder:
@@ -35,25 +37,46 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > np.iinfo(self.dtype).max + 1:
             raise ValueError(f"the ids do not fit {dtype}")
         self.known: dict = {}
+        #: A sign that is one id, with that id; it parts pieces that are encoded together.
+        ids = {} if spaced else {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in MARKS}
+        self.mark = next(((c, i[0]) for c, i in ids.items() if len(i) == 1), None)
 
     def _pieces(self, text: bytes) -> list:
         return _PIECE.findall(text.decode("utf-8", "replace")) if self.spaced else text.split()
 
+    def _encoded(self, strings: list[str]) -> list[bytes]:
+        """The ids of each piece; pieces that white space may part are encoded many at a time."""
+        some = [strings[i : i + TOGETHER] for i in range(0, len(strings), TOGETHER)] if self.mark else []
+        found, again = [b""] * len(strings), [] if self.mark else list(range(len(strings)))
+        joined = [f" {self.mark[0]} ".join(s) for s in some] if self.mark else []
+        for k, e in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=self.dtype)
+            at, first, n = np.flatnonzero(ids == self.mark[1]).tolist(), k * TOGETHER, len(some[k])
+            if len(at) != n - 1:  # a piece holds the mark itself
+                again += range(first, first + n)
+                continue
+            flat, size = ids.tobytes(), self.dtype.itemsize
+            found[first : first + n] = [flat[size * a : size * b] for a, b in zip([0, *(i + 1 for i in at)], [*at, len(ids)], strict=True)]
+        for i, e in zip(again, self.tokenizer.encode_batch_fast([strings[i] for i in again], add_special_tokens=False), strict=True):
+            found[i] = np.array(e.ids, dtype=self.dtype).tobytes()
+        return found
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian integers."""
         pieces = [self._pieces(t) for t in texts]
         new = list(set().union(*pieces).difference(self.known))
         strings = new if self.spaced else [p.decode("utf-8", "replace") for p in new]
-        found = {}
         for start in range(0, len(new), 4096):
-            encoded = self.tokenizer.encode_batch_fast(strings[start : start + 4096], add_special_tokens=False)
-            for piece, e in zip(new[start : start + 4096], encoded, strict=True):
-                found[piece] = np.array(e.ids, dtype=self.dtype).tobytes()
-        for piece, ids in found.items():
-            if len(self.known) < REMEMBERED and len(piece) <= LONGEST:
-                self.known[piece] = ids
-        look = self.known.get if not found else (lambda p, a=found, b=self.known: a[p] if p in a else b[p])
-        return [b"".join(map(look, p)) for p in pieces]
+            self.known.update(zip(new[start : start + 4096], self._encoded(strings[start : start + 4096]), strict=True))
+        # All pieces of the batch are in one dictionary while it is looked up; what it has no room for leaves again.
+        joined = [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        room = REMEMBERED - (len(self.known) - len(new))
+        for piece in new:
+            if room > 0 and len(piece) <= LONGEST:
+                room -= 1
+            else:
+                del self.known[piece]
+        return joined
 
 
 @functools.lru_cache(maxsize=2)
