@@ -212,6 +212,40 @@ def test_pieces_with_the_mark_between_pieces_encode_like_whole_texts():
     assert encoder([t.encode() for t in texts]) == want and encoder.known[mark.encode()] == np.array([one], "<u2").tobytes()
 
 
+class _Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+@pytest.mark.parametrize(("path", "spaced"), [(WORDS, False), (BYTES, True)])
+def test_new_pieces_are_encoded_many_at_a_time(path, spaced):
+    encoder = Encoder(path, spaced, "uint32")
+    texts = [" ".join(f"w{i}x{k}," for i in range(500)) + "\n\tend \u3000 Über§ 3.5" for k in range(10)]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    encoder.tokenizer = _Counted(encoder.tokenizer)
+    assert encoder([t.encode() for t in texts]) == want and len(encoder.known) > 5000
+    assert encoder.tokenizer.texts < 300
+
+
+def test_spaced_pieces_with_the_mark_or_odd_space_encode_like_whole_texts():
+    rng = random.Random(2)
+    mark = Encoder(BYTES, True, "uint32").mark[0]
+    signs = [mark, f" {mark}", " ", "  ", "\n", "\r\n", "\x1c", "\x1f", "\x85", "\xa0", "\u3000", "a", "'s", "!", "7", "é", "你好", "<|endoftext|>"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(3000)]
+    texts += [f"a{mark}b {mark} {mark}{mark} c", f" {mark}", f" {mark} {mark}", mark, "", " ", f"x {mark} ", "don't\x1c we'll  go"]
+    encoder = Encoder(BYTES, True, "uint32")
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder([t.encode() for t in texts]) == want
+    again = Encoder(BYTES, True, "uint32")
+    assert [again([t.encode()])[0] for t in texts] == want
+
+
 def test_queries_are_registered():
     entry = importlib.import_module("__spark_entry__")
     assert {*QUERIES, "pipeline"} <= set(entry.queries())

@@ -16,6 +16,7 @@ import numpy as np
 #: White space as the byte-level pattern has it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_AFTER_SPACE = re.compile(f"[{_SPACE}]+[^{_SPACE}]")
 #: Distinct pieces that a worker remembers; further ones are encoded again in each batch.
 REMEMBERED = 700_000
 #: Longer pieces are rare and large; they are not remembered.
@@ -37,26 +38,34 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > np.iinfo(self.dtype).max + 1:
             raise ValueError(f"the ids do not fit {dtype}")
         self.known: dict = {}
-        #: A sign that is one id, with that id; it parts pieces that are encoded together.
-        ids = {} if spaced else {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in MARKS}
+        #: A sign that is one id, with that id; it parts pieces that are encoded together, with ``between``.
+        before = " " if spaced else ""
+        ids = {c: self.tokenizer.encode(before + c, add_special_tokens=False).ids for c in MARKS}
         self.mark = next(((c, i[0]) for c, i in ids.items() if len(i) == 1), None)
+        self.between = self.mark and (f" {self.mark[0]}" if spaced else f" {self.mark[0]} ")
 
     def _pieces(self, text: bytes) -> list:
         return _PIECE.findall(text.decode("utf-8", "replace")) if self.spaced else text.split()
 
     def _encoded(self, strings: list[str]) -> list[bytes]:
-        """The ids of each piece; pieces that white space may part are encoded many at a time."""
-        some = [strings[i : i + TOGETHER] for i in range(0, len(strings), TOGETHER)] if self.mark else []
-        found, again = [b""] * len(strings), [] if self.mark else list(range(len(strings)))
-        joined = [f" {self.mark[0]} ".join(s) for s in some] if self.mark else []
-        for k, e in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+        """The ids of each piece; pieces that white space may part are encoded many at a time.
+
+        Where white space belongs to pieces, it is that before them; those without it, or of nothing else, go alone.
+        """
+        found = [b""] * len(strings)
+        apart = [i for i, s in enumerate(strings) if not self.spaced or _AFTER_SPACE.match(s)] if self.mark else []
+        some = [apart[i : i + TOGETHER] for i in range(0, len(apart), TOGETHER)]
+        again = list(set(range(len(strings))).difference(apart))
+        joined = [self.between.join([strings[i] for i in group]) for group in some]
+        for group, e in zip(some, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=self.dtype)
-            at, first, n = np.flatnonzero(ids == self.mark[1]).tolist(), k * TOGETHER, len(some[k])
-            if len(at) != n - 1:  # a piece holds the mark itself
-                again += range(first, first + n)
+            at = np.flatnonzero(ids == self.mark[1]).tolist()
+            if len(at) != len(group) - 1:  # a piece holds the mark itself
+                again += group
                 continue
             flat, size = ids.tobytes(), self.dtype.itemsize
-            found[first : first + n] = [flat[size * a : size * b] for a, b in zip([0, *(i + 1 for i in at)], [*at, len(ids)], strict=True)]
+            for i, a, b in zip(group, [0, *(k + 1 for k in at)], [*at, len(ids)], strict=True):
+                found[i] = flat[size * a : size * b]
         for i, e in zip(again, self.tokenizer.encode_batch_fast([strings[i] for i in again], add_special_tokens=False), strict=True):
             found[i] = np.array(e.ids, dtype=self.dtype).tobytes()
         return found
